@@ -97,3 +97,18 @@ def sentence_words(sentences) -> Column:
 def format_record(ground_truth, generated) -> Column:
     """One report record body (the sink adds the 40-dash separator)."""
     return F.concat(F.lit("Ground Truth: "), _col(ground_truth), F.lit("\nGenerated: "), _col(generated), F.lit("\n"))
+
+
+# Fixed value: the reference's multi-record pattern (lazy texts, record ends at
+# a dash line or the end of the text).
+PAIR_PATTERN = r"(?s)Ground Truth:\s*(.*?)\s*\nGenerated:\s*(.*?)\s*(?:\n-+|$)"
+# The same pattern for RE2 (DuckDB): no (?s) prefix inside, flag given as 's'.
+PAIR_PATTERN_DUCK = r"(?s)Ground Truth:\s*(.*?)\s*\nGenerated:\s*(.*?)\s*(?:\n-+|$)"
+
+
+def extract_pairs(df, blob: str):
+    """All (ground truth, generated) matches in a text column, one row each, stripped."""
+    refs = F.regexp_extract_all(F.col(blob), F.lit(PAIR_PATTERN), 1)
+    gens = F.regexp_extract_all(F.col(blob), F.lit(PAIR_PATTERN), 2)
+    z = df.select("*", F.inline(F.arrays_zip(refs.alias("r"), gens.alias("g"))))
+    return z.select("*", strip("r").alias("reference"), strip("g").alias("generated")).drop("r", "g")

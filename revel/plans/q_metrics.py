@@ -49,3 +49,206 @@ def met_text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """codes/eval end to end: report -> pairs -> BLEU/ROUGE -> averages with both counts."""
     rep = M.nonempty_pairs(staged_report(spark, sf_dir))
     return round6(M.text_report(M.pair_scores(rep)), METRIC_COLS)
+
+
+def _per_pair(spark, sf_dir, cols, bleu=True, rouge=True, smooth=True):
+    p = stripped_pairs(spark, sf_dir)
+    if bleu:
+        p = M.bleu_scores(p, orders=(1, 4), smooth=smooth)
+    if rouge:
+        p = M.rouge_scores(p)
+    return round6(p.select("pair_id", *cols), METRIC_COLS)
+
+
+def _per_pair_sql(cols, bleu=True, rouge=True, smooth=True):
+    sel = ", ".join(["pair_id"] + [c if c == "scorable" else f"round({c}, 6) AS {c}" for c in cols])
+    return with_fixtures(f"SELECT {sel} FROM scored", "pairs",
+                         ctes=_STRIPPED + ",\n" + O.pair_scores_sql("src", bleu=bleu, rouge=rouge, smooth=smooth))
+
+
+@register("met_bleu_1", _per_pair_sql(["bleu1"], rouge=False))
+def met_bleu_1(spark, sf_dir):
+    """Sentence BLEU-1 per pair (percent)."""
+    return _per_pair(spark, sf_dir, ["bleu1"], rouge=False)
+
+
+@register("met_bleu_4", _per_pair_sql(["bleu4"], rouge=False))
+def met_bleu_4(spark, sf_dir):
+    """Sentence BLEU-4 per pair, smoothing method 4 (percent)."""
+    return _per_pair(spark, sf_dir, ["bleu4"], rouge=False)
+
+
+@register("met_bleu_unsmoothed", _per_pair_sql(["bleu1", "bleu4"], rouge=False, smooth=False))
+def met_bleu_unsmoothed(spark, sf_dir):
+    """BLEU-1 and BLEU-4 without smoothing."""
+    return _per_pair(spark, sf_dir, ["bleu1", "bleu4"], rouge=False, smooth=False)
+
+
+for _key, _name in (("met_rouge_1", "rouge_1"), ("met_rouge_2", "rouge_2"), ("met_rouge_l", "rouge_l")):
+    _cols = ["scorable", f"{_name}_f", f"{_name}_p", f"{_name}_r"]
+
+    def _make(cols=_cols, name=_name):
+        def q(spark, sf_dir):
+            return _per_pair(spark, sf_dir, cols, bleu=False)
+        q.__name__ = f"met_{name}"
+        q.__doc__ = f"{name.upper()} precision / recall / F per pair (percent; NULL if not scorable)."
+        return q
+
+    register(_key, _per_pair_sql(_cols, bleu=False))(_make())
+
+
+@register("met_ngrams", with_fixtures(f"""
+SELECT pair_id, n, len(g) AS n_grams, len(list_distinct(g)) AS n_distinct FROM (
+  SELECT pair_id, o.n, {O.ngrams('w', 'o.n')} AS g
+  FROM (SELECT pair_id, {O.words('generated')} AS w FROM src), (SELECT unnest(range(1, 5)) AS n) o)""",
+    "pairs", ctes=_STRIPPED))
+def met_ngrams(spark, sf_dir):
+    """n-gram counts (all and distinct) of each generated text, n = 1..4."""
+    p = stripped_pairs(spark, sf_dir).select("pair_id", TX.words("generated").alias("_w"))
+    per_n = [F.struct(F.lit(n).cast("long").alias("n"), TX.ngrams("_w", n).alias("g")) for n in range(1, 5)]
+    ex = p.select("pair_id", F.inline(F.array(*per_n)))
+    return ex.select("pair_id", "n", F.size("g").cast("long").alias("n_grams"),
+                     F.size(F.array_distinct("g")).cast("long").alias("n_distinct"))
+
+
+def _turn_scored(spark, sf_dir):
+    p = M.pair_scores(stripped_pairs(spark, sf_dir))
+    return p.withColumn("turn", F.col("pair_id") % 1000)
+
+
+_TURN_SCORED = _STRIPPED + ",\n" + O.pair_scores_sql("src") + ",\nts AS (SELECT *, pair_id % 1000 AS turn FROM scored)"
+
+
+@register("met_safe_average", with_fixtures("""
+SELECT turn, count_if(scorable) AS n_scorable,
+       round(coalesce(avg(rouge_l_f) FILTER (WHERE rouge_l_f >= 10.0), 0), 6) AS rouge_l_f_high
+FROM ts GROUP BY turn""", "pairs", ctes=_TURN_SCORED))
+def met_safe_average(spark, sf_dir):
+    """Average that is 0 (not NULL) on an empty set: mean ROUGE-L F of the pairs
+    scoring at least 10, per turn position; turns with no such pair give 0."""
+    s = _turn_scored(spark, sf_dir)
+    hi = F.when(F.col("rouge_l_f") >= 10.0, F.col("rouge_l_f"))
+    return round6(s.groupBy("turn").agg(F.count_if("scorable").alias("n_scorable"),
+                                        M.safe_avg(hi).alias("rouge_l_f_high")), {"rouge_l_f_high"})
+
+
+@register("met_by_group", with_fixtures(O.report_agg_sql("ts", group="turn"), "pairs", ctes=_TURN_SCORED))
+def met_by_group(spark, sf_dir):
+    """The full text report per group (turn position of the pair)."""
+    return round6(M.text_report(_turn_scored(spark, sf_dir), group_by=["turn"]), METRIC_COLS)
+
+
+def _rating_sql(metric_sql: str, name: str) -> str:
+    return with_fixtures(f"SELECT grp, count(*) AS n, round({metric_sql}, 6) AS {name} FROM predictions GROUP BY grp",
+                         "predictions")
+
+
+def _rating_q(name):
+    def q(spark, sf_dir):
+        e = M.rating_errors(fx.predictions(spark, sf_dir), group_by=["grp"])
+        return e.select("grp", "n", F.round(name, 6).alias(name))
+    q.__name__ = f"met_{name}"
+    q.__doc__ = f"{name.upper()} of predicted vs true rating, per group."
+    return q
+
+
+register("met_mse", _rating_sql("avg((pred - truth) * (pred - truth))", "mse"))(_rating_q("mse"))
+register("met_rmse", _rating_sql("sqrt(avg((pred - truth) * (pred - truth)))", "rmse"))(_rating_q("rmse"))
+register("met_mae", _rating_sql("avg(abs(pred - truth))", "mae"))(_rating_q("mae"))
+
+
+# ---------------------------------------------------------------- report I/O and strings
+@register("src_report", with_fixtures("SELECT reference, generated FROM sp", "pairs", ctes=_STRIPPED))
+def src_report(spark, sf_dir):
+    """Report file -> (reference, generated) records, texts stripped."""
+    return staged_report(spark, sf_dir)
+
+
+@register("sink_report", with_fixtures(
+    "SELECT concat('Ground Truth: ', reference, chr(10), 'Generated: ', generated, chr(10)) AS value "
+    "FROM pairs WHERE generated <> ''", "pairs"))
+def sink_report(spark, sf_dir):
+    """Records as written: one per pair with a generated text, separator excluded."""
+    from revel.sources.readers import REPORT_SEPARATOR
+
+    path = scratch_dir(spark, "sink-report") + "/report"
+    write_report(fx.pairs(spark, sf_dir), path)
+    return spark.read.option("lineSep", REPORT_SEPARATOR).text(path)
+
+
+@register("flt_generated_nonempty", with_fixtures("SELECT pair_id FROM pairs WHERE generated <> ''", "pairs"))
+def flt_generated_nonempty(spark, sf_dir):
+    """Pairs that have a generated text (the report skips the others)."""
+    return fx.pairs(spark, sf_dir).where(F.col("generated") != "").select("pair_id")
+
+
+@register("flt_nonempty_pair", with_fixtures("SELECT pair_id, reference, generated FROM src", "pairs", ctes=_STRIPPED))
+def flt_nonempty_pair(spark, sf_dir):
+    """Pairs whose stripped texts are both non-empty."""
+    return stripped_pairs(spark, sf_dir)
+
+
+@register("flt_scorable_pair", with_fixtures(f"""
+SELECT pair_id, {O.rouge_sentence_count('reference')} > 0 AND {O.rouge_sentence_count('generated')} > 0 AS scorable
+FROM src""", "pairs", ctes=_STRIPPED))
+def flt_scorable_pair(spark, sf_dir):
+    """Flag pairs the ROUGE package would reject (a side with no sentence)."""
+    from revel.functions.metrics import rouge_scorable
+
+    return stripped_pairs(spark, sf_dir).select("pair_id", rouge_scorable("generated", "reference").alias("scorable"))
+
+
+@register("str_strip", with_fixtures(f"""
+SELECT pair_id, {O.strip('reference')} AS reference, {O.strip('generated')} AS generated FROM pairs""", "pairs"))
+def str_strip(spark, sf_dir):
+    """Strip white space at both ends of both texts."""
+    p = fx.pairs(spark, sf_dir)
+    return p.select("pair_id", TX.strip("reference").alias("reference"), TX.strip("generated").alias("generated"))
+
+
+@register("str_words", with_fixtures(f"""
+SELECT pair_id, len({O.words('reference')}) AS n_words, array_to_string({O.words('reference')}, '|') AS words_joined
+FROM pairs""", "pairs"))
+def str_words(spark, sf_dir):
+    """str.split() of the reference text: count and the words joined by '|'."""
+    p = fx.pairs(spark, sf_dir).select("pair_id", TX.words("reference").alias("_w"))
+    return p.select("pair_id", F.size("_w").cast("long").alias("n_words"),
+                    F.array_join("_w", "|").alias("words_joined"))
+
+
+@register("str_word_count", with_fixtures(f"""
+SELECT pair_id, greatest(2, len({O.words('reference')})) AS target_length FROM pairs""", "pairs"))
+def str_word_count(spark, sf_dir):
+    """Generation length rule: max(2, words of the ground truth)."""
+    p = fx.pairs(spark, sf_dir)
+    return p.select("pair_id", TX.target_length("reference").cast("long").alias("target_length"))
+
+
+@register("str_format_record", with_fixtures(
+    "SELECT pair_id, concat('Ground Truth: ', reference, chr(10), 'Generated: ', generated, chr(10)) AS record "
+    "FROM pairs", "pairs"))
+def str_format_record(spark, sf_dir):
+    """The report record of every pair."""
+    p = fx.pairs(spark, sf_dir)
+    return p.select("pair_id", TX.format_record("reference", "generated").alias("record"))
+
+
+@register("str_extract_pairs", with_fixtures(f"""
+SELECT conv_id, unnest(regexp_extract_all(blob, '{TX.PAIR_PATTERN_DUCK}', 1)) AS reference_raw,
+       unnest(regexp_extract_all(blob, '{TX.PAIR_PATTERN_DUCK}', 2)) AS generated_raw
+FROM (SELECT pair_id // 1000 AS conv_id,
+             string_agg(concat('Ground Truth: ', reference, chr(10), 'Generated: ', generated, chr(10),
+                               repeat('-', 40), chr(10)), '' ORDER BY pair_id) AS blob
+      FROM pairs GROUP BY pair_id // 1000)""", "pairs").replace(
+    "SELECT conv_id, unnest", "SELECT conv_id, reference_raw AS reference, generated_raw AS generated FROM (SELECT conv_id, unnest", 1)
+    + ")")
+def str_extract_pairs(spark, sf_dir):
+    """Multi-match extraction of (ground truth, generated) from a text holding
+    several records: here, all records of one conversation in one string."""
+    p = fx.pairs(spark, sf_dir)
+    rec = p.select((F.col("pair_id") / 1000).cast("long").alias("conv_id"), "pair_id",
+                   F.concat(TX.format_record("reference", "generated"), F.lit("-" * 40 + "\n")).alias("rec"))
+    blobs = rec.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pair_id", "rec"))), lambda s: s["rec"]), "")
+        .alias("blob"))
+    return TX.extract_pairs(blobs, "blob").select("conv_id", "reference", "generated")

@@ -25,7 +25,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", skip_empty: boo
     Returns False (and writes nothing) for an empty table, like the reference's
     "No data to write" warning.
     """
-    if skip_empty and df.isEmpty():
+    # take(1) reads whole rows (isEmpty() could prune a JSON scan down to its
+    # corrupt-record column, which Spark refuses).
+    if skip_empty and not df.take(1):
         log.warning("No data to write to %s", path)
         return False
     (df.write.mode(mode).option("header", True).option("escape", '"').option("quote", '"')

@@ -50,14 +50,14 @@ def join_index_lookup(spark, sf_dir):
     return out.select("pos", "user_idx", "item_idx")
 
 
-def _split_sql() -> str:
+def _split_sql(table: str = "interactions") -> str:
     return f"""
 SELECT pos, CASE WHEN rk < n_train THEN 'train' WHEN rk < n_train + n_val THEN 'val' ELSE 'test' END AS split
 FROM (
   SELECT pos, rk, n - h AS n_train, h - ceil(0.5::DOUBLE * h) AS n_val FROM (
     SELECT pos, row_number() OVER (ORDER BY md5('{SEED}:' || pos), pos) - 1 AS rk, count(*) OVER () AS n,
            ceil(0.2::DOUBLE * count(*) OVER ()) AS h
-    FROM interactions))"""
+    FROM {table}))"""
 
 
 @register("split_80_10_10", with_fixtures(_split_sql(), "interactions"))
@@ -68,7 +68,7 @@ def split_80_10_10(spark, sf_dir):
 
 @register("split_fraction", with_fixtures(f"""
 SELECT pos, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.8 + 0.1 THEN 'val' ELSE 'test' END AS split
-FROM (SELECT pos, ('0x' || substr(md5('{SEED}:' || pos), 1, 8))::BIGINT / 4294967296.0 AS u FROM interactions)""",
+FROM (SELECT pos, ('0x' || substr(md5('{SEED}:' || pos), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM interactions)""",
     "interactions"))
 def split_fraction(spark, sf_dir):
     """Seeded split by hash thresholds (no sort, approximate sizes)."""

@@ -35,4 +35,4 @@ def round6(df: DataFrame, cols) -> DataFrame:
 
 
 # Import the query modules so they register themselves.
-from revel.plans import q_index, q_learn, q_metrics, q_prep  # noqa: E402,F401
+from revel.plans import q_index, q_learn, q_metrics, q_prep, q_vectors  # noqa: E402,F401

@@ -167,3 +167,12 @@ def tok_lengths(spark, sf_dir):
     return (enc.select("attribute", l.alias("l")).groupBy("attribute")
             .agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("l"), 6).alias("avg_len"),
                  F.max("l").alias("max_len"), F.count_if(F.col("l") == MAX_LEN).alias("n_truncated")))
+
+
+@register("flt_not_padding", with_fixtures(
+    "SELECT pos, array_to_string(list_filter(ids, lambda x_: x_ <> 0), ' ') AS ids FROM enc", "explanations",
+    ctes=_TOK_CTES))
+def flt_not_padding(spark, sf_dir):
+    """Token ids with padding (id 0) removed, as loss and attention ignore them."""
+    enc, _ = _encoded(spark, sf_dir)
+    return enc.select("pos", TK.ids_text(F.filter("ids", lambda x: x != TK.PAD)).alias("ids"))

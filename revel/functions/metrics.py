@@ -22,6 +22,7 @@ import math
 import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,6 +123,10 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_lcs_one(x, y) for x, y in zip(a, b)], dtype="int64")
 
 
+# Ship this module's Python helpers by value: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def rouge_l(hyp_rwords, ref_rwords, lcs: Column | None = None) -> dict[str, Column]:
     h, r = _col(hyp_rwords), _col(ref_rwords)
     if lcs is None:

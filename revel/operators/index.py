@@ -3,8 +3,8 @@ on it: dense first-seen ids, exact seeded splits, seeded shuffles, batches.
 
 ``dense_index`` (SURVEY section 4.3): range-partition on a *total* order,
 sort within partitions, number rows inside each partition, then add the
-partition's offset (prefix sum of the per-partition counts -- one tiny row
-per partition, broadcast back).  The numbered table is checkpointed to the
+partition's offset (prefix sum of the per-partition counts: one number per
+partition, summed on the driver and broadcast back).  The numbered table is checkpointed to the
 shared checkpoint folder first, so the counts and the final numbering see
 the same layout, lineage is cut, and a lost executor never renumbers rows.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revel.session import ensure_checkpoint_dir
@@ -42,11 +42,14 @@ def dense_index(df: DataFrame, order: Sequence, out: str = "idx", num_partitions
     tagged = ranged.select("*", F.shiftright(mid, _LOCAL_BITS).alias("_pid"),
                            mid.bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)).alias("_local"))
     tagged = tagged.checkpoint(eager=True)
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: the prefix sum runs on a table of size n
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    res = tagged.join(F.broadcast(offsets), "_pid")
+    # one count per partition (at most n numbers) -> prefix sums on the driver
+    counts = sorted((r["_pid"], r["_n"]) for r in tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
+    offsets, run = [], 0
+    for pid, cnt in counts:
+        offsets.append((pid, run))
+        run += cnt
+    off = spark.createDataFrame(offsets, "_pid long, _off long")
+    res = tagged.join(F.broadcast(off), "_pid")
     return res.select(*[F.col(c) for c in df.columns], (F.col("_off") + F.col("_local")).alias(out))
 
 

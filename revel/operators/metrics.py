@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from revel.functions.metrics import bleu_count_stages, bleu_from_counts, lcs_length, rouge_n, rouge_scorable, rouge_words
 from revel.functions.text import words
+from revel.session import spread
 
 ROUGE_KEYS = ("rouge_1", "rouge_2", "rouge_l")
 TEXT_METRICS = ("bleu1", "bleu4") + tuple(f"{k}_{s}" for k in ROUGE_KEYS for s in ("f", "p", "r"))
@@ -60,8 +61,9 @@ def rouge_scores(df: DataFrame, reference: str = "reference", generated: str = "
 
 
 def pair_scores(df: DataFrame, reference: str = "reference", generated: str = "generated") -> DataFrame:
-    """BLEU-1, BLEU-4 and ROUGE-1/2/L for every pair (one narrow stage)."""
-    return rouge_scores(bleu_scores(df, reference, generated), reference, generated)
+    """BLEU-1, BLEU-4 and ROUGE-1/2/L for every pair (one narrow stage after
+    spreading a narrow input over the cluster)."""
+    return rouge_scores(bleu_scores(spread(df), reference, generated), reference, generated)
 
 
 def safe_avg(c) -> Column:

@@ -60,3 +60,16 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if "://" not in path:
         os.makedirs(path, exist_ok=True)
     return path
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin a narrow input over the cluster before CPU-heavy per-row
+    work.  Inputs that already have enough partitions pass through untouched
+    (no extra shuffle at scale); a small table read as one split gets spread
+    over ``defaultParallelism`` tasks instead of running in one."""
+    if df.isStreaming:
+        return df  # micro-batches arrive already split by the file source
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

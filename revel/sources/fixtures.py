@@ -100,12 +100,17 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validation loss per (run, epoch): five runs of thirty epochs."""
+    """Validation loss per (run, epoch): five runs of thirty epochs.
+
+    The loss is the mean value rounded half-up to 4 places in integer
+    arithmetic (sum of cents, integer division), so both engines agree even
+    on exact half-way means, where rounding a double differs between them.
+    """
     e = table(spark, sf_dir, "events")
-    return (
-        e.groupBy(F.col("event_type").alias("run"), F.dayofmonth("ts").cast("long").alias("epoch"))
-        .agg(F.round(F.avg("value"), 4).alias("val_loss"))
-    )
+    g = e.groupBy(F.col("event_type").alias("run"), F.dayofmonth("ts").cast("long").alias("epoch")).agg(
+        F.sum(F.round(F.col("value") * 100).cast("long")).alias("_cents"), F.count(F.lit(1)).alias("_n"))
+    e4 = F.expr("(_cents * 200 + _n) div (2 * _n)")
+    return g.select("run", "epoch", (e4 / 10000.0).alias("val_loss"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +145,8 @@ SELECT event_id AS pos, cast(1 + event_id % 5 AS double) AS truth,
        cast(1 + (event_id * 3) % 9 AS double) / 2.0 AS pred, event_type AS grp
 FROM events""",
     "epochs": """
-SELECT event_type AS run, day(ts) AS epoch, round(avg(value), 4) AS val_loss
+SELECT event_type AS run, day(ts) AS epoch,
+       ((sum(cast(round(value * 100) AS BIGINT)) * 200 + count(*)) // (2 * count(*))) / 10000.0::DOUBLE AS val_loss
 FROM events GROUP BY event_type, day(ts)""",
     "vectors": """
 SELECT vec_id, label, list_transform(embedding, lambda x: cast(x AS double)) AS vec FROM embeddings""",

@@ -7,9 +7,11 @@ each task writes its own part file, so a lost executor only redoes its tasks.
 from __future__ import annotations
 
 import logging
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +73,10 @@ def _frame_json_array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         yield pd.DataFrame({"value": ["]"]})
 
 
+# Ship the framing function by value: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Each partition becomes one part file holding a single JSON array.
 

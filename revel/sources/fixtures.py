@@ -153,9 +153,10 @@ SELECT vec_id, label, list_transform(embedding, lambda x: cast(x AS double)) AS
 }
 
 
-def with_fixtures(sql: str, *names: str, ctes: str | None = None) -> str:
+def with_fixtures(sql: str, *names: str, ctes: str | None = None, recursive: bool = False) -> str:
     """Prefix an oracle query with the fixture views it uses (and extra CTEs)."""
     parts = [f"{n} AS ({FIXTURE_SQL[n].strip()})" for n in names]
     if ctes:
         parts.append(ctes.strip())
-    return f"WITH {',\n'.join(parts)}\n{sql.strip()}"
+    head = "WITH RECURSIVE" if recursive else "WITH"
+    return f"{head} {',\n'.join(parts)}\n{sql.strip()}"

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revel.session import ensure_checkpoint_dir
+from revel.session import broadcast_if_small, ensure_checkpoint_dir
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row-in-partition
 MAX_LOOKUP_BROADCAST_ROWS = 5_000_000
@@ -53,6 +53,18 @@ def dense_index(df: DataFrame, order: Sequence, out: str = "idx", num_partitions
     return res.select(*[F.col(c) for c in df.columns], (F.col("_off") + F.col("_local")).alias(out))
 
 
+def dense_index_within(df: DataFrame, group: Sequence[str], order: Sequence, out: str = "idx",
+                       max_broadcast_groups: int = MAX_LOOKUP_BROADCAST_ROWS) -> DataFrame:
+    """0-based rank of each row inside its ``group`` under ``order``: one global
+    numbering ordered by (group, order), minus the group's first number (one
+    row per group, joined back; broadcast only if the group count is bounded)."""
+    g = list(group)
+    ranked = dense_index(df, [*g, *order], "_gidx")
+    starts = ranked.groupBy(*g).agg(F.min("_gidx").alias("_start"))
+    res = ranked.join(broadcast_if_small(starts, max_broadcast_groups), g)
+    return res.select(*[F.col(c) for c in df.columns], (F.col("_gidx") - F.col("_start")).alias(out))
+
+
 def first_seen_index(df: DataFrame, key: str, order: str, out: str | None = None) -> DataFrame:
     """Dense 0-based id per distinct ``key`` in order of first appearance (``order``).
 
@@ -122,5 +134,4 @@ def lookup_join(df: DataFrame, index: DataFrame, key: str, max_broadcast_rows: i
                 how: str = "left") -> DataFrame:
     """Attach dense ids from an index table.  The index is broadcast only after
     its row count is checked; above the bound it is a shuffle join."""
-    small = index.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    return df.join(F.broadcast(index) if small else index, key, how)
+    return df.join(broadcast_if_small(index, max_broadcast_rows), key, how)

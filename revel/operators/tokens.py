@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revel.functions.text import tokens as token_expr
-from revel.session import spread
+from revel.session import broadcast_if_small, spread
 
 # Reserved ids.
 PAD, UNK, START, END = 0, 1, 2, 3
@@ -35,7 +35,7 @@ def build_vocab(df: DataFrame, text_cols: list[str], size: int) -> DataFrame:
 
 
 def _maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return broadcast_if_small(df, max_rows)
 
 
 def encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_length: int, out: str = "ids",

@@ -50,12 +50,12 @@ def join_index_lookup(spark, sf_dir):
     return out.select("pos", "user_idx", "item_idx")
 
 
-def _split_sql(table: str = "interactions") -> str:
+def _split_sql(table: str = "interactions", key: str = "pos") -> str:
     return f"""
-SELECT pos, CASE WHEN rk < n_train THEN 'train' WHEN rk < n_train + n_val THEN 'val' ELSE 'test' END AS split
+SELECT {key}, CASE WHEN rk < n_train THEN 'train' WHEN rk < n_train + n_val THEN 'val' ELSE 'test' END AS split
 FROM (
-  SELECT pos, rk, n - h AS n_train, h - ceil(0.5::DOUBLE * h) AS n_val FROM (
-    SELECT pos, row_number() OVER (ORDER BY md5('{SEED}:' || pos), pos) - 1 AS rk, count(*) OVER () AS n,
+  SELECT {key}, rk, n - h AS n_train, h - ceil(0.5::DOUBLE * h) AS n_val FROM (
+    SELECT {key}, row_number() OVER (ORDER BY md5('{SEED}:' || {key}), {key}) - 1 AS rk, count(*) OVER () AS n,
            ceil(0.2::DOUBLE * count(*) OVER ()) AS h
     FROM {table}))"""
 
@@ -94,18 +94,25 @@ def batch_assign(spark, sf_dir):
 
 # ---------------------------------------------------------------- tokens
 _TOKRE = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
-_TOK_CTES = f"""
-tl AS (SELECT pos, attribute, regexp_extract_all(lower(coalesce(explanation, '')), '{_TOKRE}') AS t FROM explanations),
-tk AS (SELECT pos, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM tl),
-vocab AS (SELECT token, cnt, row_number() OVER (ORDER BY cnt DESC, token) + 3 AS id FROM (
-          SELECT token, count(*) AS cnt FROM tk GROUP BY token ORDER BY cnt DESC, token LIMIT {VOCAB_SIZE - 4})),
-body AS (SELECT tk.pos, list(coalesce(v.id, 1) ORDER BY tk.p) AS b,
+def tok_sql(src: str, key: str, text: str, vocab_size: int, max_len: int, p: str = "", extra: str = "") -> str:
+    """CTEs ``{p}vocab`` and ``{p}enc(key, ids, words{extra})`` encoding ``text`` of ``src``."""
+    x = f", {extra}" if extra else ""
+    return f"""
+{p}tl AS (SELECT {key}{x}, regexp_extract_all(lower(coalesce({text}, '')), '{_TOKRE}') AS t FROM {src}),
+{p}tk AS (SELECT {key}, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM {p}tl),
+{p}vocab AS (SELECT token, cnt, row_number() OVER (ORDER BY cnt DESC, token) + 3 AS id FROM (
+          SELECT token, count(*) AS cnt FROM {p}tk GROUP BY token ORDER BY cnt DESC, token LIMIT {vocab_size - 4})),
+{p}body AS (SELECT tk.{key}, list(coalesce(v.id, 1) ORDER BY tk.p) AS b,
                 list(v.token ORDER BY tk.p) FILTER (WHERE v.token IS NOT NULL) AS words
-         FROM tk LEFT JOIN vocab v ON v.token = tk.token WHERE tk.p <= {MAX_LEN - 2} GROUP BY tk.pos),
-seq AS (SELECT tl.pos, tl.attribute, list_concat([2], coalesce(body.b, []), [3]) AS s, body.words
-        FROM tl LEFT JOIN body ON body.pos = tl.pos),
-enc AS (SELECT pos, attribute, words,
-               list_concat(s, list_transform(range(0, {MAX_LEN} - len(s)), lambda z_: 0)) AS ids FROM seq)"""
+         FROM {p}tk tk LEFT JOIN {p}vocab v ON v.token = tk.token WHERE tk.p <= {max_len - 2} GROUP BY tk.{key}),
+{p}seq AS (SELECT tl.{key}{"".join(", tl." + c.strip() for c in extra.split(",")) if extra else ""},
+                list_concat([2], coalesce(body.b, []), [3]) AS s, body.words
+        FROM {p}tl tl LEFT JOIN {p}body body ON body.{key} = tl.{key}),
+{p}enc AS (SELECT {key}{x}, words,
+               list_concat(s, list_transform(range(0, {max_len} - len(s)), lambda z_: 0)) AS ids FROM {p}seq)"""
+
+
+_TOK_CTES = tok_sql("explanations", "pos", "explanation", VOCAB_SIZE, MAX_LEN, extra="attribute")
 
 
 def _encoded(spark, sf_dir):

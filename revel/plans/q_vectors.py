@@ -16,8 +16,8 @@ from revel.operators import tokens as TK
 from revel.operators import vectors as V
 from revel.plans.catalog import register, round6
 from revel.plans.jobs import hotel_reviews
-from revel.plans.q_index import SEED
-from revel.session import scratch_dir
+from revel.plans.q_index import SEED, _split_sql, tok_sql
+from revel.session import broadcast_if_small, scratch_dir
 from revel.sources import fixtures as fx
 from revel.sources import readers as R
 from revel.sources import sinks as S
@@ -25,6 +25,8 @@ from revel.sources.fixtures import with_fixtures
 
 BATCH = 64
 N_ASPECTS = 6
+SRC_VOCAB, SRC_LEN = 1024, 128
+TGT_VOCAB, TGT_LEN = 256, 64
 
 # ---------------------------------------------------------------- vectors
 
@@ -60,8 +62,12 @@ def vec_l2_normalize(spark, sf_dir):
     return _long(V.l2_normalize(fx.vectors(spark, sf_dir), "vec", "unit"), ["vec_id"], "unit")
 
 
+MAX_CENTROIDS_BROADCAST = 100_000
+
+
 def _with_own_centroid(spark, sf_dir) -> DataFrame:
-    return fx.vectors(spark, sf_dir).join(F.broadcast(_centroids(spark, sf_dir)), "label")
+    cen = broadcast_if_small(_centroids(spark, sf_dir), MAX_CENTROIDS_BROADCAST)
+    return fx.vectors(spark, sf_dir).join(cen, "label")
 
 
 _COS_OWN = """
@@ -129,9 +135,9 @@ def _terms(spark, sf_dir) -> DataFrame:
     v = fx.vectors(spark, sf_dir)
     perm = _permuted(spark, sf_dir).join(v.select(F.col("vec_id").alias("neg_key"), F.col("label").alias("neg_label")),
                                          "neg_key")
-    rows = v.join(perm, "vec_id").join(F.broadcast(cen), "label")
-    rows = rows.join(F.broadcast(cen.select(F.col("label").alias("neg_label"), F.col("cvec").alias("nvec"))),
-                     "neg_label")
+    cen = broadcast_if_small(cen, MAX_CENTROIDS_BROADCAST)  # one row per label
+    rows = v.join(perm, "vec_id").join(cen, "label")
+    rows = rows.join(cen.select(F.col("label").alias("neg_label"), F.col("cvec").alias("nvec")), "neg_label")
     scored = rows.select("vec_id", "batch_id", V.cosine("vec", "cvec").alias("pos_score"),
                          V.cosine("vec", "nvec").alias("neg_score"))
     return scored.select("*", V.contrastive_term("pos_score", "neg_score").alias("loss"))
@@ -270,32 +276,74 @@ def job_rating_eval(spark, sf_dir):
 # ---------------------------------------------------------------- training table
 
 
-@register("job_training_table")
+_TRAIN_TABLE = f"""
+ex AS (SELECT pos AS e_pos, user_key AS "user", item_key AS item, explanation FROM explanations),
+rv AS (SELECT pos AS r_pos, user_key AS "user", item_key AS item, text, rating, coalesce(sub_value, 0) AS value
+       FROM interactions),
+fj AS (SELECT * FROM (
+         SELECT ex.*, rv.r_pos, rv.text, rv.rating, rv.value,
+                row_number() OVER (PARTITION BY ex."user", ex.item ORDER BY ex.e_pos, rv.r_pos) AS rn
+         FROM ex JOIN rv USING ("user", item)) WHERE rn = 1),
+ui AS (SELECT "user", row_number() OVER (ORDER BY mp, "user") - 1 AS user_idx
+       FROM (SELECT "user", min(e_pos) AS mp FROM fj GROUP BY "user")),
+ii AS (SELECT item, row_number() OVER (ORDER BY mp, item) - 1 AS item_idx
+       FROM (SELECT item, min(e_pos) AS mp FROM fj GROUP BY item)),
+{tok_sql("fj", "e_pos", "text", SRC_VOCAB, SRC_LEN, p="s_")},
+{tok_sql("fj", "e_pos", "explanation", TGT_VOCAB, TGT_LEN, p="t_")},
+sp AS ({_split_sql("fj", "e_pos")}),
+sh AS (SELECT e_pos, split, (row_number() OVER (PARTITION BY split ORDER BY md5('{SEED}:0:' || e_pos), e_pos) - 1)
+                     // {BATCH} AS batch_id FROM sp)"""
+
+_TRAIN_TABLE_SELECT = """
+SELECT fj.e_pos, ui.user_idx, ii.item_idx, array_to_string(s.ids, ' ') AS src_ids, array_to_string(t.ids, ' ') AS tgt_ids,
+       round(fj.value + fj.rating, 6) AS criteria_sum, fj.rating, sh.split, sh.batch_id
+FROM fj JOIN ui USING ("user") JOIN ii USING (item) JOIN s_enc s USING (e_pos) JOIN t_enc t USING (e_pos)
+JOIN sh USING (e_pos)"""
+
+
+@register("job_training_table", with_fixtures(_TRAIN_TABLE_SELECT, "interactions", "explanations",
+                                              ctes=_TRAIN_TABLE))
 def job_training_table(spark, sf_dir):
     """Explanations with review text -> dense ids, source / target token ids,
-    criteria, 80/10/10 split and shuffled batches of 64 inside each split."""
+    criteria, 80/10/10 split and shuffled batches of 64 inside each split
+    (arrays shown as text; criteria by their sum)."""
+    t = training_table(spark, sf_dir)
+    return t.select("e_pos", "user_idx", "item_idx", TK.ids_text("src_ids").alias("src_ids"),
+                    TK.ids_text("tgt_ids").alias("tgt_ids"),
+                    F.round(F.aggregate("criteria", F.lit(0.0), lambda a, x: a + x), 6).alias("criteria_sum"),
+                    "rating", "split", "batch_id")
+
+
+def training_table(spark, sf_dir, fit_ids_on: str = "all") -> DataFrame:
+    """The training table of the rating / explanation models.
+
+    ``fit_ids_on='all'`` numbers users and items over every row (the
+    reference's behaviour: test-only users get ids never trained);
+    ``'train'`` numbers them on the training split only (unseen -> NULL).
+    """
     ex = fx.explanations(spark, sf_dir).select(F.col("pos").alias("e_pos"), F.col("user_key").alias("user"),
                                                F.col("item_key").alias("item"), "explanation")
     rev = P.align_criteria(hotel_reviews(spark, sf_dir)).select(
         F.col("pos").alias("r_pos"), F.col("userID").alias("user"), F.col("hotelID").alias("item"),
         F.col("reviewText").alias("text"), "rating", *P.HOTEL_CRITERIA_COLUMNS)
     first = P.keep_first(P.join_on_keys(ex, rev), ["user", "item"], ["e_pos", "r_pos"])
-    users = X.first_seen_index(first, "user", "e_pos", "user_idx")
-    items = X.first_seen_index(first, "item", "e_pos", "item_idx")
+    sp = X.exact_split(first.select("e_pos"), "e_pos", SEED)
+    # the joined, deduplicated base feeds ids, two vocabularies, two encodings
+    # and the batches: materialise it once in the shared checkpoint folder
+    first = first.join(sp, "e_pos").checkpoint(eager=True)
+    basis = first if fit_ids_on == "all" else first.where(F.col("split") == "train")
+    users = X.first_seen_index(basis, "user", "e_pos", "user_idx")
+    items = X.first_seen_index(basis, "item", "e_pos", "item_idx")
     t = X.lookup_join(X.lookup_join(first, users, "user"), items, "item")
-    src_vocab = TK.build_vocab(t, ["text"], 1024)
-    tgt_vocab = TK.build_vocab(t, ["explanation"], 256)
-    t = TK.encode(t, "e_pos", "text", src_vocab, 128, "src_ids")
-    t = TK.encode(t, "e_pos", "explanation", tgt_vocab, 64, "tgt_ids")
+    src_vocab = TK.build_vocab(t, ["text"], SRC_VOCAB)
+    tgt_vocab = TK.build_vocab(t, ["explanation"], TGT_VOCAB)
+    t = TK.encode(t, "e_pos", "text", src_vocab, SRC_LEN, "src_ids")
+    t = TK.encode(t, "e_pos", "explanation", tgt_vocab, TGT_LEN, "tgt_ids")
     t = P.criteria_vector(t)
-    sp = X.exact_split(t.select("e_pos"), "e_pos", SEED)
-    t = t.join(sp, "e_pos")
-    parts = []
-    for name in ("train", "val", "test"):
-        part = t.where(F.col("split") == name)
-        sh = X.shuffle_order(part.select("e_pos"), "e_pos", SEED, 0)
-        parts.append(X.assign_batches(part.join(sh, "e_pos"), "shuffle_idx", BATCH))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # epoch-0 shuffle inside each split, then batches of 64 consecutive rows
+    order = t.select("e_pos", "split", X.hash_order(SEED, 0, F.col("e_pos")).alias("_h"))
+    pos_in_split = X.dense_index_within(order, ["split"], ["_h", "e_pos"], "shuffle_idx").select("e_pos", "shuffle_idx")
+    out = X.assign_batches(t.join(pos_in_split, "e_pos"), "shuffle_idx", BATCH)
     return out.select("e_pos", "user_idx", "item_idx", "src_ids", "tgt_ids", "criteria", "rating", "split", "batch_id")
 
 

@@ -15,11 +15,16 @@ from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "revel") -> SparkSession:
-    """Build (or reuse) a session with the settings every job here assumes."""
+                app_name: str = "revel", driver_memory: str | None = None) -> SparkSession:
+    """Build (or reuse) a session with the settings every job here assumes.
+
+    In local mode the executors live in the driver JVM, so ``driver_memory``
+    is the memory of the whole engine (the JVM default is only 1 GB)."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     builder = (
         builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -73,3 +78,12 @@ def spread(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+def broadcast_if_small(df, max_rows: int):
+    """Broadcast hint only when the row count is within ``max_rows`` (checked
+    with a bounded count); otherwise the plain frame, so the planner falls
+    back to a shuffle join instead of shipping an unbounded table."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from revel.functions.text import multiset_overlap, ngrams, sentence_words, split_sentences, words
+from revel.functions.text import multiset_overlap, ngrams, run_starts, sentence_words, split_sentences, words
 
 # Fixed values of the metric definitions.
 BLEU_SMOOTH_K = 5.0
@@ -45,15 +45,18 @@ def _col(c) -> Column:
 def bleu_count_stages(hyp_words: str, ref_words: str, n: int) -> list[dict[str, Column]]:
     """Projection stages computing ``_num1.._numN`` (clipped matches) and the
     lengths from two staged word-array columns; apply them with successive
-    ``select``s so every lambda reads staged columns only."""
+    ``select``s so every lambda reads staged columns only.  Cost per row:
+    one sort per n-gram order, then linear passes."""
     sorted_grams = {}
     for i in range(1, n + 1):
         sorted_grams[f"_hs{i}"] = F.array_sort(ngrams(hyp_words, i))
         sorted_grams[f"_rs{i}"] = F.array_sort(ngrams(ref_words, i))
-    nums = {f"_num{i}": multiset_overlap(f"_hs{i}", f"_rs{i}") for i in range(1, n + 1)}
+    starts = {f"_hr{i}": run_starts(f"_hs{i}") for i in range(1, n + 1)}
+    starts.update({f"_rr{i}": run_starts(f"_rs{i}") for i in range(1, n + 1)})
+    nums = {f"_num{i}": multiset_overlap(f"_hs{i}", f"_hr{i}", f"_rs{i}", f"_rr{i}") for i in range(1, n + 1)}
     nums["_hyp_len"] = F.size(hyp_words)
     nums["_ref_len"] = F.size(ref_words)
-    return [sorted_grams, nums]
+    return [sorted_grams, starts, nums]
 
 
 def bleu_from_counts(n: int, smooth: bool = True, prefix: str = "") -> Column:

@@ -233,15 +233,17 @@ def str_format_record(spark, sf_dir):
     return p.select("pair_id", TX.format_record("reference", "generated").alias("record"))
 
 
-@register("str_extract_pairs", with_fixtures(f"""
-SELECT conv_id, unnest(regexp_extract_all(blob, '{TX.PAIR_PATTERN_DUCK}', 1)) AS reference_raw,
-       unnest(regexp_extract_all(blob, '{TX.PAIR_PATTERN_DUCK}', 2)) AS generated_raw
-FROM (SELECT pair_id // 1000 AS conv_id,
-             string_agg(concat('Ground Truth: ', reference, chr(10), 'Generated: ', generated, chr(10),
-                               repeat('-', 40), chr(10)), '' ORDER BY pair_id) AS blob
-      FROM pairs GROUP BY pair_id // 1000)""", "pairs").replace(
-    "SELECT conv_id, unnest", "SELECT conv_id, reference_raw AS reference, generated_raw AS generated FROM (SELECT conv_id, unnest", 1)
-    + ")")
+_EXTRACT_SQL = f"""
+SELECT conv_id, {O.strip('r0')} AS reference, {O.strip('g0')} AS generated FROM (
+  SELECT conv_id, unnest(regexp_extract_all(blob, '{TX.PAIR_PATTERN}', 1)) AS r0,
+         unnest(regexp_extract_all(blob, '{TX.PAIR_PATTERN}', 2)) AS g0
+  FROM (SELECT pair_id // 1000 AS conv_id,
+               string_agg(concat('Ground Truth: ', reference, chr(10), 'Generated: ', generated, chr(10),
+                                 repeat('-', 40), chr(10)), '' ORDER BY pair_id) AS blob
+        FROM pairs GROUP BY pair_id // 1000))"""
+
+
+@register("str_extract_pairs", with_fixtures(_EXTRACT_SQL, "pairs"))
 def str_extract_pairs(spark, sf_dir):
     """Multi-match extraction of (ground truth, generated) from a text holding
     several records: here, all records of one conversation in one string."""

@@ -91,3 +91,31 @@ def test_bleu_unsmoothed_zero_terms(spark):
     tiny = math.log(sys.float_info.min)
     expected = 100 * math.exp((math.log(2 / 3) + math.log(1 / 2) + 2 * tiny) / 4)
     assert row.bleu4 == pytest.approx(expected, abs=1e-6)
+
+
+def test_clipped_counts_match_counter_on_long_texts(spark):
+    """Multiset overlap (run-length tagging) equals sum_g min(count_h, count_r)."""
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from revel.functions.metrics import bleu_count_stages
+
+    rnd = random.Random(5)
+    rows = []
+    for i in range(40):
+        h = [rnd.choice("abcdef") for _ in range(rnd.randint(0, 400))]
+        r = [rnd.choice("abcdefg") for _ in range(rnd.randint(0, 400))]
+        rows.append((i, h, r))
+    df = spark.createDataFrame(rows, "k int, hw array<string>, rw array<string>")
+    for stage in bleu_count_stages("hw", "rw", 4):
+        df = df.select("*", *[c.alias(n) for n, c in stage.items()])
+    got = {r.k: [r[f"_num{n}"] for n in range(1, 5)] for r in df.collect()}
+    for k, h, r in rows:
+        want = []
+        for n in range(1, 5):
+            ch = Counter(tuple(h[i:i + n]) for i in range(len(h) - n + 1))
+            cr = Counter(tuple(r[i:i + n]) for i in range(len(r) - n + 1))
+            want.append(sum(min(c, cr[g]) for g, c in ch.items()))
+        assert got[k] == want

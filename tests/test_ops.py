@@ -120,3 +120,13 @@ def test_sampler_matches_counts_and_generation_invariants(spark):
     seqs = EX.generate(f.select("k").limit(200), "k", cdf, max_len=6, seed=3, buckets=8).collect()
     for r in seqs:
         assert r.seq[0] == TK.START and r.seq[-1] == TK.END and len(r.seq) == 3
+
+
+def test_generation_length_rule_without_end_token(spark):
+    # a cycle 4 -> 5 -> 4 ... never reaches END: the per-row length rule stops it
+    pairs = spark.createDataFrame([(2, 4), (4, 5), (5, 4)], "prev long, next long")
+    cdf = EX.cdf_table(EX.ngram_model(pairs), buckets=4)
+    start = spark.createDataFrame([(1, 2), (2, 5), (3, None)], "k long, target_len long")
+    rows = {r.k: r.seq for r in EX.generate(start, "k", cdf, max_len=6, seed=1, buckets=4,
+                                             length_col="target_len", stop_at_end=False).collect()}
+    assert rows[1] == [TK.START, 4, 5] and rows[2] == [TK.START, 4, 5, 4, 5, 4] and len(rows[3]) == 7

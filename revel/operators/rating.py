@@ -15,7 +15,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.recommendation import ALS
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,11 +58,18 @@ def _assemble(df: DataFrame, use_text: bool) -> DataFrame:
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(staged)
 
 
-def fit_rating(train_features: DataFrame, label: str = "rating", use_text: bool = True, reg: float = 0.01):
-    """Linear regression on [user factors, item factors(, text vector)]."""
+def fit_rating(train_features: DataFrame, label: str = "rating", use_text: bool = True, reg: float = 0.01,
+               regressor: str = "linear", seed: int = 1702):
+    """Regression on [user factors, item factors(, text vector)]:
+    ``regressor='linear'`` (default) or ``'gbt'`` (gradient-boosted trees)."""
     data = _assemble(train_features, use_text)
-    return Pipeline(stages=[LinearRegression(featuresCol="features", labelCol=label, predictionCol="pred",
-                                             regParam=reg)]).fit(data)
+    if regressor == "linear":
+        head = LinearRegression(featuresCol="features", labelCol=label, predictionCol="pred", regParam=reg)
+    elif regressor == "gbt":
+        head = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="pred", maxIter=20, seed=seed)
+    else:
+        raise ValueError(regressor)
+    return Pipeline(stages=[head]).fit(data)
 
 
 def predict(model, features: DataFrame, use_text: bool = True, fallback: float | None = None) -> DataFrame:

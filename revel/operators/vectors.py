@@ -96,3 +96,41 @@ def permuted_partner(df: DataFrame, key: str, batch: str, seed: int, out: str =
 def contrastive_term(pos_score, neg_score, temperature: float = TEMPERATURE) -> Column:
     """``-ln(e^{p/t} / (e^{p/t} + e^{n/t})) = ln(1 + e^{(n - p)/t})`` (the stable form)."""
     return F.log1p(F.exp((_c(neg_score) - _c(pos_score)) / temperature))
+
+
+def embed_batches(df: DataFrame, text: str, encoder, dim: int, out: str = "vec") -> DataFrame:
+    """Pluggable text encoder: ``encoder(list[str]) -> sequence of dim-d float
+    vectors`` runs on Arrow batches inside the tasks (``mapInPandas``), e.g. a
+    local sentence-embedding model.  The default text vectors are Word2Vec
+    (``rating.fit_text_vectors``); this hook is for encoders Spark lacks."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for pdf in batches:
+            texts = pdf[text].fillna("").astype(str).tolist()
+            vecs = encoder(texts)
+            pdf[out] = [[float(x) for x in v][:dim] for v in vecs]
+            yield pdf
+
+    return df.mapInPandas(run, schema)
+
+
+def hashed_bow_encoder(dim: int):
+    """A dependency-free encoder for :func:`embed_batches`: l2-normalised
+    hashed bag of lower-cased words (md5 bucket of each word)."""
+    import hashlib
+    import math as _m
+
+    def enc(texts):
+        out = []
+        for t in texts:
+            v = [0.0] * dim
+            for w in t.lower().split():
+                v[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim] += 1.0
+            n = _m.sqrt(sum(x * x for x in v)) or 1.0
+            out.append([x / n for x in v])
+        return out
+
+    return enc

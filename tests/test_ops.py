@@ -130,3 +130,10 @@ def test_generation_length_rule_without_end_token(spark):
     rows = {r.k: r.seq for r in EX.generate(start, "k", cdf, max_len=6, seed=1, buckets=4,
                                              length_col="target_len", stop_at_end=False).collect()}
     assert rows[1] == [TK.START, 4, 5] and rows[2] == [TK.START, 4, 5, 4, 5, 4] and len(rows[3]) == 7
+
+
+def test_embed_batches_hook(spark):
+    df = spark.createDataFrame([(1, "clean room"), (2, None)], "k int, text string")
+    rows = {r.k: r.vec for r in V.embed_batches(df, "text", V.hashed_bow_encoder(8), 8).collect()}
+    assert len(rows[1]) == 8 and abs(sum(x * x for x in rows[1]) - 1.0) < 1e-9
+    assert rows[2] == [0.0] * 8

@@ -2,7 +2,6 @@
 plus the entry smoke check."""
 
 import math
-import os
 
 import duckdb
 import pytest

@@ -98,8 +98,6 @@ def test_clipped_counts_match_counter_on_long_texts(spark):
     import random
     from collections import Counter
 
-    from pyspark.sql import functions as F
-
     from revel.functions.metrics import bleu_count_stages
 
     rnd = random.Random(5)

@@ -5,7 +5,6 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from revel.operators import prep as P
 from revel.sources import readers as R

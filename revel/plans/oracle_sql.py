@@ -132,5 +132,5 @@ def report_agg_sql(scored: str = "scored", group: str | None = None) -> str:
     cols = [f"round(coalesce(avg({m}), 0), 6) AS {m}" for m in TEXT_METRICS]
     g = f"{group}, " if group else ""
     tail = f" GROUP BY {group}" if group else ""
-    return (f"SELECT {g}count(*) AS n_pairs, count_if(scorable) AS n_scorable, "
+    return (f"SELECT {g}count(*) AS n_pairs, CAST(count_if(scorable) AS BIGINT) AS n_scorable, "
             + ", ".join(cols) + f" FROM {scored}{tail}")

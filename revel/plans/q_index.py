@@ -164,7 +164,7 @@ def tok_shift(spark, sf_dir):
 
 @register("tok_lengths", with_fixtures(f"""
 SELECT attribute, count(*) AS n_rows, round(avg(l), 6) AS avg_len, max(l) AS max_len,
-       count_if(l = {MAX_LEN}) AS n_truncated
+       CAST(count_if(l = {MAX_LEN}) AS BIGINT) AS n_truncated
 FROM (SELECT attribute, len(list_filter(ids, lambda x_: x_ <> 0)) AS l FROM enc) GROUP BY attribute""",
     "explanations", ctes=_TOK_CTES))
 def tok_lengths(spark, sf_dir):

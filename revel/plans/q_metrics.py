@@ -120,7 +120,7 @@ _TURN_SCORED = _STRIPPED + ",\n" + O.pair_scores_sql("src") + ",\nts AS (SELECT
 
 
 @register("met_safe_average", with_fixtures("""
-SELECT turn, count_if(scorable) AS n_scorable,
+SELECT turn, CAST(count_if(scorable) AS BIGINT) AS n_scorable,
        round(coalesce(avg(rouge_l_f) FILTER (WHERE rouge_l_f >= 10.0), 0), 6) AS rouge_l_f_high
 FROM ts GROUP BY turn""", "pairs", ctes=_TURN_SCORED))
 def met_safe_average(spark, sf_dir):

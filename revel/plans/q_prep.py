@@ -92,7 +92,7 @@ def src_csv(spark, sf_dir):
 
 
 @register("src_explanations", with_fixtures(
-    "SELECT user_key AS \"user\", item_key AS item, rating, CASE WHEN explanation IS NULL THEN 3 ELSE 4 END AS n_items, "
+    "SELECT user_key AS \"user\", item_key AS item, rating, CAST(CASE WHEN explanation IS NULL THEN 3 ELSE 4 END AS BIGINT) AS n_items, "
     "coalesce(explanation, '1') AS explanation FROM explanations", "explanations"))
 def src_explanations(spark, sf_dir):
     """Explanation records (template arrays) staged as Parquet and read back."""

@@ -25,6 +25,15 @@ def _norm(v):
     return str(v)
 
 
+def _duck_type(dt) -> str:
+    from pyspark.sql import types as T
+
+    if isinstance(dt, T.ArrayType):
+        return _duck_type(dt.elementType) + "[]"
+    return {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.DoubleType: "DOUBLE", T.StringType: "VARCHAR",
+            T.BooleanType: "BOOLEAN", T.FloatType: "FLOAT"}.get(type(dt), str(dt))
+
+
 def _rows(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted("|".join(_norm(r[i]) for i in order) for r in rows)
@@ -57,6 +66,7 @@ def test_query_matches_oracle(spark, duck, key):
     rel = duck.sql(ORACLE[key])
     ocols, orows = rel.columns, rel.fetchall()
     assert sorted(sdf.columns) == sorted(ocols)
+    assert {f.name: _duck_type(f.dataType) for f in sdf.schema.fields} == {c: str(t) for c, t in zip(ocols, rel.types)}
     assert _rows(sdf.columns, srows) == _rows(ocols, orows)
 
 

@@ -35,9 +35,12 @@ def dense_index(df: DataFrame, order: Sequence, out: str = "idx", num_partitions
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ocols = _cols(order)
-    ranged = df.repartitionByRange(n, *ocols).sortWithinPartitions(*ocols)
+    # Without an explicit count AQE sizes the range partitions at runtime;
+    # coalescing merges neighbouring ranges, so partition order stays the
+    # row order and the numbering below holds either way.
+    ranged = df.repartitionByRange(num_partitions, *ocols) if num_partitions else df.repartitionByRange(*ocols)
+    ranged = ranged.sortWithinPartitions(*ocols)
     mid = F.monotonically_increasing_id()
     tagged = ranged.select("*", F.shiftright(mid, _LOCAL_BITS).alias("_pid"),
                            mid.bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)).alias("_local"))

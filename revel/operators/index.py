@@ -64,7 +64,7 @@ def dense_index_within(df: DataFrame, group: Sequence[str], order: Sequence, out
     g = list(group)
     ranked = dense_index(df, [*g, *order], "_gidx")
     starts = ranked.groupBy(*g).agg(F.min("_gidx").alias("_start"))
-    res = ranked.join(broadcast_if_small(starts, max_broadcast_groups), g)
+    res = ranked.join(broadcast_if_small(starts, max_broadcast_groups, materialize=False), g)
     return res.select(*[F.col(c) for c in df.columns], (F.col("_gidx") - F.col("_start")).alias(out))
 
 
@@ -134,7 +134,8 @@ def assign_batches(df: DataFrame, index_col: str, batch_size: int, out: str = "b
 
 
 def lookup_join(df: DataFrame, index: DataFrame, key: str, max_broadcast_rows: int = MAX_LOOKUP_BROADCAST_ROWS,
-                how: str = "left") -> DataFrame:
+                how: str = "left", materialized: bool = True) -> DataFrame:
     """Attach dense ids from an index table.  The index is broadcast only after
-    its row count is checked; above the bound it is a shuffle join."""
-    return df.join(broadcast_if_small(index, max_broadcast_rows), key, how)
+    its row count is checked; above the bound it is a shuffle join.  Indexes
+    from :func:`first_seen_index` are checkpoint-backed (``materialized``)."""
+    return df.join(broadcast_if_small(index, max_broadcast_rows, materialize=materialized), key, how)

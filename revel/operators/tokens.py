@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revel.functions.text import tokens as token_expr
-from revel.session import broadcast_if_small, spread
+from revel.session import broadcast_if_small
 
 # Reserved ids.
 PAD, UNK, START, END = 0, 1, 2, 3
@@ -27,7 +27,7 @@ def build_vocab(df: DataFrame, text_cols: list[str], size: int) -> DataFrame:
     Counting is a partial aggregation; the top-k keeps ``k`` rows per task,
     so only ``k`` rows per task reach the final merge (k is a parameter)."""
     all_tokens = F.concat(*[token_expr(c) for c in text_cols]) if len(text_cols) > 1 else token_expr(text_cols[0])
-    toks = spread(df.select(*text_cols)).select(F.explode(all_tokens).alias("token"))
+    toks = df.select(F.explode(all_tokens).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
     top = counts.orderBy(F.desc("cnt"), F.asc("token")).limit(size - N_SPECIAL)
     w = Window.orderBy(F.desc("cnt"), F.asc("token"))  # over at most `size` rows
@@ -44,7 +44,7 @@ def encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_length:
 
     Unknown tokens map to UNK.  ``key`` must identify rows.
     """
-    toks = spread(df.select(key, text_col)).select(key, F.posexplode(token_expr(text_col)).alias("_p", "token"))
+    toks = df.select(key, F.posexplode(token_expr(text_col)).alias("_p", "token"))
     toks = toks.where(F.col("_p") < max_length - 2)  # truncation happens before the join
     v = _maybe_broadcast(vocab.select("token", "id"), MAX_VOCAB_BROADCAST_ROWS)
     ids = toks.join(v, "token", "left").select(key, "_p", F.coalesce("id", F.lit(UNK)).alias("id"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revel.operators.index import hash_order
+from revel.session import broadcast_if_small
 
 COS_EPS = 1e-8       # fixed value: cosine denominator floor
 NORM_EPS = 1e-12     # fixed value: l2-normalise denominator floor
@@ -71,12 +72,10 @@ def aspect_affinity(df: DataFrame, key: str, vec: str, aspects: DataFrame, domai
     Aspects are a small dimension (six per domain): they are packed into one
     array per domain, checked for size, and broadcast-joined on ``domain``;
     the big side is never shuffled."""
-    n_aspects = aspects.limit(MAX_ASPECTS_BROADCAST + 1).count()
-    if n_aspects > MAX_ASPECTS_BROADCAST:
-        raise ValueError("aspect table too large to broadcast")
     packed = aspects.groupBy(domain).agg(
         F.collect_list(F.struct(F.col(aspect_id).alias("aid"), F.col(aspect_vec).alias("avec"))).alias("_asp"))
-    j = df.join(F.broadcast(packed), domain)
+    packed = broadcast_if_small(packed, MAX_ASPECTS_BROADCAST)  # one row per domain
+    j = df.join(packed, domain)
     scored = j.select(key, F.inline(F.transform("_asp", lambda a: F.struct(
         a["aid"].alias(aspect_id), cosine(F.col(vec), a["avec"]).alias(out)))))
     return scored

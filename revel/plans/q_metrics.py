@@ -11,7 +11,7 @@ from revel.functions import text as TX
 from revel.operators import metrics as M
 from revel.plans import oracle_sql as O
 from revel.plans.catalog import register, round6
-from revel.session import scratch_dir
+from revel.session import scratch_dir, spread
 from revel.sources import fixtures as fx
 from revel.sources.fixtures import with_fixtures
 from revel.sources.readers import read_report
@@ -25,14 +25,14 @@ def staged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "report") + "/report"
     pairs = fx.pairs(spark, sf_dir)
     write_report(pairs.select(F.col("reference"), F.col("generated")), path)
-    return read_report(spark, path)
+    return spread(read_report(spark, path))
 
 
 def stripped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pairs with both texts stripped and empty ones dropped (the report's view of them)."""
     p = fx.pairs(spark, sf_dir).where(F.col("generated") != "")
     p = p.select("pair_id", TX.strip("reference").alias("reference"), TX.strip("generated").alias("generated"))
-    return M.nonempty_pairs(p)
+    return M.nonempty_pairs(spread(p))
 
 
 # SQL of the same view.

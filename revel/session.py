@@ -67,23 +67,31 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin a narrow input over the cluster before CPU-heavy per-row
-    work.  Inputs that already have enough partitions pass through untouched
-    (no extra shuffle at scale); a small table read as one split gets spread
-    over ``defaultParallelism`` tasks instead of running in one."""
+def spread(df, partitions: int | None = None):
+    """Round-robin ``df`` over ``partitions`` tasks (default: the cluster's
+    parallelism) ahead of CPU-heavy per-row work.
+
+    An explicit, visible shuffle -- nothing is inspected or executed to decide
+    it.  Operators never call this; the registered queries use it on the small
+    driver tables, which arrive as one file and hence one task.  Streaming
+    frames pass through (their micro-batches are split by the source)."""
     if df.isStreaming:
-        return df  # micro-batches arrive already split by the file source
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target)
+    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
 
 
-def broadcast_if_small(df, max_rows: int):
-    """Broadcast hint only when the row count is within ``max_rows`` (checked
-    with a bounded count); otherwise the plain frame, so the planner falls
-    back to a shuffle join instead of shipping an unbounded table."""
+def broadcast_if_small(df, max_rows: int, materialize: bool = True):
+    """Broadcast hint only when the row count is within ``max_rows``;
+    otherwise the plain frame, so the planner falls back to a shuffle join
+    instead of shipping an unbounded table.
+
+    The count is an action, so the table is first materialised in the shared
+    checkpoint folder (``materialize=True``): the count and the later join
+    read that copy instead of computing the table twice.  Pass
+    ``materialize=False`` for frames already backed by a checkpoint."""
     from pyspark.sql import functions as F
 
+    if materialize:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

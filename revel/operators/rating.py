@@ -16,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revel.functions.text import tokens as token_expr
@@ -72,11 +72,13 @@ def fit_rating(train_features: DataFrame, label: str = "rating", use_text: bool
     return Pipeline(stages=[head]).fit(data)
 
 
-def predict(model, features: DataFrame, use_text: bool = True, fallback: float | None = None) -> DataFrame:
+def predict(model, features: DataFrame, use_text: bool = True, fallback=None) -> DataFrame:
+    """Predictions; NaN / NULL (cold start) replaced by ``fallback`` (a number
+    or a Column, e.g. the training mean as a scalar subquery)."""
     out = model.transform(_assemble(features, use_text))
     if fallback is not None:
-        out = out.withColumn("pred", F.when(F.isnan("pred") | F.col("pred").isNull(), F.lit(fallback))
-                             .otherwise(F.col("pred")))
+        fb = fallback if isinstance(fallback, Column) else F.lit(fallback)
+        out = out.withColumn("pred", F.when(F.isnan("pred") | F.col("pred").isNull(), fb).otherwise(F.col("pred")))
     return out.drop("_ufv", "_ifv", "features")
 
 

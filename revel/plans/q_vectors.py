@@ -236,7 +236,7 @@ def _test_frame(spark, sf_dir, use_text=True):
     df, feats, _ = _fitted(spark, sf_dir, use_text)
     train = feats.where(F.col("split") == "train")
     model = RT.fit_rating(train, use_text=use_text)
-    mean = train.agg(F.avg("rating")).first()[0]
+    mean = train.agg(F.avg("rating")).scalar()  # global-mean fallback, same plan
     test = feats.where(F.col("split") == "test")
     return RT.predict(model, test, use_text=use_text, fallback=mean).select(
         "pos", F.col("rating").alias("truth"), "pred")

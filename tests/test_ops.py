@@ -137,3 +137,43 @@ def test_embed_batches_hook(spark):
     rows = {r.k: r.vec for r in V.embed_batches(df, "text", V.hashed_bow_encoder(8), 8).collect()}
     assert len(rows[1]) == 8 and abs(sum(x * x for x in rows[1]) - 1.0) < 1e-9
     assert rows[2] == [0.0] * 8
+
+
+def test_dense_index_within_groups(spark):
+    df = spark.createDataFrame([("a", 3), ("b", 1), ("a", 1), ("b", 7), ("a", 2)], "g string, v long")
+    out = sorted((r.g, r.v, r.i) for r in X.dense_index_within(df, ["g"], ["v"], "i").collect())
+    assert out == [("a", 1, 0), ("a", 2, 1), ("a", 3, 2), ("b", 1, 0), ("b", 7, 1)]
+
+
+def test_fraction_split_and_sample_are_seeded(spark):
+    df = spark.range(0, 20000).withColumnRenamed("id", "k")
+    a = {r.k: r.split for r in X.fraction_split(df, "k", 11).collect()}
+    b = {r.k: r.split for r in X.fraction_split(df.repartition(7), "k", 11).collect()}
+    assert a == b
+    frac = sum(v == "train" for v in a.values()) / len(a)
+    assert abs(frac - 0.8) < 0.02
+    n = X.sample_fraction(df, "k", 0.1, seed=3).count()
+    assert abs(n / 20000 - 0.1) < 0.01
+
+
+def test_batches_cover_with_short_last(spark):
+    df = spark.range(0, 130).withColumnRenamed("id", "k")
+    s = X.assign_batches(X.shuffle_order(df, "k", 5), "shuffle_idx", 64)
+    sizes = sorted((r.batch_id, r["count"]) for r in s.groupBy("batch_id").count().collect())
+    assert sizes == [(0, 64), (1, 64), (2, 2)]
+
+
+def test_greedy_next_ties_to_smallest(spark):
+    pairs = spark.createDataFrame([(2, 9), (2, 5), (2, 9), (2, 5), (4, 3)], "prev long, next long")
+    g = {r.prev: r.next for r in EX.greedy_next(EX.ngram_model(pairs)).collect()}
+    assert g == {2: 5, 4: 3}
+
+
+def test_permuted_partner_is_a_permutation_within_batch(spark):
+    df = spark.range(0, 200).select(F.col("id").alias("k"), (F.col("id") / 64).cast("long").alias("b"))
+    p = V.permuted_partner(df, "k", "b", seed=9).collect()
+    by_batch = {}
+    for r in p:
+        by_batch.setdefault(r.b, []).append((r.k, r.neg_key))
+    for rows in by_batch.values():
+        assert sorted(k for k, _ in rows) == sorted(n for _, n in rows)

@@ -12,8 +12,10 @@ Formulas (pinned by hand-worked cases in tests/test_metrics.py):
   ``exp(1 - r/c)``.  Percent.
 * ROUGE-N: sentences split on '.', n-grams as *sets*; p = overlap/|hyp|,
   r = overlap/|ref| (0 on empty), f = 2pr/(p+r+1e-8).  Percent.
-* ROUGE-L (length mode): LCS length over all words; p = LCS/#hyp words,
-  r = LCS/#ref words.  Percent.
+* ROUGE-L (length mode, default): LCS length over all words; p = LCS/#hyp
+  words, r = LCS/#ref words.  Percent.  ``summary`` mode: the union-LCS of
+  the ROUGE paper (per reference sentence, union of its LCS positions with
+  every hypothesis sentence), over the same word totals.
 """
 
 from __future__ import annotations
@@ -126,6 +128,49 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_lcs_one(x, y) for x, y in zip(a, b)], dtype="int64")
 
 
+def _lcs_positions(a, b) -> set[int]:
+    """Positions in ``a`` of one longest common subsequence with ``b``
+    (dynamic program, backtracking up before left on ties)."""
+    n, m = len(a), len(b)
+    t = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n):
+        ai, row, nxt = a[i], t[i], t[i + 1]
+        for j in range(m):
+            nxt[j + 1] = row[j] + 1 if ai == b[j] else max(row[j + 1], nxt[j])
+    pos, i, j = set(), n, m
+    while i > 0 and j > 0:
+        if a[i - 1] == b[j - 1]:
+            pos.add(i - 1)
+            i, j = i - 1, j - 1
+        elif t[i - 1][j] > t[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return pos
+
+
+def _union_lcs_one(ref_sents, hyp_sents) -> int:
+    """Summary-level LCS (Lin 2004): for every reference sentence, the union of
+    its LCS word positions with each hypothesis sentence; summed."""
+    if ref_sents is None or hyp_sents is None:
+        return 0
+    hyp = [list(h.split(" ")) for h in hyp_sents]
+    total = 0
+    for r in ref_sents:
+        rw = r.split(" ")
+        hit: set[int] = set()
+        for hw in hyp:
+            hit |= _lcs_positions(rw, hw)
+        total += len(hit)
+    return total
+
+
+@pandas_udf(T.LongType())
+def union_lcs(ref_sents: pd.Series, hyp_sents: pd.Series) -> pd.Series:
+    """Summary-level union-LCS count of two sentence arrays (Arrow batches)."""
+    return pd.Series([_union_lcs_one(r, h) for r, h in zip(ref_sents, hyp_sents)], dtype="int64")
+
+
 # Ship this module's Python helpers by value: executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 

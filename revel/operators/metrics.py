@@ -10,8 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revel.functions.metrics import bleu_count_stages, bleu_from_counts, lcs_length, rouge_n, rouge_scorable, rouge_words
-from revel.functions.text import words
+from revel.functions.metrics import (
+    bleu_count_stages,
+    bleu_from_counts,
+    lcs_length,
+    rouge_n,
+    rouge_scorable,
+    rouge_words,
+    union_lcs,
+)
+from revel.functions.text import split_sentences, words
 
 ROUGE_KEYS = ("rouge_1", "rouge_2", "rouge_l")
 TEXT_METRICS = ("bleu1", "bleu4") + tuple(f"{k}_{s}" for k in ROUGE_KEYS for s in ("f", "p", "r"))
@@ -35,15 +43,25 @@ def bleu_scores(df: DataFrame, reference: str = "reference", generated: str = "g
     return out.drop(*added)
 
 
-def rouge_scores(df: DataFrame, reference: str = "reference", generated: str = "generated") -> DataFrame:
-    """Adds ``scorable`` and ROUGE-1/2/L p, r, f (percent; NULL where not scorable)."""
+def rouge_scores(df: DataFrame, reference: str = "reference", generated: str = "generated",
+                 rouge_l_mode: str = "length") -> DataFrame:
+    """Adds ``scorable`` and ROUGE-1/2/L p, r, f (percent; NULL where not scorable).
+
+    ``rouge_l_mode``: 'length' (LCS over all words, default) or 'summary'
+    (union-LCS over sentences, ROUGE paper definition)."""
     staged = df.select(
         "*",
         rouge_words(F.col(generated)).alias("_hw"),
         rouge_words(F.col(reference)).alias("_rw"),
         rouge_scorable(F.col(generated), F.col(reference)).alias("scorable"),
     )
-    staged = staged.select("*", lcs_length(F.col("_rw"), F.col("_hw")).alias("_lcs"))
+    if rouge_l_mode == "length":
+        lcs = lcs_length(F.col("_rw"), F.col("_hw"))
+    elif rouge_l_mode == "summary":
+        lcs = union_lcs(split_sentences(F.col(reference)), split_sentences(F.col(generated)))
+    else:
+        raise ValueError(rouge_l_mode)
+    staged = staged.select("*", lcs.alias("_lcs"))
     cols: list[Column] = []
     for key, n in (("rouge_1", 1), ("rouge_2", 2)):
         prf = rouge_n("_hw", "_rw", n)

@@ -117,3 +117,17 @@ def test_clipped_counts_match_counter_on_long_texts(spark):
             cr = Counter(tuple(r[i:i + n]) for i in range(len(r) - n + 1))
             want.append(sum(min(c, cr[g]) for g, c in ch.items()))
         assert got[k] == want
+
+
+def test_rouge_l_summary_mode_paper_example(spark):
+    """ROUGE paper example: r = w1..w5, c1 = w1 w2 w6 w7 w8, c2 = w1 w3 w8 w9 w5
+    -> union LCS = {w1, w2, w3, w5} = 4 words; R = 4/5, P = 4/10."""
+    df = spark.createDataFrame([(0, "w1 w2 w3 w4 w5", "w1 w2 w6 w7 w8. w1 w3 w8 w9 w5")],
+                               "pair_id long, reference string, generated string")
+    row = M.rouge_scores(df, rouge_l_mode="summary").first()
+    assert row.rouge_l_r == pytest.approx(80.0) and row.rouge_l_p == pytest.approx(40.0)
+    # single sentences: summary mode equals length mode
+    one = spark.createDataFrame([(0, "the cat sat on mat", "cat the sat mat")], "pair_id long, reference string, generated string")
+    a = M.rouge_scores(one, rouge_l_mode="summary").first()
+    b = M.rouge_scores(one).first()
+    assert (a.rouge_l_p, a.rouge_l_r) == pytest.approx((b.rouge_l_p, b.rouge_l_r))

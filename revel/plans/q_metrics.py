@@ -46,7 +46,7 @@ src AS (SELECT * FROM sp WHERE reference <> '' AND generated <> '')"""
 @register("met_text_report", with_fixtures(O.report_agg_sql(), "pairs",
                                             ctes=_STRIPPED + ",\n" + O.pair_scores_sql("src")))
 def met_text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """codes/eval end to end: report -> pairs -> BLEU/ROUGE -> averages with both counts."""
+    """The evaluation script end to end: report -> pairs -> BLEU/ROUGE -> averages with both counts."""
     rep = M.nonempty_pairs(staged_report(spark, sf_dir))
     return round6(M.text_report(M.pair_scores(rep)), METRIC_COLS)
 

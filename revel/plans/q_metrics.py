@@ -18,6 +18,7 @@ from revel.sources.readers import read_report
 from revel.sources.sinks import write_report
 
 METRIC_COLS = set(M.TEXT_METRICS)
+BLOB_RECORDS = 8  # records per multi-record text in str_extract_pairs
 
 
 def staged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,17 +241,19 @@ SELECT conv_id, {O.strip('r0')} AS reference, {O.strip('g0')} AS generated FROM
   FROM (SELECT pair_id // 1000 AS conv_id,
                string_agg(concat('Ground Truth: ', reference, chr(10), 'Generated: ', generated, chr(10),
                                  repeat('-', 40), chr(10)), '' ORDER BY pair_id) AS blob
-        FROM pairs GROUP BY pair_id // 1000))"""
+        FROM pairs GROUP BY pair_id // 1000, (pair_id % 1000) // {2 * BLOB_RECORDS}))"""
 
 
 @register("str_extract_pairs", with_fixtures(_EXTRACT_SQL, "pairs"))
 def str_extract_pairs(spark, sf_dir):
     """Multi-match extraction of (ground truth, generated) from a text holding
-    several records: here, all records of one conversation in one string."""
+    several records: the records of one conversation, at most 8 per string
+    (chunked by turn, so no conversation becomes one unbounded row)."""
     p = fx.pairs(spark, sf_dir)
     rec = p.select((F.col("pair_id") / 1000).cast("long").alias("conv_id"), "pair_id",
+                   ((F.col("pair_id") % 1000) / (2 * BLOB_RECORDS)).cast("long").alias("chunk"),
                    F.concat(TX.format_record("reference", "generated"), F.lit("-" * 40 + "\n")).alias("rec"))
-    blobs = rec.groupBy("conv_id").agg(
+    blobs = rec.groupBy("conv_id", "chunk").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pair_id", "rec"))), lambda s: s["rec"]), "")
         .alias("blob"))
     return TX.extract_pairs(blobs, "blob").select("conv_id", "reference", "generated")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revel.operators import prep as P
-from revel.session import scratch_dir
+from revel.session import scratch_dir, staged_input
 from revel.sources import fixtures as fx
 from revel.sources import readers as R
 from revel.sources import sinks as S
@@ -49,16 +49,14 @@ def movie_review_lines(spark: SparkSession, sf_dir: str, break_every: int | None
     return base.select(value.alias("value"))
 
 
-def stage_json_array(spark: SparkSession, df: DataFrame) -> str:
-    path = scratch_dir(spark, "jsonarray") + "/reviews"
-    S.write_json_array(df, path)
-    return path
+def stage_json_array(spark: SparkSession, df: DataFrame, key: tuple) -> str:
+    """Raw hotel reviews as JSON-array shards (written once per application)."""
+    return staged_input(spark, ("jsonarray", *key), lambda path: S.write_json_array(df, path))
 
 
-def stage_json_lines(spark: SparkSession, lines: DataFrame) -> str:
-    path = scratch_dir(spark, "jsonl") + "/reviews"
-    lines.write.mode("overwrite").text(path)
-    return path
+def stage_json_lines(spark: SparkSession, lines: DataFrame, key: tuple) -> str:
+    """Raw JSON-lines text (written once per application)."""
+    return staged_input(spark, ("jsonl", *key), lambda path: lines.write.mode("overwrite").text(path))
 
 
 def _sink_and_reload(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -69,7 +67,7 @@ def _sink_and_reload(spark: SparkSession, df: DataFrame, name: str) -> DataFrame
 
 
 def prepare_hotels(spark: SparkSession, sf_dir: str, sink: bool = True) -> DataFrame:
-    reviews = R.read_json_array(spark, stage_json_array(spark, hotel_reviews(spark, sf_dir)),
+    reviews = R.read_json_array(spark, stage_json_array(spark, hotel_reviews(spark, sf_dir), ("hotels", sf_dir)),
                                 schema=HOTEL_REVIEW_SCHEMA_POS)
     reviews = P.align_criteria(P.rename(reviews, P.HOTEL_RENAME)).withColumnRenamed("pos", "r_pos")
     expl = fx.templated_explanations(spark, sf_dir).select(
@@ -84,7 +82,8 @@ def prepare_hotels(spark: SparkSession, sf_dir: str, sink: bool = True) -> DataF
 def prepare_movies(spark: SparkSession, sf_dir: str, sink: bool = True) -> DataFrame:
     # reviews: JSON lines (broken lines skipped) -> CSV -> rename -> drop identical rows
     lines = movie_review_lines(spark, sf_dir, break_every=97, keep_every=3)
-    raw = R.good_lines(R.read_json_lines(spark, stage_json_lines(spark, lines), MOVIE_FIELDS))
+    raw = R.good_lines(R.read_json_lines(spark, stage_json_lines(spark, lines, ("movies", sf_dir, 97, 3)),
+                                         MOVIE_FIELDS))
     csv_path = scratch_dir(spark, "movies-csv") + "/reviews"
     S.write_csv(raw, csv_path, skip_empty=False)
     reviews = P.rename(R.read_csv(spark, csv_path, raw.schema), P.MOVIE_RENAME)

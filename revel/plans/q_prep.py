@@ -20,7 +20,7 @@ from revel.plans.jobs import (
     stage_json_array,
     stage_json_lines,
 )
-from revel.session import scratch_dir
+from revel.session import scratch_dir, staged_input
 from revel.sources import fixtures as fx
 from revel.sources import readers as R
 from revel.sources import sinks as S
@@ -52,7 +52,7 @@ _EXP_SQL = "ex AS (SELECT pos AS e_pos, user_key AS \"user\", item_key AS item,
     "sub_value AS value, sub_service AS service FROM interactions", "interactions"))
 def src_json_array(spark, sf_dir):
     """Hotel reviews written as JSON-array shards, read back with an explicit schema."""
-    df = R.read_json_array(spark, stage_json_array(spark, hotel_reviews(spark, sf_dir)),
+    df = R.read_json_array(spark, stage_json_array(spark, hotel_reviews(spark, sf_dir), ("hotels", sf_dir)),
                            schema=HOTEL_REVIEW_SCHEMA_POS)
     return df.select("pos", "userID", "hotelID", "reviewText", "rating",
                      F.col("subRatings")["Value"].alias("value"), F.col("subRatings")["Service"].alias("service"))
@@ -63,7 +63,7 @@ def src_json_array(spark, sf_dir):
     "interactions"))
 def src_json_lines(spark, sf_dir):
     """Movie reviews as JSON lines; all fields read as text, then converted."""
-    path = stage_json_lines(spark, movie_review_lines(spark, sf_dir))
+    path = stage_json_lines(spark, movie_review_lines(spark, sf_dir), ("movies", sf_dir))
     return R.good_lines(R.read_json_lines(spark, path, MOVIE_FIELDS))
 
 
@@ -72,7 +72,7 @@ def src_json_lines(spark, sf_dir):
     "FROM interactions GROUP BY 1", "interactions"))
 def src_json_bad_lines(spark, sf_dir):
     """JSON lines where every 97th record is cut short: parsed vs reported lines."""
-    path = stage_json_lines(spark, movie_review_lines(spark, sf_dir, break_every=97))
+    path = stage_json_lines(spark, movie_review_lines(spark, sf_dir, break_every=97), ("movies", sf_dir, 97))
     raw = R.read_json_lines(spark, path, MOVIE_FIELDS)
     return (raw.groupBy(F.col("_corrupt_record").isNotNull().alias("is_bad"))
             .agg(F.count(F.lit(1)).alias("n"), F.count("pos").alias("n_parsed")))
@@ -86,8 +86,8 @@ _DOC_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField
 @register("src_csv", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def src_csv(spark, sf_dir):
     """Documents through CSV (header, quotes, commas and line breaks inside text)."""
-    path = scratch_dir(spark, "csv") + "/documents"
-    S.write_csv(fx.table(spark, sf_dir, "documents"), path)
+    path = staged_input(spark, ("documents-csv", sf_dir),
+                        lambda p: S.write_csv(fx.table(spark, sf_dir, "documents"), p))
     return R.read_csv(spark, path, _DOC_SCHEMA)
 
 
@@ -96,10 +96,9 @@ def src_csv(spark, sf_dir):
     "coalesce(explanation, '1') AS explanation FROM explanations", "explanations"))
 def src_explanations(spark, sf_dir):
     """Explanation records (template arrays) staged as Parquet and read back."""
-    path = scratch_dir(spark, "expl") + "/explanations"
     t = fx.templated_explanations(spark, sf_dir)
-    S.write_parquet(t.select(F.col("user_key").alias("user"), F.col("item_key").alias("item"), "template", "rating"),
-                    path)
+    records = t.select(F.col("user_key").alias("user"), F.col("item_key").alias("item"), "template", "rating")
+    path = staged_input(spark, ("explanations", sf_dir), lambda p: S.write_parquet(records, p))
     e = R.read_explanations(spark, path)
     return e.select("user", "item", "rating", F.size("template").cast("long").alias("n_items"),
                     P.template_item("template", strict=False).alias("explanation"))
@@ -132,7 +131,7 @@ def sink_parquet(spark, sf_dir):
     "FROM interactions WHERE pos % 97 <> 0", "interactions"))
 def json_to_csv(spark, sf_dir):
     """JSON lines (with broken lines) -> CSV conversion job, read back."""
-    src = stage_json_lines(spark, movie_review_lines(spark, sf_dir, break_every=97))
+    src = stage_json_lines(spark, movie_review_lines(spark, sf_dir, break_every=97), ("movies", sf_dir, 97))
     good = R.good_lines(R.read_json_lines(spark, src, MOVIE_FIELDS))
     path = scratch_dir(spark, "j2c") + "/reviews"
     S.write_csv(good, path)

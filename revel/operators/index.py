@@ -86,6 +86,13 @@ def hash_unit(*parts) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
 
 
+def hash_draw(*parts) -> Column:
+    """Seeded integer draw in [0, 2**32): the first 32 bits of md5 of the parts
+    joined by ':' (the same integer in Spark and DuckDB)."""
+    s = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint")
+
+
 def hash_order(*parts) -> Column:
     """Seeded order key: md5 of the parts joined by ':'."""
     return F.md5(F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))

@@ -113,7 +113,7 @@ def test_sampler_matches_counts_and_generation_invariants(spark):
     model = EX.ngram_model(pairs)
     cdf = EX.cdf_table(model, buckets=8)
     f = spark.range(0, 4000).select(F.col("id").alias("k"), F.lit(2).cast("long").alias("prev"))
-    drawn = EX.sample_next(f, cdf, X.hash_unit(7, F.col("k")), "prev", "next", buckets=8)
+    drawn = EX.sample_next(f, cdf, X.hash_draw(7, F.col("k")), "prev", "next", buckets=8)
     counts = {r.next: r["count"] for r in drawn.groupBy("next").count().collect()}
     assert sum(counts.values()) == 4000                 # exactly one draw per row
     assert counts[4] / 4000 == pytest.approx(0.75, abs=0.03)
@@ -177,3 +177,19 @@ def test_permuted_partner_is_a_permutation_within_batch(spark):
         by_batch.setdefault(r.b, []).append((r.k, r.neg_key))
     for rows in by_batch.values():
         assert sorted(k for k, _ in rows) == sorted(n for _, n in rows)
+
+
+def test_sampler_exact_with_huge_counts(spark):
+    # totals far above 2**21: a double-precision position could slip across an edge
+    big = 3_000_000_007
+    model = spark.createDataFrame([(2, 4, big, 2 * big + 1), (2, 5, big + 1, 2 * big + 1)],
+                                  "prev long, next long, cnt long, total long")
+    cdf = EX.cdf_table(model, buckets=256)
+    f = spark.range(0, 20000).select(F.col("id").alias("k"), F.lit(2).cast("long").alias("prev"))
+    drawn = EX.sample_next(f, cdf, X.hash_draw(1, F.col("k")), "prev", "next", buckets=256)
+    rows = drawn.collect()
+    assert len(rows) == 20000 and all(r.next in (4, 5) for r in rows)
+    # boundary draw: d = 2**31 lands at floor(2**31 * T / 2**32) = big exactly -> the second interval
+    edge = spark.createDataFrame([(1, 2, 2 ** 31)], "k long, prev long, d long")
+    got = EX.sample_next(edge.select("k", "prev"), cdf, F.lit(2 ** 31).cast("long"), "prev", "next", 256).first()
+    assert got.next == 5

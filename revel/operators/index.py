@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from revel.session import broadcast_if_small, ensure_checkpoint_dir
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row-in-partition
-MAX_LOOKUP_BROADCAST_ROWS = 5_000_000
+MAX_LOOKUP_BROADCAST_ROWS = 1_000_000  # (key, id) rows; ~tens of MB
 
 
 def _cols(cs) -> list[Column]:

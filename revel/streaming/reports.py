@@ -25,7 +25,7 @@ def report_stream(spark: SparkSession, in_dir: str, max_files_per_trigger: int =
            .option("maxFilesPerTrigger", max_files_per_trigger).load(in_dir))
     rec = raw.where(F.col("value").rlike(r"(?s)Ground Truth:.*\nGenerated:"))
     return rec.select(
-        F.input_file_name().alias("file"),
+        F.col("_metadata.file_path").alias("file"),
         strip(F.regexp_extract("value", REPORT_PATTERN, 1)).alias("reference"),
         strip(F.regexp_extract("value", REPORT_PATTERN, 2)).alias("generated"),
     )

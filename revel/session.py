@@ -109,6 +109,8 @@ def staged_input(spark: SparkSession, key: tuple, write) -> str:
     part of the work being measured)."""
     cache_key = (spark.sparkContext.applicationId, *key)
     path = _STAGED.get(cache_key)
+    if path is not None and "://" not in path and not os.path.exists(path):
+        path = None  # local copy removed since: write it again
     if path is None:
         path = scratch_dir(spark, "input") + "/data"
         write(path)

@@ -21,6 +21,10 @@ from revel.sources import sinks as S
 # Fields kept from a movie review line and their types.
 HOTEL_REVIEW_SCHEMA_POS = T.StructType(R.HOTEL_REVIEW_SCHEMA.fields + [T.StructField("pos", T.LongType())])
 MOVIE_FIELDS = {"pos": "bigint", "reviewerID": "string", "asin": "string", "reviewText": "string", "overall": "double"}
+MOVIE_NAMES = ("reviewerID", "asin", "reviewText", "overall")
+RESTAURANT_NAMES = ("user_id", "business_id", "text", "stars")
+# Fields kept from a restaurant review line and their types.
+RESTAURANT_FIELDS = {"pos": "bigint", "user_id": "string", "business_id": "string", "text": "string", "stars": "double"}
 
 
 def hotel_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,14 +38,15 @@ def hotel_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def movie_review_lines(spark: SparkSession, sf_dir: str, break_every: int | None = None,
-                       keep_every: int | None = None) -> DataFrame:
-    """One JSON text per review (movie field names); every ``break_every``-th
-    record is cut short so it no longer parses."""
+                       keep_every: int | None = None, names: tuple[str, str, str, str] = MOVIE_NAMES) -> DataFrame:
+    """One JSON text per review (movie field names by default); every
+    ``break_every``-th record is cut short so it no longer parses."""
     i = fx.interactions(spark, sf_dir)
     if keep_every:
         i = i.where(F.col("pos") % keep_every != 0)
-    js = F.to_json(F.struct(F.col("pos"), F.col("user_key").alias("reviewerID"), F.col("item_key").alias("asin"),
-                            F.col("text").alias("reviewText"), F.col("rating").alias("overall")))
+    u, it, t, r = names
+    js = F.to_json(F.struct(F.col("pos"), F.col("user_key").alias(u), F.col("item_key").alias(it),
+                            F.col("text").alias(t), F.col("rating").alias(r)))
     base = i.select("pos", js.alias("_js"))
     value = F.col("_js")
     if break_every:
@@ -105,9 +110,12 @@ def prepare_restaurants(spark: SparkSession, sf_dir: str, sink: bool = True) ->
     expl = fx.templated_explanations(spark, sf_dir).select(
         F.col("user_key").alias("user"), F.col("item_key").alias("item"), "template")
     expl = P.explanation_from_template(expl, "template", on_invalid="empty", strict=True).drop("template")
-    reviews = fx.interactions(spark, sf_dir).select(
-        F.col("user_key").alias("user_id"), F.col("item_key").alias("business_id"), "text",
-        F.col("rating").alias("stars"))
-    reviews = P.rename(reviews, P.RESTAURANT_RENAME)
+    # reviews: JSON lines -> CSV -> read -> rename (the reference's conversion steps)
+    lines = movie_review_lines(spark, sf_dir, names=RESTAURANT_NAMES)
+    raw = R.good_lines(R.read_json_lines(spark, stage_json_lines(spark, lines, ("restaurants", sf_dir)),
+                                         RESTAURANT_FIELDS))
+    csv_path = scratch_dir(spark, "restaurants-csv") + "/reviews"
+    S.write_csv(raw.drop("pos"), csv_path, skip_empty=False)
+    reviews = P.rename(R.read_csv(spark, csv_path, raw.drop("pos").schema), P.RESTAURANT_RENAME)
     out = P.select_order(P.join_on_keys(expl, reviews), ["user", "item", "explanation", "text", "rating"])
     return _sink_and_reload(spark, out, "restaurants") if sink else out

@@ -28,6 +28,17 @@ ASPECTS = {
 MAX_ASPECTS_BROADCAST = 10_000
 
 
+def aspect_phrases(spark, domains=None) -> DataFrame:
+    """``domain, aspect_id, aspect`` for the given domains (all by default);
+    an unknown domain raises, as the reference's aspect script does."""
+    domains = list(ASPECTS) if domains is None else list(domains)
+    unknown = [d for d in domains if d not in ASPECTS]
+    if unknown:
+        raise ValueError(f"unknown aspect domain(s) {unknown}; choose from {sorted(ASPECTS)}")
+    rows = [(d, i, a) for d in domains for i, a in enumerate(ASPECTS[d])]
+    return spark.createDataFrame(rows, "domain string, aspect_id int, aspect string")
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -188,8 +188,7 @@ def vec_aspect_embed(spark, sf_dir):
     """Aspect phrases of each domain embedded with the corpus Word2Vec model, staged as Parquet."""
     docs = fx.table(spark, sf_dir, "documents").select("text")
     w2v = RT.fit_text_vectors(docs, "text", size=16, seed=SEED)
-    rows = [(d, i, a) for d, names in V.ASPECTS.items() for i, a in enumerate(names)]
-    asp = spark.createDataFrame(rows, "domain string, aspect_id int, aspect string")
+    asp = V.aspect_phrases(spark)
     emb = RT.text_features(asp, "aspect", w2v).select("domain", "aspect_id", "aspect",
                                                       vector_to_array("_tv").alias("vec"))
     path = scratch_dir(spark, "aspects") + "/aspects"

@@ -193,3 +193,10 @@ def test_sampler_exact_with_huge_counts(spark):
     edge = spark.createDataFrame([(1, 2, 2 ** 31)], "k long, prev long, d long")
     got = EX.sample_next(edge.select("k", "prev"), cdf, F.lit(2 ** 31).cast("long"), "prev", "next", 256).first()
     assert got.next == 5
+
+
+def test_aspect_phrases(spark):
+    t = V.aspect_phrases(spark, ["trip"]).collect()
+    assert len(t) == 6 and t[0].aspect == "Service"
+    with pytest.raises(ValueError):
+        V.aspect_phrases(spark, ["nope"])

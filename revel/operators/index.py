@@ -109,8 +109,11 @@ def split_sizes(n: int, holdout: float = 0.2, test_of_holdout: float = 0.5) -> t
 def exact_split(df: DataFrame, key: str, seed: int = 1702, out: str = "split") -> DataFrame:
     """Seeded 80/10/10 split with exact sizes: rank rows by md5(seed:key), cut."""
     ranked = dense_index(df.withColumn("_h", hash_order(seed, F.col(key))), ["_h", key], "_rank")
-    n = ranked.count()
-    n_train, n_val, _ = split_sizes(n)
+    # sizes as in split_sizes(), from the row count as a scalar subquery
+    n = ranked.select(F.count(F.lit(1))).scalar()
+    hold = F.ceil(F.lit(0.2) * n)
+    test = F.ceil(F.lit(0.5) * hold)
+    n_train, n_val = n - hold, hold - test
     label = (F.when(F.col("_rank") < n_train, "train")
              .when(F.col("_rank") < n_train + n_val, "val").otherwise("test"))
     return ranked.select(*df.columns, label.alias(out))

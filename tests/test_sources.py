@@ -180,3 +180,12 @@ def test_streaming_report_scoring_matches_batch(spark, tmp_dir):
     got = sorted((r.reference, round(r.bleu4, 6)) for r in out.collect())
     want = sorted((r.reference, round(r.bleu4, 6)) for r in M.pair_scores(pairs).collect())
     assert got == want
+
+
+def test_run_log_segments_runs_within_one_file(spark, tmp_dir):
+    log = "\n".join(["Epoch 1, Train Loss: 3.0, Val Loss: 3.0", "Epoch 2, Train Loss: 2.0, Val Loss: 2.5",
+                     "Early stopping triggered.", "Epoch: 1, Train Loss: 9.0, Val Loss: 8.0",
+                     "Epoch: 2, Train Loss: 7.0, Val Loss: 6.0", "Epoch: 3, Train Loss: 5.0, Val Loss: 4.0"])
+    _write(f"{tmp_dir}/nl/all_runs.out", log + "\n")
+    rows = sorted((r.segment, r.epoch, r.val_loss) for r in R.read_run_log(spark, f"{tmp_dir}/nl").collect())
+    assert rows == [(1, 1, 3.0), (1, 2, 2.5), (2, 1, 8.0), (2, 2, 6.0), (2, 3, 4.0)]

@@ -4,7 +4,9 @@ vocabulary, which is a per-row library the reference downloads).
 Token ids: 0 PAD, 1 UNK, 2 START, 3 END, then the vocabulary by descending
 frequency (ties by token).  Text -> ids is ``explode`` + equi-join with the
 vocabulary (broadcast after a row-count check, else shuffled) + an ordered
-regroup per row; the regroup only ever holds one row's own tokens.
+regroup per row; the regroup only ever holds one row's own tokens.  Rows are
+hash-partitioned by key once, and with a broadcast vocabulary every later
+step keeps that partitioning (no shuffle of tokens).
 """
 
 from __future__ import annotations
@@ -44,13 +46,17 @@ def encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_length:
 
     Unknown tokens map to UNK.  ``key`` must identify rows.
     """
-    toks = df.select(key, F.posexplode(token_expr(text_col)).alias("_p", "token"))
+    # Rows are hash-partitioned by key once; with the vocabulary broadcast the
+    # explode, the lookup, the regroup and the join back all keep that
+    # partitioning, so tokens themselves never cross the network.
+    rows = df.repartition(key)
+    toks = rows.select(key, F.posexplode(token_expr(text_col)).alias("_p", "token"))
     toks = toks.where(F.col("_p") < max_length - 2)  # truncation happens before the join
     v = _maybe_broadcast(vocab.select("token", "id"), MAX_VOCAB_BROADCAST_ROWS)
     ids = toks.join(v, "token", "left").select(key, "_p", F.coalesce("id", F.lit(UNK)).alias("id"))
     grouped = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", "id"))).alias("_s"))
     body = F.transform(F.col("_s"), lambda s: s["id"])
-    base = df.join(grouped, key, "left")
+    base = rows.join(grouped, key, "left")
     seq = F.concat(F.array(F.lit(START).cast("long")), F.coalesce(body, F.array().cast("array<bigint>")),
                    F.array(F.lit(END).cast("long")))
     if pad:
@@ -66,12 +72,13 @@ def clamp(ids, vocab_size: int) -> Column:
 
 def decode(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, out: str = "text") -> DataFrame:
     """Ids -> text: special ids dropped, tokens joined by one blank."""
-    ex = df.select(key, F.posexplode(ids_col).alias("_p", "id")).where(F.col("id") >= N_SPECIAL)
+    rows = df.repartition(key)  # see encode(): one shuffle of rows, none of tokens
+    ex = rows.select(key, F.posexplode(ids_col).alias("_p", "id")).where(F.col("id") >= N_SPECIAL)
     v = _maybe_broadcast(vocab.select("token", "id"), MAX_VOCAB_BROADCAST_ROWS)
     tok = ex.join(v, "id", "inner")
     grouped = tok.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", "token"))).alias("_s"))
     text = F.array_join(F.transform(F.col("_s"), lambda s: s["token"]), " ")
-    return df.join(grouped, key, "left").select(*df.columns, F.coalesce(text, F.lit("")).alias(out))
+    return rows.join(grouped, key, "left").select(*df.columns, F.coalesce(text, F.lit("")).alias(out))
 
 
 def shift(ids) -> tuple[Column, Column]:

@@ -41,11 +41,16 @@ def _maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_length: int, out: str = "ids",
-           pad: bool = True) -> DataFrame:
+           pad: bool = True, oov: str = "unk", vocab_size: int | None = None) -> DataFrame:
     """Text -> ``[START] tokens[:max_length-2] [END]`` ids, padded with 0 to ``max_length``.
 
-    Unknown tokens map to UNK.  ``key`` must identify rows.
+    Unknown tokens map to UNK (``oov='unk'``), or with ``oov='clamp'`` to the
+    last id ``vocab_size - 1`` -- the reference's clamping, where out-of-range
+    ids collide on one id.  ``key`` must identify rows.
     """
+    if oov not in ("unk", "clamp") or (oov == "clamp" and not vocab_size):
+        raise ValueError("oov must be 'unk', or 'clamp' with vocab_size")
+    unknown = UNK if oov == "unk" else vocab_size - 1
     # Rows are hash-partitioned by key once; with the vocabulary broadcast the
     # explode, the lookup, the regroup and the join back all keep that
     # partitioning, so tokens themselves never cross the network.
@@ -53,7 +58,7 @@ def encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_length:
     toks = rows.select(key, F.posexplode(token_expr(text_col)).alias("_p", "token"))
     toks = toks.where(F.col("_p") < max_length - 2)  # truncation happens before the join
     v = _maybe_broadcast(vocab.select("token", "id"), MAX_VOCAB_BROADCAST_ROWS)
-    ids = toks.join(v, "token", "left").select(key, "_p", F.coalesce("id", F.lit(UNK)).alias("id"))
+    ids = toks.join(v, "token", "left").select(key, "_p", F.coalesce("id", F.lit(unknown).cast("long")).alias("id"))
     grouped = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", "id"))).alias("_s"))
     body = F.transform(F.col("_s"), lambda s: s["id"])
     base = rows.join(grouped, key, "left")

@@ -200,3 +200,12 @@ def test_aspect_phrases(spark):
     assert len(t) == 6 and t[0].aspect == "Service"
     with pytest.raises(ValueError):
         V.aspect_phrases(spark, ["nope"])
+
+
+def test_encode_oov_clamp(spark):
+    df = spark.createDataFrame([(1, "a zzz")], "k int, text string")
+    vocab = spark.createDataFrame([("a", 9, 4)], "token string, cnt long, id long")
+    ids = TK.encode(df, "k", "text", vocab, 5, oov="clamp", vocab_size=50).first().ids
+    assert ids == [TK.START, 4, 49, TK.END, TK.PAD]
+    with pytest.raises(ValueError):
+        TK.encode(df, "k", "text", vocab, 5, oov="clamp")

@@ -106,16 +106,22 @@ def prepare_movies(spark: SparkSession, sf_dir: str, sink: bool = True) -> DataF
     return _sink_and_reload(spark, out, "movies") if sink else out
 
 
-def prepare_restaurants(spark: SparkSession, sf_dir: str, sink: bool = True) -> DataFrame:
+def prepare_restaurants(spark: SparkSession, sf_dir: str, sink: bool = True, dedup: bool = False) -> DataFrame:
+    """Explanations (invalid template -> '') joined to reviews.  The fan-out is
+    kept like the reference; ``dedup=True`` keeps the first pair per
+    (user, item) by explanation, then review position."""
     expl = fx.templated_explanations(spark, sf_dir).select(
-        F.col("user_key").alias("user"), F.col("item_key").alias("item"), "template")
+        F.col("pos").alias("e_pos"), F.col("user_key").alias("user"), F.col("item_key").alias("item"), "template")
     expl = P.explanation_from_template(expl, "template", on_invalid="empty", strict=True).drop("template")
     # reviews: JSON lines -> CSV -> read -> rename (the reference's conversion steps)
     lines = movie_review_lines(spark, sf_dir, names=RESTAURANT_NAMES)
     raw = R.good_lines(R.read_json_lines(spark, stage_json_lines(spark, lines, ("restaurants", sf_dir)),
                                          RESTAURANT_FIELDS))
     csv_path = scratch_dir(spark, "restaurants-csv") + "/reviews"
-    S.write_csv(raw.drop("pos"), csv_path, skip_empty=False)
-    reviews = P.rename(R.read_csv(spark, csv_path, raw.drop("pos").schema), P.RESTAURANT_RENAME)
-    out = P.select_order(P.join_on_keys(expl, reviews), ["user", "item", "explanation", "text", "rating"])
+    S.write_csv(raw, csv_path, skip_empty=False)  # pos: the line's position, kept as the order
+    reviews = P.rename(R.read_csv(spark, csv_path, raw.schema), P.RESTAURANT_RENAME).withColumnRenamed("pos", "r_pos")
+    joined = P.join_on_keys(expl, reviews)
+    if dedup:
+        joined = P.keep_first(joined, ["user", "item"], ["e_pos", "r_pos"])
+    out = P.select_order(joined, ["user", "item", "explanation", "text", "rating"])
     return _sink_and_reload(spark, out, "restaurants") if sink else out

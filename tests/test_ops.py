@@ -209,3 +209,12 @@ def test_encode_oov_clamp(spark):
     assert ids == [TK.START, 4, 49, TK.END, TK.PAD]
     with pytest.raises(ValueError):
         TK.encode(df, "k", "text", vocab, 5, oov="clamp")
+
+
+def test_restaurant_dedup_option(spark):
+    from revel.plans.jobs import prepare_restaurants
+    from tests.conftest import SF_SMALL
+
+    fan_out = prepare_restaurants(spark, SF_SMALL, sink=False)
+    dedup = prepare_restaurants(spark, SF_SMALL, sink=False, dedup=True)
+    assert dedup.count() == fan_out.select("user", "item").distinct().count() < fan_out.count()

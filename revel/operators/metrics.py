@@ -77,9 +77,10 @@ def rouge_scores(df: DataFrame, reference: str = "reference", generated: str = "
     return staged.select("*", *cols).drop("_hw", "_rw", "_lcs")
 
 
-def pair_scores(df: DataFrame, reference: str = "reference", generated: str = "generated") -> DataFrame:
+def pair_scores(df: DataFrame, reference: str = "reference", generated: str = "generated",
+                rouge_l_mode: str = "length") -> DataFrame:
     """BLEU-1, BLEU-4 and ROUGE-1/2/L for every pair (one narrow stage)."""
-    return rouge_scores(bleu_scores(df, reference, generated), reference, generated)
+    return rouge_scores(bleu_scores(df, reference, generated), reference, generated, rouge_l_mode)
 
 
 def safe_avg(c) -> Column:

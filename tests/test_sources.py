@@ -189,3 +189,14 @@ def test_run_log_segments_runs_within_one_file(spark, tmp_dir):
     _write(f"{tmp_dir}/nl/all_runs.out", log + "\n")
     rows = sorted((r.segment, r.epoch, r.val_loss) for r in R.read_run_log(spark, f"{tmp_dir}/nl").collect())
     assert rows == [(1, 1, 3.0), (1, 2, 2.5), (2, 1, 8.0), (2, 2, 6.0), (2, 3, 4.0)]
+
+
+def test_cli_eval_report(spark, tmp_dir, capsys):
+    from revel.__main__ import main
+
+    sep = "-" * 40 + "\n"
+    _write(f"{tmp_dir}/rep/report.txt", "Ground Truth: the room was clean\nGenerated: the room was dirty\n" + sep
+           + "Ground Truth: clean room\nGenerated: clean\n" + sep)
+    assert main(["eval-report", f"{tmp_dir}/rep"]) == 0
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert out["n_pairs"] == 2 and out["bleu1"] == pytest.approx((75 + 36.787944) / 2, abs=1e-3)

@@ -71,38 +71,86 @@ def _sink_and_reload(spark: SparkSession, df: DataFrame, name: str) -> DataFrame
     return R.read_csv(spark, path, df.schema)
 
 
+# ---------------------------------------------------------------- the jobs on any inputs
+# Each takes DataFrames as the readers return them plus the name of an order
+# column on each side ("first" per key needs an explicit order).
+
+
+def prepare_hotels_frames(reviews: DataFrame, explanations: DataFrame, review_order: str,
+                          explanation_order: str) -> DataFrame:
+    """Hotel reviews (``userID, hotelID, reviewText, rating, subRatings``) and
+    explanation records (``user, item, template``) -> the prepared table
+    ``user, item, explanation, text, rating, value, ..., service``: loose
+    template item, criteria aligned (0 where absent), first pair per key."""
+    rv = P.align_criteria(P.rename(reviews, P.HOTEL_RENAME)).withColumnRenamed(review_order, "r_pos")
+    rv = rv.select("r_pos", "user", "item", "text", "rating", *P.HOTEL_CRITERIA_COLUMNS)
+    ex = explanations.select(F.col(explanation_order).alias("e_pos"), "user", "item",
+                             P.template_item("template", strict=False).alias("explanation"))
+    first = P.keep_first(P.join_on_keys(ex, rv), ["user", "item"], ["e_pos", "r_pos"])
+    return P.select_order(first, ["user", "item", "explanation", "text", "rating"] + P.HOTEL_CRITERIA_COLUMNS)
+
+
+def prepare_movies_frames(reviews: DataFrame, explanations: DataFrame, review_order: str,
+                          explanation_order: str, on_invalid: str = "drop") -> DataFrame:
+    """Movie reviews (``reviewerID, asin, reviewText, overall``) and explanation
+    records (``user, item|asin, template`` as array or text, ``rating``) ->
+    ``user, item, text, explanation, rating``: identical review rows collapse
+    (earliest position kept), explanations left-join review text, first pair
+    per key, strict four-item templates (``on_invalid`` for the rest)."""
+    rv = P.rename(reviews, P.MOVIE_RENAME)
+    rv = rv.groupBy("user", "item", "text", "rating").agg(F.min(review_order).alias("r_pos"))
+    ex = P.drop_if_exists(P.rename(explanations, {"asin": "item"}), "Unnamed: 0", "predicted", "overall")
+    ex = ex.select(F.col(explanation_order).alias("e_pos"), "user", "item", "template", "rating")
+    joined = P.join_on_keys(ex, rv.select("user", "item", "text", "r_pos"), how="left")
+    first = P.keep_first(joined, ["user", "item"], ["e_pos", "r_pos"])
+    first = P.explanation_from_template(first, "template", on_invalid=on_invalid, strict=True).drop("template")
+    return P.select_order(first, ["user", "item", "text", "explanation", "rating"])
+
+
+def prepare_restaurants_frames(reviews: DataFrame, explanations: DataFrame, dedup: bool = False,
+                               review_order: str | None = None, explanation_order: str | None = None) -> DataFrame:
+    """Restaurant reviews (``user_id, business_id, text, stars``) and explanation
+    records (``user, item, template``) -> ``user, item, explanation, text,
+    rating``: invalid templates give '', the join fan-out is kept unless
+    ``dedup`` (then first pair per key by the two order columns)."""
+    ex = P.explanation_from_template(P.drop_if_exists(explanations, "predicted"), "template", on_invalid="empty",
+                                     strict=True)
+    ex = ex.select(*([F.col(explanation_order).alias("e_pos")] if dedup else []), "user", "item", "explanation")
+    rv = P.rename(reviews, P.RESTAURANT_RENAME)
+    rv = rv.select(*([F.col(review_order).alias("r_pos")] if dedup else []), "user", "item", "text", "rating")
+    joined = P.join_on_keys(ex, rv)
+    if dedup:
+        joined = P.keep_first(joined, ["user", "item"], ["e_pos", "r_pos"])
+    return P.select_order(joined, ["user", "item", "explanation", "text", "rating"])
+
+
+# ---------------------------------------------------------------- the jobs on the driver tables
+
+
+def _explanation_records(spark: SparkSession, sf_dir: str, template_as_text: bool = False) -> DataFrame:
+    t = fx.templated_explanations(spark, sf_dir)
+    tpl = F.to_json("template") if template_as_text else F.col("template")
+    return t.select("pos", F.col("user_key").alias("user"), F.col("item_key").alias("item"), tpl.alias("template"),
+                    "rating")
+
+
 def prepare_hotels(spark: SparkSession, sf_dir: str, sink: bool = True) -> DataFrame:
     reviews = R.read_json_array(spark, stage_json_array(spark, hotel_reviews(spark, sf_dir), ("hotels", sf_dir)),
                                 schema=HOTEL_REVIEW_SCHEMA_POS)
-    reviews = P.align_criteria(P.rename(reviews, P.HOTEL_RENAME)).withColumnRenamed("pos", "r_pos")
-    expl = fx.templated_explanations(spark, sf_dir).select(
-        F.col("pos").alias("e_pos"), F.col("user_key").alias("user"), F.col("item_key").alias("item"),
-        P.template_item("template", strict=False).alias("explanation"))
-    joined = P.join_on_keys(expl, reviews)
-    first = P.keep_first(joined, ["user", "item"], ["e_pos", "r_pos"])
-    out = P.select_order(first, ["user", "item", "explanation", "text", "rating"] + P.HOTEL_CRITERIA_COLUMNS)
+    out = prepare_hotels_frames(reviews, _explanation_records(spark, sf_dir), "pos", "pos")
     return _sink_and_reload(spark, out, "hotels") if sink else out
 
 
 def prepare_movies(spark: SparkSession, sf_dir: str, sink: bool = True) -> DataFrame:
-    # reviews: JSON lines (broken lines skipped) -> CSV -> rename -> drop identical rows
+    # reviews: JSON lines (broken lines skipped) -> CSV -> read (the reference's conversion steps)
     lines = movie_review_lines(spark, sf_dir, break_every=97, keep_every=3)
     raw = R.good_lines(R.read_json_lines(spark, stage_json_lines(spark, lines, ("movies", sf_dir, 97, 3)),
                                          MOVIE_FIELDS))
     csv_path = scratch_dir(spark, "movies-csv") + "/reviews"
     S.write_csv(raw, csv_path, skip_empty=False)
-    reviews = P.rename(R.read_csv(spark, csv_path, raw.schema), P.MOVIE_RENAME)
-    # identical rows collapse; the earliest file position is kept as the order
-    reviews = reviews.groupBy("user", "item", "text", "rating").agg(F.min("pos").alias("r_pos"))
-    # explanations: template kept as text (its string form), parsed after the join
-    expl = fx.templated_explanations(spark, sf_dir).select(
-        F.col("pos").alias("e_pos"), F.col("user_key").alias("user"), F.col("item_key").alias("item"),
-        F.to_json("template").alias("template"), "rating")
-    joined = P.join_on_keys(expl, reviews.select("user", "item", "text", "r_pos"), how="left")
-    first = P.keep_first(joined, ["user", "item"], ["e_pos", "r_pos"])
-    first = P.drop_if_exists(first, "predicted", "overall")
-    first = P.explanation_from_template(first, "template", on_invalid="drop", strict=True).drop("template")
-    out = P.select_order(first, ["user", "item", "text", "explanation", "rating"])
+    reviews = R.read_csv(spark, csv_path, raw.schema)
+    # explanation templates arrive as text (their string form) and are parsed as data
+    out = prepare_movies_frames(reviews, _explanation_records(spark, sf_dir, template_as_text=True), "pos", "pos")
     return _sink_and_reload(spark, out, "movies") if sink else out
 
 
@@ -110,18 +158,12 @@ def prepare_restaurants(spark: SparkSession, sf_dir: str, sink: bool = True, ded
     """Explanations (invalid template -> '') joined to reviews.  The fan-out is
     kept like the reference; ``dedup=True`` keeps the first pair per
     (user, item) by explanation, then review position."""
-    expl = fx.templated_explanations(spark, sf_dir).select(
-        F.col("pos").alias("e_pos"), F.col("user_key").alias("user"), F.col("item_key").alias("item"), "template")
-    expl = P.explanation_from_template(expl, "template", on_invalid="empty", strict=True).drop("template")
-    # reviews: JSON lines -> CSV -> read -> rename (the reference's conversion steps)
     lines = movie_review_lines(spark, sf_dir, names=RESTAURANT_NAMES)
     raw = R.good_lines(R.read_json_lines(spark, stage_json_lines(spark, lines, ("restaurants", sf_dir)),
                                          RESTAURANT_FIELDS))
     csv_path = scratch_dir(spark, "restaurants-csv") + "/reviews"
     S.write_csv(raw, csv_path, skip_empty=False)  # pos: the line's position, kept as the order
-    reviews = P.rename(R.read_csv(spark, csv_path, raw.schema), P.RESTAURANT_RENAME).withColumnRenamed("pos", "r_pos")
-    joined = P.join_on_keys(expl, reviews)
-    if dedup:
-        joined = P.keep_first(joined, ["user", "item"], ["e_pos", "r_pos"])
-    out = P.select_order(joined, ["user", "item", "explanation", "text", "rating"])
+    reviews = R.read_csv(spark, csv_path, raw.schema)
+    expl = _explanation_records(spark, sf_dir).drop("rating")
+    out = prepare_restaurants_frames(reviews, expl, dedup, "pos", "pos")
     return _sink_and_reload(spark, out, "restaurants") if sink else out

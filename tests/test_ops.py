@@ -218,3 +218,20 @@ def test_restaurant_dedup_option(spark):
     fan_out = prepare_restaurants(spark, SF_SMALL, sink=False)
     dedup = prepare_restaurants(spark, SF_SMALL, sink=False, dedup=True)
     assert dedup.count() == fan_out.select("user", "item").distinct().count() < fan_out.count()
+
+
+def test_prepare_hotels_frames_first_pair_and_defaults(spark):
+    from revel.plans.jobs import prepare_hotels_frames
+
+    reviews = spark.createDataFrame(
+        [(1, "u1", "h1", "great", 5.0, {"Value": 4.0}), (2, "u1", "h1", "again", 3.0, {}),
+         (3, "u2", "h2", "ok", 4.0, None)],
+        "pos long, userID string, hotelID string, reviewText string, rating double, subRatings map<string,double>")
+    expl = spark.createDataFrame([(10, "u1", "h1", ["a", "b", "first", "c"]), (11, "u1", "h1", ["a", "b", "second"]),
+                                  (12, "u2", "h2", ["a", "b", "third", "d"]), (13, "u9", "h9", ["x", "y", "z", "w"])],
+                                 "pos long, user string, item string, template array<string>")
+    out = {(r.user, r.item): r for r in prepare_hotels_frames(reviews, expl, "pos", "pos").collect()}
+    assert set(out) == {("u1", "h1"), ("u2", "h2")}
+    r = out[("u1", "h1")]
+    assert (r.explanation, r.text, r.value, r.service) == ("first", "great", 4.0, 0.0)
+    assert out[("u2", "h2")].cleanliness == 0.0

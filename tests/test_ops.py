@@ -235,3 +235,26 @@ def test_prepare_hotels_frames_first_pair_and_defaults(spark):
     r = out[("u1", "h1")]
     assert (r.explanation, r.text, r.value, r.service) == ("first", "great", 4.0, 0.0)
     assert out[("u2", "h2")].cleanliness == 0.0
+
+
+@pytest.mark.parametrize("parts", [1, 17])
+def test_results_do_not_depend_on_partitioning(spark, parts):
+    from revel.operators import metrics as M
+    from revel.operators import prep as P
+    from revel.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+
+    pairs = fx.pairs(spark, SF_SMALL)
+    base = sorted(tuple(r) for r in M.pair_scores(pairs).select("pair_id", "bleu4", "rouge_l_f").collect())
+    moved = sorted(tuple(r) for r in M.pair_scores(pairs.repartition(parts)).select("pair_id", "bleu4", "rouge_l_f")
+                   .collect())
+    assert base == moved
+    rep = M.text_report(M.pair_scores(pairs.repartition(parts))).first()
+    ref = M.text_report(M.pair_scores(pairs)).first()
+    assert rep.n_pairs == ref.n_pairs and rep.bleu1 == pytest.approx(ref.bleu1, abs=1e-9)
+
+    e = fx.explanations(spark, SF_SMALL).select(F.col("pos").alias("e_pos"), F.col("user_key").alias("user"),
+                                                  F.col("item_key").alias("item"), "explanation")
+    a = sorted(tuple(r) for r in P.keep_first(e, ["user", "item"], ["e_pos"]).collect())
+    b = sorted(tuple(r) for r in P.keep_first(e.repartition(parts), ["user", "item"], ["e_pos"]).collect())
+    assert a == b

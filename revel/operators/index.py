@@ -79,6 +79,25 @@ def first_seen_index(df: DataFrame, key: str, order: str, out: str | None = None
     return dense_index(first, ["_first", key], out).select(key, out)
 
 
+def first_seen_indexes(df: DataFrame, keys: Sequence[str], order: str) -> dict[str, DataFrame]:
+    """:func:`first_seen_index` for several key columns in one numbering pass:
+    ``{key: DataFrame(key, key + '_idx')}``.  The keys are stacked as
+    ``(kind, value)`` and numbered within their kind, so one range shuffle and
+    one checkpoint serve all of them."""
+    stacked = None
+    for k in keys:
+        part = df.groupBy(F.col(k).cast("string").alias("_v")).agg(F.min(order).alias("_first"))
+        part = part.select(F.lit(k).alias("_kind"), "_v", "_first")
+        stacked = part if stacked is None else stacked.unionByName(part)
+    numbered = dense_index_within(stacked, ["_kind"], ["_first", "_v"], "_idx")
+    out = {}
+    for k in keys:
+        dtype = df.schema[k].dataType
+        out[k] = numbered.where(F.col("_kind") == k).select(F.col("_v").cast(dtype).alias(k),
+                                                           F.col("_idx").alias(f"{k}_idx"))
+    return out
+
+
 def hash_unit(*parts) -> Column:
     """Seeded uniform value in [0, 1) from md5 of the parts joined by ':'
     (the same number in Spark and DuckDB)."""

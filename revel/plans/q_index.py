@@ -29,11 +29,11 @@ FROM (SELECT item_key AS key, min(pos) AS first_pos FROM interactions GROUP BY i
 @register("idx_first_seen", with_fixtures(_FIRST_SEEN, "interactions"))
 def idx_first_seen(spark, sf_dir):
     """Dense 0-based user and item ids in order of first appearance."""
-    i = fx.interactions(spark, sf_dir)
-    u = X.first_seen_index(i, "user_key", "pos", "idx").select(F.lit("user").alias("kind"),
-                                                              F.col("user_key").alias("key"), "idx")
-    it = X.first_seen_index(i, "item_key", "pos", "idx").select(F.lit("item").alias("kind"),
-                                                               F.col("item_key").alias("key"), "idx")
+    ids = X.first_seen_indexes(fx.interactions(spark, sf_dir), ["user_key", "item_key"], "pos")
+    u = ids["user_key"].select(F.lit("user").alias("kind"), F.col("user_key").alias("key"),
+                               F.col("user_key_idx").alias("idx"))
+    it = ids["item_key"].select(F.lit("item").alias("kind"), F.col("item_key").alias("key"),
+                                F.col("item_key_idx").alias("idx"))
     return u.unionByName(it)
 
 
@@ -45,10 +45,10 @@ FROM interactions i JOIN ids u ON u.kind = 'user' AND u.key = i.user_key
 def join_index_lookup(spark, sf_dir):
     """Map every interaction's user and item to its dense id (size-checked broadcast)."""
     i = fx.interactions(spark, sf_dir)
-    users = X.first_seen_index(i, "user_key", "pos", "user_idx")
-    items = X.first_seen_index(i, "item_key", "pos", "item_idx")
-    out = X.lookup_join(X.lookup_join(i.select("pos", "user_key", "item_key"), users, "user_key"), items, "item_key")
-    return out.select("pos", "user_idx", "item_idx")
+    ids = X.first_seen_indexes(i, ["user_key", "item_key"], "pos")
+    out = X.lookup_join(X.lookup_join(i.select("pos", "user_key", "item_key"), ids["user_key"], "user_key"),
+                        ids["item_key"], "item_key")
+    return out.select("pos", F.col("user_key_idx").alias("user_idx"), F.col("item_key_idx").alias("item_idx"))
 
 
 def _split_sql(table: str = "interactions", key: str = "pos") -> str:

@@ -204,9 +204,8 @@ def _rating_frame(spark, sf_dir):
     h = P.align_criteria(hotel_reviews(spark, sf_dir)).select(
         "pos", F.col("userID").alias("user"), F.col("hotelID").alias("item"), F.col("reviewText").alias("text"),
         "rating", *P.HOTEL_CRITERIA_COLUMNS)
-    users = X.first_seen_index(h, "user", "pos", "user_idx")
-    items = X.first_seen_index(h, "item", "pos", "item_idx")
-    h = X.lookup_join(X.lookup_join(h, users, "user"), items, "item")
+    ids = X.first_seen_indexes(h, ["user", "item"], "pos")
+    h = X.lookup_join(X.lookup_join(h, ids["user"], "user"), ids["item"], "item")
     sp = X.exact_split(h.select("pos"), "pos", SEED)
     return h.join(sp, "pos")
 
@@ -331,9 +330,8 @@ def training_table(spark, sf_dir, fit_ids_on: str = "all") -> DataFrame:
     # and the batches: materialise it once in the shared checkpoint folder
     first = first.join(sp, "e_pos").checkpoint(eager=True)
     basis = first if fit_ids_on == "all" else first.where(F.col("split") == "train")
-    users = X.first_seen_index(basis, "user", "e_pos", "user_idx")
-    items = X.first_seen_index(basis, "item", "e_pos", "item_idx")
-    t = X.lookup_join(X.lookup_join(first, users, "user"), items, "item")
+    ids = X.first_seen_indexes(basis, ["user", "item"], "e_pos")
+    t = X.lookup_join(X.lookup_join(first, ids["user"], "user"), ids["item"], "item")
     src_vocab = TK.build_vocab(t, ["text"], SRC_VOCAB)
     tgt_vocab = TK.build_vocab(t, ["explanation"], TGT_VOCAB)
     t = TK.encode(t, "e_pos", "text", src_vocab, SRC_LEN, "src_ids")

@@ -258,3 +258,12 @@ def test_results_do_not_depend_on_partitioning(spark, parts):
     a = sorted(tuple(r) for r in P.keep_first(e, ["user", "item"], ["e_pos"]).collect())
     b = sorted(tuple(r) for r in P.keep_first(e.repartition(parts), ["user", "item"], ["e_pos"]).collect())
     assert a == b
+
+
+def test_first_seen_indexes_match_single_key_version(spark):
+    df = spark.createDataFrame([(0, "b", "x"), (1, "a", "y"), (2, "b", "y"), (3, "c", "z")],
+                               "pos long, user string, item string")
+    many = X.first_seen_indexes(df, ["user", "item"], "pos")
+    for k in ("user", "item"):
+        one = {r[0]: r[1] for r in X.first_seen_index(df, k, "pos").collect()}
+        assert {r[0]: r[1] for r in many[k].collect()} == one

@@ -99,7 +99,8 @@ def parse_template_string(text) -> Column:
     def item(k: int) -> Column:
         single = F.regexp_extract(t, TUPLE4_PATTERN, 2 * k - 1)
         double = F.regexp_extract(t, TUPLE4_PATTERN, 2 * k)
-        return F.when(single != "", single).otherwise(double)
+        raw = F.when(single != "", single).otherwise(double)
+        return F.regexp_replace(raw, r"\\(['\"\\])", "$1")  # undo repr's \' \" \\ escapes
 
     tup = F.when(t.rlike(TUPLE4_PATTERN), F.array(*[item(k) for k in range(1, 5)]))
     return F.coalesce(js, tup)

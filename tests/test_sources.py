@@ -200,3 +200,11 @@ def test_cli_eval_report(spark, tmp_dir, capsys):
     assert main(["eval-report", f"{tmp_dir}/rep"]) == 0
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert out["n_pairs"] == 2 and out["bleu1"] == pytest.approx((75 + 36.787944) / 2, abs=1e-3)
+
+
+def test_tuple_template_unescapes_quotes(spark):
+    value = 'it\'s "quoted"'  # both quote kinds: repr escapes one of them
+    text = repr(("a", "b", value, "d"))
+    df = spark.createDataFrame([(1, text)], "id int, template string")
+    got = df.select(P.template_item(P.parse_template_string("template")).alias("e")).first().e
+    assert got == value

@@ -32,3 +32,14 @@ def test_criteria_predictions(spark):
 def test_factors_rank(spark):
     rows = Q["rate_user_item_factors"](spark, SF_SMALL).collect()
     assert rows and all(r.rank == 8 for r in rows)
+
+
+def test_text_vectors(spark):
+    rows = Q["vec_embed_text"](spark, SF_SMALL).collect()
+    assert rows and all(len(r.vec) == 16 and all(math.isfinite(x) for x in r.vec) for r in rows)
+
+
+def test_aspect_vectors_staged(spark):
+    rows = Q["vec_aspect_embed"](spark, SF_SMALL).collect()
+    assert len(rows) == 18 and {r.domain for r in rows} == {"trip", "yelp", "amzMT"}
+    assert all(len(r.vec) == 16 for r in rows)

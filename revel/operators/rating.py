@@ -27,8 +27,10 @@ def fit_factors(train: DataFrame, user: str = "user_idx", item: str = "item_idx"
                 rank: int = 8, max_iter: int = 8, reg: float = 0.1, seed: int = 1702):
     als = ALS(userCol=user, itemCol=item, ratingCol=rating, rank=rank, maxIter=max_iter, regParam=reg, seed=seed,
               coldStartStrategy="nan", checkpointInterval=4)
-    return als.fit(train.select(F.col(user).cast("int").alias(user), F.col(item).cast("int").alias(item),
-                                F.col(rating).cast("float").alias(rating)))
+    data = train.select(F.col(user).cast("int").alias(user), F.col(item).cast("int").alias(item),
+                        F.col(rating).cast("float").alias(rating))
+    # same data -> same partitions in the same order -> the same factors
+    return als.fit(data.repartition(user, item).sortWithinPartitions(user, item, rating))
 
 
 def factor_features(df: DataFrame, model, user: str = "user_idx", item: str = "item_idx") -> DataFrame:
@@ -43,7 +45,9 @@ def factor_features(df: DataFrame, model, user: str = "user_idx", item: str = "i
 
 def fit_text_vectors(df: DataFrame, text: str, size: int = 16, seed: int = 1702):
     """Word2Vec on the corpus; its transform averages the word vectors of a text."""
-    toks = df.select(token_expr(text).alias("_tokens"))
+    # Word2Vec walks its input in order: pin the order so a refit is identical
+    texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    toks = texts.repartition("_text").sortWithinPartitions("_text").select(token_expr("_text").alias("_tokens"))
     return Word2Vec(vectorSize=size, minCount=1, seed=seed, inputCol="_tokens", outputCol="_tv", maxIter=1).fit(toks)
 
 

@@ -43,3 +43,9 @@ def test_aspect_vectors_staged(spark):
     rows = Q["vec_aspect_embed"](spark, SF_SMALL).collect()
     assert len(rows) == 18 and {r.domain for r in rows} == {"trip", "yelp", "amzMT"}
     assert all(len(r.vec) == 16 for r in rows)
+
+
+def test_rating_fit_is_reproducible(spark):
+    a = {r.pos: r.pred for r in Q["rate_test_frame"](spark, SF_SMALL).collect()}
+    b = {r.pos: r.pred for r in Q["rate_test_frame"](spark, SF_SMALL).collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)

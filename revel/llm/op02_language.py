@@ -23,7 +23,7 @@ are predicted each by itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from revel.llm import arrays as A
 
@@ -206,14 +207,16 @@ def profile(doc: np.ndarray, gram: np.ndarray, n_docs: int, vectors: _Vectors) -
     return out
 
 
-def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, lang_pred, score``: the best language and its cosine, cut to 0..1."""
+def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text",
+            keep: Sequence[str] = ()) -> DataFrame:
+    """``id, lang_pred, score``: the best language and its cosine, cut to 0..1.
+    With ``keep``, these columns of ``docs`` and then ``_lang_pred, _score``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = _Vectors(profiles)
         names = pa.array(profiles.names, pa.string())
         for batch in batches:
-            buf, off = A.utf8(batch.column(1))
+            buf, off = A.utf8(batch.column(batch.num_columns - 1))
             lang, score = [], []
             for i, j, b, o in A.chunks(buf, off):
                 doc, gram = trigrams(b, o)
@@ -232,11 +235,14 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
                     lang.append(pa.compute.if_else(pa.array(has), names.take(pa.array(best)), "und"))
                     score.append(np.where(has, np.clip(cos.max(axis=1), 0, 1), 0.0))
             if lang:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.concat_arrays(lang), pa.array(np.concatenate(score).astype(np.float64))],
-                                                 [id_col, "lang_pred", "score"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+                own = [batch.column(k) for k in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.concat_arrays(lang), pa.array(np.concatenate(score).astype(np.float64))], names_out)
+
+    own = list(keep) or [id_col]
+    found = ["_lang_pred", "_score"] if keep else ["lang_pred", "score"]
+    names_out = [*own, *found]
+    schema = StructType([docs.schema[c] for c in own]).add(found[0], "string").add(found[1], "double")
+    return docs.select(*own, F.col(text_col).alias("_text_in")).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

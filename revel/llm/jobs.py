@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from revel.session import ensure_checkpoint_dir
 
@@ -41,3 +42,11 @@ def pieces_for(spark: SparkSession, size: int, each: int) -> int:
     """How many groups hold ``size`` bytes at about ``each`` bytes a group, at
     least one for each shuffle partition."""
     return max(partitions(spark), math.ceil(size / each))
+
+
+def schema(first: dict[str, DataType], ddl: str) -> StructType:
+    """Columns of given types, then those of a DDL string."""
+    out = StructType()
+    for name, kind in first.items():
+        out = out.add(name, kind)
+    return StructType([*out, *StructType.fromDDL(ddl)])

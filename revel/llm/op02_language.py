@@ -31,9 +31,9 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from revel.llm import arrays as A
+from revel.llm.jobs import schema
 
 DIMENSIONS = 1024
 SEED = 20240607
@@ -241,8 +241,8 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
     own = list(keep) or [id_col]
     found = ["_lang_pred", "_score"] if keep else ["lang_pred", "score"]
     names_out = [*own, *found]
-    schema = StructType([docs.schema[c] for c in own]).add(found[0], "string").add(found[1], "double")
-    return docs.select(*own, F.col(text_col).alias("_text_in")).mapInArrow(run, schema)
+    out = schema({c: docs.schema[c].dataType for c in own}, f"{found[0]} string, {found[1]} double")
+    return docs.select(*own, F.col(text_col).alias("_text_in")).mapInArrow(run, out)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -22,7 +22,6 @@ judged each by itself; an empty benchmark marks nothing.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -279,11 +278,12 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> Dat
 
 def cut(rows: DataFrame, text_col: str = "text", spans_col: str = "_spans") -> DataFrame:
     """``rows`` with the spans taken out of the text; without the span column."""
+    place = {c: k for k, c in enumerate(rows.columns)}
     names = [c for c in rows.columns if c != spans_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = (batch.column(rows.columns.index(c)).to_pylist() for c in (text_col, spans_col))
+            texts, spans = (batch.column(place[c]).to_pylist() for c in (text_col, spans_col))
             for k, own in enumerate(spans):
                 if own:
                     raw, out, last = texts[k].encode(), [], 0
@@ -292,7 +292,7 @@ def cut(rows: DataFrame, text_col: str = "text", spans_col: str = "_spans") -> D
                         last = s["end"]
                     texts[k] = b"".join([*out, raw[last:]]).decode()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if c == text_col else batch.column(rows.columns.index(c)) for c in names], names)
+                [pa.array(texts, pa.string()) if c == text_col else batch.column(place[c]) for c in names], names)
 
     return rows.mapInArrow(run, StructType([rows.schema[c] for c in names]))
 
@@ -301,7 +301,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     """``docs`` without contaminated documents; from the others the hit spans are taken out."""
     found = scan(docs, benchmark, text_col=text_col, keep=docs.columns)
     return cut(found.where(f"not ({CONTAMINATED})").select(*docs.columns, "_spans"), text_col)
-
-
-def sha256_of(items: Sequence[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

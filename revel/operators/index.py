@@ -17,10 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revel.session import broadcast_if_small, ensure_checkpoint_dir
+from revel.session import ensure_checkpoint_dir
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row-in-partition
-MAX_LOOKUP_BROADCAST_ROWS = 1_000_000  # (key, id) rows; ~tens of MB
 
 
 def _cols(cs) -> list[Column]:
@@ -33,6 +32,11 @@ def dense_index(df: DataFrame, order: Sequence, out: str = "idx", num_partitions
     Cost: one range shuffle + one checkpoint write; no single-partition
     exchange on data-sized input.
     """
+    return counted_index(df, order, out, num_partitions)[0]
+
+
+def counted_index(df: DataFrame, order: Sequence, out: str = "idx", num_partitions: int | None = None) -> tuple[DataFrame, int]:
+    """:func:`dense_index` and the row count, which the numbering knows anyway."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     ocols = _cols(order)
@@ -53,18 +57,17 @@ def dense_index(df: DataFrame, order: Sequence, out: str = "idx", num_partitions
         run += cnt
     off = spark.createDataFrame(offsets, "_pid long, _off long")
     res = tagged.join(F.broadcast(off), "_pid")
-    return res.select(*[F.col(c) for c in df.columns], (F.col("_off") + F.col("_local")).alias(out))
+    return res.select(*[F.col(c) for c in df.columns], (F.col("_off") + F.col("_local")).alias(out)), run
 
 
-def dense_index_within(df: DataFrame, group: Sequence[str], order: Sequence, out: str = "idx",
-                       max_broadcast_groups: int = MAX_LOOKUP_BROADCAST_ROWS) -> DataFrame:
+def dense_index_within(df: DataFrame, group: Sequence[str], order: Sequence, out: str = "idx") -> DataFrame:
     """0-based rank of each row inside its ``group`` under ``order``: one global
     numbering ordered by (group, order), minus the group's first number (one
-    row per group, joined back; broadcast only if the group count is bounded)."""
+    row per group, joined back)."""
     g = list(group)
     ranked = dense_index(df, [*g, *order], "_gidx")
     starts = ranked.groupBy(*g).agg(F.min("_gidx").alias("_start"))
-    res = ranked.join(broadcast_if_small(starts, max_broadcast_groups, materialize=False), g)
+    res = ranked.join(starts, g)
     return res.select(*[F.col(c) for c in df.columns], (F.col("_gidx") - F.col("_start")).alias(out))
 
 
@@ -127,12 +130,8 @@ def split_sizes(n: int, holdout: float = 0.2, test_of_holdout: float = 0.5) -> t
 
 def exact_split(df: DataFrame, key: str, seed: int = 1702, out: str = "split") -> DataFrame:
     """Seeded 80/10/10 split with exact sizes: rank rows by md5(seed:key), cut."""
-    ranked = dense_index(df.withColumn("_h", hash_order(seed, F.col(key))), ["_h", key], "_rank")
-    # sizes as in split_sizes(), from the row count as a scalar subquery
-    n = ranked.select(F.count(F.lit(1))).scalar()
-    hold = F.ceil(F.lit(0.2) * n)
-    test = F.ceil(F.lit(0.5) * hold)
-    n_train, n_val = n - hold, hold - test
+    ranked, n = counted_index(df.withColumn("_h", hash_order(seed, F.col(key))), ["_h", key], "_rank")
+    n_train, n_val, _ = split_sizes(n)
     label = (F.when(F.col("_rank") < n_train, "train")
              .when(F.col("_rank") < n_train + n_val, "val").otherwise("test"))
     return ranked.select(*df.columns, label.alias(out))
@@ -159,12 +158,9 @@ def shuffle_order(df: DataFrame, key: str, seed: int, epoch: int = 0, out: str =
 
 def assign_batches(df: DataFrame, index_col: str, batch_size: int, out: str = "batch_id") -> DataFrame:
     """``ceil(n / b)`` batches of ``b`` consecutive positions; the last may be short."""
-    return df.withColumn(out, F.floor(F.col(index_col) / batch_size).cast("long"))
+    return df.withColumn(out, F.expr(f"`{index_col}` div {int(batch_size)}"))
 
 
-def lookup_join(df: DataFrame, index: DataFrame, key: str, max_broadcast_rows: int = MAX_LOOKUP_BROADCAST_ROWS,
-                how: str = "left", materialized: bool = True) -> DataFrame:
-    """Attach dense ids from an index table.  The index is broadcast only after
-    its row count is checked; above the bound it is a shuffle join.  Indexes
-    from :func:`first_seen_index` are checkpoint-backed (``materialized``)."""
-    return df.join(broadcast_if_small(index, max_broadcast_rows, materialize=materialized), key, how)
+def lookup_join(df: DataFrame, index: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Attach dense ids from an index table; Spark picks the join by its bytes."""
+    return df.join(index, key, how)

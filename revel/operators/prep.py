@@ -30,9 +30,10 @@ MOVIE_RENAME = {"reviewerID": "user", "asin": "item", "reviewText": "text", "ove
 RESTAURANT_RENAME = {"user_id": "user", "business_id": "item", "stars": "rating"}
 HOTEL_RENAME = {"userID": "user", "hotelID": "item", "reviewText": "text"}
 
-# Fixed value: quoted-tuple template, e.g. ('a', 'b', 'sentence', 'c').
-_TUPLE_ITEM = r"""\s*(?:'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)")\s*"""
-TUPLE4_PATTERN = r"^\s*\(" + ",".join([_TUPLE_ITEM] * 4) + r",?\s*\)\s*$"
+# One item of a literal tuple or list: a quoted string with escapes, or a bare
+# word (number, None, True, False); possessive, so long strings cost no stack.
+LITERAL_ITEM = r"""(?:'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\s,'"()\[\]{}]++)"""
+LITERAL_ROW = rf"(?s)^\s*[(\[]\s*(?:{LITERAL_ITEM}\s*(?:,\s*{LITERAL_ITEM}\s*)*+,?\s*)?[)\]]\s*$"
 
 
 def _col(c) -> Column:
@@ -90,20 +91,21 @@ def template_item(template, strict: bool = True, index: int = 2) -> Column:
 def parse_template_string(text) -> Column:
     """Template stored as text -> ARRAY<STRING>, without evaluating anything.
 
-    JSON form ``["a","b","c","d"]`` via ``from_json``; Python tuple form
-    ``('a', 'b', 'c', 'd')`` via one anchored pattern; anything else NULL.
+    JSON form ``["a", 1, null]`` via ``from_json``; a Python tuple or list of
+    strings, numbers, ``None`` and booleans ``('a', None, "it's", 5)`` by one
+    pattern, items as text and ``None`` as NULL; anything else is NULL.
     """
     t = _col(text)
     js = F.when(t.rlike(r"^\s*\["), F.from_json(t, "array<string>"))
 
-    def item(k: int) -> Column:
-        single = F.regexp_extract(t, TUPLE4_PATTERN, 2 * k - 1)
-        double = F.regexp_extract(t, TUPLE4_PATTERN, 2 * k)
-        raw = F.when(single != "", single).otherwise(double)
-        return F.regexp_replace(raw, r"\\(['\"\\])", "$1")  # undo repr's \' \" \\ escapes
+    def value(raw: Column) -> Column:
+        body = F.substring(raw, F.lit(2), F.length(raw) - 2)
+        for escape, char in (("\\\\", "\x00"), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\'", "'"), ('\\"', '"'), ("\x00", "\\")):
+            body = F.replace(body, F.lit(escape), F.lit(char))
+        return F.when(raw.rlike("^['\"]"), body).when(raw != "None", raw)
 
-    tup = F.when(t.rlike(TUPLE4_PATTERN), F.array(*[item(k) for k in range(1, 5)]))
-    return F.coalesce(js, tup)
+    items = F.transform(F.regexp_extract_all(t, F.lit(LITERAL_ITEM), 0), value)
+    return F.coalesce(js, F.when(t.rlike(LITERAL_ROW), items))
 
 
 def explanation_from_template(df: DataFrame, col: str = "template", on_invalid: str = "drop",
@@ -197,6 +199,15 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return best.select(*keys, *[F.col("_first")[c].alias(c) for c in payload])
 
 
+def first_pairs(left: DataFrame, right: DataFrame, left_order: str, right_order: str, keys: Sequence[str] = ("user", "item"),
+                how: str = "inner") -> DataFrame:
+    """First row per key of the join of two sides, by ``(left_order, right_order)``.
+
+    That row pairs the first of each side, so both sides are reduced before
+    they are joined one to one; a key with n and m rows never gives n x m."""
+    return join_on_keys(keep_first(left, keys, [left_order]), keep_first(right, keys, [right_order]), keys, how)
+
+
 def distinct_rows(df: DataFrame) -> DataFrame:
     return df.distinct()
 

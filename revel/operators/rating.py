@@ -3,7 +3,7 @@
 * ``fit_factors``: ALS latent user / item factors from (user, item, rating);
   unseen users or items predict NaN (cold start), replaced by the global mean.
 * ``fit_rating`` / ``predict``: a Pipeline of features (normalised factors,
-  optionally the mean word vector of the review text) and a regressor.
+  optionally the review text's hashed vector ``text_vec``) and a regressor.
 * ``fit_criteria``: one regressor per sub-rating over the same features.
 
 All fitting is distributed MLlib; only fitted coefficients live on the driver.
@@ -12,14 +12,12 @@ All fitting is distributed MLlib; only fitted coefficients live on the driver.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revel.functions.text import tokens as token_expr
 from revel.operators.vectors import l2_normalize
 
 
@@ -33,33 +31,24 @@ def fit_factors(train: DataFrame, user: str = "user_idx", item: str = "item_idx"
     return als.fit(data.repartition(user, item).sortWithinPartitions(user, item, rating))
 
 
+def all_factors(model) -> DataFrame:
+    """``kind, id, features`` of users and items."""
+    return model.userFactors.select(F.lit("user").alias("kind"), "id", "features").unionByName(
+        model.itemFactors.select(F.lit("item").alias("kind"), "id", "features"))
+
+
 def factor_features(df: DataFrame, model, user: str = "user_idx", item: str = "item_idx") -> DataFrame:
-    """Attach unit-length user and item factor arrays (zeros when unseen)."""
+    """Attach unit-length user and item factor arrays (NULL when unseen)."""
     uf = l2_normalize(model.userFactors.select(F.col("id").alias(user), "features"), "features", "uf").drop("features")
     itf = l2_normalize(model.itemFactors.select(F.col("id").alias(item), "features"), "features", "if_").drop("features")
-    zeros = F.array_repeat(F.lit(0.0), model.rank)
     out = df.join(uf, user, "left").join(itf, item, "left")
-    return out.withColumn("uf", F.coalesce(F.transform("uf", lambda x: x.cast("double")), zeros)) \
-              .withColumn("if_", F.coalesce(F.transform("if_", lambda x: x.cast("double")), zeros))
-
-
-def fit_text_vectors(df: DataFrame, text: str, size: int = 16, seed: int = 1702):
-    """Word2Vec on the corpus; its transform averages the word vectors of a text."""
-    # Word2Vec walks its input in order: pin the order so a refit is identical
-    texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    toks = texts.repartition("_text").sortWithinPartitions("_text").select(token_expr("_text").alias("_tokens"))
-    return Word2Vec(vectorSize=size, minCount=1, seed=seed, inputCol="_tokens", outputCol="_tv", maxIter=1).fit(toks)
-
-
-def text_features(df: DataFrame, text: str, w2v) -> DataFrame:
-    return w2v.transform(df.select("*", token_expr(text).alias("_tokens"))).drop("_tokens")
+    return out.withColumns({c: F.transform(c, lambda x: x.cast("double")) for c in ("uf", "if_")})
 
 
 def _assemble(df: DataFrame, use_text: bool) -> DataFrame:
-    cols = [array_to_vector("uf").alias("_ufv"), array_to_vector("if_").alias("_ifv")]
-    staged = df.select("*", *cols)
-    inputs = ["_ufv", "_ifv"] + (["_tv"] if use_text else [])
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(staged)
+    """Rows whose user and item both have factors, with their feature vector."""
+    parts = ["uf", "if_"] + (["text_vec"] if use_text else [])
+    return df.where("uf is not null and if_ is not null").select("*", array_to_vector(F.concat(*parts)).alias("features"))
 
 
 def fit_rating(train_features: DataFrame, label: str = "rating", use_text: bool = True, reg: float = 0.01,
@@ -79,11 +68,13 @@ def fit_rating(train_features: DataFrame, label: str = "rating", use_text: bool
 def predict(model, features: DataFrame, use_text: bool = True, fallback=None) -> DataFrame:
     """Predictions; NaN / NULL (cold start) replaced by ``fallback`` (a number
     or a Column, e.g. the training mean as a scalar subquery)."""
-    out = model.transform(_assemble(features, use_text))
+    out = model.transform(_assemble(features, use_text)).drop("features")
+    unseen = features.where("uf is null or if_ is null").withColumn("pred", F.lit(None).cast("double"))
+    out = out.unionByName(unseen)
     if fallback is not None:
         fb = fallback if isinstance(fallback, Column) else F.lit(fallback)
         out = out.withColumn("pred", F.when(F.isnan("pred") | F.col("pred").isNull(), fb).otherwise(F.col("pred")))
-    return out.drop("_ufv", "_ifv", "features")
+    return out
 
 
 def fit_criteria(train_features: DataFrame, criteria: list[str], use_text: bool = True, reg: float = 0.01):
@@ -91,13 +82,16 @@ def fit_criteria(train_features: DataFrame, criteria: list[str], use_text: bool
     data = _assemble(train_features, use_text).cache()
     models = {c: LinearRegression(featuresCol="features", labelCol=c, predictionCol=f"pred_{c}", regParam=reg).fit(data)
               for c in criteria}
+    means = data.agg(*[F.avg(c).alias(c) for c in criteria]).first()
     data.unpersist()
-    return models
+    return {c: (m, means[c]) for c, m in models.items()}
 
 
 def predict_criteria(models: dict, features: DataFrame, use_text: bool = True) -> DataFrame:
+    """``pred_criteria``: all criteria in order; an unseen user or item gets the training means."""
     data = _assemble(features, use_text)
-    for m in models.values():
+    for m, _ in models.values():
         data = m.transform(data)
-    return data.withColumn("pred_criteria", F.array(*[F.col(f"pred_{c}") for c in models])).drop(
-        "_ufv", "_ifv", "features")
+    data = data.withColumn("pred_criteria", F.array(*[F.col(f"pred_{c}") for c in models])).drop("features", *[f"pred_{c}" for c in models])
+    unseen = features.where("uf is null or if_ is null").withColumn("pred_criteria", F.array(*[F.lit(m) for _, m in models.values()]))
+    return data.unionByName(unseen)

@@ -3,10 +3,9 @@ vocabulary, which is a per-row library the reference downloads).
 
 Token ids: 0 PAD, 1 UNK, 2 START, 3 END, then the vocabulary by descending
 frequency (ties by token).  Text -> ids is ``explode`` + equi-join with the
-vocabulary (broadcast after a row-count check, else shuffled) + an ordered
-regroup per row; the regroup only ever holds one row's own tokens.  Rows are
-hash-partitioned by key once, and with a broadcast vocabulary every later
-step keeps that partitioning (no shuffle of tokens).
+vocabulary (Spark picks broadcast or shuffle by its bytes) + an ordered regroup
+per row, which carries the row's other columns along: each text is read once,
+and the regroup only ever holds one row's own tokens.
 """
 
 from __future__ import annotations
@@ -15,12 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revel.functions.text import tokens as token_expr
-from revel.session import broadcast_if_small
 
 # Reserved ids.
 PAD, UNK, START, END = 0, 1, 2, 3
 N_SPECIAL = 4
-MAX_VOCAB_BROADCAST_ROWS = 2_000_000
 
 
 def build_vocab(df: DataFrame, text_cols: list[str], size: int) -> DataFrame:
@@ -36,10 +33,6 @@ def build_vocab(df: DataFrame, text_cols: list[str], size: int) -> DataFrame:
     return top.select("token", "cnt", (F.row_number().over(w) + (N_SPECIAL - 1)).cast("long").alias("id"))
 
 
-def _maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    return broadcast_if_small(df, max_rows)
-
-
 def encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_length: int, out: str = "ids",
            pad: bool = True, oov: str = "unk", vocab_size: int | None = None) -> DataFrame:
     """Text -> ``[START] tokens[:max_length-2] [END]`` ids, padded with 0 to ``max_length``.
@@ -51,22 +44,21 @@ def encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_length:
     if oov not in ("unk", "clamp") or (oov == "clamp" and not vocab_size):
         raise ValueError("oov must be 'unk', or 'clamp' with vocab_size")
     unknown = UNK if oov == "unk" else vocab_size - 1
-    # Rows are hash-partitioned by key once; with the vocabulary broadcast the
-    # explode, the lookup, the regroup and the join back all keep that
-    # partitioning, so tokens themselves never cross the network.
-    rows = df.repartition(key)
-    toks = rows.select(key, F.posexplode(token_expr(text_col)).alias("_p", "token"))
-    toks = toks.where(F.col("_p") < max_length - 2)  # truncation happens before the join
-    v = _maybe_broadcast(vocab.select("token", "id"), MAX_VOCAB_BROADCAST_ROWS)
-    ids = toks.join(v, "token", "left").select(key, "_p", F.coalesce("id", F.lit(unknown).cast("long")).alias("id"))
-    grouped = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", "id"))).alias("_s"))
-    body = F.transform(F.col("_s"), lambda s: s["id"])
-    base = rows.join(grouped, key, "left")
-    seq = F.concat(F.array(F.lit(START).cast("long")), F.coalesce(body, F.array().cast("array<bigint>")),
-                   F.array(F.lit(END).cast("long")))
+    # truncation happens before the join; a row without tokens keeps one row (place NULL).
+    # The row's columns ride on its first token, so nothing is joined back.
+    payload = [c for c in df.columns if c != key]
+    toks = df.select(key, F.struct(*payload, F.lit(0)).alias("_row"),
+                     F.posexplode_outer(F.slice(token_expr(text_col), 1, max_length - 2)).alias("_p", "token"))
+    toks = toks.select(key, F.when(F.coalesce(F.col("_p"), F.lit(0)) == 0, F.col("_row")).alias("_row"), "_p", "token")
+    v = vocab.select("token", "id")
+    ids = toks.join(v, "token", "left").select(key, "_row", "_p", F.coalesce("id", F.lit(unknown).cast("long")).alias("id"))
+    grouped = ids.groupBy(key).agg(
+        F.any_value("_row", True).alias("_row"),
+        F.array_sort(F.collect_list(F.when(F.col("_p").isNotNull(), F.struct("_p", "id")))).alias("_s"))
+    seq = F.concat(F.array(F.lit(START).cast("long")), F.transform(F.col("_s"), lambda s: s["id"]), F.array(F.lit(END).cast("long")))
     if pad:
-        seq = F.concat(seq, F.array_repeat(F.lit(PAD).cast("long"), F.lit(max_length) - F.size(seq)))
-    return base.select(*df.columns, seq.alias(out))
+        seq = F.concat(seq, F.array_repeat(F.lit(PAD).cast("long"), F.lit(max_length) - F.size("_s") - 2))
+    return grouped.select(*[F.col(key) if c == key else F.col("_row")[c].alias(c) for c in df.columns], seq.alias(out))
 
 
 def clamp(ids, vocab_size: int) -> Column:
@@ -77,13 +69,16 @@ def clamp(ids, vocab_size: int) -> Column:
 
 def decode(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, out: str = "text") -> DataFrame:
     """Ids -> text: special ids dropped, tokens joined by one blank."""
-    rows = df.repartition(key)  # see encode(): one shuffle of rows, none of tokens
-    ex = rows.select(key, F.posexplode(ids_col).alias("_p", "id")).where(F.col("id") >= N_SPECIAL)
-    v = _maybe_broadcast(vocab.select("token", "id"), MAX_VOCAB_BROADCAST_ROWS)
-    tok = ex.join(v, "id", "inner")
-    grouped = tok.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", "token"))).alias("_s"))
+    payload = [c for c in df.columns if c != key]
+    body = F.filter(ids_col, lambda x: x >= N_SPECIAL)
+    ex = df.select(key, F.struct(*payload, F.lit(0)).alias("_row"), F.posexplode_outer(body).alias("_p", "id"))
+    ex = ex.select(key, F.when(F.coalesce(F.col("_p"), F.lit(0)) == 0, F.col("_row")).alias("_row"), "_p", "id")
+    tok = ex.join(vocab.select("token", "id"), "id", "left")
+    grouped = tok.groupBy(key).agg(
+        F.any_value("_row", True).alias("_row"),
+        F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("_p", "token")))).alias("_s"))
     text = F.array_join(F.transform(F.col("_s"), lambda s: s["token"]), " ")
-    return rows.join(grouped, key, "left").select(*df.columns, F.coalesce(text, F.lit("")).alias(out))
+    return grouped.select(*[F.col(key) if c == key else F.col("_row")[c].alias(c) for c in df.columns], text.alias(out))
 
 
 def shift(ids) -> tuple[Column, Column]:

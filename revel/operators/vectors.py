@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revel.operators.index import hash_order
-from revel.session import broadcast_if_small
 
 COS_EPS = 1e-8       # fixed value: cosine denominator floor
 NORM_EPS = 1e-12     # fixed value: l2-normalise denominator floor
@@ -25,7 +24,6 @@ ASPECTS = {
     "yelp": ["Service", "Food Quality", "Ambience", "Cleanliness", "Price", "Menu Variety"],
     "amzMT": ["Plot", "Acting", "Visuals", "Sound Quality", "Genre", "Authenticity"],
 }
-MAX_ASPECTS_BROADCAST = 10_000
 
 
 def aspect_phrases(spark, domains=None) -> DataFrame:
@@ -43,6 +41,23 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: a column that an inner lambda
+    names is computed again for each element, a lambda variable is not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def hashed_text(text, dims: int) -> Column:
+    """Unit-length hashed bag of a text's words: the md5 bucket of each token,
+    counted over ``dims`` buckets (all zero for a text without tokens)."""
+    from revel.functions.text import tokens
+
+    buckets = F.transform(tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dims)
+    counts = once(buckets, lambda b: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
+                                                 lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double")))
+    return once(counts, lambda c: once(norm(c), lambda n: F.transform(c, lambda x: x / F.greatest(n, F.lit(NORM_EPS)))))
+
+
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -61,11 +76,9 @@ def concat_vectors(*vs) -> Column:
 
 
 def l2_normalize(df: DataFrame, vec: str, out: str) -> DataFrame:
-    """Unit-length copy of ``vec`` (norm floored at 1e-12).  The norm is
-    staged as a column so the element lambda only reads it."""
-    staged = df.select("*", norm(vec).alias("_norm"))
-    return staged.select("*", F.transform(vec, lambda x: x / F.greatest(F.col("_norm"), F.lit(NORM_EPS))).alias(out)
-                         ).drop("_norm")
+    """Unit-length copy of ``vec`` (norm floored at 1e-12).  The norm is the
+    variable of an outer lambda, so it is computed once for each row."""
+    return df.select("*", once(norm(vec), lambda n: F.transform(vec, lambda x: x / F.greatest(n, F.lit(NORM_EPS)))).alias(out))
 
 
 def mean_pool(df: DataFrame, group: list[str], vec: str, out: str = "vec") -> DataFrame:
@@ -80,16 +93,12 @@ def aspect_affinity(df: DataFrame, key: str, vec: str, aspects: DataFrame, domai
                     aspect_id: str = "aspect_id", aspect_vec: str = "vec", out: str = "score") -> DataFrame:
     """Review x aspect cosine matrix in long form: ``key, aspect_id, score``.
 
-    Aspects are a small dimension (six per domain): they are packed into one
-    array per domain, checked for size, and broadcast-joined on ``domain``;
-    the big side is never shuffled."""
-    packed = aspects.groupBy(domain).agg(
-        F.collect_list(F.struct(F.col(aspect_id).alias("aid"), F.col(aspect_vec).alias("avec"))).alias("_asp"))
-    packed = broadcast_if_small(packed, MAX_ASPECTS_BROADCAST)  # one row per domain
-    j = df.join(packed, domain)
-    scored = j.select(key, F.inline(F.transform("_asp", lambda a: F.struct(
-        a["aid"].alias(aspect_id), cosine(F.col(vec), a["avec"]).alias(out)))))
-    return scored
+    Every review meets every aspect of its domain: an equi-join on ``domain``,
+    whose small side Spark broadcasts by its bytes."""
+    a = aspects.select(F.col(domain), F.col(aspect_id), F.col(aspect_vec).alias("_avec"), norm(aspect_vec).alias("_an"))
+    r = df.select(F.col(domain), key, F.col(vec).alias("_rvec"), norm(vec).alias("_rn"))
+    score = dot("_rvec", "_avec") / F.greatest(F.col("_rn") * F.col("_an"), F.lit(COS_EPS))
+    return r.join(a, domain).select(key, aspect_id, score.alias(out))
 
 
 def permuted_partner(df: DataFrame, key: str, batch: str, seed: int, out: str = "neg_key") -> DataFrame:
@@ -111,8 +120,8 @@ def contrastive_term(pos_score, neg_score, temperature: float = TEMPERATURE) ->
 def embed_batches(df: DataFrame, text: str, encoder, dim: int, out: str = "vec") -> DataFrame:
     """Pluggable text encoder: ``encoder(list[str]) -> sequence of dim-d float
     vectors`` runs on Arrow batches inside the tasks (``mapInPandas``), e.g. a
-    local sentence-embedding model.  The default text vectors are Word2Vec
-    (``rating.fit_text_vectors``); this hook is for encoders Spark lacks."""
+    local sentence-embedding model.  The default text vectors are
+    :func:`hashed_text`; this hook is for encoders Spark lacks."""
     from pyspark.sql import types as T
 
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
@@ -125,22 +134,3 @@ def embed_batches(df: DataFrame, text: str, encoder, dim: int, out: str = "vec")
             yield pdf
 
     return df.mapInPandas(run, schema)
-
-
-def hashed_bow_encoder(dim: int):
-    """A dependency-free encoder for :func:`embed_batches`: l2-normalised
-    hashed bag of lower-cased words (md5 bucket of each word)."""
-    import hashlib
-    import math as _m
-
-    def enc(texts):
-        out = []
-        for t in texts:
-            v = [0.0] * dim
-            for w in t.lower().split():
-                v[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim] += 1.0
-            n = _m.sqrt(sum(x * x for x in v)) or 1.0
-            out.append([x / n for x in v])
-        return out
-
-    return enc

@@ -30,20 +30,18 @@ RESTAURANT_FIELDS = {"pos": "bigint", "user_id": "string", "business_id": "strin
 def hotel_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hotel-shaped reviews: userID, hotelID, reviewText, rating, subRatings map (only present keys), pos."""
     i = fx.interactions(spark, sf_dir)
-    entries = F.array(F.struct(F.lit("Value").alias("key"), F.col("sub_value").alias("value")),
-                      F.struct(F.lit("Service").alias("key"), F.col("sub_service").alias("value")))
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"sub_{c}").alias("value"))
+                        for k, c in zip(P.HOTEL_SUBRATINGS, P.HOTEL_CRITERIA_COLUMNS)])
     sub = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
     return i.select(F.col("user_key").alias("userID"), F.col("item_key").alias("hotelID"),
                     F.col("text").alias("reviewText"), "rating", sub.alias("subRatings"), "pos")
 
 
 def movie_review_lines(spark: SparkSession, sf_dir: str, break_every: int | None = None,
-                       keep_every: int | None = None, names: tuple[str, str, str, str] = MOVIE_NAMES) -> DataFrame:
+                       names: tuple[str, str, str, str] = MOVIE_NAMES) -> DataFrame:
     """One JSON text per review (movie field names by default); every
     ``break_every``-th record is cut short so it no longer parses."""
     i = fx.interactions(spark, sf_dir)
-    if keep_every:
-        i = i.where(F.col("pos") % keep_every != 0)
     u, it, t, r = names
     js = F.to_json(F.struct(F.col("pos"), F.col("user_key").alias(u), F.col("item_key").alias(it),
                             F.col("text").alias(t), F.col("rating").alias(r)))
@@ -86,7 +84,7 @@ def prepare_hotels_frames(reviews: DataFrame, explanations: DataFrame, review_or
     rv = rv.select("r_pos", "user", "item", "text", "rating", *P.HOTEL_CRITERIA_COLUMNS)
     ex = explanations.select(F.col(explanation_order).alias("e_pos"), "user", "item",
                              P.template_item("template", strict=False).alias("explanation"))
-    first = P.keep_first(P.join_on_keys(ex, rv), ["user", "item"], ["e_pos", "r_pos"])
+    first = P.first_pairs(ex, rv, "e_pos", "r_pos")
     return P.select_order(first, ["user", "item", "explanation", "text", "rating"] + P.HOTEL_CRITERIA_COLUMNS)
 
 
@@ -94,15 +92,13 @@ def prepare_movies_frames(reviews: DataFrame, explanations: DataFrame, review_or
                           explanation_order: str, on_invalid: str = "drop") -> DataFrame:
     """Movie reviews (``reviewerID, asin, reviewText, overall``) and explanation
     records (``user, item|asin, template`` as array or text, ``rating``) ->
-    ``user, item, text, explanation, rating``: identical review rows collapse
-    (earliest position kept), explanations left-join review text, first pair
+    ``user, item, text, explanation, rating``: explanations left-join review text, first pair
     per key, strict four-item templates (``on_invalid`` for the rest)."""
-    rv = P.rename(reviews, P.MOVIE_RENAME)
-    rv = rv.groupBy("user", "item", "text", "rating").agg(F.min(review_order).alias("r_pos"))
+    # the first review of a key is the first of its identical rows too
+    rv = P.rename(reviews, P.MOVIE_RENAME).withColumnRenamed(review_order, "r_pos")
     ex = P.drop_if_exists(P.rename(explanations, {"asin": "item"}), "Unnamed: 0", "predicted", "overall")
     ex = ex.select(F.col(explanation_order).alias("e_pos"), "user", "item", "template", "rating")
-    joined = P.join_on_keys(ex, rv.select("user", "item", "text", "r_pos"), how="left")
-    first = P.keep_first(joined, ["user", "item"], ["e_pos", "r_pos"])
+    first = P.first_pairs(ex, rv.select("user", "item", "text", "r_pos"), "e_pos", "r_pos", how="left")
     first = P.explanation_from_template(first, "template", on_invalid=on_invalid, strict=True).drop("template")
     return P.select_order(first, ["user", "item", "text", "explanation", "rating"])
 
@@ -118,9 +114,7 @@ def prepare_restaurants_frames(reviews: DataFrame, explanations: DataFrame, dedu
     ex = ex.select(*([F.col(explanation_order).alias("e_pos")] if dedup else []), "user", "item", "explanation")
     rv = P.rename(reviews, P.RESTAURANT_RENAME)
     rv = rv.select(*([F.col(review_order).alias("r_pos")] if dedup else []), "user", "item", "text", "rating")
-    joined = P.join_on_keys(ex, rv)
-    if dedup:
-        joined = P.keep_first(joined, ["user", "item"], ["e_pos", "r_pos"])
+    joined = P.first_pairs(ex, rv, "e_pos", "r_pos") if dedup else P.join_on_keys(ex, rv)
     return P.select_order(joined, ["user", "item", "explanation", "text", "rating"])
 
 
@@ -142,13 +136,9 @@ def prepare_hotels(spark: SparkSession, sf_dir: str, sink: bool = True) -> DataF
 
 
 def prepare_movies(spark: SparkSession, sf_dir: str, sink: bool = True) -> DataFrame:
-    # reviews: JSON lines (broken lines skipped) -> CSV -> read (the reference's conversion steps)
-    lines = movie_review_lines(spark, sf_dir, break_every=97, keep_every=3)
-    raw = R.good_lines(R.read_json_lines(spark, stage_json_lines(spark, lines, ("movies", sf_dir, 97, 3)),
-                                         MOVIE_FIELDS))
-    csv_path = scratch_dir(spark, "movies-csv") + "/reviews"
-    S.write_csv(raw, csv_path, skip_empty=False)
-    reviews = R.read_csv(spark, csv_path, raw.schema)
+    # reviews: JSON lines (broken lines skipped); the conversion to CSV is a job of its own (json_to_csv)
+    lines = movie_review_lines(spark, sf_dir, break_every=97)
+    reviews = R.good_lines(R.read_json_lines(spark, stage_json_lines(spark, lines, ("movies", sf_dir, 97)), MOVIE_FIELDS))
     # explanation templates arrive as text (their string form) and are parsed as data
     out = prepare_movies_frames(reviews, _explanation_records(spark, sf_dir, template_as_text=True), "pos", "pos")
     return _sink_and_reload(spark, out, "movies") if sink else out
@@ -159,11 +149,7 @@ def prepare_restaurants(spark: SparkSession, sf_dir: str, sink: bool = True, ded
     kept like the reference; ``dedup=True`` keeps the first pair per
     (user, item) by explanation, then review position."""
     lines = movie_review_lines(spark, sf_dir, names=RESTAURANT_NAMES)
-    raw = R.good_lines(R.read_json_lines(spark, stage_json_lines(spark, lines, ("restaurants", sf_dir)),
-                                         RESTAURANT_FIELDS))
-    csv_path = scratch_dir(spark, "restaurants-csv") + "/reviews"
-    S.write_csv(raw, csv_path, skip_empty=False)  # pos: the line's position, kept as the order
-    reviews = R.read_csv(spark, csv_path, raw.schema)
+    reviews = R.good_lines(R.read_json_lines(spark, stage_json_lines(spark, lines, ("restaurants", sf_dir)), RESTAURANT_FIELDS))
     expl = _explanation_records(spark, sf_dir).drop("rating")
     out = prepare_restaurants_frames(reviews, expl, dedup, "pos", "pos")
     return _sink_and_reload(spark, out, "restaurants") if sink else out

@@ -8,28 +8,27 @@ from pyspark.sql import functions as F
 from revel.operators import index as X
 from revel.operators import tokens as TK
 from revel.plans.catalog import register
-from revel.session import spread
 from revel.sources import fixtures as fx
 from revel.sources.fixtures import with_fixtures
 
 SEED = 1702
 BATCH = 64
-VOCAB_SIZE = 256
-MAX_LEN = 64
+VOCAB_SIZE = 20_000
+MAX_LEN = 256
 CLAMP_TO = 50
 
 _FIRST_SEEN = """
 SELECT 'user' AS kind, key, row_number() OVER (ORDER BY first_pos, key) - 1 AS idx
-FROM (SELECT user_key AS key, min(pos) AS first_pos FROM interactions GROUP BY user_key)
+FROM (SELECT user_key AS key, min(pos) AS first_pos FROM keys GROUP BY user_key)
 UNION ALL
 SELECT 'item' AS kind, key, row_number() OVER (ORDER BY first_pos, key) - 1 AS idx
-FROM (SELECT item_key AS key, min(pos) AS first_pos FROM interactions GROUP BY item_key)"""
+FROM (SELECT item_key AS key, min(pos) AS first_pos FROM keys GROUP BY item_key)"""
 
 
-@register("idx_first_seen", with_fixtures(_FIRST_SEEN, "interactions"))
+@register("idx_first_seen", with_fixtures(_FIRST_SEEN, "keys"))
 def idx_first_seen(spark, sf_dir):
     """Dense 0-based user and item ids in order of first appearance."""
-    ids = X.first_seen_indexes(fx.interactions(spark, sf_dir), ["user_key", "item_key"], "pos")
+    ids = X.first_seen_indexes(fx.keys(spark, sf_dir), ["user_key", "item_key"], "pos")
     u = ids["user_key"].select(F.lit("user").alias("kind"), F.col("user_key").alias("key"),
                                F.col("user_key_idx").alias("idx"))
     it = ids["item_key"].select(F.lit("item").alias("kind"), F.col("item_key").alias("key"),
@@ -39,19 +38,19 @@ def idx_first_seen(spark, sf_dir):
 
 @register("join_index_lookup", with_fixtures("""
 SELECT i.pos, u.idx AS user_idx, t.idx AS item_idx
-FROM interactions i JOIN ids u ON u.kind = 'user' AND u.key = i.user_key
-                    JOIN ids t ON t.kind = 'item' AND t.key = i.item_key""", "interactions",
+FROM keys i JOIN ids u ON u.kind = 'user' AND u.key = i.user_key
+                    JOIN ids t ON t.kind = 'item' AND t.key = i.item_key""", "keys",
     ctes=f"ids AS ({_FIRST_SEEN})"))
 def join_index_lookup(spark, sf_dir):
-    """Map every interaction's user and item to its dense id (size-checked broadcast)."""
-    i = fx.interactions(spark, sf_dir)
+    """Map every interaction's user and item to its dense id ."""
+    i = fx.keys(spark, sf_dir)
     ids = X.first_seen_indexes(i, ["user_key", "item_key"], "pos")
     out = X.lookup_join(X.lookup_join(i.select("pos", "user_key", "item_key"), ids["user_key"], "user_key"),
                         ids["item_key"], "item_key")
     return out.select("pos", F.col("user_key_idx").alias("user_idx"), F.col("item_key_idx").alias("item_idx"))
 
 
-def _split_sql(table: str = "interactions", key: str = "pos") -> str:
+def _split_sql(table: str = "keys", key: str = "pos") -> str:
     return f"""
 SELECT {key}, CASE WHEN rk < n_train THEN 'train' WHEN rk < n_train + n_val THEN 'val' ELSE 'test' END AS split
 FROM (
@@ -61,35 +60,35 @@ FROM (
     FROM {table}))"""
 
 
-@register("split_80_10_10", with_fixtures(_split_sql(), "interactions"))
+@register("split_80_10_10", with_fixtures(_split_sql(), "keys"))
 def split_80_10_10(spark, sf_dir):
     """Seeded exact 80/10/10 split: hold-out ceil(0.2n), of it test ceil(h/2)."""
-    return X.exact_split(fx.interactions(spark, sf_dir).select("pos"), "pos", SEED)
+    return X.exact_split(fx.keys(spark, sf_dir).select("pos"), "pos", SEED)
 
 
 @register("split_fraction", with_fixtures(f"""
 SELECT pos, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.8 + 0.1 THEN 'val' ELSE 'test' END AS split
-FROM (SELECT pos, ('0x' || substr(md5('{SEED}:' || pos), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM interactions)""",
-    "interactions"))
+FROM (SELECT pos, ('0x' || substr(md5('{SEED}:' || pos), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM keys)""",
+    "keys"))
 def split_fraction(spark, sf_dir):
     """Seeded split by hash thresholds (no sort, approximate sizes)."""
-    return X.fraction_split(fx.interactions(spark, sf_dir).select("pos"), "pos", SEED)
+    return X.fraction_split(fx.keys(spark, sf_dir).select("pos"), "pos", SEED)
 
 
 @register("shuffle_rows", with_fixtures(f"""
-SELECT pos, row_number() OVER (ORDER BY md5('{SEED}:3:' || pos), pos) - 1 AS shuffle_idx FROM interactions""",
-    "interactions"))
+SELECT pos, row_number() OVER (ORDER BY md5('{SEED}:3:' || pos), pos) - 1 AS shuffle_idx FROM keys""",
+    "keys"))
 def shuffle_rows(spark, sf_dir):
     """Reproducible shuffle order for epoch 3."""
-    return X.shuffle_order(fx.interactions(spark, sf_dir).select("pos"), "pos", SEED, epoch=3)
+    return X.shuffle_order(fx.keys(spark, sf_dir).select("pos"), "pos", SEED, epoch=3)
 
 
 @register("batch_assign", with_fixtures(f"""
 SELECT pos, (row_number() OVER (ORDER BY md5('{SEED}:0:' || pos), pos) - 1) // {BATCH} AS batch_id
-FROM interactions""", "interactions"))
+FROM keys""", "keys"))
 def batch_assign(spark, sf_dir):
     """Batches of 64 rows over the epoch-0 shuffle; the last batch may be short."""
-    s = X.shuffle_order(fx.interactions(spark, sf_dir).select("pos"), "pos", SEED, epoch=0)
+    s = X.shuffle_order(fx.keys(spark, sf_dir).select("pos"), "pos", SEED, epoch=0)
     return X.assign_batches(s, "shuffle_idx", BATCH).select("pos", "batch_id")
 
 
@@ -117,21 +116,21 @@ _TOK_CTES = tok_sql("explanations", "pos", "explanation", VOCAB_SIZE, MAX_LEN, e
 
 
 def _encoded(spark, sf_dir):
-    e = spread(fx.explanations(spark, sf_dir))
+    e = fx.explanations(spark, sf_dir)
     vocab = TK.build_vocab(e, ["explanation"], VOCAB_SIZE)
     return TK.encode(e.select("pos", "attribute", "explanation"), "pos", "explanation", vocab, MAX_LEN), vocab
 
 
 @register("tok_vocab", with_fixtures("SELECT token, cnt, id FROM vocab", "explanations", ctes=_TOK_CTES))
 def tok_vocab(spark, sf_dir):
-    """Vocabulary of the explanation texts: top 252 tokens by count, ids from 4."""
+    """Vocabulary of the explanation texts: top 19,996 tokens by count, ids from 4."""
     return TK.build_vocab(fx.explanations(spark, sf_dir), ["explanation"], VOCAB_SIZE)
 
 
 @register("tok_encode", with_fixtures("SELECT pos, array_to_string(ids, ' ') AS ids FROM enc", "explanations",
                                       ctes=_TOK_CTES))
 def tok_encode(spark, sf_dir):
-    """Explanation text -> START, ids, END, padded to 64."""
+    """Explanation text -> START, ids, END, padded to 256."""
     enc, _ = _encoded(spark, sf_dir)
     return enc.select("pos", TK.ids_text("ids").alias("ids"))
 

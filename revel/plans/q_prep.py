@@ -41,6 +41,7 @@ def _expl(spark, sf_dir) -> DataFrame:
                     "explanation")
 
 
+_CRITERIA_SQL = ", ".join(f"coalesce(sub_{c}, 0) AS {c}" for c in P.HOTEL_CRITERIA_COLUMNS)
 _REV_SQL = "rev AS (SELECT pos AS r_pos, user_key AS \"user\", item_key AS item, text, rating FROM interactions)"
 _EXP_SQL = "ex AS (SELECT pos AS e_pos, user_key AS \"user\", item_key AS item, explanation FROM explanations)"
 
@@ -49,13 +50,14 @@ _EXP_SQL = "ex AS (SELECT pos AS e_pos, user_key AS \"user\", item_key AS item,
 
 @register("src_json_array", with_fixtures(
     "SELECT pos, user_key AS userID, item_key AS hotelID, text AS reviewText, rating, "
-    "sub_value AS value, sub_service AS service FROM interactions", "interactions"))
+    "sub_value AS value, sub_location AS location, sub_sleep_quality AS sleep_quality, sub_rooms AS rooms, "
+    "sub_cleanliness AS cleanliness, sub_service AS service FROM interactions", "interactions"))
 def src_json_array(spark, sf_dir):
     """Hotel reviews written as JSON-array shards, read back with an explicit schema."""
     df = R.read_json_array(spark, stage_json_array(spark, hotel_reviews(spark, sf_dir), ("hotels", sf_dir)),
                            schema=HOTEL_REVIEW_SCHEMA_POS)
     return df.select("pos", "userID", "hotelID", "reviewText", "rating",
-                     F.col("subRatings")["Value"].alias("value"), F.col("subRatings")["Service"].alias("service"))
+                     *[F.col("subRatings")[k].alias(c) for k, c in zip(P.HOTEL_SUBRATINGS, P.HOTEL_CRITERIA_COLUMNS)])
 
 
 @register("src_json_lines", with_fixtures(
@@ -152,7 +154,8 @@ def prj_rename(spark, sf_dir):
 
 
 @register("prj_drop_if_exists", with_fixtures(
-    "SELECT pos, user_key, item_key, text, rating, sub_value FROM interactions", "interactions"))
+    "SELECT pos, user_key, item_key, text, rating, sub_value, sub_location, sub_sleep_quality, sub_rooms, sub_cleanliness FROM interactions",
+    "interactions"))
 def prj_drop_if_exists(spark, sf_dir):
     """Drop columns when present; absent names are ignored."""
     return P.drop_if_exists(fx.interactions(spark, sf_dir), "Unnamed: 0", "predicted", "overall", "sub_service")
@@ -167,8 +170,7 @@ def prj_select_order(spark, sf_dir):
 
 
 @register("prj_align_criteria", with_fixtures(
-    "SELECT pos, coalesce(sub_value, 0) AS value, 0.0::DOUBLE AS location, 0.0::DOUBLE AS sleep_quality, "
-    "0.0::DOUBLE AS rooms, 0.0::DOUBLE AS cleanliness, coalesce(sub_service, 0) AS service FROM interactions",
+    f"SELECT pos, {_CRITERIA_SQL} FROM interactions",
     "interactions"))
 def prj_align_criteria(spark, sf_dir):
     """Sub-rating map -> six criteria columns, 0 where a key is absent."""
@@ -199,21 +201,28 @@ def prj_template_item(spark, sf_dir):
 
 @register("prj_template_string", with_fixtures("SELECT pos, explanation FROM explanations", "explanations"))
 def prj_template_string(spark, sf_dir):
-    """Template stored as text (JSON form), parsed as data, never evaluated."""
-    t = fx.templated_explanations(spark, sf_dir).select("pos", F.to_json("template").alias("template"))
+    """Template stored as text (JSON, or a tuple with a number, None and both
+    kinds of quotes), parsed as data, never evaluated."""
+    t = fx.templated_explanations(spark, sf_dir)
+    quoted = F.replace(F.replace(F.replace(F.col("template")[2], F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n"))
+    four = F.concat(F.lit('("x", None, \''), quoted, F.lit("', "), (F.col("pos") % 5).cast("string"), F.lit(")"))
+    three = F.lit("('x', 1.5, True)")
+    tuple_form = F.when(F.size("template") == 4, four).otherwise(three)
+    t = t.select("pos", F.when(F.col("pos") % 2 == 0, F.to_json("template")).otherwise(tuple_form).alias("template"))
     return t.select("pos", P.template_item(P.parse_template_string("template")).alias("explanation"))
 
 
 @register("prj_criteria_vector", with_fixtures(
-    "SELECT pos, coalesce(sub_value, 0) AS crit_sum, coalesce(sub_value, 0) AS crit_first, rating AS overall "
+    "SELECT pos, array_to_string([CAST(x AS BIGINT) FOR x IN [coalesce(sub_value, 0), coalesce(sub_location, 0), "
+    "coalesce(sub_sleep_quality, 0), coalesce(sub_rooms, 0), coalesce(sub_cleanliness, 0)]], ' ') AS criteria, rating AS overall "
     "FROM interactions", "interactions"))
 def prj_criteria_vector(spark, sf_dir):
     """Pack (value, location, sleep_quality, rooms, cleanliness, rating); unpack by slice."""
     h = P.align_criteria(hotel_reviews(spark, sf_dir))
     v = P.criteria_vector(h)
     crit, overall = P.criteria_parts("criteria")
-    return v.select("pos", F.aggregate(crit, F.lit(0.0), lambda a, x: a + x).alias("crit_sum"),
-                    F.get(crit, 0).alias("crit_first"), overall.alias("overall"))
+    return v.select("pos", F.array_join(F.transform(crit, lambda x: x.cast("bigint").cast("string")), " ").alias("criteria"),
+                    overall.alias("overall"))
 
 
 @register("prj_coalesce_text", with_fixtures("SELECT pos, coalesce(explanation, '') AS explanation FROM explanations",
@@ -254,12 +263,11 @@ def join_inner_reviews(spark, sf_dir):
 
 
 @register("join_left_text", with_fixtures(
-    "SELECT e_pos, r_pos, \"user\", item, text FROM ex LEFT JOIN "
-    "(SELECT r_pos, \"user\", item, text FROM rev WHERE r_pos % 3 <> 0) r USING (\"user\", item)",
+    "SELECT e_pos, r_pos, \"user\", item, text FROM ex LEFT JOIN rev USING (\"user\", item)",
     "interactions", "explanations", ctes=_REV_SQL + ",\n" + _EXP_SQL))
 def join_left_text(spark, sf_dir):
     """Explanations left-joined to review texts; unmatched keys keep NULL text."""
-    r = _reviews(spark, sf_dir).where(F.col("r_pos") % 3 != 0).select("r_pos", "user", "item", "text")
+    r = _reviews(spark, sf_dir).select("r_pos", "user", "item", "text")
     return P.join_on_keys(_expl(spark, sf_dir), r, how="left").select("e_pos", "r_pos", "user", "item", "text")
 
 
@@ -294,40 +302,37 @@ SELECT e_pos, r_pos, "user", item, explanation, text, rating FROM (
     "interactions", "explanations", ctes=_REV_SQL + ",\n" + _EXP_SQL))
 def dedup_first_by_key(spark, sf_dir):
     """First row per (user, item) after the join: smallest explanation position, then review position."""
-    j = P.join_on_keys(_expl(spark, sf_dir), _reviews(spark, sf_dir))
-    return P.keep_first(j, ["user", "item"], ["e_pos", "r_pos"]).select(
+    return P.first_pairs(_expl(spark, sf_dir), _reviews(spark, sf_dir), "e_pos", "r_pos").select(
         "e_pos", "r_pos", "user", "item", "explanation", "text", "rating")
 
 
 @register("distinct_entities", with_fixtures(
-    "SELECT DISTINCT 'user' AS kind, user_key AS key FROM interactions "
-    "UNION ALL SELECT DISTINCT 'item' AS kind, item_key AS key FROM interactions", "interactions"))
+    "SELECT DISTINCT 'user' AS kind, user_key AS key FROM keys "
+    "UNION ALL SELECT DISTINCT 'item' AS kind, item_key AS key FROM keys", "keys"))
 def distinct_entities(spark, sf_dir):
     """Distinct users and distinct items."""
-    i = fx.interactions(spark, sf_dir)
+    i = fx.keys(spark, sf_dir)
     u = P.distinct_values(i, "user_key").select(F.lit("user").alias("kind"), F.col("user_key").alias("key"))
     it = P.distinct_values(i, "item_key").select(F.lit("item").alias("kind"), F.col("item_key").alias("key"))
     return u.unionByName(it)
 
 
 @register("count_entities", with_fixtures(
-    "SELECT count(DISTINCT user_key) AS num_users, count(DISTINCT item_key) AS num_items FROM interactions",
-    "interactions"))
+    "SELECT count(DISTINCT user_key) AS num_users, count(DISTINCT item_key) AS num_items FROM keys",
+    "keys"))
 def count_entities(spark, sf_dir):
     """num_users, num_items."""
-    i = fx.interactions(spark, sf_dir).select(F.col("user_key").alias("user"), F.col("item_key").alias("item"))
+    i = fx.keys(spark, sf_dir).select(F.col("user_key").alias("user"), F.col("item_key").alias("item"))
     return P.count_entities(i)
 
 
 # ---------------------------------------------------------------- jobs
 
-_HOTEL_ORACLE = """
+_HOTEL_ORACLE = f"""
 SELECT "user", item, explanation, text, rating, value, location, sleep_quality, rooms, cleanliness, service FROM (
   SELECT *, row_number() OVER (PARTITION BY "user", item ORDER BY e_pos, r_pos) AS rn FROM (
     SELECT e.pos AS e_pos, e.user_key AS "user", e.item_key AS item, coalesce(e.explanation, '1') AS explanation,
-           i.pos AS r_pos, i.text, i.rating, coalesce(i.sub_value, 0) AS value, 0.0::DOUBLE AS location,
-           0.0::DOUBLE AS sleep_quality, 0.0::DOUBLE AS rooms, 0.0::DOUBLE AS cleanliness,
-           coalesce(i.sub_service, 0) AS service
+           i.pos AS r_pos, i.text, i.rating, {_CRITERIA_SQL}
     FROM explanations e JOIN interactions i ON e.user_key = i.user_key AND e.item_key = i.item_key))
 WHERE rn = 1"""
 
@@ -344,14 +349,14 @@ SELECT "user", item, text, explanation, rating FROM (
     SELECT e.pos AS e_pos, e.user_key AS "user", e.item_key AS item, e.explanation, e.rating, r.r_pos, r.text
     FROM explanations e LEFT JOIN (
       SELECT user_key, item_key, text, min(pos) AS r_pos FROM interactions
-      WHERE pos % 3 <> 0 AND pos % 97 <> 0 GROUP BY user_key, item_key, text, rating) r
+      WHERE pos % 97 <> 0 GROUP BY user_key, item_key, text, rating) r
     ON e.user_key = r.user_key AND e.item_key = r.item_key))
 WHERE rn = 1 AND explanation IS NOT NULL"""
 
 
 @register("job_prepare_movies", with_fixtures(_MOVIE_ORACLE, "interactions", "explanations"))
 def job_prepare_movies(spark, sf_dir):
-    """JSON lines -> CSV -> dedup; explanations left-join review text, first per key, strict templates."""
+    """JSON lines -> dedup; explanations left-join review text, first per key, strict templates."""
     return prepare_movies(spark, sf_dir)
 
 

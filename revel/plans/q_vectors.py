@@ -4,7 +4,6 @@ aspect and rating jobs (2.15)."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +15,17 @@ from revel.operators import tokens as TK
 from revel.operators import vectors as V
 from revel.plans.catalog import register, round6
 from revel.plans.jobs import hotel_reviews
-from revel.plans.q_index import SEED, _split_sql, tok_sql
-from revel.session import broadcast_if_small, scratch_dir
+from revel.plans.q_index import _TOKRE, SEED, _split_sql, tok_sql
+from revel.session import scratch_dir
 from revel.sources import fixtures as fx
 from revel.sources import readers as R
 from revel.sources import sinks as S
 from revel.sources.fixtures import with_fixtures
 
 BATCH = 64
-N_ASPECTS = 6
-SRC_VOCAB, SRC_LEN = 1024, 128
-TGT_VOCAB, TGT_LEN = 256, 64
+TEXT_DIMS = 16
+SRC_VOCAB, SRC_LEN = 30522, 128
+TGT_VOCAB, TGT_LEN = 20000, 256
 
 # ---------------------------------------------------------------- vectors
 
@@ -62,12 +61,8 @@ def vec_l2_normalize(spark, sf_dir):
     return _long(V.l2_normalize(fx.vectors(spark, sf_dir), "vec", "unit"), ["vec_id"], "unit")
 
 
-MAX_CENTROIDS_BROADCAST = 100_000
-
-
 def _with_own_centroid(spark, sf_dir) -> DataFrame:
-    cen = broadcast_if_small(_centroids(spark, sf_dir), MAX_CENTROIDS_BROADCAST)
-    return fx.vectors(spark, sf_dir).join(cen, "label")
+    return fx.vectors(spark, sf_dir).join(_centroids(spark, sf_dir), "label")
 
 
 _COS_OWN = """
@@ -84,16 +79,16 @@ def vec_cosine(spark, sf_dir):
 
 
 def _aspects(spark, sf_dir) -> DataFrame:
-    c = _centroids(spark, sf_dir).where(F.col("label") < N_ASPECTS)
+    c = _centroids(spark, sf_dir)
     return c.select(F.lit("fixture").alias("domain"), F.col("label").alias("aspect_id"), F.col("cvec").alias("vec"))
 
 
-@register("vec_aspect_affinity", with_fixtures(f"""
+@register("vec_aspect_affinity", with_fixtures("""
 SELECT ve.vec_id, cen.label AS aspect_id, round(sum(ve.x * cen.m) / greatest(vn.n * cn.n, 1e-8), 6) AS score
-FROM ve JOIN cen ON cen.i = ve.i AND cen.label < {N_ASPECTS} JOIN vn USING (vec_id) JOIN cn ON cn.label = cen.label
+FROM ve JOIN cen ON cen.i = ve.i JOIN vn USING (vec_id) JOIN cn ON cn.label = cen.label
 GROUP BY ve.vec_id, cen.label, vn.n, cn.n""", "vectors", ctes=_VEC))
 def vec_aspect_affinity(spark, sf_dir):
-    """Review x aspect cosine matrix (aspects = centroids of labels 0-5)."""
+    """Review x aspect cosine matrix (aspects = centroids of all labels)."""
     r = fx.vectors(spark, sf_dir).select("vec_id", "vec", F.lit("fixture").alias("domain"))
     aff = V.aspect_affinity(r, "vec_id", "vec", _aspects(spark, sf_dir))
     return aff.select("vec_id", F.col("aspect_id").cast("int").alias("aspect_id"), F.round("score", 6).alias("score"))
@@ -109,7 +104,7 @@ perm AS (SELECT a.vec_id, a.batch_id, a.label, b.vec_id AS neg_key, b.label AS n
 
 
 def _permuted(spark, sf_dir) -> DataFrame:
-    v = fx.vectors(spark, sf_dir).select("vec_id", (F.col("vec_id") / BATCH).cast("long").alias("batch_id"))
+    v = fx.vectors(spark, sf_dir).select("vec_id", F.expr(f"vec_id div {BATCH}").alias("batch_id"))
     return V.permuted_partner(v, "vec_id", "batch_id", SEED)
 
 
@@ -135,7 +130,7 @@ def _terms(spark, sf_dir) -> DataFrame:
     v = fx.vectors(spark, sf_dir)
     perm = _permuted(spark, sf_dir).join(v.select(F.col("vec_id").alias("neg_key"), F.col("label").alias("neg_label")),
                                          "neg_key")
-    cen = broadcast_if_small(cen, MAX_CENTROIDS_BROADCAST)  # one row per label
+    cen = cen.checkpoint()  # one row per label, joined twice
     rows = v.join(perm, "vec_id").join(cen, "label")
     rows = rows.join(cen.select(F.col("label").alias("neg_label"), F.col("cvec").alias("nvec")), "neg_label")
     scored = rows.select("vec_id", "batch_id", V.cosine("vec", "cvec").alias("pos_score"),
@@ -174,101 +169,147 @@ def vec_concat(spark, sf_dir):
                     F.round(F.aggregate("cat", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@register("vec_embed_text")
+_TEXT_VEC = """
+tk_{n} AS (SELECT {key}, unnest(regexp_extract_all(lower(coalesce({text}, '')), '{re}')) AS t FROM {src}),
+tb_{n} AS (SELECT {key}, ('0x' || substr(md5(t), 1, 8))::BIGINT % {dims} AS b, count(*) AS c FROM tk_{n} GROUP BY ALL),
+tv_{n} AS (SELECT d.{key}, list(coalesce(tb.c, 0) / greatest(sqrt(coalesce(nn.n, 0)), 1e-12) ORDER BY r.i) AS vec
+  FROM (SELECT {key} FROM {src}) d CROSS JOIN (SELECT unnest(range({dims})) AS i) r
+  LEFT JOIN tb_{n} tb ON tb.{key} = d.{key} AND tb.b = r.i
+  LEFT JOIN (SELECT {key}, sum(c * c) AS n FROM tb_{n} GROUP BY {key}) nn ON nn.{key} = d.{key} GROUP BY d.{key})"""
+
+
+def _text_vec_sql(n: str, src: str, key: str, text: str) -> str:
+    return _TEXT_VEC.format(n=n, src=src, key=key, text=text, re=_TOKRE, dims=TEXT_DIMS).strip()
+
+
+_SHOWN = "array_to_string(list_transform({v}, lambda x: CAST(CAST(round(x * 10000) AS BIGINT) AS VARCHAR)), ' ')"
+
+
+def _shown(vec):
+    """A vector as text, in ten-thousandths."""
+    return F.array_join(F.transform(vec, lambda x: F.round(x * 10000).cast("bigint").cast("string")), " ")
+
+
+@register("vec_embed_text", f"WITH {_text_vec_sql('d', 'documents', 'doc_id', 'text')} SELECT doc_id, {_SHOWN.format(v='vec')} AS vec FROM tv_d")
 def vec_embed_text(spark, sf_dir):
-    """Document text -> mean Word2Vec vector (model fitted on the documents)."""
-    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
-    w2v = RT.fit_text_vectors(docs, "text", size=16, seed=SEED)
-    out = RT.text_features(docs, "text", w2v)
-    return out.select("doc_id", vector_to_array("_tv").alias("vec"))
+    """Document text -> unit-length hashed bag of words (no fit, no shuffle)."""
+    docs = fx.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", _shown(V.hashed_text("text", TEXT_DIMS)).alias("vec"))
 
 
-@register("vec_aspect_embed")
+_ASPECT_SQL = ", ".join(f"('{d}', {i}, '{a}', '{d}{i}')" for d, names in V.ASPECTS.items() for i, a in enumerate(names))
+
+
+@register("vec_aspect_embed", f"""
+WITH asp AS (SELECT * FROM (VALUES {_ASPECT_SQL}) v(domain, aspect_id, aspect, k)),
+{_text_vec_sql('a', 'asp', 'k', 'aspect')},
+near AS (SELECT asp.domain, asp.aspect_id, asp.aspect, tv_a.vec FROM asp JOIN tv_a USING (k)),
+{_text_vec_sql('d', 'documents', 'doc_id', 'text')}
+SELECT domain, aspect_id, aspect, {_SHOWN.format(v='any_value(near.vec)')} AS vec, round(avg(list_dot_product(near.vec, tv_d.vec)), 6) AS mean_cosine
+FROM near, tv_d GROUP BY domain, aspect_id, aspect""")
 def vec_aspect_embed(spark, sf_dir):
-    """Aspect phrases of each domain embedded with the corpus Word2Vec model, staged as Parquet."""
-    docs = fx.table(spark, sf_dir, "documents").select("text")
-    w2v = RT.fit_text_vectors(docs, "text", size=16, seed=SEED)
+    """Aspect phrases as hashed vectors, staged as Parquet, with their mean cosine over all documents
+    (the mean of dot products is the dot product with the documents' mean vector)."""
     asp = V.aspect_phrases(spark)
-    emb = RT.text_features(asp, "aspect", w2v).select("domain", "aspect_id", "aspect",
-                                                      vector_to_array("_tv").alias("vec"))
     path = scratch_dir(spark, "aspects") + "/aspects"
-    S.write_parquet(emb, path)
-    return spark.read.parquet(path)
+    S.write_parquet(asp.withColumn("vec", V.hashed_text("aspect", TEXT_DIMS)), path)
+    docs = fx.table(spark, sf_dir, "documents").select(F.lit(1).alias("g"), V.hashed_text("text", TEXT_DIMS).alias("dvec"))
+    mean = docs.groupBy("g").agg(*[F.avg(F.get("dvec", F.lit(i))).alias(f"m{i}") for i in range(TEXT_DIMS)])
+    mean = mean.select(F.array(*[f"m{i}" for i in range(TEXT_DIMS)]).alias("mean"))
+    emb = spark.read.parquet(path).withColumn("mean", mean.select("mean").scalar())
+    return emb.select("domain", "aspect_id", "aspect", _shown(F.col("vec")).alias("vec"), F.round(V.dot("vec", "mean"), 6).alias("mean_cosine"))
 
 
 # ---------------------------------------------------------------- rating
 
 
 def _rating_frame(spark, sf_dir):
-    """Interactions with dense ids, split and hotel criteria."""
+    """Interactions with dense ids, split, hotel criteria and the text's vector, written once."""
     h = P.align_criteria(hotel_reviews(spark, sf_dir)).select(
-        "pos", F.col("userID").alias("user"), F.col("hotelID").alias("item"), F.col("reviewText").alias("text"),
-        "rating", *P.HOTEL_CRITERIA_COLUMNS)
-    ids = X.first_seen_indexes(h, ["user", "item"], "pos")
+        "pos", F.col("userID").alias("user"), F.col("hotelID").alias("item"), "rating", *P.HOTEL_CRITERIA_COLUMNS,
+        V.hashed_text("reviewText", TEXT_DIMS).alias("text_vec"))
+    ids = X.first_seen_indexes(fx.keys(spark, sf_dir).withColumnsRenamed({"user_key": "user", "item_key": "item"}), ["user", "item"], "pos")
     h = X.lookup_join(X.lookup_join(h, ids["user"], "user"), ids["item"], "item")
-    sp = X.exact_split(h.select("pos"), "pos", SEED)
-    return h.join(sp, "pos")
+    return h.join(X.exact_split(fx.keys(spark, sf_dir).select("pos"), "pos", SEED), "pos").checkpoint()
 
 
-def _fitted(spark, sf_dir, use_text=True):
-    df = _rating_frame(spark, sf_dir)
-    train = df.where(F.col("split") == "train")
-    als = RT.fit_factors(train)
-    w2v = RT.fit_text_vectors(train, "text", size=8, seed=SEED) if use_text else None
-    feats = RT.factor_features(df, als)
-    if use_text:
-        feats = RT.text_features(feats, "text", w2v)
-    return df, feats, als
+def _factors(df):
+    return RT.fit_factors(df.where("split = 'train'"))
+
 
+_TRAIN_IDS = f"""
+sp AS ({_split_sql('keys')}),
+ui AS (SELECT user_key, row_number() OVER (ORDER BY m, user_key) - 1 AS idx FROM (SELECT user_key, min(pos) AS m FROM keys GROUP BY user_key)),
+ii AS (SELECT item_key, row_number() OVER (ORDER BY m, item_key) - 1 AS idx FROM (SELECT item_key, min(pos) AS m FROM keys GROUP BY item_key)),
+tr AS (SELECT ui.idx AS u, ii.idx AS i, k.rating FROM keys k JOIN sp USING (pos) JOIN ui USING (user_key) JOIN ii USING (item_key) WHERE sp.split = 'train'),
+te AS (SELECT k.* FROM keys k JOIN sp USING (pos) WHERE sp.split = 'test')"""
 
-@register("rate_user_item_factors")
+
+@register("rate_user_item_factors", with_fixtures("""
+SELECT 'user' AS kind, u AS idx, 8::BIGINT AS rank, true AS finite FROM tr GROUP BY u
+UNION ALL SELECT 'item', i, 8, true FROM tr GROUP BY i""", "keys", ctes=_TRAIN_IDS))
 def rate_user_item_factors(spark, sf_dir):
-    """ALS latent factors of users (rank 8) learnt from the training split."""
-    df = _rating_frame(spark, sf_dir)
-    als = RT.fit_factors(df.where(F.col("split") == "train"))
-    return als.userFactors.select(F.col("id").cast("long").alias("user_idx"),
-                                  F.size("features").cast("long").alias("rank"))
+    """ALS latent factors (rank 8) of every user and item of the training split:
+    size, and whether all values are finite (the values have no SQL)."""
+    als = _factors(_rating_frame(spark, sf_dir))
+    return RT.all_factors(als).select("kind", F.col("id").cast("long").alias("idx"), F.size("features").cast("long").alias("rank"),
+                                      F.forall("features", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6)).alias("finite"))
 
 
-def _test_frame(spark, sf_dir, use_text=True):
-    df, feats, _ = _fitted(spark, sf_dir, use_text)
-    train = feats.where(F.col("split") == "train")
+def _test_frame(df, als, use_text=True):
+    feats = RT.factor_features(df, als)
+    train = feats.where("split = 'train'")
     model = RT.fit_rating(train, use_text=use_text)
-    mean = train.agg(F.avg("rating")).scalar()  # global-mean fallback, same plan
-    test = feats.where(F.col("split") == "test")
-    return RT.predict(model, test, use_text=use_text, fallback=mean).select(
-        "pos", F.col("rating").alias("truth"), "pred")
+    mean = df.where("split = 'train'").agg(F.avg("rating")).scalar()  # global-mean fallback, same plan
+    return RT.predict(model, feats.where("split = 'test'"), use_text=use_text, fallback=mean).select("pos", F.col("rating").alias("truth"), "pred")
+
+
+#: Predictions have no SQL; what must hold of them has: the test rows, their truth, finite values near the rating scale.
+_TEST_SQL = "SELECT pos, rating AS truth, true AS sound FROM te"
 
 
-@register("rate_predict")
+def _checked(pred):
+    return pred.select("pos", "truth", (~F.isnan("pred") & F.col("pred").between(-1.0, 7.0)).alias("sound"))
+
+
+@register("rate_predict", with_fixtures(_TEST_SQL, "keys", ctes=_TRAIN_IDS))
 def rate_predict(spark, sf_dir):
-    """Rating from user/item factors and the review text vector (linear head)."""
-    return _test_frame(spark, sf_dir)
+    """Rating from user/item factors and the review text vector (linear head), over the test split."""
+    df = _rating_frame(spark, sf_dir)
+    return _checked(_test_frame(df, _factors(df)))
 
 
-@register("rate_test_frame")
+@register("rate_test_frame", with_fixtures(_TEST_SQL, "keys", ctes=_TRAIN_IDS))
 def rate_test_frame(spark, sf_dir):
     """(truth, prediction) over the test split, factors only (no review text)."""
-    return _test_frame(spark, sf_dir, use_text=False)
+    df = _rating_frame(spark, sf_dir)
+    return _checked(_test_frame(df, _factors(df), use_text=False))
 
 
-@register("rate_criteria")
+@register("rate_criteria", with_fixtures("SELECT pos, 5::BIGINT AS n_criteria, true AS sound FROM te", "keys", ctes=_TRAIN_IDS))
 def rate_criteria(spark, sf_dir):
-    """Five sub-ratings predicted at once (one regressor per criterion)."""
-    df, feats, _ = _fitted(spark, sf_dir, use_text=True)
-    crit = P.CRITERIA_ORDER[:5]
-    models = RT.fit_criteria(feats.where(F.col("split") == "train"), crit)
-    out = RT.predict_criteria(models, feats.where(F.col("split") == "test"))
+    """Five sub-ratings predicted at once (one regressor per criterion), over the test split."""
+    df = _rating_frame(spark, sf_dir)
+    feats = RT.factor_features(df, _factors(df))
+    models = RT.fit_criteria(feats.where("split = 'train'"), P.CRITERIA_ORDER[:5])
+    out = RT.predict_criteria(models, feats.where("split = 'test'"))
     return out.select("pos", F.size("pred_criteria").cast("long").alias("n_criteria"),
-                      *[F.col(f"pred_{c}") for c in crit])
+                      F.forall("pred_criteria", lambda x: ~F.isnan(x) & x.between(-2.0, 7.0)).alias("sound"))
 
 
-@register("job_rating_eval")
+@register("job_rating_eval", with_fixtures("""
+SELECT use_review_text, (SELECT count(*) FROM te) AS n, true AS sound FROM (VALUES (true), (false)) v(use_review_text)""",
+                                           "keys", ctes=_TRAIN_IDS))
 def job_rating_eval(spark, sf_dir):
-    """fit -> predict -> MSE / RMSE / MAE, with and without the review text."""
-    with_text = M.rating_errors(_test_frame(spark, sf_dir, True)).withColumn("use_review_text", F.lit(True))
-    without = M.rating_errors(_test_frame(spark, sf_dir, False)).withColumn("use_review_text", F.lit(False))
-    return with_text.unionByName(without)
+    """fit -> predict -> MSE / RMSE / MAE, with and without the review text:
+    sound if RMSE is under 1.15 times that of the training mean, and MAE under RMSE."""
+    df = _rating_frame(spark, sf_dir)
+    als = _factors(df)
+    mean = df.where("split = 'train'").agg(F.avg("rating").alias("m")).first()[0]
+    base = df.where("split = 'test'").agg(F.sqrt(F.avg((F.col("rating") - F.lit(mean)) ** 2))).first()[0]
+    out = [M.rating_errors(_test_frame(df, als, text)).withColumn("use_review_text", F.lit(text)) for text in (True, False)]
+    sound = (F.col("rmse") <= 1.15 * base) & (F.col("mae") <= F.col("rmse"))
+    return out[0].unionByName(out[1]).select("use_review_text", "n", sound.alias("sound"))
 
 
 # ---------------------------------------------------------------- training table
@@ -276,7 +317,8 @@ def job_rating_eval(spark, sf_dir):
 
 _TRAIN_TABLE = f"""
 ex AS (SELECT pos AS e_pos, user_key AS "user", item_key AS item, explanation FROM explanations),
-rv AS (SELECT pos AS r_pos, user_key AS "user", item_key AS item, text, rating, coalesce(sub_value, 0) AS value
+rv AS (SELECT pos AS r_pos, user_key AS "user", item_key AS item, text, rating, coalesce(sub_value, 0) + coalesce(sub_location, 0)
+              + coalesce(sub_sleep_quality, 0) + coalesce(sub_rooms, 0) + coalesce(sub_cleanliness, 0) AS value
        FROM interactions),
 fj AS (SELECT * FROM (
          SELECT ex.*, rv.r_pos, rv.text, rv.rating, rv.value,
@@ -324,11 +366,11 @@ def training_table(spark, sf_dir, fit_ids_on: str = "all") -> DataFrame:
     rev = P.align_criteria(hotel_reviews(spark, sf_dir)).select(
         F.col("pos").alias("r_pos"), F.col("userID").alias("user"), F.col("hotelID").alias("item"),
         F.col("reviewText").alias("text"), "rating", *P.HOTEL_CRITERIA_COLUMNS)
-    first = P.keep_first(P.join_on_keys(ex, rev), ["user", "item"], ["e_pos", "r_pos"])
+    # the joined, deduplicated base feeds split, ids, two vocabularies, two
+    # encodings and the batches: materialise it once in the shared checkpoint folder
+    first = P.first_pairs(ex, rev, "e_pos", "r_pos").checkpoint()
     sp = X.exact_split(first.select("e_pos"), "e_pos", SEED)
-    # the joined, deduplicated base feeds ids, two vocabularies, two encodings
-    # and the batches: materialise it once in the shared checkpoint folder
-    first = first.join(sp, "e_pos").checkpoint(eager=True)
+    first = first.join(sp, "e_pos")
     basis = first if fit_ids_on == "all" else first.where(F.col("split") == "train")
     ids = X.first_seen_indexes(basis, ["user", "item"], "e_pos")
     t = X.lookup_join(X.lookup_join(first, ids["user"], "user"), ids["item"], "item")
@@ -338,7 +380,7 @@ def training_table(spark, sf_dir, fit_ids_on: str = "all") -> DataFrame:
     t = TK.encode(t, "e_pos", "explanation", tgt_vocab, TGT_LEN, "tgt_ids")
     t = P.criteria_vector(t)
     # epoch-0 shuffle inside each split, then batches of 64 consecutive rows
-    order = t.select("e_pos", "split", X.hash_order(SEED, 0, F.col("e_pos")).alias("_h"))
+    order = sp.select("e_pos", "split", X.hash_order(SEED, 0, F.col("e_pos")).alias("_h"))
     pos_in_split = X.dense_index_within(order, ["split"], ["_h", "e_pos"], "shuffle_idx").select("e_pos", "shuffle_idx")
     out = X.assign_batches(t.join(pos_in_split, "e_pos"), "shuffle_idx", BATCH)
     return out.select("e_pos", "user_idx", "item_idx", "src_ids", "tgt_ids", "criteria", "rating", "split", "batch_id")

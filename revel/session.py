@@ -7,7 +7,6 @@ do we pick a folder of our own and register it.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -45,74 +44,29 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, registering a local one only if unset."""
+    """Return the shared checkpoint folder, registering a local one only if unset
+    and the master is local."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # Local runs and tests only: nothing names a shared folder, so make one.
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="revel-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder for staged outputs."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    path = f"{base.rstrip('/')}/stage-{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
-        os.makedirs(path, exist_ok=True)
-    return path
-
-
-def spread(df, partitions: int | None = None):
-    """Round-robin ``df`` over ``partitions`` tasks (default: the cluster's
-    parallelism) ahead of CPU-heavy per-row work.
-
-    An explicit, visible shuffle -- nothing is inspected or executed to decide
-    it.  Operators never call this; the registered queries use it on the small
-    driver tables, which arrive as one file and hence one task.  Streaming
-    frames pass through (their micro-batches are split by the source)."""
-    if df.isStreaming:
-        return df
-    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
-
-
-def broadcast_if_small(df, max_rows: int, materialize: bool = True):
-    """Broadcast hint only when the row count is within ``max_rows``;
-    otherwise the plain frame, so the planner falls back to a shuffle join
-    instead of shipping an unbounded table.
-
-    The count is an action, so the table is first materialised in the shared
-    checkpoint folder (``materialize=True``): the count and the later join
-    read that copy instead of computing the table twice.  Pass
-    ``materialize=False`` for frames already backed by a checkpoint."""
-    from pyspark.sql import functions as F
-
-    if materialize:
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-_STAGED: dict[tuple, str] = {}
+    """A fresh path under the shared checkpoint folder for staged outputs."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def staged_input(spark: SparkSession, key: tuple, write) -> str:
-    """Path of a raw input derived from the given tables, written once per
-    application: ``write(path)`` runs on first use, later calls reuse the
-    files (the raw inputs of the reference's scripts are given files, not
-    part of the work being measured)."""
-    cache_key = (spark.sparkContext.applicationId, *key)
-    path = _STAGED.get(cache_key)
-    if path is not None and "://" not in path and not os.path.exists(path):
-        path = None  # local copy removed since: write it again
-    if path is None:
-        path = scratch_dir(spark, "input") + "/data"
-        write(path)
-        _STAGED[cache_key] = path
+    """Path of a raw input derived from the given tables: ``write(path)`` fills
+    a fresh folder (the raw inputs of the reference's scripts are given files)."""
+    path = f"{scratch_dir(spark, 'input-' + str(key[0]))}/data"
+    write(path)
     return path

@@ -26,40 +26,53 @@ def _user_item(e: DataFrame):
     )
 
 
-def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review side: pos, user_key, item_key, text, rating, sub_value, sub_service."""
+#: The six sub-ratings of a review: absent where ``pos`` divides by the first
+#: number, else one to five by the second.
+SUB_RATINGS = {"sub_value": (4, 2), "sub_location": (6, 3), "sub_sleep_quality": (7, 5), "sub_rooms": (9, 7),
+               "sub_cleanliness": (10, 11), "sub_service": (3, 13)}
+
+
+def _sub_rating_sql(name: str, div: str) -> str:
+    absent, step = SUB_RATINGS[name]
+    return (f"CASE WHEN pos % {absent} = 0 THEN NULL ELSE cast(1 + (pos {div} {step}) % 5 AS double) END AS {name}")
+
+
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of the review side without its texts: pos, user_key, item_key, rating.
+    The rating comes from the event's value, not from what picks the text."""
     e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("pos"), *_user_item(e),
+                    (1 + F.round(F.col("value") * 100).cast("long") % 5).cast("double").alias("rating"))
+
+
+def _rows_in(df: DataFrame) -> int:
+    return max(1, df.count())
+
+
+def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review side: pos, user_key, item_key, text, rating and six sub-ratings.
+    Events walk through all documents, again and again."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ev = e.select(
-        F.col("event_id").alias("pos"), *_user_item(e),
-        (F.col("event_id") % 200).alias("_doc"),
-    )
-    sub_value = F.when((F.col("pos") * 7) % 4 == 0, F.lit(None)).otherwise((1 + (F.col("pos") * 7) % 5).cast("double"))
-    sub_service = F.when((F.col("pos") * 11) % 3 == 0, F.lit(None)).otherwise((1 + (F.col("pos") * 11) % 5).cast("double"))
-    return (
-        ev.join(d, ev._doc == d.doc_id, "inner")
-        .select(
-            "pos", "user_key", "item_key", "text",
-            (1 + F.col("pos") % 5).cast("double").alias("rating"),
-            sub_value.cast("double").alias("sub_value"),
-            sub_service.cast("double").alias("sub_service"),
-        )
-    )
+    ev = keys(spark, sf_dir).withColumn("_doc", F.col("pos") % _rows_in(d))
+    joined = ev.join(d, ev._doc == d.doc_id, "inner")
+    return joined.select("pos", "user_key", "item_key", "text", "rating",
+                         *[F.expr(_sub_rating_sql(n, "div")) for n in SUB_RATINGS])
 
 
 def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Explanation records: pos, user_key, item_key, rating, explanation (NULL = malformed), attribute."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "click"))
+    """Explanation records: pos, user_key, item_key, rating, explanation (NULL = malformed), attribute.
+    Events walk through all benchmark texts; a few records name a user without reviews."""
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    ev = e.select(
-        F.col("event_id").alias("pos"), *_user_item(e),
-        F.col("event_type").alias("attribute"), (F.col("event_id") % 40).alias("_bench"),
-    )
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("attribute"), "user_id", "props",
+                                              (1 + F.round(F.col("value") * 100).cast("long") % 5).cast("double").alias("rating"))
+    user, item = _user_item(e)
+    unknown = F.concat(F.lit("x"), F.col("user_id").cast("string"))
+    ev = e.select("pos", F.when(F.col("pos") % 11 == 5, unknown).otherwise(user).alias("user_key"), item, "rating", "attribute",
+                  (F.col("pos") % _rows_in(b)).alias("_bench"))
     return (
         ev.join(b, ev._bench == b.item_id, "inner")
         .select(
-            "pos", "user_key", "item_key",
-            (1 + F.col("pos") % 5).cast("double").alias("rating"),
+            "pos", "user_key", "item_key", "rating",
             F.when(F.col("pos") % 50 == 0, F.lit(None).cast("string")).otherwise(F.col("text")).alias("explanation"),
             "attribute",
         )
@@ -84,7 +97,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("b_conv"), F.col("turn").alias("b_turn"), F.col("text").alias("generated"))
     return (
         a.join(b, (b.b_conv == a.conv_id) & (b.b_turn == a.turn + 1), "inner")
-        .select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "reference", "generated")
+        .select((F.col("conv_id") * 1000000 + F.col("turn")).alias("pair_id"), "reference", "generated")
     )
 
 
@@ -121,23 +134,26 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The same views as SQL text for the DuckDB oracle (valid in both engines).
 FIXTURE_SQL = {
-    "interactions": """
-SELECT e.event_id AS pos, concat('u', cast(e.user_id AS string)) AS user_key,
-       concat('i', regexp_extract(e.props, '([0-9]+)', 1)) AS item_key,
-       d.text AS text, cast(1 + e.event_id % 5 AS double) AS rating,
-       CASE WHEN (e.event_id * 7) % 4 = 0 THEN NULL ELSE cast(1 + (e.event_id * 7) % 5 AS double) END AS sub_value,
-       CASE WHEN (e.event_id * 11) % 3 = 0 THEN NULL ELSE cast(1 + (e.event_id * 11) % 5 AS double) END AS sub_service
-FROM events e JOIN documents d ON d.doc_id = e.event_id % 200""",
+    "keys": """
+SELECT event_id AS pos, concat('u', cast(user_id AS string)) AS user_key,
+       concat('i', regexp_extract(props, '([0-9]+)', 1)) AS item_key,
+       cast(1 + cast(round(value * 100) AS bigint) % 5 AS double) AS rating
+FROM events""",
+    "interactions": f"""
+SELECT k.*, d.text, {", ".join(_sub_rating_sql(n, "//") for n in SUB_RATINGS)}
+FROM (SELECT event_id AS pos, concat('u', cast(user_id AS string)) AS user_key,
+             concat('i', regexp_extract(props, '([0-9]+)', 1)) AS item_key,
+             cast(1 + cast(round(value * 100) AS bigint) % 5 AS double) AS rating FROM events) k
+JOIN documents d ON d.doc_id = k.pos % (SELECT count(*) FROM documents)""",
     "explanations": """
-SELECT e.event_id AS pos, concat('u', cast(e.user_id AS string)) AS user_key,
+SELECT e.event_id AS pos, concat(CASE WHEN e.event_id % 11 = 5 THEN 'x' ELSE 'u' END, cast(e.user_id AS string)) AS user_key,
        concat('i', regexp_extract(e.props, '([0-9]+)', 1)) AS item_key,
-       cast(1 + e.event_id % 5 AS double) AS rating,
+       cast(1 + cast(round(e.value * 100) AS bigint) % 5 AS double) AS rating,
        CASE WHEN e.event_id % 50 = 0 THEN NULL ELSE b.text END AS explanation,
        e.event_type AS attribute
-FROM events e JOIN benchmark b ON b.item_id = e.event_id % 40
-WHERE e.event_type IN ('purchase', 'click')""",
+FROM events e JOIN benchmark b ON b.item_id = e.event_id % (SELECT count(*) FROM benchmark)""",
     "pairs": """
-SELECT a.conv_id * 1000 + a.turn AS pair_id, a.text AS reference, b.text AS generated
+SELECT a.conv_id * 1000000 + a.turn AS pair_id, a.text AS reference, b.text AS generated
 FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
 WHERE a.role = 'user' AND b.role = 'assistant'""",
     "predictions": """

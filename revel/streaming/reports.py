@@ -13,22 +13,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revel.functions.text import strip
 from revel.operators.metrics import nonempty_pairs, pair_scores
 from revel.session import scratch_dir
-from revel.sources.readers import REPORT_PATTERN, REPORT_SEPARATOR
+from revel.sources.readers import REPORT_SEPARATOR, report_pairs
 
 
 def report_stream(spark: SparkSession, in_dir: str, max_files_per_trigger: int = 100) -> DataFrame:
     """Streaming DataFrame of (file, reference, generated) records."""
     raw = (spark.readStream.format("text").option("lineSep", REPORT_SEPARATOR)
            .option("maxFilesPerTrigger", max_files_per_trigger).load(in_dir))
-    rec = raw.where(F.col("value").rlike(r"(?s)Ground Truth:.*\nGenerated:"))
-    return rec.select(
-        F.col("_metadata.file_path").alias("file"),
-        strip(F.regexp_extract("value", REPORT_PATTERN, 1)).alias("reference"),
-        strip(F.regexp_extract("value", REPORT_PATTERN, 2)).alias("generated"),
-    )
+    raw = raw.select("value", F.col("_metadata.file_path").alias("file"))
+    return report_pairs(raw).select("file", "reference", "generated")
 
 
 def score_reports(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str | None = None,

@@ -134,9 +134,27 @@ def test_generation_length_rule_without_end_token(spark):
 
 def test_embed_batches_hook(spark):
     df = spark.createDataFrame([(1, "clean room"), (2, None)], "k int, text string")
-    rows = {r.k: r.vec for r in V.embed_batches(df, "text", V.hashed_bow_encoder(8), 8).collect()}
-    assert len(rows[1]) == 8 and abs(sum(x * x for x in rows[1]) - 1.0) < 1e-9
-    assert rows[2] == [0.0] * 8
+    rows = {r.k: r.vec for r in V.embed_batches(df, "text", lambda texts: [[float(len(t))] * 8 for t in texts], 8).collect()}
+    assert rows == {1: [10.0] * 8, 2: [0.0] * 8}
+
+
+def test_hashed_text_counts_md5_buckets(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(1, "clean Room clean"), (2, None), (3, "")], "k int, text string")
+    rows = {r.k: r.vec for r in df.select("k", V.hashed_text("text", 8).alias("vec")).collect()}
+    want = [0.0] * 8
+    for w in ("clean", "room", "clean"):
+        want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8] += 1
+    n = sum(x * x for x in want) ** 0.5
+    assert rows[1] == pytest.approx([x / n for x in want]) and rows[2] == rows[3] == [0.0] * 8
+
+
+def test_norm_is_computed_once(spark):
+    df = spark.createDataFrame([([3.0, 4.0],)], "v array<double>")
+    out = V.l2_normalize(df, "v", "u")
+    assert out.first().u == [0.6, 0.8]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
 
 
 def test_dense_index_within_groups(spark):

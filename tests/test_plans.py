@@ -10,13 +10,29 @@ def _plan(df) -> str:
 
 
 def test_fixture_scan_pushes_filter_and_prunes_columns(spark):
-    plan = _plan(fx.explanations(spark, SF_SMALL).select("pos", "item_key"))
-    assert "PushedFilters: [IsNotNull(event_type), In(event_type, [click,purchase])]" in plan or \
-        "In(event_type, [click,purchase])" in plan
+    plan = _plan(fx.explanations(spark, SF_SMALL).where("attribute = 'click'").select("pos", "item_key"))
+    assert "EqualTo(event_type,click)" in plan
     events_scan = [line for line in plan.splitlines() if "events.parquet" in line or "ReadSchema" in line]
     assert all("value" not in line and "ts:" not in line for line in events_scan)
 
 
+def test_first_pairs_of_a_hot_key_stay_linear(spark):
+    left = spark.range(10_000).selectExpr("id AS e_pos", "'u' AS user", "'i' AS item")
+    right = spark.range(10_000).selectExpr("id + 5 AS r_pos", "'u' AS user", "'i' AS item", "cast(id AS string) AS text")
+    out = P.first_pairs(left, right, "e_pos", "r_pos")
+    assert [tuple(r) for r in out.select("e_pos", "r_pos", "text").collect()] == [(0, 5, "0")]
+    plan = _plan(out)
+    assert plan.index("Join") < plan.index("Aggregate")  # the join stands above: it sees one row a key
+
+
+def test_no_forced_shuffle_in_text_metrics(spark):
+    from revel.plans.catalog import QUERIES
+
+    assert "RoundRobinPartitioning" not in _plan(QUERIES["met_bleu_4"](spark, SF_SMALL))
+    enc = _plan(QUERIES["tok_encode"](spark, SF_SMALL))
+    assert "REPARTITION" not in enc
+
+
 def test_keep_first_reuses_join_partitioning(spark):
     prev = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
     spark.conf.set("spark.sql.adaptive.enabled", "false")

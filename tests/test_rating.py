@@ -1,51 +1,47 @@
-"""Invariants of the MLlib re-aimed rating keys (no SQL oracle for model fits)."""
+"""What must hold of the fitted rating models, beside the invariants of the catalog."""
 
 import math
 
 import pytest
-
-import __spark_entry__ as E
-from tests.conftest import SF_SMALL
-
-Q = E.queries()
-
-
-def test_rating_eval_invariants(spark):
-    rows = {r.use_review_text: r for r in Q["job_rating_eval"](spark, SF_SMALL).collect()}
-    assert set(rows) == {True, False}
-    for r in rows.values():
-        assert r.n > 0
-        assert r.rmse == pytest.approx(math.sqrt(r.mse))
-        assert 0 <= r.mae <= r.rmse + 1e-12
-
-
-def test_test_frame_has_finite_predictions_for_every_test_row(spark):
-    tf = Q["rate_test_frame"](spark, SF_SMALL).collect()
-    assert tf and all(r.pred is not None and math.isfinite(r.pred) for r in tf)
-
-
-def test_criteria_predictions(spark):
-    rows = Q["rate_criteria"](spark, SF_SMALL).collect()
-    assert rows and all(r.n_criteria == 5 for r in rows)
-
-
-def test_factors_rank(spark):
-    rows = Q["rate_user_item_factors"](spark, SF_SMALL).collect()
-    assert rows and all(r.rank == 8 for r in rows)
-
-
-def test_text_vectors(spark):
-    rows = Q["vec_embed_text"](spark, SF_SMALL).collect()
-    assert rows and all(len(r.vec) == 16 and all(math.isfinite(x) for x in r.vec) for r in rows)
-
-
-def test_aspect_vectors_staged(spark):
-    rows = Q["vec_aspect_embed"](spark, SF_SMALL).collect()
-    assert len(rows) == 18 and {r.domain for r in rows} == {"trip", "yelp", "amzMT"}
-    assert all(len(r.vec) == 16 for r in rows)
-
-
-def test_rating_fit_is_reproducible(spark):
-    a = {r.pos: r.pred for r in Q["rate_test_frame"](spark, SF_SMALL).collect()}
-    b = {r.pos: r.pred for r in Q["rate_test_frame"](spark, SF_SMALL).collect()}
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+from pyspark.sql import functions as F
+
+from revel.operators import metrics as M
+from revel.operators import rating as RT
+from revel.plans import q_vectors as Q
+
+
+@pytest.fixture(scope="module")
+def ratings(spark):
+    """Ratings of a user taste plus an item level, with a text vector that tells the item level."""
+    rows = [(u * 40 + i, u, i, float(1 + (u % 3) + (i % 2)), [float(i % 2), 1.0], "test" if (u * 7 + i) % 10 == 0 else "train",
+             float(1 + i % 5)) for u in range(60) for i in range(40)]
+    rows += [(10_000, 999, 1, 3.0, [1.0, 1.0], "test", 1.0), (10_001, 1, 999, 3.0, [1.0, 1.0], "test", 1.0)]
+    return spark.createDataFrame(rows, "pos long, user_idx long, item_idx long, rating double, text_vec array<double>, split string, value double")
+
+
+def test_predictions_beat_the_mean_and_cold_start_gets_it(spark, ratings):
+    als = RT.fit_factors(ratings.where("split = 'train'"))
+    got = {t: Q._test_frame(ratings, als, t) for t in (True, False)}
+    mean = ratings.where("split = 'train'").agg(F.avg("rating")).first()[0]
+    base = math.sqrt(ratings.where("split = 'test'").agg(F.avg((F.col("rating") - mean) ** 2)).first()[0])
+    for frame in got.values():
+        assert frame.count() == ratings.where("split = 'test'").count()
+        assert M.rating_errors(frame).first().rmse < 0.5 * base
+        cold = {r.pos: r.pred for r in frame.where("pos >= 10000").collect()}
+        assert cold == pytest.approx({10_000: mean, 10_001: mean})
+
+
+def test_factors_of_users_and_items_and_refit(spark, ratings):
+    train = ratings.where("split = 'train'")
+    a, b = ({(r.kind, r.id): r.features for r in RT.all_factors(RT.fit_factors(train)).collect()} for _ in range(2))
+    assert {k for k, _ in a} == {"user", "item"} and len(a) == 100 and all(len(v) == 8 for v in a.values())
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)
+
+
+def test_criteria_of_unseen_ids_are_the_means(spark, ratings):
+    feats = RT.factor_features(ratings, RT.fit_factors(ratings.where("split = 'train'")))
+    models = RT.fit_criteria(feats.where("split = 'train'"), ["value", "rating"])
+    out = {r.pos: r.pred_criteria for r in RT.predict_criteria(models, feats.where("split = 'test'")).collect()}
+    assert len(out) == ratings.where("split = 'test'").count() and all(len(v) == 2 for v in out.values())
+    means = ratings.where("split = 'train'").agg(F.avg("value"), F.avg("rating")).first()
+    assert out[10_000] == pytest.approx(list(means))

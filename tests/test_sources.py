@@ -137,6 +137,55 @@ def test_report_round_trip(spark, tmp_dir):
                            ("any", "...")])
 
 
+@pytest.mark.parametrize("text, want", [
+    ("Report of run 3\nGround Truth: a\nGenerated: b\n" + "-" * 40 + "\n", [("a", "b")]),
+    ("Ground Truth: a\nGenerated: b\n" + "-" * 40, [("a", "b")]),
+    ("Ground Truth: a\nGenerated: b\n" + "-" * 30 + "\nGround Truth: c\nGenerated: d\n" + "-" * 40 + "\n", [("a", "b"), ("c", "d")]),
+    ("Ground Truth: a\nGenerated: b\n- bullet\n" + "-" * 40 + "\n", [("a", "b")]),
+])
+def test_report_finds_the_pairs_of_the_record_pattern(spark, tmp_dir, text, want):
+    import re
+
+    from revel.functions.text import PAIR_PATTERN
+
+    assert [(a.strip(), b.strip()) for a, b in re.findall(PAIR_PATTERN, text)] == want
+    _write(f"{tmp_dir}/rep/report.txt", text)
+    assert sorted(tuple(r) for r in R.read_report(spark, f"{tmp_dir}/rep").collect()) == want
+
+
+def test_missing_report_and_log(spark, tmp_dir):
+    assert R.read_report(spark, f"{tmp_dir}/none", missing_ok=True).count() == 0
+    assert R.read_run_log(spark, f"{tmp_dir}/none", missing_ok=True).count() == 0
+    with pytest.raises(Exception):
+        R.read_report(spark, f"{tmp_dir}/none").count()
+
+
+def test_any_literal_tuple_is_read_as_data(spark):
+    import ast
+
+    texts = ["('a', \"it's\", 'x', 1)", "('a', None, 'good', 5)", "['a', True, 'line\\nbreak \\\\ and \\'q\\'', -1.5e3]", '["j", 1, null, true]',
+             "()", "('a',)", "('a', ['nested'])", "open('x')", "('a' 'b')"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: r.v for r in df.select("id", P.parse_template_string("t").alias("v")).collect()}
+    for k in (0, 1, 2, 4, 5):
+        assert got[k] == [None if x is None else str(x).replace("1500.0", "1.5e3") for x in ast.literal_eval(texts[k])], texts[k]
+    assert got[3] == ["j", "1", None, "true"] and got[6] is None and got[7] is None and got[8] is None
+
+
+def test_fixtures_reach_every_document_and_benchmark_text(spark):
+    from revel.sources import fixtures as fx
+
+    for sf in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        docs, bench = (fx.table(spark, sf, t) for t in ("documents", "benchmark"))
+        assert fx.keys(spark, sf).selectExpr(f"count(DISTINCT pos % {docs.count()})").first()[0] == docs.count()
+        assert fx.keys(spark, sf).selectExpr(f"count(DISTINCT pos % {bench.count()})").first()[0] == bench.count()
+    sf = "/root/testdata/sf0.01"
+    docs = fx.table(spark, sf, "documents")
+    assert fx.interactions(spark, sf).select("text").distinct().count() == docs.select("text").distinct().count()
+    assert fx.explanations(spark, sf).where("explanation is not null").select("explanation").distinct().count() == \
+        fx.table(spark, sf, "benchmark").select("text").distinct().count()
+
+
 def test_run_log_both_spellings(spark, tmp_dir):
     log = "\n".join([
         "Loading data", "Epoch 1, Train Loss: 5.1000, Val Loss: 5.0000", "Best model saved!",

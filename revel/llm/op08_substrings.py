@@ -6,11 +6,13 @@ string also starts in a document with a smaller id.
 Sorting the suffixes of a whole corpus would shuffle each byte many times, so
 the suffixes are first dealt to buckets that can hold equal ones:
 
+0. *Copies.*  A text equal to that of a smaller document is a repeat throughout;
+   it is known by its hash and takes no part in what follows.
 1. *Anchors.*  Of the ``GRAM``-byte strings inside a window of ``length`` bytes the
    one with the least hash is its anchor (the leftmost, of equals).  Equal
-   windows have equal anchors at equal places, and one position in seventeen
-   is an anchor.  Anchors are shuffled by their hash; those that only one
-   document has are done with.
+   windows have equal anchors at equal places, and one position in fifteen is
+   an anchor.  Anchors are shuffled by the first bits of their hash, seven more
+   than it takes to number them; those that only one document has are done with.
 2. *Suffix sorting.*  The windows of each remaining anchor (a *block* of bytes
    around it) are dealt by the anchor's hash.  Within a task the suffixes at
    the windows' starts are sorted by bucket-pointer refinement: the initial
@@ -22,8 +24,8 @@ the suffixes are first dealt to buckets that can hold equal ones:
 
 An anchor that very many documents share costs a task one shuffled row and one
 block of each kind for a run of documents, not one for each document: copies
-met within the run are known to be repeats there.  Texts are shuffled once (the
-exchange is shared by steps 2 and 3).
+met within the run are known to be repeats there.  Texts are shuffled once,
+compressed (the exchange is shared by steps 1, 2 and 3).
 
 Defined results: a null text is empty; texts shorter than ``length`` bytes lose
 nothing; rows with one id are one document (equal strings in them remove
@@ -39,12 +41,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revel.llm import arrays as A
+from revel.llm.jobs import text_bytes
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 20
 #: bytes of text whose anchors are compared before they are shuffled
 RUN_BYTES = 16 << 20
 #: blocks that are suffix-sorted at once (more only if one anchor has more)
@@ -99,17 +103,23 @@ def _runs(buf: np.ndarray, off: np.ndarray, ids: np.ndarray, length: int):
         yield i + row, h, first + off[i], end + off[i]
 
 
-def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """``id, grams``: the anchor hashes of each document that another document has too."""
+def hash_bits(text_bytes: int) -> int:
+    """Bits by which anchors are compared: one in about a hundred is then taken
+    for shared by chance, which costs work, not correctness."""
+    return min(63, max(16, (text_bytes // 16).bit_length() + 7))
+
+
+def shared_anchors(docs: DataFrame, length: int, bits: int) -> DataFrame:
+    """``id, grams``: the anchor hashes (first bits) of each document that another document has too."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            buf, off = A.utf8(batch.column(1))
+            buf, off = unpacked(batch.column(1))
             for row, h, first, _ in _runs(buf, off, ids, length):
-                held.append((h.view(np.int64), ids[row]))
+                held.append(((h >> A.U64(64 - bits)).view(np.int64), ids[row]))
                 size += len(h)
                 if size * 16 >= RUN_BYTES:
                     yield from compared(held)
@@ -140,7 +150,28 @@ def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
     return found.groupBy("id").agg(F.collect_list("gram").alias("grams"))
 
 
-def blocks(texts: DataFrame, length: int) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
+    """``id, text`` with the text compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(3)
+        for batch in batches:
+            buf, off = A.utf8(batch.column(1))
+            raw = buf.tobytes()
+            texts = [zip_.compress(raw[a:b]) if b > a else None for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["id", "text"])
+
+    return docs.mapInArrow(run, "id long, text binary")
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of compressed texts."""
+    unzip = zstandard.ZstdDecompressor()
+    texts = [unzip.decompress(x) if x else b"" for x in column.to_pylist()]
+    return np.frombuffer(b"".join(texts), np.uint8), A.bounds(np.array([len(x) for x in texts], np.int64))
+
+
+def blocks(texts: DataFrame, length: int, bits: int) -> DataFrame:
     """``gram, id, start, windows, block`` of the shared anchors (rows ``id, text, grams``).
 
     Within a run of documents the copies of a block of a smaller document are
@@ -149,13 +180,14 @@ def blocks(texts: DataFrame, length: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = pa.compute.fill_null(batch.column(0), 0).to_numpy()
-            buf, off = A.utf8(batch.column(1))
+            buf, off = unpacked(batch.column(1))
             lists = batch.column(2)
             grams, at = lists.flatten().to_numpy().view(A.U64), A.bounds(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64))
             for i, j, b, o in A.chunks(buf, off, 4 << 20):
                 if at[j] == at[i]:
                     continue
                 place, h, first, end = anchors(b, o, length)
+                h >>= A.U64(64 - bits)
                 row = np.searchsorted(o, first, side="right") - 1
                 # anchors whose (row, hash) is wanted
                 want = grams[at[i]:at[j]]
@@ -175,7 +207,7 @@ def blocks(texts: DataFrame, length: int) -> DataFrame:
                 size = np.where(copy, 0, end + length - 1 - first)
                 raw = pa.py_buffer(np.ascontiguousarray(b[A.ragged(first, size)]))
                 binary = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(A.bounds(size).astype(np.int32)), raw])
-                gram = np.where(copy, A.mix(doc.astype(A.U64)), h).view(np.int64)
+                gram = np.where(copy, A.mix(doc.astype(A.U64)) >> A.U64(64 - bits), h).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(doc), pa.array((first - o[row]).astype(np.int32)),
                                                   pa.array((end - first).astype(np.int32)), binary], names)
 
@@ -221,8 +253,16 @@ def repeated_windows(doc: np.ndarray, windows: np.ndarray, buf: np.ndarray, off:
     return out
 
 
-def removed_spans(found: DataFrame, length: int) -> DataFrame:
-    """``id, spans``: byte spans to remove, each packed as ``start << 32 | size``."""
+def copies(docs: DataFrame) -> DataFrame:
+    """``id, n_bytes`` of documents whose text a smaller one has too (of ids with one text)."""
+    keyed = docs.where("id is not null and text is not null").select("id", F.md5("text").alias("h"), F.octet_length("text").alias("n"))
+    first = keyed.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last")
+    one = keyed.groupBy("id").agg(F.min("h").alias("h"), F.max("h").alias("g"), F.max("n").alias("n")).where("h = g")
+    return one.join(first, "h").where("id > first").select("id", F.col("n").cast("long").alias("n_bytes"))
+
+
+def repeated_spans(found: DataFrame, length: int) -> DataFrame:
+    """``id, span``: byte spans to remove, each packed as ``start << 32 | size``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -251,15 +291,19 @@ def removed_spans(found: DataFrame, length: int) -> DataFrame:
         first = start[row] + (a - at[row])
         return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((first << 32) | (e - a + length - 1))], ["id", "span"])
 
-    rows = found.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "id long, span long")
-    return rows.groupBy("id").agg(F.collect_list("span").alias("spans"))
+    return found.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "id long, span long")
 
 
 def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, text, spans`` of every row; spans may overlap."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    wanted = texts.join(shared_anchors(texts, length), "id", "left").select("id", "text", "grams")
-    return texts.join(removed_spans(blocks(wanted, length), length), "id", "left").select("id", "text", "spans")
+    """``id, text, spans`` of every row, texts compressed; spans may overlap."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    bits, texts = hash_bits(text_bytes(docs, "text")), packed(docs)
+    again = copies(docs)
+    grams = shared_anchors(texts.join(again, "id", "left_anti"), length, bits)
+    wanted = texts.join(grams, "id", "left").select("id", "text", "grams")
+    spans = repeated_spans(blocks(wanted, length, bits), length)
+    spans = spans.unionByName(again.where(F.col("n_bytes") >= length).select("id", F.col("n_bytes").alias("span")))
+    return texts.join(spans.groupBy("id").agg(F.collect_list("span").alias("spans")), "id", "left").select("id", "text", "spans")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -267,7 +311,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = A.utf8(batch.column(1))
+            buf, off = unpacked(batch.column(1))
             out: list[list] = [[] for _ in names[1:]]
             lists = batch.column(2)
             spans, at = lists.flatten().to_numpy(), A.bounds(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64))

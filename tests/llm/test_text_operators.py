@@ -220,9 +220,9 @@ def test_substrings_edges(spark):
 
 def test_refinement_tells_suffixes_apart():
     buf = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz" * 4, np.uint8)
-    where = np.arange(len(buf) - 15)
-    code = A.slice_hash(A.prefix_hash(buf), where, where + 16)
-    live, head = substrings.refined(code, np.array([0, 1, 26, 30, 52]), [16, 32, 34])
+    where = np.arange(len(buf) - substrings.GRAM + 1)
+    code = A.slice_hash(A.prefix_hash(buf), where, where + substrings.GRAM)
+    live, head = substrings.refined(code, np.array([0, 1, 26, 30, 52]), [20, 30])
     assert sorted(live.tolist()) == [0, 2, 4] and len(head) == 1
 
 

@@ -3,23 +3,25 @@
 A document's set holds its distinct word shingles, as 64-bit hashes.  Equal
 sets form a class; the join works on classes.
 
-*Order.*  Shingles are ordered from rare to common by a table of 2^18 counters
+*Order.*  Shingles are ordered from rare to common by a table of 2^21 counters
 over all documents' shingles (its size is fixed; each shingle has a counter,
 shared with others), then by hash.
 
 *Prefixes.*  Of ``n`` shingles a similar set shares at least ``a = ceil(t n)``;
 so two similar sets share ``l`` or more of the first ``n - a + l`` of each.
 Every set takes the ``l`` (1 to ``MOST_MATCHES``) with the least estimated cost
-of looking up its prefix's lists and verifying what shares ``l`` of them; a
-pair is verified when it shares as many prefix shingles as the lesser ``l`` of
+of looking up its prefix's lists and verifying what shares ``l`` of them (a
+share of the entries that falls with the square of ``l``); a pair is verified when it shares as many prefix shingles as the lesser ``l`` of
 its two sides asks.
 
 *No pairs within a group.*  Near copies would give all pairs of their group, so
-the join takes two passes.  First, each set is compared only with the smallest
+the join takes rounds.  First, each set is compared only with the smallest
 class of each of its prefix shingles, and the verified links are closed to
 components.  Then pairs with a common prefix shingle are enumerated between
-*different* components only.  Every link either is verified or joins two sets
-that verified links already connect, so the components are exact.
+*different* components only: a hashed share of the pairs of components, whose
+links merge many of them, and then all that are left.  Every link
+either is verified or joins two sets that verified links already connect, so
+the components are exact.
 
 A shingle on very many sets is dealt to ``SALTS`` groups, each with its own
 smallest class, and these are compared with the smallest of all.
@@ -37,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,13 +48,18 @@ from revel.llm.components import components
 from revel.llm.jobs import schema, written
 
 WORDS, PERCENT = 5, 80
-COUNTER_BITS, WIDTH = 18, 64
+COUNTER_BITS, WIDTH = 21, 64
 MOST_MATCHES = 4
 #: cost of verifying a candidate, in looked-up list entries
 VERIFY = 20.0
+#: sets that share a shingle by chance, where the counters show no more
+CHANCE = 0.05
 #: estimated sets from which a shingle's list is salted, and into how many parts
 HOT, SALTS = 20_000, 64
-KEPT_SETS = 512
+#: classes of a side of a block of pairs
+BLOCK_SETS = 2000
+#: one in so many pairs of components is compared in each round; the last takes all that are left
+SHARES = (16, 1)
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -80,20 +88,23 @@ def count_table(docs: DataFrame, text_col: str = "text", words: int = WORDS) ->
         for batch in batches:
             buf, off = A.utf8(batch.column(0))
             for _, _, b, o in A.chunks(buf, off):
-                for s in [np.concatenate([*shingle_sets(b, o, words), np.zeros(0, A.U64)])]:
-                    sums += np.bincount((s >> A.U64(64 - COUNTER_BITS)).astype(np.int64), minlength=n)
+                s = np.concatenate([*shingle_sets(b, o, words), np.zeros(0, A.U64)])
+                np.add.at(sums, (s >> A.U64(64 - COUNTER_BITS)).astype(np.int64), 1)
         if sums.any():
             table = sums.reshape(-1, WIDTH)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table), dtype=np.int32)), *(pa.array(c) for c in table.T)], names)
+            block = np.flatnonzero(table.any(axis=1))
+            for s in range(0, len(block), 4096):
+                own = block[s:s + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(c) for c in table[own].T)], names)
 
     names = ["block", *(f"c{k}" for k in range(WIDTH))]
     parts = docs.select(text_col).mapInArrow(count, "block int, " + ", ".join(f"c{k} long" for k in range(WIDTH)))
-    # 2^18 numbers, whatever the input
-    rows = parts.groupBy("block").agg(*(F.sum(c).alias(c) for c in names[1:])).collect()
+    # 2^21 numbers, whatever the input
+    sums = parts.groupBy("block").agg(*(F.sum(c).alias(c) for c in names[1:])).toArrow()
     out = np.zeros((n // WIDTH, WIDTH), np.int64)
-    for r in rows:
-        out[r[0]] = r[1:]
-    return out.ravel()
+    for k, name in enumerate(names[1:]):
+        out[sums.column(0).to_numpy(), k] = sums.column(name).to_numpy()
+    return out.ravel().astype(np.int32) if out.max(initial=0) < 1 << 31 else out.ravel()
 
 
 def prefix(s: np.ndarray, counts: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int, int]:
@@ -109,11 +120,11 @@ def prefix(s: np.ndarray, counts: np.ndarray, noise: float, percent: int) -> tup
     else:
         pick = np.arange(n)
     order = pick[np.lexsort((s[pick], c[pick]))][:longest]
-    lists = np.maximum(c[order] - noise, 0.0)
+    lists = np.maximum(c[order] - noise, CHANCE)
     upto = np.cumsum(lists)
     matches = np.arange(1, longest - (n - share) + 1)
     ends = n - share + matches
-    cost = upto[ends - 1] + VERIFY * upto[ends - 1] / matches
+    cost = ends + upto[ends - 1] + VERIFY * upto[ends - 1] / matches**2
     best = int(np.argmin(cost))
     end = int(ends[best])
     return s[order[:end]], int(matches[best]), int((lists[:end] >= HOT).sum())
@@ -157,35 +168,55 @@ def _similar_sizes(percent: int):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """``a, b, linked`` of each pair of classes, from the whole texts."""
+    """``a, b, linked`` of each pair of classes (``a, b, shingle``), from the whole texts.
+
+    Pairs are dealt in blocks: those of one shingle, cut into blocks of about
+    ``BLOCK_SETS`` classes a side where it has more.  A text goes to a block once,
+    not once for each of its pairs."""
+    sides = pairs.select("shingle", F.col("a").alias("class")).unionByName(pairs.select("shingle", F.col("b").alias("class")))
+    cuts = sides.distinct().groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("cuts"))
+    cut = {c: F.pmod(F.xxhash64(c), F.col("cuts")) for c in "ab"}
+    dealt = pairs.join(cuts, "shingle").select(F.xxhash64("shingle", F.least(cut["a"], cut["b"]), F.greatest(cut["a"], cut["b"])).alias("block"), "a", "b")
+    needed = dealt.select("block", F.col("a").alias("class")).unionByName(dealt.select("block", F.col("b").alias("class"))).distinct()
+    sent = needed.join(texts, "class").select("block", F.col("class").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = sent.unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows of a block: its texts, then its pairs
         kept: dict[int, np.ndarray] = {}
+        now = None
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for side in (0, 1):
-                codes, column = (a, b)[side], batch.column(2 + side)
-                new = {int(c): k for k, c in enumerate(codes.tolist()) if c not in kept}
-                if new:
-                    buf, off = A.utf8(column.take(pa.array(list(new.values()))))
-                    done = []
-                    for _, _, x, o in A.chunks(buf, off):
-                        done += list(shingle_sets(x, o, words))
-                    kept.update(zip(new, done))
-            linked = np.zeros(len(a), bool)
-            for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-                s, t = kept[x], kept[y]
+            block, a = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            b = batch.column(2)
+            is_text = np.asarray(b.is_null())
+            b = pa.compute.fill_null(b, 0).to_numpy()
+            buf, off = A.utf8(batch.column(3).filter(pa.array(is_text)))
+            sets = iter([x for _, _, t, o in A.chunks(buf, off) for x in shingle_sets(t, o, words)])
+            linked = np.zeros(batch.num_rows, bool)
+            for k in range(batch.num_rows):
+                if block[k] != now:
+                    kept, now = {}, block[k]
+                if is_text[k]:
+                    kept[int(a[k])] = next(sets)
+                    continue
+                s, t = kept[int(a[k])], kept[int(b[k])]
                 both = np.concatenate([s, t])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 linked[k] = 100 * common >= percent * (len(both) - common)
-            if len(kept) > KEPT_SETS:
-                kept = dict(list(kept.items())[-KEPT_SETS:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], ["a", "b", "linked"])
+            pair = ~is_text
+            yield pa.RecordBatch.from_arrays([pa.array(a[pair]), pa.array(b[pair]), pa.array(linked[pair])], ["a", "b", "linked"])
 
-    rows = pairs.select("a", "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a")
-    rows = rows.join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return rows.mapInArrow(check, "a long, b long, linked boolean")
+    return rows.repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long, linked boolean")
+
+
+def _relabelled(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``class, label`` after the linked pairs have joined their components."""
+    links = pairs.where("linked").join(labels.select(F.col("class").alias("a"), F.col("label").alias("la")), "a")
+    links = links.join(labels.select(F.col("class").alias("b"), F.col("label").alias("lb")), "b")
+    merged = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    new = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    return written(new.select("class", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -208,36 +239,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = {side: info.select(F.col("class").alias(side), F.col("n").alias(f"n{side}"), F.col("matches").alias(f"m{side}")) for side in "ab"}
 
     def candidates(pairs: DataFrame) -> DataFrame:
-        """``a, b`` of pairs (one row for each common prefix shingle) that match often enough."""
-        counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+        """``a, b, shingle`` (their least) of pairs (one row for each common prefix shingle) that match often enough."""
+        counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min("shingle").alias("shingle"))
         sized = counted.join(sizes["a"], "a").join(sizes["b"], "b").where(_similar_sizes(percent))
-        return sized.where(F.col("common") >= F.least("ma", "mb")).select("a", "b")
+        return sized.where(F.col("common") >= F.least("ma", "mb")).select("a", "b", "shingle")
 
     # first pass: every class against the smallest one of each of its prefix shingles
     stars = shared.where("class != first").select(F.col("class").alias("a"), F.col("first").alias("b"), "shingle")
     heads = shared.where("salt > 0").groupBy("shingle", "first").agg(F.lit(1).alias("one"))
     tops = heads.groupBy("shingle").agg(F.min("first").alias("b"))
     heads = heads.join(tops, "shingle").where("first != b").select(F.col("first").alias("a"), "b", "shingle")
-    first = written(verified(candidates(stars.unionByName(heads)), texts, words, percent), "links")
-    links = first.where("linked").select("a", "b")
-    labels = components(links)
-
-    # second pass: common prefix shingles of different components
-    members = shared.select("shingle", "class").join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
-    members = members.select("shingle", "class", F.coalesce("label", "class").alias("label"))
-    mixed = members.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("shingle")
-    members = written(members.join(mixed, "shingle", "left_semi"), "members")
-    parties = members.select("shingle", "label").distinct()
-    meets = parties.select("shingle", F.col("label").alias("la")).join(parties.select("shingle", F.col("label").alias("lb")), "shingle").where("la < lb")
-    one = meets.join(members.select("shingle", F.col("label").alias("la"), F.col("class").alias("x")), ["shingle", "la"])
-    two = one.join(members.select("shingle", F.col("label").alias("lb"), F.col("class").alias("y")), ["shingle", "lb"])
-    cross = two.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    left = candidates(cross).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = written(verified(left, texts, words, percent).where("linked").select("a", "b"), "links")
-    labels = components(links.unionByName(second))
+    tried = written(verified(candidates(stars.unionByName(heads)), texts, words, percent), "tried")
+    labels = _relabelled(info.select("class", F.col("class").alias("label")), tried)
+
+    # then: common prefix shingles of different components
+    for share in SHARES:
+        members = shared.select("shingle", "class").join(labels, "class").join(info.select("class", "n"), "class")
+        mixed = members.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("shingle")
+        members = written(members.join(mixed, "shingle", "left_semi"), "members")
+        if members.isEmpty():
+            break
+        parties = members.select("shingle", "label").distinct()
+        meets = parties.select("shingle", F.col("label").alias("la")).join(parties.select(F.col("shingle").alias("t"), F.col("label").alias("lb")), (
+            F.col("shingle") == F.col("t")) & (F.col("la") < F.col("lb")) & (F.pmod(F.xxhash64("la", "lb"), F.lit(share)) == 0)).drop("t")
+        one = meets.join(members.select("shingle", F.col("label").alias("la"), F.col("class").alias("x"), F.col("n").alias("na")), ["shingle", "la"])
+        two = members.select(F.col("shingle").alias("t"), F.col("label").alias("l"), F.col("class").alias("y"), F.col("n").alias("nb"))
+        two = one.join(two, (F.col("shingle") == F.col("t")) & (F.col("lb") == F.col("l")) & _similar_sizes(percent))
+        pairs = candidates(two.select("shingle", F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
+        new = written(verified(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, words, percent), "tried")
+        labels = _relabelled(labels, new)
+        tried = tried.unionByName(new)
 
     # the smallest document of each component
-    linked = classes.join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
+    linked = classes.join(labels, "class", "left")
     known = linked.where("label is not null or copies > 1").select("class", "n", "rep", F.coalesce("label", "class").alias("label"))
     least = known.where("label is not null").groupBy("label").agg(F.min("rep").alias("component"))
     known = known.join(least, "label").select("class", "n", "component")

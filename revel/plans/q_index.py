@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revel.operators import index as X
 from revel.operators import tokens as TK
 from revel.plans.catalog import register
+from revel.session import materialized
 from revel.sources import fixtures as fx
 from revel.sources.fixtures import with_fixtures
 
@@ -117,7 +118,7 @@ _TOK_CTES = tok_sql("explanations", "pos", "explanation", VOCAB_SIZE, MAX_LEN, e
 
 def _encoded(spark, sf_dir):
     e = fx.explanations(spark, sf_dir)
-    vocab = TK.build_vocab(e, ["explanation"], VOCAB_SIZE)
+    vocab = materialized(TK.build_vocab(e, ["explanation"], VOCAB_SIZE), "vocabulary")
     return TK.encode(e.select("pos", "attribute", "explanation"), "pos", "explanation", vocab, MAX_LEN), vocab
 
 

@@ -16,7 +16,7 @@ from revel.operators import vectors as V
 from revel.plans.catalog import register, round6
 from revel.plans.jobs import hotel_reviews
 from revel.plans.q_index import _TOKRE, SEED, _split_sql, tok_sql
-from revel.session import scratch_dir
+from revel.session import materialized, scratch_dir
 from revel.sources import fixtures as fx
 from revel.sources import readers as R
 from revel.sources import sinks as S
@@ -130,7 +130,7 @@ def _terms(spark, sf_dir) -> DataFrame:
     v = fx.vectors(spark, sf_dir)
     perm = _permuted(spark, sf_dir).join(v.select(F.col("vec_id").alias("neg_key"), F.col("label").alias("neg_label")),
                                          "neg_key")
-    cen = cen.checkpoint()  # one row per label, joined twice
+    cen = materialized(cen, "centroids")  # one row per label, joined twice
     rows = v.join(perm, "vec_id").join(cen, "label")
     rows = rows.join(cen.select(F.col("label").alias("neg_label"), F.col("cvec").alias("nvec")), "neg_label")
     scored = rows.select("vec_id", "batch_id", V.cosine("vec", "cvec").alias("pos_score"),
@@ -230,7 +230,7 @@ def _rating_frame(spark, sf_dir):
         V.hashed_text("reviewText", TEXT_DIMS).alias("text_vec"))
     ids = X.first_seen_indexes(fx.keys(spark, sf_dir).withColumnsRenamed({"user_key": "user", "item_key": "item"}), ["user", "item"], "pos")
     h = X.lookup_join(X.lookup_join(h, ids["user"], "user"), ids["item"], "item")
-    return h.join(X.exact_split(fx.keys(spark, sf_dir).select("pos"), "pos", SEED), "pos").checkpoint()
+    return materialized(h.join(X.exact_split(fx.keys(spark, sf_dir).select("pos"), "pos", SEED), "pos"), "ratings")
 
 
 def _factors(df):
@@ -368,14 +368,14 @@ def training_table(spark, sf_dir, fit_ids_on: str = "all") -> DataFrame:
         F.col("reviewText").alias("text"), "rating", *P.HOTEL_CRITERIA_COLUMNS)
     # the joined, deduplicated base feeds split, ids, two vocabularies, two
     # encodings and the batches: materialise it once in the shared checkpoint folder
-    first = P.first_pairs(ex, rev, "e_pos", "r_pos").checkpoint()
+    first = materialized(P.first_pairs(ex, rev, "e_pos", "r_pos"), "first-pairs")
     sp = X.exact_split(first.select("e_pos"), "e_pos", SEED)
     first = first.join(sp, "e_pos")
     basis = first if fit_ids_on == "all" else first.where(F.col("split") == "train")
     ids = X.first_seen_indexes(basis, ["user", "item"], "e_pos")
     t = X.lookup_join(X.lookup_join(first, ids["user"], "user"), ids["item"], "item")
-    src_vocab = TK.build_vocab(t, ["text"], SRC_VOCAB)
-    tgt_vocab = TK.build_vocab(t, ["explanation"], TGT_VOCAB)
+    src_vocab = materialized(TK.build_vocab(first, ["text"], SRC_VOCAB), "vocabulary")
+    tgt_vocab = materialized(TK.build_vocab(first, ["explanation"], TGT_VOCAB), "vocabulary")
     t = TK.encode(t, "e_pos", "text", src_vocab, SRC_LEN, "src_ids")
     t = TK.encode(t, "e_pos", "explanation", tgt_vocab, TGT_LEN, "tgt_ids")
     t = P.criteria_vector(t)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -64,6 +64,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet under the shared folder and read back: it
+    cuts the lineage like a checkpoint, and Spark knows the bytes of what it
+    reads, so it can choose joins by them."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def staged_input(spark: SparkSession, key: tuple, write) -> str:
     """Path of a raw input derived from the given tables: ``write(path)`` fills
     a fresh folder (the raw inputs of the reference's scripts are given files)."""

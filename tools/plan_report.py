@@ -34,14 +34,15 @@ def facts(plan: str) -> dict[str, int | str]:
 def main() -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--master", default="local[8]")
     args = ap.parse_args()
 
-    import __spark_entry__ as E
+    from revel.plans.catalog import QUERIES
     from revel.session import get_session
 
-    spark = get_session("local[8]", shuffle_partitions=8, driver_memory="8g")
+    spark = get_session(args.master, shuffle_partitions=8, driver_memory="8g")
     rows = []
-    for key, fn in sorted(E.queries().items()):
+    for key, fn in sorted(QUERIES.items()):
         try:
             df = fn(spark, args.sf)
             plan = df._jdf.queryExecution().executedPlan().toString()
@@ -50,9 +51,9 @@ def main() -> None:
             rows.append((key, {"error": type(exc).__name__}))
     cols = ["hash", "range", "round-robin", "broadcast", "single", "python", "pushed"]
     out = ["# PLANS", "",
-           "Physical-plan facts of every registered query (initial adaptive plan at sf0.01; "
-           "generated by `tools/plan_report.py`). Checkpointed inputs appear as scans of the "
-           "checkpoint, so work done before a checkpoint is not counted here. `single` counts "
+           f"Physical-plan facts of every registered query (initial adaptive plan at {os.path.basename(args.sf)}; "
+           "generated by `tools/plan_report.py`). Checkpointed and materialised inputs appear as "
+           "scans, so work done before them is not counted here. `single` counts "
            "single-partition exchanges: they occur only on results already reduced to a few rows "
            "(a global aggregate's final merge, a top-k of the vocabulary).", "",
            "| key | " + " | ".join(cols) + " |", "|---|" + "---|" * len(cols)]

@@ -30,7 +30,8 @@ compressed (the exchange is shared by steps 1, 2 and 3).
 Defined results: a null text is empty; texts shorter than ``length`` bytes lose
 nothing; rows with one id are one document (equal strings in them remove
 nothing from each other); a null id is never smaller than another and loses
-nothing; an empty table gives no rows.  Strings are known by 64-bit codes.
+nothing; an empty table gives no rows.  Strings are known by 64-bit codes,
+whole texts by 96 bits and the length.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ LENGTH, GRAM = 50, 20
 RUN_BYTES = 16 << 20
 #: blocks that are suffix-sorted at once (more only if one anchor has more)
 SORT_BLOCKS = 60_000
+#: blocks of an output batch
+SENT_BLOCKS = 50_000
 SALTS = 1021
 
 
@@ -183,33 +186,35 @@ def blocks(texts: DataFrame, length: int, bits: int) -> DataFrame:
             buf, off = unpacked(batch.column(1))
             lists = batch.column(2)
             grams, at = lists.flatten().to_numpy().view(A.U64), A.bounds(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64))
-            for i, j, b, o in A.chunks(buf, off, 4 << 20):
-                if at[j] == at[i]:
-                    continue
-                place, h, first, end = anchors(b, o, length)
-                h >>= A.U64(64 - bits)
-                row = np.searchsorted(o, first, side="right") - 1
-                # anchors whose (row, hash) is wanted
-                want = grams[at[i]:at[j]]
-                want = A.uniq(A.mix(want ^ A.mix(np.repeat(np.arange(j - i), np.diff(at[i:j + 1])).astype(A.U64) + A.U64(1))))
-                own = A.mix(h ^ A.mix(row.astype(A.U64) + A.U64(1)))
-                hit = want[np.minimum(np.searchsorted(want, own), len(want) - 1)] == own
-                place, h, first, end, row = place[hit], h[hit], first[hit], end[hit], row[hit]
-                if not len(h):
-                    continue
-                code = A.slice_hash(A.prefix_hash(b), first, end + length - 1)
-                doc = ids[i:j][row]
-                order = np.lexsort((doc, code))
-                new = np.flatnonzero(A.distinct(code[order]))
-                least = np.repeat(doc[order][new], np.diff(new, append=len(order)))
-                copy = np.zeros(len(h), bool)
-                copy[order] = doc[order] > least
-                size = np.where(copy, 0, end + length - 1 - first)
-                raw = pa.py_buffer(np.ascontiguousarray(b[A.ragged(first, size)]))
-                binary = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(A.bounds(size).astype(np.int32)), raw])
-                gram = np.where(copy, A.mix(doc.astype(A.U64)) >> A.U64(64 - bits), h).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(doc), pa.array((first - o[row]).astype(np.int32)),
-                                                  pa.array((end - first).astype(np.int32)), binary], names)
+            found = [wanted(b, o, off[i], i, grams[at[i]:at[j]], np.diff(at[i:j + 1])) for i, j, b, o in A.chunks(buf, off) if at[j] > at[i]]
+            if not found:
+                continue
+            row, h, first, windows, code = (np.concatenate(x) for x in zip(*found))
+            doc = ids[row]
+            order = np.lexsort((doc, code))
+            new = np.flatnonzero(A.distinct(code[order]))
+            copy = np.zeros(len(h), bool)
+            copy[order] = doc[order] > np.repeat(doc[order][new], np.diff(new, append=len(order)))
+            size = np.where(copy, 0, windows + length - 1)
+            gram = np.where(copy, A.mix(doc.astype(A.U64)) >> A.U64(64 - bits), h).view(np.int64)
+            for k in range(0, len(h), SENT_BLOCKS):
+                e = slice(k, k + SENT_BLOCKS)
+                raw = pa.py_buffer(np.ascontiguousarray(buf[A.ragged(first[e], size[e])]))
+                binary = pa.Array.from_buffers(pa.binary(), len(h[e]), [None, pa.py_buffer(A.bounds(size[e]).astype(np.int32)), raw])
+                yield pa.RecordBatch.from_arrays([pa.array(gram[e]), pa.array(doc[e]), pa.array((first - off[row])[e].astype(np.int32)),
+                                                  pa.array(windows[e].astype(np.int32)), binary], names)
+
+    def wanted(b, o, base, i, grams, each):
+        """Row, hash, first window, windows and content code of the anchors asked for in a chunk."""
+        _, h, first, end = anchors(b, o, length)
+        h = h >> A.U64(64 - bits)
+        row = np.searchsorted(o, first, side="right") - 1
+        ask = A.uniq(A.mix(grams ^ A.mix(np.repeat(np.arange(len(each)), each).astype(A.U64) + A.U64(1))))
+        own = A.mix(h ^ A.mix(row.astype(A.U64) + A.U64(1)))
+        hit = ask[np.minimum(np.searchsorted(ask, own), len(ask) - 1)] == own
+        h, first, end, row = h[hit], first[hit], end[hit], row[hit]
+        code = A.slice_hash(A.prefix_hash(b), first, end + length - 1)
+        return i + row, h, base + first, end - first, code
 
     names = ["gram", "id", "start", "windows", "block"]
     return texts.mapInArrow(emit, "gram long, id long, start int, windows int, block binary")
@@ -255,10 +260,13 @@ def repeated_windows(doc: np.ndarray, windows: np.ndarray, buf: np.ndarray, off:
 
 def copies(docs: DataFrame) -> DataFrame:
     """``id, n_bytes`` of documents whose text a smaller one has too (of ids with one text)."""
-    keyed = docs.where("id is not null and text is not null").select("id", F.md5("text").alias("h"), F.octet_length("text").alias("n"))
-    first = keyed.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last")
-    one = keyed.groupBy("id").agg(F.min("h").alias("h"), F.max("h").alias("g"), F.max("n").alias("n")).where("h = g")
-    return one.join(first, "h").where("id > first").select("id", F.col("n").cast("long").alias("n_bytes"))
+    keyed = docs.where("id is not null and text is not null").select("id", F.xxhash64("text").alias("h"), F.hash("text").alias("g"),
+                                                                          F.octet_length("text").alias("n"))
+    key = ["h", "g", "n"]
+    first = keyed.groupBy(*key).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last")
+    one = keyed.groupBy("id").agg(*(F.min(c).alias(c) for c in key), F.max("h").alias("h2"), F.max("g").alias("g2"), F.max("n").alias("n2"))
+    one = one.where("h = h2 and g = g2 and n = n2")
+    return one.join(first, key).where("id > first").select("id", F.col("n").cast("long").alias("n_bytes"))
 
 
 def repeated_spans(found: DataFrame, length: int) -> DataFrame:

@@ -20,8 +20,8 @@ import numpy as np
 from revel.llm import arrays as A
 
 END_ID = 1
-KEPT_UNITS = 1_000_000
-CHUNK_BYTES = 4 << 20
+KEPT_UNITS = 400_000
+CHUNK_BYTES = 2 << 20
 
 CLOSING = A.table(b".,;:!?|")
 ASCII_LETTER = A.table(bytes([*range(65, 91), *range(97, 123)]))

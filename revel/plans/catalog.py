@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: what fitted models predict, in full; no SQL can recompute it (rows check only)
+VALUES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def register(key: str, sql: str | None = None):
@@ -27,6 +29,13 @@ def register(key: str, sql: str | None = None):
     return deco
 
 
+def register_values(key: str):
+    def deco(fn):
+        VALUES[key] = fn
+        return fn
+    return deco
+
+
 def round6(df: DataFrame, cols) -> DataFrame:
     return df.select(*[F.round(F.col(c), 6).alias(c) if c in cols else F.col(c) for c in df.columns])
 

@@ -13,7 +13,7 @@ from revel.operators import prep as P
 from revel.operators import rating as RT
 from revel.operators import tokens as TK
 from revel.operators import vectors as V
-from revel.plans.catalog import register, round6
+from revel.plans.catalog import register, register_values, round6
 from revel.plans.jobs import hotel_reviews
 from revel.plans.q_index import _TOKRE, SEED, _split_sql, tok_sql
 from revel.session import materialized, scratch_dir
@@ -245,15 +245,22 @@ tr AS (SELECT ui.idx AS u, ii.idx AS i, k.rating FROM keys k JOIN sp USING (pos)
 te AS (SELECT k.* FROM keys k JOIN sp USING (pos) WHERE sp.split = 'test')"""
 
 
+@register_values("rate_user_item_factors_values")
+def rate_user_item_factors_values(spark, sf_dir):
+    """ALS latent factors (rank 8) of every user and item of the training split."""
+    als = _factors(_rating_frame(spark, sf_dir))
+    return RT.all_factors(als).select("kind", F.col("id").cast("long").alias("idx"), F.col("features").cast("array<double>").alias("features"))
+
+
 @register("rate_user_item_factors", with_fixtures("""
 SELECT 'user' AS kind, u AS idx, 8::BIGINT AS rank, true AS finite FROM tr GROUP BY u
 UNION ALL SELECT 'item', i, 8, true FROM tr GROUP BY i""", "keys", ctes=_TRAIN_IDS))
 def rate_user_item_factors(spark, sf_dir):
     """ALS latent factors (rank 8) of every user and item of the training split:
     size, and whether all values are finite (the values have no SQL)."""
-    als = _factors(_rating_frame(spark, sf_dir))
-    return RT.all_factors(als).select("kind", F.col("id").cast("long").alias("idx"), F.size("features").cast("long").alias("rank"),
-                                      F.forall("features", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6)).alias("finite"))
+    return rate_user_item_factors_values(spark, sf_dir).select(
+        "kind", "idx", F.size("features").cast("long").alias("rank"),
+        F.forall("features", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6)).alias("finite"))
 
 
 def _test_frame(df, als, use_text=True):
@@ -272,44 +279,81 @@ def _checked(pred):
     return pred.select("pos", "truth", (~F.isnan("pred") & F.col("pred").between(-1.0, 7.0)).alias("sound"))
 
 
+@register_values("rate_predict_values")
+def rate_predict_values(spark, sf_dir):
+    """``pos, truth, pred``: rating from user/item factors and the review text vector, over the test split."""
+    df = _rating_frame(spark, sf_dir)
+    return _test_frame(df, _factors(df))
+
+
+@register_values("rate_test_frame_values")
+def rate_test_frame_values(spark, sf_dir):
+    """``pos, truth, pred`` over the test split, factors only (no review text)."""
+    df = _rating_frame(spark, sf_dir)
+    return _test_frame(df, _factors(df), use_text=False)
+
+
+@register_values("rate_criteria_values")
+def rate_criteria_values(spark, sf_dir):
+    """``pos`` and ``pred_<criterion>`` of five sub-ratings predicted at once, over the test split."""
+    out = _criteria_frame(spark, sf_dir)
+    return out.select("pos", *[F.get("pred_criteria", F.lit(i)).alias(f"pred_{c}") for i, c in enumerate(P.CRITERIA_ORDER[:5])])
+
+
+@register_values("job_rating_eval_values")
+def job_rating_eval_values(spark, sf_dir):
+    """fit -> predict -> n, MSE / RMSE / MAE, with and without the review text."""
+    return _rating_errors(_rating_frame(spark, sf_dir))
+
+
 @register("rate_predict", with_fixtures(_TEST_SQL, "keys", ctes=_TRAIN_IDS))
 def rate_predict(spark, sf_dir):
-    """Rating from user/item factors and the review text vector (linear head), over the test split."""
-    df = _rating_frame(spark, sf_dir)
-    return _checked(_test_frame(df, _factors(df)))
+    """Rating from user/item factors and the review text vector (linear head), over the test split:
+    whether it is finite and near the scale (the values are in ``rate_predict_values``)."""
+    return _checked(rate_predict_values(spark, sf_dir))
 
 
 @register("rate_test_frame", with_fixtures(_TEST_SQL, "keys", ctes=_TRAIN_IDS))
 def rate_test_frame(spark, sf_dir):
-    """(truth, prediction) over the test split, factors only (no review text)."""
-    df = _rating_frame(spark, sf_dir)
-    return _checked(_test_frame(df, _factors(df), use_text=False))
+    """(truth, prediction) over the test split, factors only (no review text):
+    whether it is finite and near the scale (the values are in ``rate_test_frame_values``)."""
+    return _checked(rate_test_frame_values(spark, sf_dir))
 
 
-@register("rate_criteria", with_fixtures("SELECT pos, 5::BIGINT AS n_criteria, true AS sound FROM te", "keys", ctes=_TRAIN_IDS))
-def rate_criteria(spark, sf_dir):
-    """Five sub-ratings predicted at once (one regressor per criterion), over the test split."""
+def _criteria_frame(spark, sf_dir):
     df = _rating_frame(spark, sf_dir)
     feats = RT.factor_features(df, _factors(df))
     models = RT.fit_criteria(feats.where("split = 'train'"), P.CRITERIA_ORDER[:5])
-    out = RT.predict_criteria(models, feats.where("split = 'test'"))
+    return RT.predict_criteria(models, feats.where("split = 'test'"))
+
+
+@register("rate_criteria", with_fixtures("SELECT pos, 5::BIGINT AS n_criteria, true AS sound FROM te", "keys", ctes=_TRAIN_IDS))
+def rate_criteria(spark, sf_dir):
+    """Five sub-ratings predicted at once (one regressor per criterion), over the test split:
+    how many, and whether they are finite and near the scale (the values are in ``rate_criteria_values``)."""
+    out = _criteria_frame(spark, sf_dir)
     return out.select("pos", F.size("pred_criteria").cast("long").alias("n_criteria"),
                       F.forall("pred_criteria", lambda x: ~F.isnan(x) & x.between(-2.0, 7.0)).alias("sound"))
 
 
+def _rating_errors(df):
+    als = _factors(df)
+    out = [M.rating_errors(_test_frame(df, als, text)).withColumn("use_review_text", F.lit(text)) for text in (True, False)]
+    return out[0].unionByName(out[1]).select("use_review_text", "n", "mse", "rmse", "mae")
+
+
 @register("job_rating_eval", with_fixtures("""
 SELECT use_review_text, (SELECT count(*) FROM te) AS n, true AS sound FROM (VALUES (true), (false)) v(use_review_text)""",
                                            "keys", ctes=_TRAIN_IDS))
 def job_rating_eval(spark, sf_dir):
     """fit -> predict -> MSE / RMSE / MAE, with and without the review text:
-    sound if RMSE is under 1.15 times that of the training mean, and MAE under RMSE."""
+    sound if RMSE is under 1.15 times that of the training mean, and MAE under RMSE
+    (the errors are in ``job_rating_eval_values``)."""
     df = _rating_frame(spark, sf_dir)
-    als = _factors(df)
     mean = df.where("split = 'train'").agg(F.avg("rating").alias("m")).first()[0]
     base = df.where("split = 'test'").agg(F.sqrt(F.avg((F.col("rating") - F.lit(mean)) ** 2))).first()[0]
-    out = [M.rating_errors(_test_frame(df, als, text)).withColumn("use_review_text", F.lit(text)) for text in (True, False)]
     sound = (F.col("rmse") <= 1.15 * base) & (F.col("mae") <= F.col("rmse"))
-    return out[0].unionByName(out[1]).select("use_review_text", "n", sound.alias("sound"))
+    return _rating_errors(df).select("use_review_text", "n", sound.alias("sound"))
 
 
 # ---------------------------------------------------------------- training table

@@ -5,9 +5,12 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from revel.operators import metrics as M
 from revel.operators import rating as RT
+from revel.operators import prep as P
 from revel.plans import q_vectors as Q
+from tests.conftest import SF_SMALL
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +48,26 @@ def test_criteria_of_unseen_ids_are_the_means(spark, ratings):
     assert len(out) == ratings.where("split = 'test'").count() and all(len(v) == 2 for v in out.values())
     means = ratings.where("split = 'train'").agg(F.avg("value"), F.avg("rating")).first()
     assert out[10_000] == pytest.approx(list(means))
+
+
+def test_queries_return_the_numbers_behind_their_checks(spark):
+    run = E.queries()
+    frames = {k: run[f"{k}_values"](spark, SF_SMALL).collect() for k in ("rate_predict", "rate_test_frame")}
+    for k, rows in frames.items():
+        assert rows[0].asDict().keys() == {"pos", "truth", "pred"} and len({r.pred for r in rows}) > 1
+        assert {(r.pos, r.truth) for r in rows} == {(r.pos, r.truth) for r in run[k](spark, SF_SMALL).collect()}
+        assert all(-1 <= r.pred <= 7 for r in rows)
+    errors = {r.use_review_text: r for r in run["job_rating_eval_values"](spark, SF_SMALL).collect()}
+    for text, rows in ((True, frames["rate_predict"]), (False, frames["rate_test_frame"])):
+        d = [r.pred - r.truth for r in rows]
+        mse = sum(x * x for x in d) / len(d)
+        want = (len(d), mse, math.sqrt(mse), sum(map(abs, d)) / len(d))
+        assert tuple(errors[text])[1:] == pytest.approx(want, rel=1e-4)
+    criteria = run["rate_criteria_values"](spark, SF_SMALL)
+    assert criteria.columns == ["pos", *(f"pred_{c}" for c in P.CRITERIA_ORDER[:5])]
+    rows = criteria.collect()
+    assert {r.pos for r in rows} == {r.pos for r in frames["rate_predict"]}
+    assert all(v is not None and -2 <= v <= 7 for r in rows for v in tuple(r)[1:])
+    factors = run["rate_user_item_factors_values"](spark, SF_SMALL).collect()
+    assert {r.kind for r in factors} == {"user", "item"} and all(len(r.features) == 8 for r in factors)
+    assert len({tuple(r.features) for r in factors}) > 2

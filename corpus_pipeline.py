@@ -34,8 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, once."""
-    first = jaccard.near_duplicates(docs).where("component_id <=> doc_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return jaccard.first_rows(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,7 @@ sets (64 bits and the size).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -163,6 +164,39 @@ def signatures(docs: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text
     return _texts(docs, id_col, text_col).mapInArrow(sign, out)
 
 
+def classed(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """``docs`` with the class ``_class`` (null without shingles) and the size ``_n`` of each row's set."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = A.utf8(batch.column(place))
+            for i, j, b, o in A.chunks(buf, off):
+                sets = list(shingle_sets(b, o, words))
+                n = np.array([len(s) for s in sets], np.int64)
+                code = A.fold(np.concatenate([*sets, np.zeros(0, A.U64)]), A.bounds(n)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(code, mask=n == 0), pa.array(n)], names)
+
+    place, names = docs.columns.index(text_col), [*docs.columns, "_class", "_n"]
+    return docs.mapInArrow(sign, schema({f.name: f.dataType for f in docs.schema}, "_class long, _n long"))
+
+
+def class_texts(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """``class, text``: a text of each class a task meets; all texts of a class have equal sets."""
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for batch in batches:
+            new = []
+            for k, c in enumerate(batch.column(1).to_pylist()):
+                if c is not None and c not in met:
+                    met.add(c)
+                    new.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0)], ["class", "text"]).take(pa.array(new, pa.int64()))
+
+    own = classed(docs.select(F.col(text_col).alias("text")), "text", words)
+    return own.select("text", "_class").mapInArrow(once, "class long, text string")
+
+
 def _similar_sizes(percent: int):
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
@@ -219,8 +253,15 @@ def _relabelled(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(new.select("class", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``id, n_shingles, component_id`` of every row of ``docs``."""
+class Components(NamedTuple):
+    """``rows``: the set of each row of the documents (``id, class, n``); ``classes``: ``class, n, rep, copies, label``,
+    with a class's smallest id and its component's label (null if the class shares no prefix shingle)."""
+
+    rows: DataFrame
+    classes: DataFrame
+
+
+def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> Components:
     counts = count_table(docs, text_col, words)
     signed = written(signatures(docs, counts, id_col, text_col, words, percent), "signatures")
     classes = signed.where("class is not null").groupBy("class", "n").agg(
@@ -234,7 +275,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("first", F.min("class").over(group)).withColumn("last", F.max("class").over(group))
     shared = written(rows.where("first != last or salt > 0").select("shingle", "class", "salt", "first").distinct(), "shared")
     info = written(classes.join(shared.select("class").distinct(), "class", "left_semi"), "classes")
-    texts = _texts(docs, id_col, text_col).join(info.select(F.col("rep").alias("id"), "class"), "id").groupBy("class").agg(F.min("text").alias("text"))
+    # by class, not by id: ids may be null or stand on several texts
+    texts = class_texts(docs, text_col, words).join(info.select("class"), "class", "left_semi").groupBy("class").agg(F.min("text").alias("text"))
     texts = written(texts, "texts")
     sizes = {side: info.select(F.col("class").alias(side), F.col("n").alias(f"n{side}"), F.col("matches").alias(f"m{side}")) for side in "ab"}
 
@@ -270,10 +312,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = _relabelled(labels, new)
         tried = tried.unionByName(new)
 
+    return Components(signed, classes.join(labels, "class", "left"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``id, n_shingles, component_id`` of every row of ``docs``."""
+    signed, linked = linked_classes(docs, id_col, text_col, words, percent)
     # the smallest document of each component
-    linked = classes.join(labels, "class", "left")
     known = linked.where("label is not null or copies > 1").select("class", "n", "rep", F.coalesce("label", "class").alias("label"))
     least = known.where("label is not null").groupBy("label").agg(F.min("rep").alias("component"))
     known = known.join(least, "label").select("class", "n", "component")
     out = signed.select("id", "class", "n").join(known, ["class", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs`` of each component: the smallest id's (a null id only where all are null), of several its least text;
+    rows without shingles are kept, each id and text once."""
+    _, linked = linked_classes(docs, id_col, text_col, words, percent)
+    order = F.struct(F.col("rep").isNull().alias("none"), "rep", "class", "n")
+    least = linked.groupBy(F.coalesce("label", "class").alias("label")).agg(F.min(order).alias("least"))
+    least = least.select(F.col("least.class").alias("_class"), F.col("least.n").alias("_n"), F.col("least.rep").alias("_rep"))
+    rows = classed(docs, text_col, words)
+    own, id_ = rows.where("_class is not null"), F.col(f"`{id_col}`")
+    own = own.join(least, ["_class", "_n"]).where(id_.eqNullSafe(F.col("_rep"))).groupBy("_class", "_n")
+    bare = rows.where("_class is null").groupBy(id_.alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    columns = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    own = own.agg(F.min_by(columns, f"`{text_col}`").alias("_row")).select("_row.*")
+    return own.unionByName(bare.agg(F.first(columns).alias("_row")).select("_row.*"))

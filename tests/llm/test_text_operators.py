@@ -308,6 +308,40 @@ def test_jaccard_edges(spark):
     assert sorted(map(tuple, jaccard.near_duplicates(df).collect())) == [(2, 1, 2), (5, 1, 2), (5, 1, 2), (7, 0, 7), (8, 0, 8)]
 
 
+def _null_and_repeated_ids(seed):
+    """``(id, text)``: near copies on null ids, and ids that stand on several texts."""
+    import random
+
+    r = random.Random(seed)
+    names = [f"n{i}" for i in range(2000)]
+    rows = []
+    for k in range(12):
+        w = [r.choice(names) for _ in range(60)]
+        for _ in range(4):
+            v = list(w)
+            v[r.randrange(60)] = r.choice(names)
+            rows.append((None if k % 3 == 0 else r.choice([None, r.randrange(12)]), " ".join(v)))
+    one = " ".join(names[:40])
+    return rows + [(None, one), (90, one.replace("n20 ", "other ")), (None, None), (None, ""), (7, "")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_null_ids_and_ids_with_several_texts(spark, seed):
+    rows = _null_and_repeated_ids(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = components([t for _, t in rows])
+    least = {}
+    for (i, _), (_, c) in zip(rows, found):
+        least[c] = min([x for x in (i, least.get(c)) if x is not None], default=None)
+    want = [(i, n, least[c]) for (i, _), (n, c) in zip(rows, found)]
+    assert sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=repr) == sorted(want, key=repr)
+    # one row of each component: that of its least id
+    kept = [tuple(x) for x in jaccard.first_rows(df).collect()]
+    group = {row: c for row, (_, c) in zip(rows, found)}
+    assert sorted(group[k] for k in kept) == sorted({c for _, c in found})
+    assert all(k[0] == least[group[k]] for k in kept)
+
+
 def test_prefixes_of_similar_sets_share_enough():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 3000, 1 << jaccard.COUNTER_BITS)

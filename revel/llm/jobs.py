@@ -44,6 +44,13 @@ def pieces_for(spark: SparkSession, size: int, each: int) -> int:
     return max(partitions(spark), math.ceil(size / each))
 
 
+def batch_bytes(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Bound the session's Arrow batches by fewer bytes than Spark's default of 64 MB, unless the session has its own bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).removesuffix("b")) == 64 << 20:
+        spark.conf.set(name, str(most))
+
+
 def schema(first: dict[str, DataType], ddl: str) -> StructType:
     """Columns of given types, then those of a DDL string."""
     out = StructType()

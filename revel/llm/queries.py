@@ -14,6 +14,7 @@ from revel.llm import op07_shards as shards
 from revel.llm import op08_substrings as substrings
 from revel.llm import op09_lines as lines
 from revel.llm import op10_jaccard as jaccard
+from revel.llm import op13_fim as fim
 from revel.llm.jobs import read, shared_path
 
 #: ``pages`` has no fetch date.
@@ -70,8 +71,12 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_packing, op4_decontaminate, op5_token_files, op6_warc, op7_shards,
-                                   op8_substrings, op9_lines, op10_jaccard)}
+                                   op8_substrings, op9_lines, op10_jaccard, op13_fim)}
 
 #: The other operators have no SQL: they train models, use a tokenizer or crc32, or close a graph.
 ORACLE: dict[str, str] = {

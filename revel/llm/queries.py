@@ -15,6 +15,7 @@ from revel.llm import op08_substrings as substrings
 from revel.llm import op09_lines as lines
 from revel.llm import op10_jaccard as jaccard
 from revel.llm import op11_trie as prefix_trie
+from revel.llm import op12_secrets as secrets
 from revel.llm import op13_fim as fim
 from revel.llm.jobs import read, shared_path
 
@@ -76,12 +77,17 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(read(spark, sf_dir, "conversations")))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return secrets.report(docs, secrets.fit(docs))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_packing, op4_decontaminate, op5_token_files, op6_warc, op7_shards,
-                                   op8_substrings, op9_lines, op10_jaccard, op11_trie, op13_fim)}
+                                   op8_substrings, op9_lines, op10_jaccard, op11_trie, op12_secrets, op13_fim)}
 
 #: The other operators have no SQL: they train models, use a tokenizer or crc32, or close a graph.
 ORACLE: dict[str, str] = {

@@ -84,7 +84,7 @@ def test_chain_finds_secrets_of_other_forms_and_leaves_prose(spark):
     rows = [(i, prose(r.randint(20, 120)) + (" " + secret() + " " + prose(r.randint(5, 60)) if i % 2 else "")) for i in range(600)]
     model = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"))
     # no base pattern matches these
-    found = [f"{prose(60)} {t} {prose(30)}" for t in ("the key = 9f86d081884c7d659a2f", "auth='77de68daecd823babbb5'", "private_key=GAb71dHHc0aFe25BgiD9")]
+    found = [f"{prose(60)} {t} {prose(30)}" for t in ("the key = 9f86d081884c7d659a2f", "auth='77de68daecd823babbb5'", "login: b4c1d7f0a9e35c2288aa")]
     clean = [prose(200) for _ in range(50)]
     got = rows_of(secrets.report(frame(spark, found + clean), model))
     assert [got[k]["n_added"] for k in range(len(found))] == [1] * len(found) and not any(map(brute, found))

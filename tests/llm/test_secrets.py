@@ -105,7 +105,7 @@ def test_chain_alone_finds_held_out_base_secrets(spark, model):
         truth = secrets.truth_of(buf, off, read) != secrets.OUTSIDE
         caught, total = caught + (label & truth).sum(), total + truth.sum()
         wrong, tokens = wrong + (label & ~truth).sum(), tokens + len(label)
-    assert caught >= 0.95 * total > 0 and wrong <= 1e-4 * tokens
+    assert caught >= 0.9 * total > 0 and wrong <= 1e-4 * tokens
 
 
 def test_redaction_nulls_repeats_and_empty_tables(spark, model):

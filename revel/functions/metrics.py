@@ -15,7 +15,12 @@ Formulas (pinned by hand-worked cases in tests/test_metrics.py):
 * ROUGE-L (length mode, default): LCS length over all words; p = LCS/#hyp
   words, r = LCS/#ref words.  Percent.  ``summary`` mode: the union-LCS of
   the ROUGE paper (per reference sentence, union of its LCS positions with
-  every hypothesis sentence), over the same word totals.
+  every hypothesis sentence), over the same word totals.  ``set`` mode, as the
+  scoring package has it: the *set of words* on the LCS of any reference
+  sentence with any hypothesis sentence (of several LCS the one a walk back
+  from the ends takes: a match first, then up if the score above is greater
+  than the one on the left, else left); p over the distinct hypothesis words, r
+  over the distinct reference words.
 """
 
 from __future__ import annotations
@@ -165,6 +170,58 @@ def _union_lcs_one(ref_sents, hyp_sents) -> int:
     return total
 
 
+def _lcs_rows(a: list, masks: dict[str, int], b: list) -> list[int]:
+    """Bit rows of the LCS table of ``a`` with each prefix of ``b``: bit i of row j is 0
+    where the score grows from ``a[:i]`` to ``a[:i + 1]``."""
+    full = (1 << len(a)) - 1
+    rows = [full]
+    for w in b:
+        v = rows[-1]
+        u = v & masks.get(w, 0)
+        rows.append(((v + u) | (v - u)) & full)
+    return rows
+
+
+def _lcs_words(a: list, masks: dict[str, int], b: list) -> set[str]:
+    """Words on the LCS that the walk back through the bit rows takes."""
+    rows = _lcs_rows(a, masks, b)
+    i, j, found = len(a), len(b), set()
+    score = len(a) - rows[j].bit_count()
+    while i and j and score:
+        if a[i - 1] == b[j - 1]:
+            found.add(a[i - 1])
+            i, j, score = i - 1, j - 1, score - 1
+        elif rows[j] >> (i - 1) & 1 and i - (rows[j - 1] & ((1 << i) - 1)).bit_count() < score:
+            i -= 1  # as good above, less on the left
+        else:
+            j -= 1
+            score = i - (rows[j] & ((1 << i) - 1)).bit_count()
+    return found
+
+
+def _set_lcs_one(ref_sents, hyp_sents) -> int:
+    if ref_sents is None or hyp_sents is None:
+        return 0
+    hyp = [h.split(" ") for h in hyp_sents]
+    found: set[str] = set()
+    for r in ref_sents:
+        a = r.split(" ")
+        masks: dict[str, int] = {}
+        for i, w in enumerate(a):
+            masks[w] = masks.get(w, 0) | (1 << i)
+        for h in hyp:
+            # nothing new can come from a pair whose common words are all there
+            if not masks.keys() & set(h) <= found:
+                found |= _lcs_words(a, masks, h)
+    return len(found)
+
+
+@pandas_udf(T.LongType())
+def set_lcs(ref_sents: pd.Series, hyp_sents: pd.Series) -> pd.Series:
+    """Number of distinct words on the LCS of any two sentences (Arrow batches)."""
+    return pd.Series([_set_lcs_one(r, h) for r, h in zip(ref_sents, hyp_sents)], dtype="int64")
+
+
 @pandas_udf(T.LongType())
 def union_lcs(ref_sents: pd.Series, hyp_sents: pd.Series) -> pd.Series:
     """Summary-level union-LCS count of two sentence arrays (Arrow batches)."""
@@ -182,4 +239,4 @@ def rouge_l(hyp_rwords, ref_rwords, lcs: Column | None = None) -> dict[str, Colu
     return _prf(lcs.cast("double"), F.size(h).cast("double"), F.size(r).cast("double"))
 
 
-__all__ = ["bleu_count_stages", "bleu_from_counts", "rouge_n", "rouge_l", "rouge_words", "rouge_scorable", "lcs_length", "words"]
+__all__ = ["bleu_count_stages", "bleu_from_counts", "rouge_n", "rouge_l", "rouge_words", "rouge_scorable", "lcs_length", "set_lcs", "words"]

@@ -14,15 +14,18 @@ from revel.functions.metrics import (
     bleu_count_stages,
     bleu_from_counts,
     lcs_length,
+    rouge_l,
     rouge_n,
     rouge_scorable,
     rouge_words,
+    set_lcs,
     union_lcs,
 )
 from revel.functions.text import split_sentences, words
 
-ROUGE_KEYS = ("rouge_1", "rouge_2", "rouge_l")
+ROUGE_KEYS = ("rouge_1", "rouge_2", "rouge_l", "rouge_l_set")
 TEXT_METRICS = ("bleu1", "bleu4") + tuple(f"{k}_{s}" for k in ROUGE_KEYS for s in ("f", "p", "r"))
+SET_METRICS = tuple(m for m in TEXT_METRICS if "_set_" in m)
 
 
 def nonempty_pairs(df: DataFrame, reference: str = "reference", generated: str = "generated") -> DataFrame:
@@ -48,7 +51,8 @@ def rouge_scores(df: DataFrame, reference: str = "reference", generated: str = "
     """Adds ``scorable`` and ROUGE-1/2/L p, r, f (percent; NULL where not scorable).
 
     ``rouge_l_mode``: 'length' (LCS over all words, default) or 'summary'
-    (union-LCS over sentences, ROUGE paper definition)."""
+    (union-LCS over sentences, ROUGE paper definition) for ``rouge_l``;
+    ``rouge_l_set`` always has the scoring package's word sets."""
     staged = df.select(
         "*",
         rouge_words(F.col(generated)).alias("_hw"),
@@ -61,20 +65,17 @@ def rouge_scores(df: DataFrame, reference: str = "reference", generated: str = "
         lcs = union_lcs(split_sentences(F.col(reference)), split_sentences(F.col(generated)))
     else:
         raise ValueError(rouge_l_mode)
-    staged = staged.select("*", lcs.alias("_lcs"))
+    sets = set_lcs(split_sentences(F.col(reference)), split_sentences(F.col(generated)))
+    staged = staged.select("*", lcs.alias("_lcs"), sets.alias("_sets"))
     cols: list[Column] = []
     for key, n in (("rouge_1", 1), ("rouge_2", 2)):
         prf = rouge_n("_hw", "_rw", n)
         cols += [F.when(F.col("scorable"), prf[s]).alias(f"{key}_{s}") for s in ("f", "p", "r")]
-    hl = F.size("_hw").cast("double")
-    rl = F.size("_rw").cast("double")
-    lcs = F.col("_lcs").cast("double")
-    p = F.when(hl == 0, 0.0).otherwise(lcs / hl)
-    r = F.when(rl == 0, 0.0).otherwise(lcs / rl)
-    f = 2.0 * (p * r) / (p + r + F.lit(1e-8))
-    for s, c in (("f", f), ("p", p), ("r", r)):
-        cols.append(F.when(F.col("scorable"), c * 100.0).alias(f"rouge_l_{s}"))
-    return staged.select("*", *cols).drop("_hw", "_rw", "_lcs")
+    distinct = {c: F.array_distinct(c) for c in ("_hw", "_rw")}
+    for key, common, hyp, ref in (("rouge_l", "_lcs", F.col("_hw"), F.col("_rw")), ("rouge_l_set", "_sets", distinct["_hw"], distinct["_rw"])):
+        prf = rouge_l(hyp, ref, F.col(common))
+        cols += [F.when(F.col("scorable"), prf[s]).alias(f"{key}_{s}") for s in ("f", "p", "r")]
+    return staged.select("*", *cols).drop("_hw", "_rw", "_lcs", "_sets")
 
 
 def pair_scores(df: DataFrame, reference: str = "reference", generated: str = "generated",

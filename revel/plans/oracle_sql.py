@@ -51,6 +51,25 @@ def lcs(a: str, b: str) -> str:
     return f"list_reduce({positions}, {row}, {init})[-1]"
 
 
+def rouge_sentences(x: str) -> str:
+    return (f"list_transform(list_filter(string_split(coalesce({x}, ''), '.'), lambda p_: length(p_) > 0), "
+            f"lambda p_: array_to_string({words('p_')}, ' '))")
+
+
+def lcs_word_set(a: str, b: str) -> str:
+    """Words on the LCS of word lists ``a`` and ``b`` that a walk back takes (match, up if greater, else left).
+
+    The table is filled cell by cell; a cell holds its score ``l`` and the words ``s`` of its own walk back, so the last cell
+    has the answer.  A reduced list must have the type of its result, so words and places ride in cells as well."""
+    cell = f"""CASE WHEN ({a})[e_[1].l] = y_[1].s[1] THEN struct_pack(l := p_[e_[1].l].l + 1, s := list_append(p_[e_[1].l].s, y_[1].s[1]))
+                    WHEN r_[e_[1].l].l > p_[e_[1].l + 1].l THEN r_[e_[1].l] ELSE p_[e_[1].l + 1] END"""
+    none = "struct_pack(l := 0::BIGINT, s := []::VARCHAR[])"
+    places = f"list_transform(range(1, len({a}) + 1), lambda i_: [struct_pack(l := i_, s := []::VARCHAR[])])"
+    row = f"list_reduce({places}, lambda r_, e_: list_append(r_, {cell}), [{none}])"
+    steps = f"list_transform({b}, lambda w_: [struct_pack(l := 0::BIGINT, s := [w_])])"
+    return f"list_reduce({steps}, lambda p_, y_: {row}, list_transform(range(0, len({a}) + 1), lambda z_: {none}))[-1].s"
+
+
 def bleu_expr(n: int, smooth: bool = True, num: str = "num{i}", c: str = "c", r: str = "r") -> str:
     """BLEU-n (percent) from clipped counts num1..numN and lengths c, r."""
     terms = []
@@ -72,7 +91,7 @@ def bleu_expr(n: int, smooth: bool = True, num: str = "num{i}", c: str = "c", r:
 
 
 def pair_scores_sql(src: str, key: str = "pair_id", bleu: bool = True, rouge: bool = True,
-                    smooth: bool = True) -> str:
+                    smooth: bool = True, sets: bool = True) -> str:
     """CTEs scoring ``src(key, reference, generated)``; the last one is ``scored``
     with ``key``, bleu1, bleu4 (if ``bleu``), scorable and ROUGE-1/2/L f/p/r
     (if ``rouge``)."""
@@ -101,6 +120,12 @@ cnts AS (
         joins.append("JOIN cnts ON cnts.k = sw.k")
         cols += [f"{bleu_expr(1, smooth)} AS bleu1", f"{bleu_expr(4, smooth)} AS bleu4"]
     if rouge:
+        # words on the LCS of each two sentences
+        set_ctes = f"""sents AS (SELECT {key} AS k, {rouge_sentences('reference')} AS ra, {rouge_sentences('generated')} AS ha FROM {src}),
+sides AS (SELECT k, string_split(a, ' ') AS a, string_split(b, ' ') AS b
+          FROM (SELECT k, a, unnest(ha) AS b FROM (SELECT k, unnest(ra) AS a, ha FROM sents))),
+common AS (SELECT k, len(list_distinct(flatten(list({lcs_word_set('a', 'b')})))) AS os FROM sides WHERE list_has_any(a, b) GROUP BY k),
+""" if sets else "common AS (SELECT NULL::BIGINT AS k, 0 AS os WHERE false),\n"
         ctes.append(f"""rs AS (
   SELECT k,
          len(list_distinct({ngrams('hrw', 1)})) AS h1, len(list_distinct({ngrams('rrw', 1)})) AS r1,
@@ -109,15 +134,15 @@ cnts AS (
          len(list_intersect(list_distinct({ngrams('hrw', 2)}), list_distinct({ngrams('rrw', 2)}))) AS o2,
          len(hrw) AS hl, len(rrw) AS rl, {lcs('rrw', 'hrw')} AS lcs
   FROM sw),
-rp AS (
-  SELECT k,
+{set_ctes}rp AS (
+  SELECT rs.k, CASE WHEN h1 = 0 THEN 0.0 ELSE coalesce(os, 0) / h1 END AS ps, CASE WHEN r1 = 0 THEN 0.0 ELSE coalesce(os, 0) / r1 END AS qs,
          CASE WHEN h1 = 0 THEN 0.0 ELSE o1 / h1 END AS p1, CASE WHEN r1 = 0 THEN 0.0 ELSE o1 / r1 END AS q1,
          CASE WHEN h2 = 0 THEN 0.0 ELSE o2 / h2 END AS p2, CASE WHEN r2 = 0 THEN 0.0 ELSE o2 / r2 END AS q2,
          CASE WHEN hl = 0 THEN 0.0 ELSE lcs / hl END AS pl, CASE WHEN rl = 0 THEN 0.0 ELSE lcs / rl END AS ql
-  FROM rs)""")
+  FROM rs LEFT JOIN common ON common.k = rs.k)""")
         joins.append("JOIN rp ON rp.k = sw.k")
         cols.append("sw.scorable")
-        for name, p_, q_ in (("rouge_1", "p1", "q1"), ("rouge_2", "p2", "q2"), ("rouge_l", "pl", "ql")):
+        for name, p_, q_ in (("rouge_1", "p1", "q1"), ("rouge_2", "p2", "q2"), ("rouge_l", "pl", "ql"), ("rouge_l_set", "ps", "qs"))[:4 if sets else 3]:
             cols += [f"CASE WHEN sw.scorable THEN 200.0 * {p_} * {q_} / ({p_} + {q_} + 1e-8) END AS {name}_f",
                      f"CASE WHEN sw.scorable THEN 100.0 * {p_} END AS {name}_p",
                      f"CASE WHEN sw.scorable THEN 100.0 * {q_} END AS {name}_r"]
@@ -125,11 +150,11 @@ rp AS (
     return ",\n".join(ctes)
 
 
-TEXT_METRICS = ("bleu1", "bleu4") + tuple(f"{k}_{s}" for k in ("rouge_1", "rouge_2", "rouge_l") for s in ("f", "p", "r"))
+TEXT_METRICS = ("bleu1", "bleu4") + tuple(f"{k}_{s}" for k in ("rouge_1", "rouge_2", "rouge_l", "rouge_l_set") for s in ("f", "p", "r"))
 
 
-def report_agg_sql(scored: str = "scored", group: str | None = None) -> str:
-    cols = [f"round(coalesce(avg({m}), 0), 6) AS {m}" for m in TEXT_METRICS]
+def report_agg_sql(scored: str = "scored", group: str | None = None, sets: bool = True) -> str:
+    cols = [f"round(coalesce(avg({m}), 0), 6) AS {m}" for m in TEXT_METRICS if sets or "_set_" not in m]
     g = f"{group}, " if group else ""
     tail = f" GROUP BY {group}" if group else ""
     return (f"SELECT {g}count(*) AS n_pairs, CAST(count_if(scorable) AS BIGINT) AS n_scorable, "

@@ -87,6 +87,8 @@ def met_bleu_unsmoothed(spark, sf_dir):
 
 for _key, _name in (("met_rouge_1", "rouge_1"), ("met_rouge_2", "rouge_2"), ("met_rouge_l", "rouge_l")):
     _cols = ["scorable", f"{_name}_f", f"{_name}_p", f"{_name}_r"]
+    if _name == "rouge_l":
+        _cols += ["rouge_l_set_f", "rouge_l_set_p", "rouge_l_set_r"]
 
     def _make(cols=_cols, name=_name):
         def q(spark, sf_dir):

@@ -131,3 +131,56 @@ def test_rouge_l_summary_mode_paper_example(spark):
     a = M.rouge_scores(one, rouge_l_mode="summary").first()
     b = M.rouge_scores(one).first()
     assert (a.rouge_l_p, a.rouge_l_r) == pytest.approx((b.rouge_l_p, b.rouge_l_r))
+
+
+def _walk_back(x, y):
+    """The scoring package's rule on a whole table: a match, else up if greater, else left."""
+    t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, a in enumerate(x, 1):
+        for j, b in enumerate(y, 1):
+            t[i][j] = t[i - 1][j - 1] + 1 if a == b else max(t[i - 1][j], t[i][j - 1])
+    i, j, out = len(x), len(y), set()
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            out.add(x[i - 1])
+            i, j = i - 1, j - 1
+        elif t[i - 1][j] > t[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def test_lcs_word_sets_follow_the_walk_back():
+    import random
+
+    from revel.functions import metrics as FM
+
+    r = random.Random(3)
+    for k in range(600):
+        a, b = ([r.choice("abcde"[:2 + k % 4]) for _ in range(r.randint(0, 14))] for _ in range(2))
+        masks = {}
+        for i, w in enumerate(a):
+            masks[w] = masks.get(w, 0) | (1 << i)
+        assert FM._lcs_words(a, masks, b) == _walk_back(a, b), (a, b)
+    refs, hyps = [["a b c a", "d e"], ["b a", "e d x", ""]]
+    assert FM._set_lcs_one(refs, hyps) == len(set().union(*(_walk_back(x.split(" "), y.split(" ")) for x in refs for y in hyps)))
+
+
+def test_rouge_l_set_hand_worked(spark):
+    rows = [
+        # one sentence each: LCS "the cat on mat", words of 5 and of 6 distinct
+        ("the cat sat on the mat", "the big cat on a mat", 4, 6, 5),
+        # a repeated word counts once: LCS "a a b" is the set {a, b}
+        ("a a b", "a a b b", 2, 2, 2),
+        # sentences pair up in any order; both orders of "x y" share one word with "y x"
+        ("x y. p q", "p q. y x", 3, 4, 4),
+        ("one two", "three four", 0, 2, 2),
+    ]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "k int, reference string, generated string, common int, nh int, nr int")
+    for row in M.rouge_scores(df).collect():
+        p, r = row.common / row.nh, row.common / row.nr
+        assert (row.rouge_l_set_p, row.rouge_l_set_r) == pytest.approx((100 * p, 100 * r))
+        assert row.rouge_l_set_f == pytest.approx(200 * p * r / (p + r + 1e-8))
+    empty = spark.createDataFrame([("...", "a"), ("a", "")], "reference string, generated string")
+    assert all(row.rouge_l_set_f is None and not row.scorable for row in M.rouge_scores(empty).collect())

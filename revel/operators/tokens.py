@@ -2,16 +2,23 @@
 vocabulary, which is a per-row library the reference downloads).
 
 Token ids: 0 PAD, 1 UNK, 2 START, 3 END, then the vocabulary by descending
-frequency (ties by token).  Text -> ids is ``explode`` + equi-join with the
-vocabulary (Spark picks broadcast or shuffle by its bytes) + an ordered regroup
-per row, which carries the row's other columns along: each text is read once,
-and the regroup only ever holds one row's own tokens.
+frequency (ties by token).  The vocabulary is bounded by its size parameter, so
+the driver reads it once and ships it with the task: text -> ids and back are
+Arrow lookups over whole batches of tokens in one narrow stage, without a
+shuffle of rows or tokens.
 """
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revel.functions.text import tokens as token_expr
 
@@ -33,32 +40,49 @@ def build_vocab(df: DataFrame, text_cols: list[str], size: int) -> DataFrame:
     return top.select("token", "cnt", (F.row_number().over(w) + (N_SPECIAL - 1)).cast("long").alias("id"))
 
 
+def _lists(values: pa.Array, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+
+
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``(values, sizes)`` of a list array; a null list has no values."""
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0)
+    return pa.compute.list_flatten(lists), sizes.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _rows_of(vocab: DataFrame) -> tuple[list[str], list[int]]:
+    """Tokens and ids; as many as the vocabulary's size parameter allows."""
+    rows = vocab.select("id", "token").orderBy("id").collect()
+    return [r.token for r in rows], [r.id for r in rows]
+
+
 def encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_length: int, out: str = "ids",
            pad: bool = True, oov: str = "unk", vocab_size: int | None = None) -> DataFrame:
     """Text -> ``[START] tokens[:max_length-2] [END]`` ids, padded with 0 to ``max_length``.
 
     Unknown tokens map to UNK (``oov='unk'``), or with ``oov='clamp'`` to the
     last id ``vocab_size - 1`` -- the reference's clamping, where out-of-range
-    ids collide on one id.  ``key`` must identify rows.
+    ids collide on one id.
     """
     if oov not in ("unk", "clamp") or (oov == "clamp" and not vocab_size):
         raise ValueError("oov must be 'unk', or 'clamp' with vocab_size")
     unknown = UNK if oov == "unk" else vocab_size - 1
-    # truncation happens before the join; a row without tokens keeps one row (place NULL).
-    # The row's columns ride on its first token, so nothing is joined back.
-    payload = [c for c in df.columns if c != key]
-    toks = df.select(key, F.struct(*payload, F.lit(0)).alias("_row"),
-                     F.posexplode_outer(F.slice(token_expr(text_col), 1, max_length - 2)).alias("_p", "token"))
-    toks = toks.select(key, F.when(F.coalesce(F.col("_p"), F.lit(0)) == 0, F.col("_row")).alias("_row"), "_p", "token")
-    v = vocab.select("token", "id")
-    ids = toks.join(v, "token", "left").select(key, "_row", "_p", F.coalesce("id", F.lit(unknown).cast("long")).alias("id"))
-    grouped = ids.groupBy(key).agg(
-        F.any_value("_row", True).alias("_row"),
-        F.array_sort(F.collect_list(F.when(F.col("_p").isNotNull(), F.struct("_p", "id")))).alias("_s"))
-    seq = F.concat(F.array(F.lit(START).cast("long")), F.transform(F.col("_s"), lambda s: s["id"]), F.array(F.lit(END).cast("long")))
-    if pad:
-        seq = F.concat(seq, F.array_repeat(F.lit(PAD).cast("long"), F.lit(max_length) - F.size("_s") - 2))
-    return grouped.select(*[F.col(key) if c == key else F.col("_row")[c].alias(c) for c in df.columns], seq.alias(out))
+    known, ids = _rows_of(vocab)
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def to_ids(tokens: pa.Array) -> pa.Array:
+        values, sizes = _flat(tokens)
+        place = pa.compute.index_in(values, value_set=pa.array(known, pa.string()))
+        found = pa.array(ids, pa.int64()).take(place).fill_null(unknown).to_numpy(zero_copy_only=False)
+        at = np.concatenate([[0], np.cumsum(np.full(len(sizes), max_length) if pad else sizes + 2)])
+        out = np.full(at[-1], PAD, np.int64)
+        out[at[:-1]] = START
+        out[at[:-1] + sizes + 1] = END
+        inner = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out[np.repeat(at[:-1], sizes) + 1 + inner] = found
+        return _lists(pa.array(out), at)
+
+    return df.withColumn(out, to_ids(F.slice(token_expr(text_col), 1, max_length - 2)))
 
 
 def clamp(ids, vocab_size: int) -> Column:
@@ -68,17 +92,19 @@ def clamp(ids, vocab_size: int) -> Column:
 
 
 def decode(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, out: str = "text") -> DataFrame:
-    """Ids -> text: special ids dropped, tokens joined by one blank."""
-    payload = [c for c in df.columns if c != key]
-    body = F.filter(ids_col, lambda x: x >= N_SPECIAL)
-    ex = df.select(key, F.struct(*payload, F.lit(0)).alias("_row"), F.posexplode_outer(body).alias("_p", "id"))
-    ex = ex.select(key, F.when(F.coalesce(F.col("_p"), F.lit(0)) == 0, F.col("_row")).alias("_row"), "_p", "id")
-    tok = ex.join(vocab.select("token", "id"), "id", "left")
-    grouped = tok.groupBy(key).agg(
-        F.any_value("_row", True).alias("_row"),
-        F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("_p", "token")))).alias("_s"))
-    text = F.array_join(F.transform(F.col("_s"), lambda s: s["token"]), " ")
-    return grouped.select(*[F.col(key) if c == key else F.col("_row")[c].alias(c) for c in df.columns], text.alias(out))
+    """Ids -> text: special and unknown ids dropped, tokens joined by one blank."""
+    known, place = _rows_of(vocab)
+
+    @F.arrow_udf(T.StringType())
+    def to_text(lists: pa.Array) -> pa.Array:
+        values, sizes = _flat(lists)
+        words = pa.array(known, pa.string()).take(pa.compute.index_in(values.cast(pa.int64()), value_set=pa.array(place, pa.int64())))
+        here = np.asarray(words.is_valid())
+        row = np.repeat(np.arange(len(sizes)), sizes)[here]
+        at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))])
+        return pa.compute.binary_join(_lists(words.filter(pa.array(here)), at), " ")
+
+    return df.withColumn(out, to_text(ids_col))
 
 
 def shift(ids) -> tuple[Column, Column]:
@@ -97,3 +123,7 @@ def ids_text(ids) -> Column:
     """Ids as a blank-separated string (for reports and comparisons)."""
     c = F.col(ids) if isinstance(ids, str) else ids
     return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+
+
+# Ship the lookups by value, as the metric functions are: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -223,11 +223,16 @@ def vec_aspect_embed(spark, sf_dir):
 # ---------------------------------------------------------------- rating
 
 
-def _rating_frame(spark, sf_dir):
-    """Interactions with dense ids, split, hotel criteria and the text's vector, written once."""
+def _rating_frame(spark, sf_dir, use_text=True):
+    """Interactions with dense ids, split, hotel criteria and, if asked for, the text's vector, written once.
+    A text is turned into a vector once, however many rows have it."""
     h = P.align_criteria(hotel_reviews(spark, sf_dir)).select(
         "pos", F.col("userID").alias("user"), F.col("hotelID").alias("item"), "rating", *P.HOTEL_CRITERIA_COLUMNS,
-        V.hashed_text("reviewText", TEXT_DIMS).alias("text_vec"))
+        *([F.xxhash64("reviewText").alias("_h1"), F.md5(F.coalesce("reviewText", F.lit(""))).alias("_h2"), "reviewText"] if use_text else []))
+    if use_text:
+        texts = h.groupBy("_h1", "_h2").agg(F.first("reviewText").alias("reviewText"))
+        texts = materialized(texts.select("_h1", "_h2", V.hashed_text("reviewText", TEXT_DIMS).alias("text_vec")), "text-vectors")
+        h = h.drop("reviewText").join(texts, ["_h1", "_h2"]).drop("_h1", "_h2")
     ids = X.first_seen_indexes(fx.keys(spark, sf_dir).withColumnsRenamed({"user_key": "user", "item_key": "item"}), ["user", "item"], "pos")
     h = X.lookup_join(X.lookup_join(h, ids["user"], "user"), ids["item"], "item")
     return materialized(h.join(X.exact_split(fx.keys(spark, sf_dir).select("pos"), "pos", SEED), "pos"), "ratings")
@@ -248,7 +253,7 @@ te AS (SELECT k.* FROM keys k JOIN sp USING (pos) WHERE sp.split = 'test')"""
 @register_values("rate_user_item_factors_values")
 def rate_user_item_factors_values(spark, sf_dir):
     """ALS latent factors (rank 8) of every user and item of the training split."""
-    als = _factors(_rating_frame(spark, sf_dir))
+    als = _factors(_rating_frame(spark, sf_dir, use_text=False))
     return RT.all_factors(als).select("kind", F.col("id").cast("long").alias("idx"), F.col("features").cast("array<double>").alias("features"))
 
 
@@ -289,7 +294,7 @@ def rate_predict_values(spark, sf_dir):
 @register_values("rate_test_frame_values")
 def rate_test_frame_values(spark, sf_dir):
     """``pos, truth, pred`` over the test split, factors only (no review text)."""
-    df = _rating_frame(spark, sf_dir)
+    df = _rating_frame(spark, sf_dir, use_text=False)
     return _test_frame(df, _factors(df), use_text=False)
 
 

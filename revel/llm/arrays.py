@@ -110,6 +110,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[:n], _inv[:n]
 
 
+def forget() -> None:
+    """Drop the table of powers if a very long text has made it grow."""
+    global _pow, _inv
+    if len(_pow) > 4 * CHUNK_BYTES:
+        _pow, _inv = np.ones(1, U64), np.ones(1, U64)
+
+
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
     """Running polynomial hash; see :func:`slice_hash`."""
     p, _ = _powers(max(1, len(buf)))

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from revel.llm import arrays as A
 from revel.llm.components import components
-from revel.llm.jobs import schema, written
+from revel.llm.jobs import batch_bytes, lean, schema, written
 
 WORDS, PERCENT = 5, 80
 COUNTER_BITS, WIDTH = 21, 64
@@ -57,8 +57,10 @@ VERIFY = 20.0
 CHANCE = 0.05
 #: estimated sets from which a shingle's list is salted, and into how many parts
 HOT, SALTS = 20_000, 64
-#: classes of a side of a block of pairs
-BLOCK_SETS = 2000
+#: shingles of a side of a block of pairs, in all of its sets
+BLOCK_SHINGLES = 1_000_000
+#: Arrow batches of this many bytes
+BATCH = 4 << 20
 #: one in so many pairs of components is compared in each round; the last takes all that are left
 SHARES = (16, 1)
 
@@ -99,7 +101,7 @@ def count_table(docs: DataFrame, text_col: str = "text", words: int = WORDS) ->
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(c) for c in table[own].T)], names)
 
     names = ["block", *(f"c{k}" for k in range(WIDTH))]
-    parts = docs.select(text_col).mapInArrow(count, "block int, " + ", ".join(f"c{k} long" for k in range(WIDTH)))
+    parts = docs.select(text_col).mapInArrow(lean(count), "block int, " + ", ".join(f"c{k} long" for k in range(WIDTH)))
     # 2^21 numbers, whatever the input
     sums = parts.groupBy("block").agg(*(F.sum(c).alias(c) for c in names[1:])).toArrow()
     out = np.zeros((n // WIDTH, WIDTH), np.int64)
@@ -161,7 +163,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text
 
     names = ["id", "class", "n", "matches", "hot", "prefix"]
     out = schema({"id": docs.schema[id_col].dataType}, "class long, n long, matches int, hot int, prefix array<long>")
-    return _texts(docs, id_col, text_col).mapInArrow(sign, out)
+    return _texts(docs, id_col, text_col).mapInArrow(lean(sign), out)
 
 
 def classed(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -177,7 +179,7 @@ def classed(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> Data
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(code, mask=n == 0), pa.array(n)], names)
 
     place, names = docs.columns.index(text_col), [*docs.columns, "_class", "_n"]
-    return docs.mapInArrow(sign, schema({f.name: f.dataType for f in docs.schema}, "_class long, _n long"))
+    return docs.mapInArrow(lean(sign), schema({f.name: f.dataType for f in docs.schema}, "_class long, _n long"))
 
 
 def class_texts(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -194,7 +196,7 @@ def class_texts(docs: DataFrame, text_col: str = "text", words: int = WORDS) ->
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0)], ["class", "text"]).take(pa.array(new, pa.int64()))
 
     own = classed(docs.select(F.col(text_col).alias("text")), "text", words)
-    return own.select("text", "_class").mapInArrow(once, "class long, text string")
+    return own.select("text", "_class").mapInArrow(lean(once), "class long, text string")
 
 
 def _similar_sizes(percent: int):
@@ -202,13 +204,14 @@ def _similar_sizes(percent: int):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """``a, b, linked`` of each pair of classes (``a, b, shingle``), from the whole texts.
+    """``a, b, linked`` of each pair of classes (``a, b, shingle, na, nb``), from the whole texts.
 
     Pairs are dealt in blocks: those of one shingle, cut into blocks of about
-    ``BLOCK_SETS`` classes a side where it has more.  A text goes to a block once,
+    ``BLOCK_SHINGLES`` a side where its sets hold more.  A text goes to a block once,
     not once for each of its pairs."""
-    sides = pairs.select("shingle", F.col("a").alias("class")).unionByName(pairs.select("shingle", F.col("b").alias("class")))
-    cuts = sides.distinct().groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("cuts"))
+    sides = pairs.select("shingle", F.col("a").alias("class"), F.col("na").alias("n")).unionByName(
+        pairs.select("shingle", F.col("b").alias("class"), F.col("nb").alias("n")))
+    cuts = sides.distinct().groupBy("shingle").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("cuts"))
     cut = {c: F.pmod(F.xxhash64(c), F.col("cuts")) for c in "ab"}
     dealt = pairs.join(cuts, "shingle").select(F.xxhash64("shingle", F.least(cut["a"], cut["b"]), F.greatest(cut["a"], cut["b"])).alias("block"), "a", "b")
     needed = dealt.select("block", F.col("a").alias("class")).unionByName(dealt.select("block", F.col("b").alias("class"))).distinct()
@@ -241,7 +244,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
             pair = ~is_text
             yield pa.RecordBatch.from_arrays([pa.array(a[pair]), pa.array(b[pair]), pa.array(linked[pair])], ["a", "b", "linked"])
 
-    return rows.repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long, linked boolean")
+    return rows.repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first()).mapInArrow(lean(check), "a long, b long, linked boolean")
 
 
 def _relabelled(labels: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -262,6 +265,7 @@ class Components(NamedTuple):
 
 
 def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> Components:
+    batch_bytes(docs.sparkSession, BATCH)
     counts = count_table(docs, text_col, words)
     signed = written(signatures(docs, counts, id_col, text_col, words, percent), "signatures")
     classes = signed.where("class is not null").groupBy("class", "n").agg(
@@ -271,9 +275,11 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = signed.select("class", "hot", F.posexplode("prefix").alias("place", "shingle"), F.size("prefix").alias("len"))
     rows = rows.select("shingle", "class", F.when(F.col("place") >= F.col("len") - F.col("hot"), F.pmod("class", F.lit(SALTS)) + 1)
                        .otherwise(0).cast("byte").alias("salt"))
+    # one sort: repeated rows of a class stand next to each other
     group = Window.partitionBy("shingle", "salt")
-    rows = rows.withColumn("first", F.min("class").over(group)).withColumn("last", F.max("class").over(group))
-    shared = written(rows.where("first != last or salt > 0").select("shingle", "class", "salt", "first").distinct(), "shared")
+    rows = rows.withColumns({"before": F.lag("class").over(group.orderBy("class")), "first": F.min("class").over(group), "last": F.max("class").over(group)})
+    shared = rows.where("(first != last or salt > 0) and (before is null or before != class)")
+    shared = written(shared.select("shingle", "class", "salt", "first"), "shared")
     info = written(classes.join(shared.select("class").distinct(), "class", "left_semi"), "classes")
     # by class, not by id: ids may be null or stand on several texts
     texts = class_texts(docs, text_col, words).join(info.select("class"), "class", "left_semi").groupBy("class").agg(F.min("text").alias("text"))
@@ -284,7 +290,7 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """``a, b, shingle`` (their least) of pairs (one row for each common prefix shingle) that match often enough."""
         counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min("shingle").alias("shingle"))
         sized = counted.join(sizes["a"], "a").join(sizes["b"], "b").where(_similar_sizes(percent))
-        return sized.where(F.col("common") >= F.least("ma", "mb")).select("a", "b", "shingle")
+        return sized.where(F.col("common") >= F.least("ma", "mb")).select("a", "b", "shingle", "na", "nb")
 
     # first pass: every class against the smallest one of each of its prefix shingles
     stars = shared.where("class != first").select(F.col("class").alias("a"), F.col("first").alias("b"), "shingle")

@@ -60,7 +60,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.specials = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.reset()
 
     def reset(self) -> None:
@@ -91,7 +91,9 @@ class Encoder:
         raw = buf.tobytes()
         size = end - start
         long = size > 16
-        special = any(s in raw for s in self.specials)
+        # in any case: units are lower-cased below, and only the raw text tells a special token from its likeness
+        lowered = raw.lower()
+        special = any(s in lowered for s in self.specials)
         if special:
             odd = np.zeros(len(buf) + 1, np.int64)
             np.cumsum(buf == ord("<"), out=odd[1:])
@@ -159,3 +161,8 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Drop the encoders a task of another stage has left in this worker."""
+    _encoders.clear()

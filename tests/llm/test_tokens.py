@@ -24,6 +24,8 @@ def test_units_give_the_ids_of_whole_texts(whole):
     r = random.Random(5)
     chars = "abcXYZéßÉ日本 \t\n.,;:!?|'\"<>()[]0123-_/\\́  Σς😀@#$%^&*~`"
     texts = edge_texts(3) + ["".join(r.choice(chars) for _ in range(r.randint(0, 200))) for _ in range(500)]
+    marks = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|startoftext|>", "<|startofTEXT|>", "<|", "|>", "a", "B ", " ", "."]
+    texts += ["<|ENDOFTEXT|> b"] + ["".join(r.choice(marks) for _ in range(r.randint(1, 8))) for _ in range(400)]
     buf, off = A.utf8(pa.array([t or "" for t in texts]))
     ids, at = tokens.encoder(tokens.default_path()).encode(buf, off)
     for k, t in enumerate(texts):

@@ -89,7 +89,7 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_packing, op4_decontaminate, op5_token_files, op6_warc, op7_shards,
                                    op8_substrings, op9_lines, op10_jaccard, op11_trie, op12_secrets, op13_fim)}
 
-#: The other operators have no SQL: they train models, use a tokenizer or crc32, or close a graph.
+#: The other operators have no SQL: they train models, use a tokenizer, crc32 or a digest of many rows, or close a graph.
 ORACLE: dict[str, str] = {
     "op6_warc": warc.oracle_sql(FETCHED),
     "op8_substrings": substrings.ORACLE_SQL,

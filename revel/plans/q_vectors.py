@@ -15,6 +15,7 @@ from revel.operators import tokens as TK
 from revel.operators import vectors as V
 from revel.plans.catalog import register, register_values, round6
 from revel.plans.jobs import hotel_reviews
+from revel.plans.vector_sql import BATCH, LOSS as _LOSS, PERM as _PERM, VEC as _VEC
 from revel.plans.q_index import _TOKRE, SEED, _split_sql, tok_sql
 from revel.session import materialized, scratch_dir
 from revel.sources import fixtures as fx
@@ -22,20 +23,12 @@ from revel.sources import readers as R
 from revel.sources import sinks as S
 from revel.sources.fixtures import with_fixtures
 
-BATCH = 64
 TEXT_DIMS = 16
 SRC_VOCAB, SRC_LEN = 30522, 128
 TGT_VOCAB, TGT_LEN = 20000, 256
 
 # ---------------------------------------------------------------- vectors
 
-_VEC = """
-ve AS (SELECT vec_id, label, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS i FROM vectors),
-cen AS (SELECT label, i, avg(x) AS m FROM ve GROUP BY label, i),
-cn AS (SELECT label, sqrt(sum(m * m)) AS n FROM cen GROUP BY label),
-vn AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM ve GROUP BY vec_id)"""
-
-
 def _long(df: DataFrame, key: list[str], vec: str, out: str = "value") -> DataFrame:
     """Vector column -> rows ``key..., dim, value`` (rounded)."""
     ex = df.select(*key, F.posexplode(vec).alias("dim", out))
@@ -94,15 +87,6 @@ def vec_aspect_affinity(spark, sf_dir):
     return aff.select("vec_id", F.col("aspect_id").cast("int").alias("aspect_id"), F.round("score", 6).alias("score"))
 
 
-_PERM = f"""
-bt AS (SELECT vec_id, label, vec_id // {BATCH} AS batch_id,
-              row_number() OVER (PARTITION BY vec_id // {BATCH} ORDER BY vec_id) AS r,
-              row_number() OVER (PARTITION BY vec_id // {BATCH} ORDER BY md5('{SEED}:' || vec_id), vec_id) AS h
-       FROM vectors),
-perm AS (SELECT a.vec_id, a.batch_id, a.label, b.vec_id AS neg_key, b.label AS neg_label
-         FROM bt a JOIN bt b ON b.batch_id = a.batch_id AND b.h = a.r)"""
-
-
 def _permuted(spark, sf_dir) -> DataFrame:
     v = fx.vectors(spark, sf_dir).select("vec_id", F.expr(f"vec_id div {BATCH}").alias("batch_id"))
     return V.permuted_partner(v, "vec_id", "batch_id", SEED)
@@ -115,16 +99,6 @@ def vec_permute_negatives(spark, sf_dir):
     return _permuted(spark, sf_dir)
 
 
-_LOSS = _VEC + "," + _PERM + """,
-cosl AS (SELECT ve.vec_id, cen.label AS c_label, sum(ve.x * cen.m) / greatest(vn.n * cn.n, 1e-8) AS cos
-         FROM ve JOIN cen ON cen.i = ve.i JOIN vn USING (vec_id) JOIN cn ON cn.label = cen.label
-         GROUP BY ve.vec_id, cen.label, vn.n, cn.n),
-terms AS (SELECT p.vec_id, p.batch_id, a.cos AS pos_score, b.cos AS neg_score,
-                 ln(1 + exp((b.cos - a.cos) / 0.1)) AS loss
-          FROM perm p JOIN cosl a ON a.vec_id = p.vec_id AND a.c_label = p.label
-                      JOIN cosl b ON b.vec_id = p.vec_id AND b.c_label = p.neg_label)"""
-
-
 def _terms(spark, sf_dir) -> DataFrame:
     cen = _centroids(spark, sf_dir)
     v = fx.vectors(spark, sf_dir)

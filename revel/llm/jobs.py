@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import math
 import uuid
 
@@ -31,6 +32,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and broadcasts of finished jobs: its cleaner acts on what the driver's collector has found
+    unreachable, which a driver with room to spare looks for too seldom for a job of many rounds."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,6 +23,13 @@ links merge many of them, and then all that are left.  Every link
 either is verified or joins two sets that verified links already connect, so
 the components are exact.
 
+*Sketches.*  Before whole texts are compared, a pair's parity sketches are: bit
+``h mod 2^k`` of a set's sketch is the parity of its shingles with that hash
+bits.  The exclusive or of two sketches is the sketch of the symmetric
+difference, so its set bits never outnumber that difference; pairs with more
+set bits than a link allows are no links.  A sketch has 2 to 4 bits a shingle,
+so near copies just under the threshold are told apart without their texts.
+
 A shingle on very many sets is dealt to ``SALTS`` groups, each with its own
 smallest class, and these are compared with the smallest of all.
 
@@ -46,7 +53,7 @@ from pyspark.sql import functions as F
 
 from revel.llm import arrays as A
 from revel.llm.components import components
-from revel.llm.jobs import batch_bytes, lean, schema, written
+from revel.llm.jobs import batch_bytes, lean, release, schema, written
 
 WORDS, PERCENT = 5, 80
 COUNTER_BITS, WIDTH = 21, 64
@@ -133,9 +140,30 @@ def prefix(s: np.ndarray, counts: np.ndarray, noise: float, percent: int) -> tup
     return s[order[:end]], int(matches[best]), int((lists[:end] >= HOT).sum())
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the shingles by their last hash bits, in 64-bit words: a power of two of bits, at least two a shingle."""
+    bits = max(64, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & A.U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Set bits of the exclusive or of the sketches of each pair (bytes and offsets of both sides), the wider folded to the narrower."""
+    sizes = [np.diff(off) // 8 for _, off in (a, b)]
+    width = np.minimum(*sizes)
+    both = np.zeros(int(width.sum()), A.U64)
+    for (buf, off), size in zip((a, b), sizes):
+        words, start = np.frombuffer(buf.tobytes(), A.U64), off[:-1] // 8
+        for k in range(int((size // np.maximum(width, 1)).max(initial=0))):
+            wide = size > k * width
+            part = words[A.ragged(np.where(wide, start + k * width, start), width)]
+            both ^= np.where(np.repeat(wide, width), part, A.U64(0))
+    return A.total_of(np.bitwise_count(both).astype(np.int64), A.bounds(width))
+
+
 def signatures(docs: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                percent: int = PERCENT) -> DataFrame:
-    """``id, class, n, matches, hot, prefix``; a class already met by the task has no prefix."""
+    """``id, class, n, matches, hot, prefix, sketch``; a class already met by the task has no prefix and no sketch."""
     middle = float(np.median(counts))
     noise = middle + 4 * middle ** 0.5
 
@@ -148,21 +176,23 @@ def signatures(docs: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text
                 n = np.array([len(s) for s in sets], np.int64)
                 code = A.fold(np.concatenate([*sets, np.zeros(0, A.U64)]), A.bounds(n)).view(np.int64)
                 matches, hot, own = np.zeros(j - i, np.int32), np.zeros(j - i, np.int32), []
+                marks: list[bytes | None] = [None] * (j - i)
                 for k, s in enumerate(sets):
                     key = (int(code[k]), int(n[k]))
                     if len(s) and key not in met:
                         met.add(key)
                         p, matches[k], hot[k] = prefix(s, counts, noise, percent)
                         own.append(p)
+                        marks[k] = sketch(s)
                     else:
                         own.append(s[:0])
                 at = A.bounds(np.array([len(p) for p in own], np.int64)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*own, np.zeros(0, A.U64)]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(code, mask=n == 0), pa.array(n), pa.array(matches),
-                                                  pa.array(hot), lists], names)
+                                                  pa.array(hot), lists, pa.array(marks, pa.binary())], names)
 
-    names = ["id", "class", "n", "matches", "hot", "prefix"]
-    out = schema({"id": docs.schema[id_col].dataType}, "class long, n long, matches int, hot int, prefix array<long>")
+    names = ["id", "class", "n", "matches", "hot", "prefix", "sketch"]
+    out = schema({"id": docs.schema[id_col].dataType}, "class long, n long, matches int, hot int, prefix array<long>, sketch binary")
     return _texts(docs, id_col, text_col).mapInArrow(lean(sign), out)
 
 
@@ -203,6 +233,20 @@ def _similar_sizes(percent: int):
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
 
+def sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a, b, shingle, na, nb``) whose sketches do not rule a link out."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (100 - percent) * (batch.column(3).to_numpy() + batch.column(4).to_numpy())
+            found = differing(A.utf8(batch.column(5)), A.utf8(batch.column(6)))
+            yield batch.select(range(5)).filter(pa.array((100 + percent) * found <= most))
+
+    for side in "ab":
+        pairs = pairs.join(sketches.select(F.col("class").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+    return pairs.select("a", "b", "shingle", "na", "nb", "sketch_a", "sketch_b").mapInArrow(lean(check), "a long, b long, shingle long, na long, nb long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """``a, b, linked`` of each pair of classes (``a, b, shingle, na, nb``), from the whole texts.
 
@@ -266,6 +310,7 @@ class Components(NamedTuple):
 
 def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> Components:
     batch_bytes(docs.sparkSession, BATCH)
+    release(docs.sparkSession)
     counts = count_table(docs, text_col, words)
     signed = written(signatures(docs, counts, id_col, text_col, words, percent), "signatures")
     classes = signed.where("class is not null").groupBy("class", "n").agg(
@@ -284,13 +329,18 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # by class, not by id: ids may be null or stand on several texts
     texts = class_texts(docs, text_col, words).join(info.select("class"), "class", "left_semi").groupBy("class").agg(F.min("text").alias("text"))
     texts = written(texts, "texts")
+    marks = signed.where("sketch is not null").select("class", "sketch").join(info.select("class"), "class", "left_semi")
+    marks = written(marks.groupBy("class").agg(F.max("sketch").alias("sketch")), "sketches")
+    release(docs.sparkSession)
     sizes = {side: info.select(F.col("class").alias(side), F.col("n").alias(f"n{side}"), F.col("matches").alias(f"m{side}")) for side in "ab"}
 
     def candidates(pairs: DataFrame) -> DataFrame:
         """``a, b, shingle`` (their least) of pairs (one row for each common prefix shingle) that match often enough."""
         counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min("shingle").alias("shingle"))
         sized = counted.join(sizes["a"], "a").join(sizes["b"], "b").where(_similar_sizes(percent))
-        return sized.where(F.col("common") >= F.least("ma", "mb")).select("a", "b", "shingle", "na", "nb")
+        # written once: the verification reads them for the sizes of blocks, for the texts and for the pairs
+        likely = sketched(sized.where(F.col("common") >= F.least("ma", "mb")).select("a", "b", "shingle", "na", "nb"), marks, percent)
+        return written(likely, "likely")
 
     # first pass: every class against the smallest one of each of its prefix shingles
     stars = shared.where("class != first").select(F.col("class").alias("a"), F.col("first").alias("b"), "shingle")
@@ -300,6 +350,8 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tried = written(verified(candidates(stars.unionByName(heads)), texts, words, percent), "tried")
     labels = _relabelled(info.select("class", F.col("class").alias("label")), tried)
 
+    release(docs.sparkSession)
+
     # then: common prefix shingles of different components
     for share in SHARES:
         members = shared.select("shingle", "class").join(labels, "class").join(info.select("class", "n"), "class")
@@ -317,6 +369,7 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         new = written(verified(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, words, percent), "tried")
         labels = _relabelled(labels, new)
         tried = tried.unionByName(new)
+        release(docs.sparkSession)
 
     return Components(signed, classes.join(labels, "class", "left"))
 

@@ -354,3 +354,29 @@ def test_prefixes_of_similar_sets_share_enough():
         if 100 * common >= 80 * (2 * n - common):
             (p, lp, _), (q, lq, _) = (jaccard.prefix(np.sort(x), counts, 500.0, 80) for x in (s, t))
             assert len(np.intersect1d(p, q)) >= min(lp, lq)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sketches_never_rule_out_a_link(seed):
+    rng = np.random.default_rng(seed)
+    pairs, truth = [], []
+    for _ in range(300):
+        n, extra = int(rng.integers(1, 900)), int(rng.integers(0, 120))
+        common = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        s, t = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, k).astype(np.uint64)])) for k in (extra, int(rng.integers(0, 120))))
+        pairs.append((s, t))
+        truth.append(len(np.setxor1d(s, t)))
+    sides = []
+    for k in (0, 1):
+        marks = [jaccard.sketch(p[k]) for p in pairs]
+        sides.append((np.frombuffer(b"".join(marks), np.uint8), np.cumsum([0, *map(len, marks)])))
+    found = jaccard.differing(*sides)
+    assert (found <= truth).all() and (found % 2 == np.array(truth) % 2).all()
+    # and they tell most of the difference
+    assert found.sum() > 0.8 * sum(truth)
+    # folded over any ratio of widths
+    wide, narrow = np.arange(5000, dtype=np.uint64), np.arange(3, dtype=np.uint64)
+    one = [(np.frombuffer(m, np.uint8), np.array([0, len(m)])) for m in map(jaccard.sketch, (wide, narrow))]
+    assert jaccard.differing(*one)[0] <= 4997
+    none = (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    assert len(jaccard.differing(none, none)) == 0

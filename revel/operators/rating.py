@@ -4,7 +4,9 @@
   unseen users or items predict NaN (cold start), replaced by the global mean.
 * ``fit_rating`` / ``predict``: a Pipeline of features (normalised factors,
   optionally the review text's hashed vector ``text_vec``) and a regressor.
-* ``fit_criteria``: one regressor per sub-rating over the same features.
+* ``fit_criteria`` / ``fit_outputs``: a ridge head per sub-rating (and the
+  rating) over the same features, all solved from one pass (``operators.heads``);
+  ``predict_outputs`` chooses between ``plain``, ``criteria`` and ``aspect``.
 
 All fitting is distributed MLlib; only fitted coefficients live on the driver.
 """
@@ -18,6 +20,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revel.operators.heads import Heads, fit_heads, predicted
 from revel.operators.vectors import l2_normalize
 
 
@@ -77,21 +80,48 @@ def predict(model, features: DataFrame, use_text: bool = True, fallback=None) ->
     return out
 
 
-def fit_criteria(train_features: DataFrame, criteria: list[str], use_text: bool = True, reg: float = 0.01):
-    """One regressor per criterion over the same features."""
-    data = _assemble(train_features, use_text).cache()
-    models = {c: LinearRegression(featuresCol="features", labelCol=c, predictionCol=f"pred_{c}", regParam=reg).fit(data)
-              for c in criteria}
-    means = data.agg(*[F.avg(c).alias(c) for c in criteria]).first()
-    data.unpersist()
-    return {c: (m, means[c]) for c, m in models.items()}
+def joint_features(features: DataFrame, use_text: bool = True) -> DataFrame:
+    """``features`` with the array column ``joint``: both factors (and the text vector); null for an unseen user or item."""
+    parts = ["uf", "if_"] + (["text_vec"] if use_text else [])
+    return features.withColumn("joint", F.concat(*parts))
+
+
+def fit_criteria(train_features: DataFrame, criteria: list[str], use_text: bool = True, reg: float = 0.01) -> Heads:
+    """A head for each criterion over the same features, all from one pass."""
+    return fit_heads(joint_features(train_features, use_text), criteria, "joint", reg)
 
 
-def predict_criteria(models: dict, features: DataFrame, use_text: bool = True) -> DataFrame:
+def predict_criteria(heads: Heads, features: DataFrame, use_text: bool = True) -> DataFrame:
     """``pred_criteria``: all criteria in order; an unseen user or item gets the training means."""
-    data = _assemble(features, use_text)
-    for m, _ in models.values():
-        data = m.transform(data)
-    data = data.withColumn("pred_criteria", F.array(*[F.col(f"pred_{c}") for c in models])).drop("features", *[f"pred_{c}" for c in models])
-    unseen = features.where("uf is null or if_ is null").withColumn("pred_criteria", F.array(*[F.lit(m) for _, m in models.values()]))
-    return data.unionByName(unseen)
+    out = joint_features(features, use_text)
+    return out.withColumn("pred_criteria", F.array(*(predicted(heads, t, "joint") for t in heads.targets))).drop("joint")
+
+
+#: what a prediction returns beside the rating
+OUTPUTS = ("plain", "criteria", "aspect")
+
+
+def fit_outputs(train_features: DataFrame, criteria: list[str], rating: str = "rating", use_text: bool = True, reg: float = 0.01) -> Heads:
+    """The rating's head and those of the criteria, all from one pass."""
+    return fit_criteria(train_features, [rating, *(c for c in criteria if c != rating)], use_text, reg)
+
+
+def predict_outputs(heads: Heads, features: DataFrame, outputs: str = "plain", use_text: bool = True) -> DataFrame:
+    """``features`` with ``pred``, the first head's rating, and by ``outputs`` with
+
+    * ``plain``: nothing more,
+    * ``criteria``: ``pred_criteria``, the other heads in order,
+    * ``aspect``: ``aspect_rep``, the review's text vector at unit length, to be compared with aspect vectors
+      (a zero vector stays zero).
+
+    An unseen user or item gets the training means."""
+    if outputs not in OUTPUTS:
+        raise ValueError(f"outputs: one of {', '.join(OUTPUTS)}")
+    out = joint_features(features, use_text).withColumn("pred", predicted(heads, heads.targets[0], "joint"))
+    if outputs == "criteria":
+        out = out.withColumn("pred_criteria", F.array(*(predicted(heads, t, "joint") for t in heads.targets[1:])))
+    if outputs == "aspect":
+        norm = F.sqrt(F.aggregate("text_vec", F.lit(0.0), lambda a, x: a + x * x))
+        out = out.withColumn("_norm", norm)
+        out = out.withColumn("aspect_rep", F.transform("text_vec", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(0.0))).drop("_norm")
+    return out.drop("joint")

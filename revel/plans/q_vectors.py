@@ -279,6 +279,25 @@ def rate_criteria_values(spark, sf_dir):
     return out.select("pos", *[F.get("pred_criteria", F.lit(i)).alias(f"pred_{c}") for i, c in enumerate(P.CRITERIA_ORDER[:5])])
 
 
+@register_values("rate_outputs_values")
+def rate_outputs_values(spark, sf_dir):
+    """``outputs, pos, truth, pred``, ``pred_<criterion>`` (for ``criteria``) and ``aspect_rep`` (for ``aspect``) over the test split,
+    for each choice of outputs; the rating and all criteria are fitted in one pass."""
+    df = _rating_frame(spark, sf_dir)
+    feats = RT.factor_features(df, _factors(df))
+    criteria = P.CRITERIA_ORDER[:5]
+    heads = RT.fit_outputs(feats.where("split = 'train'"), criteria)
+    test = feats.where("split = 'test'")
+    frames = []
+    for outputs in RT.OUTPUTS:
+        out = RT.predict_outputs(heads, test, outputs)
+        own = [F.get("pred_criteria", F.lit(i)) if outputs == "criteria" else F.lit(None).cast("double") for i in range(len(criteria))]
+        rep = F.col("aspect_rep") if outputs == "aspect" else F.lit(None).cast("array<double>")
+        frames.append(out.select(F.lit(outputs).alias("outputs"), "pos", F.col("rating").alias("truth"), "pred",
+                                 *(c.alias(f"pred_{n}") for c, n in zip(own, criteria)), rep.alias("aspect_rep")))
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
 @register_values("job_rating_eval_values")
 def job_rating_eval_values(spark, sf_dir):
     """fit -> predict -> n, MSE / RMSE / MAE, with and without the review text."""
@@ -308,7 +327,7 @@ def _criteria_frame(spark, sf_dir):
 
 @register("rate_criteria", with_fixtures("SELECT pos, 5::BIGINT AS n_criteria, true AS sound FROM te", "keys", ctes=_TRAIN_IDS))
 def rate_criteria(spark, sf_dir):
-    """Five sub-ratings predicted at once (one regressor per criterion), over the test split:
+    """Five sub-ratings predicted at once (one ridge head per criterion, all from one pass), over the test split:
     how many, and whether they are finite and near the scale (the values are in ``rate_criteria_values``)."""
     out = _criteria_frame(spark, sf_dir)
     return out.select("pos", F.size("pred_criteria").cast("long").alias("n_criteria"),

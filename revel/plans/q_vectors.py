@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from revel.operators import index as X
 from revel.operators import metrics as M
 from revel.operators import prep as P
+from revel.operators import fold_in as FI
 from revel.operators import rating as RT
 from revel.operators import tokens as TK
 from revel.operators import vectors as V
@@ -298,6 +299,22 @@ def rate_outputs_values(spark, sf_dir):
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
+@register_values("rate_cold_start_values")
+def rate_cold_start_values(spark, sf_dir):
+    """``pos, truth, pred, mean`` of the test rows of users that the factors were not fitted on (a hashed fifth of all users):
+    their factors are folded in from their own training rows; ``mean`` is the training mean, and the prediction where a user
+    has no such rows or the item has no factors."""
+    df = _rating_frame(spark, sf_dir, use_text=False)
+    new = X.hash_unit(F.lit(SEED), F.col("user_idx")) < 0.2
+    train = df.where(F.col("split") == "train")
+    als = RT.fit_factors(train.where(~new))
+    users = FI.with_new(als.userFactors, FI.fold_in(train.where(new), als.itemFactors, als.rank))
+    mean = train.where(~new).agg(F.avg("rating")).scalar()
+    asked = df.where((F.col("split") == "test") & new)
+    out = FI.dot_predictions(asked, users, als.itemFactors, mean)
+    return out.select("pos", F.col("rating").alias("truth"), "pred", mean.alias("mean"))
+
+
 @register_values("job_rating_eval_values")
 def job_rating_eval_values(spark, sf_dir):
     """fit -> predict -> n, MSE / RMSE / MAE, with and without the review text."""

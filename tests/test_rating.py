@@ -71,3 +71,21 @@ def test_queries_return_the_numbers_behind_their_checks(spark):
     factors = run["rate_user_item_factors_values"](spark, SF_SMALL).collect()
     assert {r.kind for r in factors} == {"user", "item"} and all(len(r.features) == 8 for r in factors)
     assert len({tuple(r.features) for r in factors}) > 2
+
+
+def test_queries_of_outputs_and_cold_start(spark):
+    run = E.queries()
+    out = run["rate_outputs_values"](spark, SF_SMALL).collect()
+    by = {o: {r.pos: r for r in out if r.outputs == o} for o in RT.OUTPUTS}
+    assert len(by["plain"]) * 3 == len(out) and by["plain"].keys() == by["criteria"].keys() == by["aspect"].keys()
+    criteria = [f"pred_{c}" for c in P.CRITERIA_ORDER[:5]]
+    for r in out:
+        assert r.pred == by["plain"][r.pos].pred and -1 <= r.pred <= 7
+        assert all((r[c] is not None) == (r.outputs == "criteria") for c in criteria)
+        assert (r.aspect_rep is not None) == (r.outputs == "aspect")
+    for r in by["aspect"].values():
+        assert sum(x * x for x in r.aspect_rep) == pytest.approx(1.0) or not any(r.aspect_rep)
+    cold = run["rate_cold_start_values"](spark, SF_SMALL).collect()
+    assert cold and len({r.pos for r in cold}) == len(cold) and len({r["mean"] for r in cold}) == 1
+    assert {r.pos for r in cold} <= by["plain"].keys() and all(math.isfinite(r.pred) for r in cold)
+    assert any(r.pred != r["mean"] for r in cold)

@@ -128,8 +128,60 @@ def split_sizes(n: int, holdout: float = 0.2, test_of_holdout: float = 0.5) -> t
     return n - h, h - t, t
 
 
+#: rows of a hash bucket that are few enough to be ordered on the driver
+FEW = 10_000
+
+
+def _histogram(rows: DataFrame, start: int) -> list:
+    """``(bucket, n)`` in order, by the four hex digits of ``_h`` after ``start`` of them: at most 65,536 rows."""
+    return sorted(map(tuple, rows.groupBy(F.substring("_h", start + 1, 4).alias("bucket")).count().collect()))
+
+
+def _cut(rows: DataFrame, histogram: list, rank: int) -> tuple | None:
+    """``(_h, key)`` of the row with this rank in the order of ``_h, key``; None if the row before it is equal.
+
+    Only the bucket that holds the rank is looked at again, by its next digits, until it has few rows."""
+    digits = ""
+    while True:
+        for bucket, n in histogram:
+            if rank < n:
+                break
+            rank -= n
+        digits += bucket
+        rows = rows.where(F.substring("_h", len(digits) - len(bucket) + 1, len(bucket)) == bucket)
+        if n <= FEW:
+            own = [tuple(r) for r in rows.orderBy("_h", "_k").collect()]
+            return None if rank and own[rank - 1] == own[rank] else own[rank]
+        if len(digits) == 32:  # equal hashes: repeated keys
+            return None
+        histogram = _histogram(rows, len(digits))
+
+
 def exact_split(df: DataFrame, key: str, seed: int = 1702, out: str = "split") -> DataFrame:
-    """Seeded 80/10/10 split with exact sizes: rank rows by md5(seed:key), cut."""
+    """Seeded 80/10/10 split with exact sizes, by the rank of md5(seed:key), then key.
+
+    The two cut points are found by counts of hash buckets, so no row is sorted or
+    shuffled: two comparisons tell a row's part.  ``key`` must give the same values each
+    time it is read.  Only where a cut falls between rows with equal keys are all rows ranked."""
+    rows = df.select(hash_order(seed, F.col(key)).alias("_h"), F.col(key).alias("_k"))
+    histogram = _histogram(rows, 0)
+    n = sum(c for _, c in histogram)
+    n_train, n_val, _ = split_sizes(n)
+    label = F.lit("train")
+    for rank, name in ((n_train, "val"), (n_train + n_val, "test")):
+        if rank >= n:
+            continue
+        at = _cut(rows, histogram, rank)
+        if at is None:
+            return _ranked_split(df, key, seed, out)
+        h, k = hash_order(seed, F.col(key)), F.col(key)
+        tied = F.lit(True) if at[1] is None else F.coalesce(k >= F.lit(at[1]), F.lit(False))
+        label = F.when((h > at[0]) | ((h == at[0]) & tied), name).otherwise(label)
+    return df.select(*df.columns, label.alias(out))
+
+
+def _ranked_split(df: DataFrame, key: str, seed: int, out: str) -> DataFrame:
+    """The split by the ranks of all rows; rows with equal keys are told apart by their place."""
     ranked, n = counted_index(df.withColumn("_h", hash_order(seed, F.col(key))), ["_h", key], "_rank")
     n_train, n_val, _ = split_sizes(n)
     label = (F.when(F.col("_rank") < n_train, "train")

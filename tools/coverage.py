@@ -41,6 +41,8 @@ def main() -> None:
         if f"{k}_values" in VALUES:
             doc = (inspect.getdoc(VALUES[f"{k}_values"]) or "").split("\n")[0]
             out.append(f"| {section} | `{k}_values` | rows + unit tests | {doc} |")
+    for k in sorted(k for k in VALUES if k.removesuffix("_values") not in QUERIES):
+        out.append(f"| (other) | `{k}` | rows + unit tests | {(inspect.getdoc(VALUES[k]) or '').splitlines()[0]} |")
     with open(os.path.join(ROOT, "COVERAGE.md"), "w", encoding="utf-8") as f:
         f.write("\n".join(out) + "\n")
 

@@ -14,12 +14,14 @@ of looking up its prefix's lists and verifying what shares ``l`` of them (a
 share of the entries that falls with the square of ``l``); a pair is verified when it shares as many prefix shingles as the lesser ``l`` of
 its two sides asks.
 
-*No pairs within a group.*  Near copies would give all pairs of their group, so
-the join takes rounds.  First, each set is compared only with the smallest
+*No pairs within a component.*  Near copies would give all pairs of their group,
+so the join takes rounds.  First, each set is compared only with the smallest
 class of each of its prefix shingles, and the verified links are closed to
 components.  Then pairs with a common prefix shingle are enumerated between
 *different* components only: a hashed share of the pairs of components, whose
-links merge many of them, and then all that are left.  Every link
+links merge many of them, and then all that are left.  A shingle in the prefixes
+of k components that stay apart gives pairs of these in the order of k squared:
+the join's known weakness.  Every link
 either is verified or joins two sets that verified links already connect, so
 the components are exact.
 

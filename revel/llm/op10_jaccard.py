@@ -3,16 +3,21 @@
 A document's set holds its distinct word shingles, as 64-bit hashes.  Equal
 sets form a class; the join works on classes.
 
-*Order.*  Shingles are ordered from rare to common by a table of 2^21 counters
-over all documents' shingles (its size is fixed; each shingle has a counter,
-shared with others), then by hash.
+*Order.*  Shingles are ordered from rare to common by how many classes hold
+them, counted exactly: shingles and classes are dealt to buckets by the hash of
+the shingle, in as many buckets as the input needs, and each bucket is sorted
+and counted on its own.  A shingle of one class can link nothing and comes first;
+counts go back to the classes only for the others.  Counts are rounded to sixteen
+steps a doubling, ties go by hash.  The few shingles that stand on very many sets
+(``HOT``, told by a table of 2^21 counters over all documents) are not dealt to
+a bucket: they come last, ordered by their counter.
 
 *Prefixes.*  Of ``n`` shingles a similar set shares at least ``a = ceil(t n)``;
 so two similar sets share ``l`` or more of the first ``n - a + l`` of each.
 Every set takes the ``l`` (1 to ``MOST_MATCHES``) with the least estimated cost
 of looking up its prefix's lists and verifying what shares ``l`` of them (a
 share of the entries that falls with the square of ``l``); a pair is verified when it shares as many prefix shingles as the lesser ``l`` of
-its two sides asks.
+its two sides asks.  A set whose prefix holds no shared shingle links with nothing.
 
 *No pairs within a component.*  Near copies would give all pairs of their group,
 so the join takes rounds.  First, each set is compared only with the smallest
@@ -55,15 +60,17 @@ from pyspark.sql import functions as F
 
 from revel.llm import arrays as A
 from revel.llm.components import components
-from revel.llm.jobs import batch_bytes, lean, release, schema, written
+from revel.llm.jobs import batch_bytes, lean, pieces_for, release, schema, trim, written
 
 WORDS, PERCENT = 5, 80
 COUNTER_BITS, WIDTH = 21, 64
 MOST_MATCHES = 4
 #: cost of verifying a candidate, in looked-up list entries
 VERIFY = 20.0
-#: sets that share a shingle by chance, where the counters show no more
-CHANCE = 0.05
+#: steps of a shingle's count for each doubling
+STEPS = 16
+#: shingles of a bucket, on average, and those a task holds before it deals them out
+BUCKET, HELD = 2_000_000, 2_000_000
 #: estimated sets from which a shingle's list is salted, and into how many parts
 HOT, SALTS = 20_000, 64
 #: shingles of a side of a block of pairs, in all of its sets
@@ -119,27 +126,154 @@ def count_table(docs: DataFrame, text_col: str = "text", words: int = WORDS) ->
     return out.ravel().astype(np.int32) if out.max(initial=0) < 1 << 31 else out.ravel()
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int, int]:
-    """``(shingles, matches, hot)``: a set's prefix, the matches it asks for, and how many of its last are hot."""
-    n = len(s)
-    c = counts[(s >> A.U64(64 - COUNTER_BITS)).astype(np.int64)]
-    share = -(-percent * n // 100)
-    longest = min(n, n - share + MOST_MATCHES)
-    if longest < n:
-        near = np.argpartition(c, longest - 1)
-        edge = c[near[longest - 1]]
-        pick = np.flatnonzero(c <= edge)
-    else:
-        pick = np.arange(n)
-    order = pick[np.lexsort((s[pick], c[pick]))][:longest]
-    lists = np.maximum(c[order] - noise, CHANCE)
-    upto = np.cumsum(lists)
-    matches = np.arange(1, longest - (n - share) + 1)
-    ends = n - share + matches
-    cost = ends + upto[ends - 1] + VERIFY * upto[ends - 1] / matches**2
-    best = int(np.argmin(cost))
-    end = int(ends[best])
-    return s[order[:end]], int(matches[best]), int((lists[:end] >= HOT).sum())
+def hot_from(counts: np.ndarray) -> float:
+    """The counter from which a shingle is hot: ``HOT`` sets above what shared counters show for a rare one."""
+    middle = float(np.median(counts))
+    return middle + 4 * middle**0.5 + HOT
+
+
+def _counted(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return counts[(s >> A.U64(64 - COUNTER_BITS)).astype(np.int64)]
+
+
+def _place(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a hash, by its first 32 bits."""
+    return (((h >> A.U64(32)) * A.U64(buckets)) >> A.U64(32)).astype(np.int32)
+
+
+def _parcels(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
+    """One row for each bucket, each column its own values as bytes."""
+    order = np.argsort(bucket, kind="stable")
+    own, start = np.unique(bucket[order], return_index=True)
+    cut = [*start.tolist(), len(order)]
+    out = {"bucket": pa.array(own, pa.int32())}
+    for name, values in columns.items():
+        values = values[order]
+        out[name] = pa.array([values[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())
+    return pa.table(out)
+
+
+def _values(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.concatenate([*(np.frombuffer(v, kind) for v in column.to_pylist() if v), np.zeros(0, kind)])
+
+
+def occurrences(docs: DataFrame, counts: np.ndarray, buckets: int, text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """``bucket, shingle, class``: the shingles that are not hot, each with its class, packed for the bucket of the shingle.
+    A task sends a class it has met no second time."""
+    hot = hot_from(counts)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int]] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def packed() -> list[pa.RecordBatch]:
+            h, c = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            return _parcels(_place(h, buckets), {"shingle": h, "class": c}).to_batches()
+
+        for batch in batches:
+            buf, off = A.utf8(batch.column(0))
+            for _, _, b, o in A.chunks(buf, off):
+                sets = list(shingle_sets(b, o, words))
+                n = np.array([len(s) for s in sets], np.int64)
+                h = np.concatenate([*sets, np.zeros(0, A.U64)])
+                code = A.fold(h, A.bounds(n)).view(np.int64)
+                new = np.zeros(len(sets), bool)
+                for k, key in enumerate(zip(code.tolist(), n.tolist())):
+                    if key not in met:
+                        met.add(key)
+                        new[k] = True
+                keep = np.repeat(new, n) & (_counted(h, counts) < hot)
+                held.append((h[keep], np.repeat(code, n)[keep]))
+                if sum(len(x) for x, _ in held) >= HELD:
+                    yield from packed()
+        if held:
+            yield from packed()
+
+    return docs.select(text_col).mapInArrow(lean(deal), "bucket int, shingle binary, class binary")
+
+
+def shared_shingles(occurring: DataFrame, buckets: int) -> DataFrame:
+    """``bucket, class, shingle, level``: the occurrences of shingles of two or more classes, packed for the bucket of the class;
+    the level is the count in ``STEPS`` a doubling (of occurrences: a class that several tasks have sent counts for each)."""
+
+    def count(table: pa.Table) -> pa.Table:
+        h, c = _values(table.column("shingle"), A.U64), _values(table.column("class"), np.int64)
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        start = np.flatnonzero(A.distinct(h))
+        size = np.diff(np.append(start, len(h)))
+        two = np.zeros(0, bool) if not len(h) else np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start)
+        level = np.minimum(STEPS * np.log2(np.maximum(size, 1)), 255).astype(np.uint8)
+        keep = np.repeat(two, size)
+        h, c, level = h[keep], c[keep], np.repeat(level, size)[keep]
+        order = np.argsort(c)
+        h, c, level = h[order], c[order], level[order]
+        out = _parcels(_place(c.view(A.U64), buckets), {"class": c, "shingle": h, "level": level})
+        trim()
+        return out
+
+    return occurring.groupBy("bucket").applyInArrow(count, "bucket int, class binary, shingle binary, level binary")
+
+
+class Prefixes(NamedTuple):
+    """``class_``, the ``matches`` it asks for, how many of its ``hot`` shingles its prefix takes, and the others that are shared:
+    ``size`` of them in ``shingle``, one class after another."""
+
+    class_: np.ndarray
+    matches: np.ndarray
+    hot: np.ndarray
+    size: np.ndarray
+    shingle: np.ndarray
+
+
+def prefixes(c: np.ndarray, h: np.ndarray, level: np.ndarray, class_: np.ndarray, n: np.ndarray, hot: np.ndarray, percent: int) -> Prefixes:
+    """The prefixes of classes (``class_`` with their ``n`` shingles, ``hot`` of these hot) from their shared shingles (``c, h, level``)."""
+    order = np.lexsort((h, level, c))
+    c, h, level = c[order], h[order], level[order]
+    once = np.ones(len(c), bool)
+    once[1:] = (c[1:] != c[:-1]) | (h[1:] != h[:-1])
+    c, h, level = c[once], h[once], level[once]
+    start = np.searchsorted(c, class_)
+    shared = np.searchsorted(c, class_, side="right") - start
+    # what a list holds beside the class itself
+    upto = np.zeros(len(c) + 1)
+    np.cumsum(np.exp2(level / STEPS) - 1, out=upto[1:])
+    least = -(-percent * n // 100)
+    cost, sizes, hots = [], [], []
+    for matches in range(1, MOST_MATCHES + 1):
+        end = n - least + matches
+        size = np.clip(end - (n - hot - shared), 0, shared)
+        warm = np.clip(end - (n - hot), 0, hot)
+        entries = upto[start + size] - upto[start] + warm * float(HOT)
+        cost.append(np.where(matches <= np.maximum(least, 1), size + warm + entries + VERIFY * entries / matches**2, np.inf))
+        sizes.append(size)
+        hots.append(warm)
+    best = np.argmin(cost, axis=0)
+    every = np.arange(len(n))
+    size, warm = np.array(sizes)[best, every], np.array(hots)[best, every]
+    any_ = size + warm > 0
+    return Prefixes(class_[any_], best[any_] + 1, warm[any_], size[any_], h[A.ragged(start[any_], size[any_])])
+
+
+def chosen(common: DataFrame, classes: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """``class, n, matches, warm, prefix`` of each class whose prefix holds a shared shingle, from :func:`shared_shingles` and
+    the ``class, n, hot`` of all classes."""
+
+    def choose(shared: pa.Table, own: pa.Table) -> pa.Table:
+        class_, n, hot = (own.column(k).to_numpy() for k in ("class", "n", "hot"))
+        found = prefixes(_values(shared.column("class"), np.int64), _values(shared.column("shingle"), A.U64),
+                         _values(shared.column("level"), np.uint8), class_, n, hot, percent)
+        order = np.argsort(class_)
+        lists = pa.ListArray.from_arrays(pa.array(A.bounds(found.size).astype(np.int32)), pa.array(found.shingle.view(np.int64)))
+        trim()
+        return pa.table({"class": found.class_, "n": n[order][np.searchsorted(class_[order], found.class_)],
+                         "matches": found.matches.astype(np.int32), "warm": found.hot.astype(np.int32), "prefix": lists})
+
+    place = F.shiftright(F.shiftrightunsigned("class", 32) * F.lit(buckets).cast("long"), 32).cast("int")
+    own = classes.select(place.alias("bucket"), "class", "n", F.col("hot").cast("long"))
+    return common.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(
+        choose, "class long, n long, matches int, warm int, prefix array<long>")
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -165,9 +299,9 @@ def differing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
 
 def signatures(docs: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                percent: int = PERCENT) -> DataFrame:
-    """``id, class, n, matches, hot, prefix, sketch``; a class already met by the task has no prefix and no sketch."""
-    middle = float(np.median(counts))
-    noise = middle + 4 * middle ** 0.5
+    """``id, class, n, hot, hots``: how many of a set's shingles are hot, and the first of these as far as a prefix may reach
+    (null where it cannot, and for a class the task has met)."""
+    least_hot = hot_from(counts)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()
@@ -176,28 +310,39 @@ def signatures(docs: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text
             for i, j, b, o in A.chunks(buf, off):
                 sets = list(shingle_sets(b, o, words))
                 n = np.array([len(s) for s in sets], np.int64)
-                code = A.fold(np.concatenate([*sets, np.zeros(0, A.U64)]), A.bounds(n)).view(np.int64)
-                matches, hot, own = np.zeros(j - i, np.int32), np.zeros(j - i, np.int32), []
-                marks: list[bytes | None] = [None] * (j - i)
-                for k, s in enumerate(sets):
-                    key = (int(code[k]), int(n[k]))
-                    if len(s) and key not in met:
+                at, h = A.bounds(n), np.concatenate([*sets, np.zeros(0, A.U64)])
+                code = A.fold(h, at).view(np.int64)
+                count = _counted(h, counts)
+                hot = A.total(count >= least_hot, at)
+                reach = hot - -(-percent * n // 100) + MOST_MATCHES
+                hots: list[np.ndarray | None] = [None] * (j - i)
+                for k in np.flatnonzero((hot > 0) & (reach > 0)).tolist():
+                    if (key := (int(code[k]), int(n[k]))) not in met:
                         met.add(key)
-                        p, matches[k], hot[k] = prefix(s, counts, noise, percent)
-                        own.append(p)
-                        marks[k] = sketch(s)
-                    else:
-                        own.append(s[:0])
-                at = A.bounds(np.array([len(p) for p in own], np.int64)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*own, np.zeros(0, A.U64)]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(code, mask=n == 0), pa.array(n), pa.array(matches),
-                                                  pa.array(hot), lists, pa.array(marks, pa.binary())], names)
-
-    names = ["id", "class", "n", "matches", "hot", "prefix", "sketch"]
-    out = schema({"id": docs.schema[id_col].dataType}, "class long, n long, matches int, hot int, prefix array<long>, sketch binary")
+                        c = count[at[k]:at[k + 1]]
+                        warm = np.flatnonzero(c >= least_hot)
+                        hots[k] = sets[k][warm[np.lexsort((sets[k][warm], c[warm]))][:reach[k]]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(code, mask=n == 0), pa.array(n), pa.array(hot),
+                                                  pa.array(hots, pa.list_(pa.int64()))], names)
+
+    names = ["id", "class", "n", "hot", "hots"]
+    out = schema({"id": docs.schema[id_col].dataType}, "class long, n long, hot long, hots array<long>")
     return _texts(docs, id_col, text_col).mapInArrow(lean(sign), out)
 
 
+def sketches(texts: DataFrame, words: int) -> DataFrame:
+    """``class, sketch`` of ``class, text``."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = A.utf8(batch.column(1))
+            for i, j, b, o in A.chunks(buf, off):
+                marks = [sketch(s) for s in shingle_sets(b, o, words)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(marks, pa.binary())], ["class", "sketch"])
+
+    return texts.select("class", "text").mapInArrow(lean(mark), "class long, sketch binary")
+
+
 def classed(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``docs`` with the class ``_class`` (null without shingles) and the size ``_n`` of each row's set."""
 
@@ -314,25 +459,28 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     batch_bytes(docs.sparkSession, BATCH)
     release(docs.sparkSession)
     counts = count_table(docs, text_col, words)
+    # buckets by the number of shingles: a bucket is one task's sort
+    buckets = pieces_for(docs.sparkSession, int(counts.sum(dtype=np.int64)), BUCKET)
     signed = written(signatures(docs, counts, id_col, text_col, words, percent), "signatures")
     classes = signed.where("class is not null").groupBy("class", "n").agg(
-        F.min("id").alias("rep"), F.max("matches").alias("matches"), F.count(F.lit(1)).alias("copies"))
+        F.min("id").alias("rep"), F.max("hot").alias("hot"), F.max("hots").alias("hots"), F.count(F.lit(1)).alias("copies"))
+    common = shared_shingles(occurrences(docs, counts, buckets, text_col, words), buckets)
+    own = written(chosen(common, classes.select("class", "n", "hot"), buckets, percent), "prefixes")
+    release(docs.sparkSession)
 
     # prefix shingles of two or more classes
-    rows = signed.select("class", "hot", F.posexplode("prefix").alias("place", "shingle"), F.size("prefix").alias("len"))
-    rows = rows.select("shingle", "class", F.when(F.col("place") >= F.col("len") - F.col("hot"), F.pmod("class", F.lit(SALTS)) + 1)
-                       .otherwise(0).cast("byte").alias("salt"))
-    # one sort: repeated rows of a class stand next to each other
+    rows = own.select(F.explode("prefix").alias("shingle"), "class", F.lit(0).cast("byte").alias("salt"))
+    warm = own.where("warm > 0").select("class", "n", "warm").join(classes.select("class", "n", "hots"), ["class", "n"])
+    warm = warm.select(F.explode(F.slice("hots", F.lit(1), F.col("warm"))).alias("shingle"), "class",
+                       (F.pmod("class", F.lit(SALTS)) + 1).cast("byte").alias("salt"))
     group = Window.partitionBy("shingle", "salt")
-    rows = rows.withColumns({"before": F.lag("class").over(group.orderBy("class")), "first": F.min("class").over(group), "last": F.max("class").over(group)})
-    shared = rows.where("(first != last or salt > 0) and (before is null or before != class)")
-    shared = written(shared.select("shingle", "class", "salt", "first"), "shared")
-    info = written(classes.join(shared.select("class").distinct(), "class", "left_semi"), "classes")
+    rows = rows.unionByName(warm).withColumns({"first": F.min("class").over(group), "last": F.max("class").over(group)})
+    shared = written(rows.where("first != last or salt > 0").select("shingle", "class", "salt", "first"), "shared")
+    info = written(own.select("class", "n", "matches").join(shared.select("class").distinct(), "class", "left_semi"), "classes")
     # by class, not by id: ids may be null or stand on several texts
     texts = class_texts(docs, text_col, words).join(info.select("class"), "class", "left_semi").groupBy("class").agg(F.min("text").alias("text"))
     texts = written(texts, "texts")
-    marks = signed.where("sketch is not null").select("class", "sketch").join(info.select("class"), "class", "left_semi")
-    marks = written(marks.groupBy("class").agg(F.max("sketch").alias("sketch")), "sketches")
+    marks = written(sketches(texts, words), "sketches")
     release(docs.sparkSession)
     sizes = {side: info.select(F.col("class").alias(side), F.col("n").alias(f"n{side}"), F.col("matches").alias(f"m{side}")) for side in "ab"}
 

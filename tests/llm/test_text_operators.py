@@ -342,18 +342,40 @@ def test_jaccard_null_ids_and_ids_with_several_texts(spark, seed):
     assert all(k[0] == least[group[k]] for k in kept)
 
 
-def test_prefixes_of_similar_sets_share_enough():
-    rng = np.random.default_rng(0)
-    counts = rng.integers(0, 3000, 1 << jaccard.COUNTER_BITS)
-    for _ in range(300):
-        n = int(rng.integers(5, 200))
-        s = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
-        k = int(rng.integers(0, n // 9 + 1))
-        t = np.concatenate([s[k:], rng.integers(0, 1 << 63, k).astype(np.uint64) * np.uint64(2)])
-        common = n - k
-        if 100 * common >= 80 * (2 * n - common):
-            (p, lp, _), (q, lq, _) = (jaccard.prefix(np.sort(x), counts, 500.0, 80) for x in (s, t))
-            assert len(np.intersect1d(p, q)) >= min(lp, lq)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_prefixes_of_similar_sets_share_enough(seed):
+    rng = np.random.default_rng(seed)
+    # common shingles stand on many sets, each set has some of its own, some of both are hot
+    names = rng.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2)
+    sets = []
+    for _ in range(60):
+        s = np.unique(np.concatenate([rng.choice(names, int(rng.integers(0, 90))), rng.integers(0, 1 << 63, int(rng.integers(1, 90))).astype(np.uint64)]))
+        k = int(rng.integers(0, len(s) // 9 + 1))
+        sets += [s, np.unique(np.concatenate([s[k:], rng.integers(0, 1 << 63, k).astype(np.uint64)]))]
+    hot = set(names[:60].tolist()) if seed == 2 else set()
+    held = {}
+    for k, s in enumerate(sets):
+        for h in s.tolist():
+            held.setdefault(h, []).append(k)
+    entries = [(k, h, min(255, int(16 * np.log2(len(v))))) for h, v in held.items() if len(v) > 1 and h not in hot for k in v]
+    entries += entries[::7]  # sent by two tasks
+    n, warm = (np.array(x) for x in ([len(s) for s in sets], [len(hot & set(s.tolist())) for s in sets]))
+    c, h, level = (np.array(x, t) for x, t in zip(zip(*entries), (np.int64, np.uint64, np.uint8)))
+    found = jaccard.prefixes(c, h, level, np.arange(len(sets)), n, warm, 80)
+    at = np.cumsum([0, *found.size])
+    got = {}
+    for k, i in enumerate(found.class_.tolist()):
+        own = found.shingle[at[k]:at[k + 1]].tolist() + sorted(hot & set(sets[i].tolist()))[:found.hot[k]]
+        assert len(own) == len(set(own))
+        got[i] = set(own), int(found.matches[k])
+    linked = 0
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets[:i]):
+            both = len(np.intersect1d(s, t))
+            if 100 * both >= 80 * (len(s) + len(t) - both):
+                linked += 1
+                assert len(got[i][0] & got[j][0]) >= min(got[i][1], got[j][1])
+    assert linked > 20
 
 
 @pytest.mark.parametrize("seed", [1, 2])

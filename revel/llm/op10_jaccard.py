@@ -22,20 +22,22 @@ its two sides asks.  A set whose prefix holds no shared shingle links with nothi
 *No pairs within a component.*  Near copies would give all pairs of their group,
 so the join takes rounds.  First, each set is compared only with the smallest
 class of each of its prefix shingles, and the verified links are closed to
-components.  Then pairs with a common prefix shingle are enumerated between
-*different* components only: a hashed share of the pairs of components, whose
-links merge many of them, and then all that are left.  A shingle in the prefixes
-of k components that stay apart gives pairs of these in the order of k squared:
-the join's known weakness.  Every link
-either is verified or joins two sets that verified links already connect, so
-the components are exact.
+components.  Then the sets of different components on a prefix shingle are
+compared by their sketches, inside the task that holds the shingle's list: only
+pairs that may be links leave it (in the first such round the nearest one of each
+two components, in the last all that are left).  A list of more than ``MEMBERS``
+sets is cut into blocks, and each two blocks meet in a task of their own.  Every
+link either is verified or joins two sets that verified links already connect,
+so the components are exact.
 
 *Sketches.*  Before whole texts are compared, a pair's parity sketches are: bit
 ``h mod 2^k`` of a set's sketch is the parity of its shingles with that hash
 bits.  The exclusive or of two sketches is the sketch of the symmetric
 difference, so its set bits never outnumber that difference; pairs with more
 set bits than a link allows are no links.  A sketch has 2 to 4 bits a shingle,
-so near copies just under the threshold are told apart without their texts.
+so near copies just under the threshold are told apart without their texts; the
+lists carry sketches folded to ``SHORT`` bits, the pairs that are left are held
+against the whole ones.
 
 A shingle on very many sets is dealt to ``SALTS`` groups, each with its own
 smallest class, and these are compared with the smallest of all.
@@ -77,8 +79,10 @@ HOT, SALTS = 20_000, 64
 BLOCK_SHINGLES = 1_000_000
 #: Arrow batches of this many bytes
 BATCH = 4 << 20
-#: one in so many pairs of components is compared in each round; the last takes all that are left
-SHARES = (16, 1)
+#: sets of a list that meet in one task, and bits of the sketches they are compared by
+MEMBERS, SHORT = 1000, 2048
+#: rounds over lists: only the nearest pair of each two components, or all pairs
+NEAREST = (True, False)
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -297,6 +301,87 @@ def differing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
     return A.total_of(np.bitwise_count(both).astype(np.int64), A.bounds(width))
 
 
+def folded(sketches: np.ndarray, bits: int) -> np.ndarray:
+    """Sketches (a row of words each) with the parities of ``bits`` bits."""
+    while sketches.shape[1] * 64 > bits:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def near_pairs(n: np.ndarray, label: np.ndarray, side: np.ndarray, marks: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, differing)`` of the pairs of a list that sizes and sketches do not rule out and whose labels differ: all pairs of
+    a list on one side, those between the sides of a list on two."""
+    width = np.array([len(m) for m in marks])
+    found = []
+    for w in np.unique(width).tolist():
+        # similar sets have sketches of one width or of neighbouring ones
+        one, other = np.flatnonzero(width == w), np.flatnonzero((width == w) | (width == 2 * w))
+        small = folded(np.frombuffer(b"".join(marks[k] for k in one), A.U64).reshape(len(one), -1), 8 * w)
+        large = np.zeros((len(other), w // 8), A.U64)
+        for own in (w, 2 * w):
+            rows = np.flatnonzero(width[other] == own)
+            if len(rows):
+                large[rows] = folded(np.frombuffer(b"".join(marks[k] for k in other[rows]), A.U64).reshape(len(rows), -1), 8 * w)
+        step = max(1, (1 << 19) // large.size)
+        for s in range(0, len(one), step):
+            i = one[s:s + step, None]
+            j = other[None, :]
+            may = (label[i] != label[j]) & ((width[i] != width[j]) | (i < j)) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            if side.any():
+                may &= side[i] != side[j]
+            at, to = np.nonzero(may)
+            if len(at):
+                bits = np.bitwise_count(small[s + at] ^ large[to]).sum(axis=1, dtype=np.int64)
+                at, to = one[s + at], other[to]
+                near = (100 + percent) * bits <= (100 - percent) * (n[at] + n[to])
+                found.append((at[near], to[near], bits[near]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([*x, none]) for x in (zip(*found) if found else ((), (), ())))
+
+
+def met_in_lists(members: DataFrame, marks: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """``a, b, shingle`` of pairs of ``members`` (``shingle, class, label, n``) that may be links of different components; with
+    ``nearest`` one pair of each two components on a list."""
+    cuts = members.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("cuts"))
+    rows = members.join(cuts, "shingle").join(marks, "class").withColumn("own", F.pmod(F.xxhash64("class"), F.col("cuts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    rows = rows.select("shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+                       (F.col("own") > F.col("other")).cast("byte").alias("side"), "class", "label", "n", "sketch")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            shingle, side, class_, label, n = (table.column(k).to_numpy() for k in ("shingle", "side", "class", "label", "n"))
+            i, j, bits = near_pairs(n, label, side, table.column("sketch").to_pylist(), percent)
+            if nearest and len(i):
+                low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+                order = np.lexsort((np.minimum(class_[i], class_[j]), np.maximum(class_[i], class_[j]), bits / (n[i] + n[j]), high, low))
+                first = A.distinct(low[order]) | A.distinct(high[order])
+                i, j = i[order[first]], j[order[first]]
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(class_[i], class_[j])), pa.array(np.minimum(class_[i], class_[j])),
+                                               pa.array(shingle[i])], ["a", "b", "shingle"])
+
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            start = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(axis=1))).tolist()
+            for s, e in zip(start, [*start[1:], batch.num_rows]):
+                if held and tuple(group[s]) != now:
+                    yield pairs(held)
+                    held = []
+                now = tuple(group[s])
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield pairs(held)
+
+    keys = ["shingle", "low", "high"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(compare), "a long, b long, shingle long")
+
+
 def signatures(docs: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                percent: int = PERCENT) -> DataFrame:
     """``id, class, n, hot, hots``: how many of a set's shingles are hot, and the first of these as far as a prefix may reach
@@ -331,16 +416,18 @@ def signatures(docs: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text
 
 
 def sketches(texts: DataFrame, words: int) -> DataFrame:
-    """``class, sketch`` of ``class, text``."""
+    """``class, sketch, short`` of ``class, text``: the whole sketch and the one of at most ``SHORT`` bits."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = A.utf8(batch.column(1))
             for i, j, b, o in A.chunks(buf, off):
                 marks = [sketch(s) for s in shingle_sets(b, o, words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(marks, pa.binary())], ["class", "sketch"])
+                short = [folded(np.frombuffer(m, A.U64).reshape(1, -1), SHORT).tobytes() for m in marks]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(marks, pa.binary()), pa.array(short, pa.binary())],
+                                                 ["class", "sketch", "short"])
 
-    return texts.select("class", "text").mapInArrow(lean(mark), "class long, sketch binary")
+    return texts.select("class", "text").mapInArrow(lean(mark), "class long, sketch binary, short binary")
 
 
 def classed(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -484,13 +571,14 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(docs.sparkSession)
     sizes = {side: info.select(F.col("class").alias(side), F.col("n").alias(f"n{side}"), F.col("matches").alias(f"m{side}")) for side in "ab"}
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """``a, b, shingle`` (their least) of pairs (one row for each common prefix shingle) that match often enough."""
+    def candidates(pairs: DataFrame, matched: bool = True) -> DataFrame:
+        """``a, b, shingle`` (their least) of pairs (one row for each common prefix shingle) that match often enough, if that is asked."""
         counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min("shingle").alias("shingle"))
         sized = counted.join(sizes["a"], "a").join(sizes["b"], "b").where(_similar_sizes(percent))
+        if matched:
+            sized = sized.where(F.col("common") >= F.least("ma", "mb"))
         # written once: the verification reads them for the sizes of blocks, for the texts and for the pairs
-        likely = sketched(sized.where(F.col("common") >= F.least("ma", "mb")).select("a", "b", "shingle", "na", "nb"), marks, percent)
-        return written(likely, "likely")
+        return written(sketched(sized.select("a", "b", "shingle", "na", "nb"), marks.select("class", "sketch"), percent), "likely")
 
     # first pass: every class against the smallest one of each of its prefix shingles
     stars = shared.where("class != first").select(F.col("class").alias("a"), F.col("first").alias("b"), "shingle")
@@ -503,19 +591,15 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(docs.sparkSession)
 
     # then: common prefix shingles of different components
-    for share in SHARES:
+    short = marks.select("class", F.col("short").alias("sketch"))
+    for nearest in NEAREST:
         members = shared.select("shingle", "class").join(labels, "class").join(info.select("class", "n"), "class")
         mixed = members.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("shingle")
         members = written(members.join(mixed, "shingle", "left_semi"), "members")
         if members.isEmpty():
             break
-        parties = members.select("shingle", "label").distinct()
-        meets = parties.select("shingle", F.col("label").alias("la")).join(parties.select(F.col("shingle").alias("t"), F.col("label").alias("lb")), (
-            F.col("shingle") == F.col("t")) & (F.col("la") < F.col("lb")) & (F.pmod(F.xxhash64("la", "lb"), F.lit(share)) == 0)).drop("t")
-        one = meets.join(members.select("shingle", F.col("label").alias("la"), F.col("class").alias("x"), F.col("n").alias("na")), ["shingle", "la"])
-        two = members.select(F.col("shingle").alias("t"), F.col("label").alias("l"), F.col("class").alias("y"), F.col("n").alias("nb"))
-        two = one.join(two, (F.col("shingle") == F.col("t")) & (F.col("lb") == F.col("l")) & _similar_sizes(percent))
-        pairs = candidates(two.select("shingle", F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
+        # the nearest pairs differ from list to list, so how many lists show one says nothing
+        pairs = candidates(met_in_lists(members, short, percent, nearest), matched=not nearest)
         new = written(verified(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, words, percent), "tried")
         labels = _relabelled(labels, new)
         tried = tried.unionByName(new)

@@ -295,6 +295,7 @@ def test_jaccard_components_against_all_pairs(spark, monkeypatch, seed):
     if seed == 2:
         monkeypatch.setattr(jaccard, "HOT", 3)
         monkeypatch.setattr(jaccard, "SALTS", 4)
+        monkeypatch.setattr(jaccard, "MEMBERS", 3)
     if seed == 3:
         monkeypatch.setattr(jaccard, "VERIFY", 1e6)
     got = rows_of(jaccard.near_duplicates(frame(spark, texts)))
@@ -378,6 +379,30 @@ def test_prefixes_of_similar_sets_share_enough(seed):
     assert linked > 20
 
 
+@pytest.mark.parametrize("sides", [1, 2])
+def test_lists_lose_no_link(sides):
+    rng = np.random.default_rng(sides)
+    sets = []
+    for _ in range(40):
+        s = rng.integers(0, 1 << 63, int(rng.integers(1, 1500))).astype(np.uint64)
+        for _ in range(3):
+            k = int(rng.integers(0, len(s) // 6 + 1))
+            sets.append(np.unique(np.concatenate([s[k:], rng.integers(0, 1 << 63, int(rng.integers(0, k + 1))).astype(np.uint64)])))
+    n, label, side = np.array([len(s) for s in sets]), np.arange(len(sets)) // 2, np.arange(len(sets)) % sides
+    marks = [jaccard.folded(np.frombuffer(jaccard.sketch(s), np.uint64).reshape(1, -1), jaccard.SHORT).tobytes() for s in sets]
+    i, j, _ = jaccard.near_pairs(n, label, side, marks, 80)
+    got = set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
+    assert len(got) == len(i)
+    links = 0
+    for x in range(len(sets)):
+        for y in range(x):
+            both = len(np.intersect1d(sets[x], sets[y]))
+            if label[x] != label[y] and (sides == 1 or side[x] != side[y]) and 100 * both >= 80 * (n[x] + n[y] - both):
+                links += 1
+                assert (y, x) in got
+    assert links and len(got) < 4 * links + 20
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_sketches_never_rule_out_a_link(seed):
     rng = np.random.default_rng(seed)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revel.llm import arrays as A
-from revel.llm.jobs import schema
+from revel.llm.jobs import lean, schema
 
 DIMENSIONS = 1024
 SEED = 20240607
@@ -135,7 +135,7 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                                              ["lang", "gram", "n"])
 
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = texts.where("lang is not null and text is not null").mapInArrow(count, "lang string, gram long, n long")
+    counts = texts.where("lang is not null and text is not null").mapInArrow(lean(count), "lang string, gram long, n long")
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dims: i
             yield pa.RecordBatch.from_arrays([pa.array([k for k in sums for _ in range(dims)]), pa.array(list(range(dims)) * len(sums), pa.int32()),
                                               pa.array(np.concatenate(list(sums.values())))], ["lang", "dim", "v"])
 
-    parts = count_grams(docs, text_col, lang_col).mapInArrow(bundle, "lang string, dim int, v long")
+    parts = count_grams(docs, text_col, lang_col).mapInArrow(lean(bundle), "lang string, dim int, v long")
     whole = parts.groupBy("lang", "dim").agg(F.sum("v").alias("v")).groupBy("lang")
     rows = sorted(whole.agg(F.array_sort(F.collect_list(F.struct("dim", "v"))).getField("v").alias("v")).collect())
     if not rows:
@@ -242,7 +242,7 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
     found = ["_lang_pred", "_score"] if keep else ["lang_pred", "score"]
     names_out = [*own, *found]
     out = schema({c: docs.schema[c].dataType for c in own}, f"{found[0]} string, {found[1]} double")
-    return docs.select(*own, F.col(text_col).alias("_text_in")).mapInArrow(run, out)
+    return docs.select(*own, F.col(text_col).alias("_text_in")).mapInArrow(lean(run), out)
 
 
 def held_out(id_col: str = "doc_id"):

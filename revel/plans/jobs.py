@@ -58,8 +58,8 @@ def stage_json_array(spark: SparkSession, df: DataFrame, key: tuple) -> str:
 
 
 def stage_json_lines(spark: SparkSession, lines: DataFrame, key: tuple) -> str:
-    """Raw JSON-lines text (written once per application)."""
-    return staged_input(spark, ("jsonl", *key), lambda path: lines.write.mode("overwrite").text(path))
+    """Raw JSON-lines text in packed files."""
+    return staged_input(spark, ("jsonl", *key), lambda path: S.write_lines(lines, path, compression=S.PACKED))
 
 
 def _sink_and_reload(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

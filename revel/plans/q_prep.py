@@ -89,7 +89,7 @@ _DOC_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField
 def src_csv(spark, sf_dir):
     """Documents through CSV (header, quotes, commas and line breaks inside text)."""
     path = staged_input(spark, ("documents-csv", sf_dir),
-                        lambda p: S.write_csv(fx.table(spark, sf_dir, "documents"), p))
+                        lambda p: S.write_csv(fx.table(spark, sf_dir, "documents"), p, compression=S.PACKED))
     return R.read_csv(spark, path, _DOC_SCHEMA)
 
 
@@ -116,7 +116,7 @@ def sink_csv(spark, sf_dir):
     path = scratch_dir(spark, "sinkcsv") + "/reviews"
     i = fx.interactions(spark, sf_dir).select("pos", F.col("user_key").alias("user"), F.col("item_key").alias("item"),
                                               "text", "rating", "sub_value")
-    S.write_csv(i, path)
+    S.write_csv(i, path, compression=S.PACKED)
     return R.read_csv(spark, path, i.schema)
 
 
@@ -136,7 +136,7 @@ def json_to_csv(spark, sf_dir):
     src = stage_json_lines(spark, movie_review_lines(spark, sf_dir, break_every=97), ("movies", sf_dir, 97))
     good = R.good_lines(R.read_json_lines(spark, src, MOVIE_FIELDS))
     path = scratch_dir(spark, "j2c") + "/reviews"
-    S.write_csv(good, path)
+    S.write_csv(good, path, compression=S.PACKED)
     return R.read_csv(spark, path, good.schema)
 
 

@@ -63,9 +63,9 @@ def stage_json_lines(spark: SparkSession, lines: DataFrame, key: tuple) -> str:
 
 
 def _sink_and_reload(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write the prepared table as CSV (the reference's output) and read it back."""
+    """Write the prepared table as packed CSV (the reference's output) and read it back."""
     path = scratch_dir(spark, name) + "/prepared"
-    S.write_csv(df, path, skip_empty=False)
+    S.write_csv(df, path, skip_empty=False, compression=S.PACKED)
     return R.read_csv(spark, path, df.schema)
 
 

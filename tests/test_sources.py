@@ -257,3 +257,36 @@ def test_tuple_template_unescapes_quotes(spark):
     df = spark.createDataFrame([(1, text)], "id int, template string")
     got = df.select(P.template_item(P.parse_template_string("template")).alias("e")).first().e
     assert got == value
+
+
+def _parts(path):
+    return [f for f in os.listdir(path) if f.startswith("part-")]
+
+
+def test_packed_texts_come_back_whole_from_bounded_files(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(S, "ROWS_PER_FILE", 100)
+    df = spark.range(0, 1000, numPartitions=2).select("id", F.concat(F.lit('a "q",\n b'), F.col("id")).alias("s"))
+    want = sorted(map(tuple, df.collect()))
+    S.write_csv(df, f"{tmp_dir}/csv", compression=S.PACKED)
+    S.write_json_array(df, f"{tmp_dir}/arr", compression=S.PACKED)
+    S.write_lines(df.select(F.to_json(F.struct("id", "s"))), f"{tmp_dir}/lines", compression=S.PACKED)
+    assert sorted(map(tuple, R.read_csv(spark, f"{tmp_dir}/csv", df.schema).collect())) == want
+    arrays = R.read_json_array(spark, f"{tmp_dir}/arr", df.schema)
+    assert sorted(map(tuple, arrays.collect())) == want
+    lines = R.good_lines(R.read_json_lines(spark, f"{tmp_dir}/lines", {"id": "bigint", "s": "string"}))
+    assert sorted(map(tuple, lines.collect())) == want
+    assert len(_parts(f"{tmp_dir}/csv")) == len(_parts(f"{tmp_dir}/lines")) == 10
+    for kind in ("csv", "arr", "lines"):
+        assert all(f.endswith(".gz") for f in _parts(f"{tmp_dir}/{kind}"))
+
+
+def test_jobs_stage_packed_texts(spark):
+    from revel.plans import jobs
+
+    df = spark.range(0, 100, numPartitions=2).select(F.col("id"), F.lit("text").alias("s"))
+    staged = [jobs.stage_json_lines(spark, df.select(F.to_json(F.struct("id", "s")).alias("value")), ("t",)), jobs.stage_json_array(spark, df, ("t",))]
+    back = jobs._sink_and_reload(spark, df, "t")
+    assert back.count() == 100
+    for path in (*staged, back.inputFiles()[0].rsplit("/", 1)[0]):
+        path = path.removeprefix("file:")
+        assert _parts(path) and all(f.endswith(".gz") for f in _parts(path))

@@ -30,7 +30,11 @@ ROWS_PER_FILE = 50_000
 
 def _text_writer(df: DataFrame, mode: str, compression: str | None) -> DataFrameWriter:
     w = df.write.mode(mode)
-    return w.option("compression", compression).option("maxRecordsPerFile", ROWS_PER_FILE) if compression else w
+    return _packed(w, compression).option("maxRecordsPerFile", ROWS_PER_FILE) if compression else w
+
+
+def _packed(w: DataFrameWriter, compression: str) -> DataFrameWriter:
+    return w.option("compression", compression).option("zlib.compress.level", "BEST_SPEED")
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "overwrite", compression: str | None = None) -> None:
@@ -99,4 +103,4 @@ def write_json_array(df: DataFrame, path: str, mode: str = "overwrite", compress
     """
     js = df.select(F.to_json(F.struct(*df.columns)).alias("json"))
     w = js.mapInArrow(_frame_json_array, "value string").write.mode(mode)
-    (w.option("compression", compression) if compression else w).text(path)
+    (_packed(w, compression) if compression else w).text(path)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from revel.operators.heads import Heads, fit_heads, predicted
 from revel.operators.vectors import l2_normalize
+from revel.session import materialized
 
 
 def fit_factors(train: DataFrame, user: str = "user_idx", item: str = "item_idx", rating: str = "rating",
@@ -41,9 +42,11 @@ def all_factors(model) -> DataFrame:
 
 
 def factor_features(df: DataFrame, model, user: str = "user_idx", item: str = "item_idx") -> DataFrame:
-    """Attach unit-length user and item factor arrays (NULL when unseen)."""
+    """Attach unit-length user and item factor arrays (NULL when unseen).  The factors are written once, so Spark
+    knows their bytes and need not shuffle the rows where they are small."""
     uf = l2_normalize(model.userFactors.select(F.col("id").alias(user), "features"), "features", "uf").drop("features")
     itf = l2_normalize(model.itemFactors.select(F.col("id").alias(item), "features"), "features", "if_").drop("features")
+    uf, itf = materialized(uf, "user-factors"), materialized(itf, "item-factors")
     out = df.join(uf, user, "left").join(itf, item, "left")
     return out.withColumns({c: F.transform(c, lambda x: x.cast("double")) for c in ("uf", "if_")})
 

@@ -200,17 +200,22 @@ def vec_aspect_embed(spark, sf_dir):
 
 def _rating_frame(spark, sf_dir, use_text=True):
     """Interactions with dense ids, split, hotel criteria and, if asked for, the text's vector, written once.
-    A text is turned into a vector once, however many rows have it."""
+    A text is turned into a vector once, however many rows have it.  Texts are gathered as grouping keys, which hash
+    aggregation holds (``first`` of a text would sort all rows with their texts), and the vectors join last, so that
+    ids and split shuffle narrow rows."""
     h = P.align_criteria(hotel_reviews(spark, sf_dir)).select(
         "pos", F.col("userID").alias("user"), F.col("hotelID").alias("item"), "rating", *P.HOTEL_CRITERIA_COLUMNS,
-        *([F.xxhash64("reviewText").alias("_h1"), F.md5(F.coalesce("reviewText", F.lit(""))).alias("_h2"), "reviewText"] if use_text else []))
+        *([F.xxhash64("reviewText").alias("_h1"), F.unhex(F.md5(F.coalesce("reviewText", F.lit("")))).alias("_h2"), "reviewText"] if use_text else []))
     if use_text:
-        texts = h.groupBy("_h1", "_h2").agg(F.first("reviewText").alias("reviewText"))
+        texts = h.select("_h1", "_h2", "reviewText").distinct()
         texts = materialized(texts.select("_h1", "_h2", V.hashed_text("reviewText", TEXT_DIMS).alias("text_vec")), "text-vectors")
-        h = h.drop("reviewText").join(texts, ["_h1", "_h2"]).drop("_h1", "_h2")
+        h = h.drop("reviewText")
     ids = X.first_seen_indexes(fx.keys(spark, sf_dir).withColumnsRenamed({"user_key": "user", "item_key": "item"}), ["user", "item"], "pos")
     h = X.lookup_join(X.lookup_join(h, ids["user"], "user"), ids["item"], "item")
-    return materialized(h.join(X.exact_split(fx.keys(spark, sf_dir).select("pos"), "pos", SEED), "pos"), "ratings")
+    h = h.join(X.exact_split(fx.keys(spark, sf_dir).select("pos"), "pos", SEED), "pos")
+    if use_text:
+        h = h.join(texts, ["_h1", "_h2"]).drop("_h1", "_h2")
+    return materialized(h, "ratings")
 
 
 def _factors(df):

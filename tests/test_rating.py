@@ -89,3 +89,20 @@ def test_queries_of_outputs_and_cold_start(spark):
     assert cold and len({r.pos for r in cold}) == len(cold) and len({r["mean"] for r in cold}) == 1
     assert {r.pos for r in cold} <= by["plain"].keys() and all(math.isfinite(r.pred) for r in cold)
     assert any(r.pred != r["mean"] for r in cold)
+
+
+def test_texts_are_gathered_without_a_sort_and_small_factors_leave_rows_where_they_are(spark, ratings, monkeypatch):
+    """Neither the sort of all rows with their texts nor a shuffle of rows to small factor tables."""
+    plans = {}
+    real = Q.materialized
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(Q, "materialized", spy)
+    frame = Q._rating_frame(spark, SF_SMALL)
+    assert "SortAggregate" not in plans["text-vectors"] and "HashAggregate" in plans["text-vectors"]
+    assert frame.count() == Q.fx.interactions(spark, SF_SMALL).count()
+    feats = RT.factor_features(ratings, RT.fit_factors(ratings.where("split = 'train'")))
+    assert "hashpartitioning" not in feats._jdf.queryExecution().executedPlan().toString()

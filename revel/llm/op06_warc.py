@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
-#: Named character references (fixed values; ``amp`` is replaced last).
+#: Named character references (fixed values).
 ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "trade": "™", "middot": "·",
             "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
             "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "times": "×", "deg": "°", "amp": "&"}
@@ -38,14 +38,14 @@ LINK = r'(?is)<a[ \t\r\n][^>]*?href="([^"]*)"'
 
 
 def _uuid(name: Column) -> Column:
-    h = F.md5(F.encode(name, "UTF-8"))
+    h = F.md5(name.cast("binary"))
     part = [F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("3"), F.substring(h, 14, 3)), F.concat(F.lit("8"), F.substring(h, 18, 3)),
             F.substring(h, 21, 12)]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *part), F.lit(">"))
 
 
 def _digest(text: Column) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(F.encode(text, "UTF-8"), 256))
+    return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
 
 
 def responses(pages: DataFrame, date: str, key_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -60,11 +60,17 @@ def responses(pages: DataFrame, date: str, key_col: str = "page_id", url_col: st
     return rows.withColumns({"block_digest": _digest(F.concat("http_headers", "payload")), "payload_digest": _digest(F.col("payload"))})
 
 
-def plain_text(html: Column) -> Column:
-    """The text of a page: no head, scripts or comments; block tags end lines; references resolved."""
+def untagged(html: Column) -> Column:
+    """A page without head, scripts, comments and tags; block tags end lines."""
     t = F.regexp_replace(html, UNSEEN, "")
     t = F.regexp_replace(t, BREAK, "\n")
-    t = F.regexp_replace(t, TAG, "")
+    return F.regexp_replace(t, TAG, "")
+
+
+def plain_text(untagged_col: str) -> Column:
+    """The text of a page from a staged column of :func:`untagged`: references resolved, white space collapsed.
+    The column is read more than once, which must be a field read, not a recomputation."""
+    t = F.col(untagged_col)
     # numeric references: what follows each "&#"
     def char(code: Column) -> Column:
         ok = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
@@ -76,10 +82,19 @@ def plain_text(html: Column) -> Column:
         return (F.when(i == 0, piece).when(ten != "", F.concat(char(ten.cast("long")), after))
                 .when(hexa != "", F.concat(char(F.conv(hexa, 16, 10).cast("long")), after)).otherwise(F.concat(F.lit("&#"), piece)))
 
-    t = F.when(F.contains(t, F.lit("&#")), F.array_join(F.transform(F.split(t, "&#", -1), numeric), "")).otherwise(t)
-    for name, char_ in ENTITIES.items():
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(char_))
-    t = F.regexp_replace(t, "[ \\t\\r\\f]+", " ")
+    # named references: what follows each "&"; none of the characters begins another reference, but that of ``amp`` is not read again
+    chars = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def named(piece: Column, i: Column) -> Column:
+        name = F.substring_index(piece, ";", 1)
+        known = F.when(F.contains(piece, F.lit(";")), F.try_element_at(chars, name))
+        return F.when(i == 0, piece).otherwise(F.coalesce(F.concat(known, F.substring(piece, F.length(name) + 2, F.length(piece))),
+                                                          F.concat(F.lit("&"), piece)))
+
+    resolved = F.when(F.contains(t, F.lit("&#")), F.array_join(F.transform(F.split(t, "&#", -1), numeric), "")).otherwise(t)
+    t = F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(resolved, "&", -1), named), "")).otherwise(t)
+    # a lone blank stays as it is
+    t = F.regexp_replace(t, "[\\t\\r\\f][ \\t\\r\\f]*| [ \\t\\r\\f]+", " ")
     return F.btrim(F.regexp_replace(t, " ?\\n[ \\n]*", "\n"), F.lit(" \n"))
 
 
@@ -98,11 +113,12 @@ def derive(records: DataFrame, key_col: str = "page_id") -> DataFrame:
         F.array(F.concat(F.lit("title: "), title), F.concat(F.lit("language: "), F.regexp_extract("payload", LANGUAGE, 1))),
         F.transform(links, lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(x, "[\\r\\n]+", " "))))
     kinds = {"metadata": ("conversion", "application/warc-fields", F.concat(F.array_join(fields, CRLF), F.lit(CRLF))),
-             "conversion": ("metadata", "text/plain; charset=utf-8", plain_text(F.col("payload")))}
+             "conversion": ("metadata", "text/plain; charset=utf-8", plain_text("_untagged"))}
     both = F.array(*[F.struct(F.lit(t).alias("warc_type"), ids[t].alias("record_id"), ids[other].alias("concurrent_to"),
                               F.lit(content).alias("content_type"), block.alias("block")) for t, (other, content, block) in kinds.items()])
-    rows = records.select(F.col(key_col), F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("payload_digest").alias("source_payload_digest"),
-                          F.explode(both).alias("r"))
+    staged = records.withColumn("_untagged", untagged(F.col("payload")))
+    rows = staged.select(F.col(key_col), F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("payload_digest").alias("source_payload_digest"),
+                         F.explode(both).alias("r"))
     return rows.select(key_col, "r.warc_type", "r.record_id", "refers_to", "r.concurrent_to", "target_uri", "date", "r.content_type",
                        F.octet_length("r.block").cast("long").alias("content_length"), _digest(F.col("r.block")).alias("block_digest"),
                        "source_payload_digest", "r.block")

@@ -79,3 +79,15 @@ def test_records_refer_to_their_response(spark):
 def test_warc_of_no_pages(spark, n):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.derive(warc.responses(pages, "d")).count() == n
+
+
+def test_pages_are_stripped_once_and_references_resolved(spark):
+    """Tags are taken out in one expression, and the digests read the strings as they are."""
+    cases = {"&&amp;;&;x&lt": "&&;&;x&lt", "&#38;lt; &amp;lt; &amp;amp;": "< &lt; &amp;", "&l&nbsp;t; &Copy; &copy;c &hellip": "&l t; &Copy; ©c &hellip",
+             "a \t b\r\n\n c&nbsp;&nbsp;d\x0ce": "a b\nc d e", "&é;&euro;&#0;&#x41;": "&é;€�A"}
+    pages = spark.createDataFrame([(k, "u", html) for k, html in enumerate(cases)], "page_id long, url string, html string")
+    df = warc.derive(warc.responses(pages, "d"))
+    got = {r.page_id: r.block for r in df.where("warc_type = 'conversion'").collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("<head") == 1 and "encode(" not in plan

@@ -19,6 +19,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revel.session import materialized
+
 # The hotel sub-rating keys and the column each one becomes.
 HOTEL_SUBRATINGS = ["Value", "Location", "Sleep Quality", "Rooms", "Cleanliness", "Service"]
 HOTEL_CRITERIA_COLUMNS = ["value", "location", "sleep_quality", "rooms", "cleanliness", "service"]
@@ -212,7 +214,13 @@ def first_pairs(left: DataFrame, right: DataFrame, left_order: str, right_order:
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
-    return df.distinct()
+    """Distinct rows.  Only rows whose hash stands more than once are compared whole; the others have no copy
+    and stay where they are.  ``df`` is read twice and must be the same both times."""
+    rows = df.select("*", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_hash"))
+    # written once, so Spark knows its bytes and need not shuffle the rows where it is small
+    again = materialized(rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash"), "repeated-hashes")
+    alone = rows.join(again, "_hash", "left_anti").drop("_hash")
+    return alone.unionByName(rows.join(again, "_hash", "left_semi").drop("_hash").distinct())
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:

@@ -290,3 +290,18 @@ def test_jobs_stage_packed_texts(spark):
     for path in (*staged, back.inputFiles()[0].rsplit("/", 1)[0]):
         path = path.removeprefix("file:")
         assert _parts(path) and all(f.endswith(".gz") for f in _parts(path))
+
+
+def test_each_json_line_is_parsed_once(spark, tmp_dir):
+    from revel.sources import readers as R
+
+    lines = ['{"a": 1, "b": "x"}', ' \t{"a": "2"}', '{"a": 3', "[1]", '"s"', "7", "null", "  ", '{"a": {"c": 1}, "b": 5} ', "{}"]
+    path = f"{tmp_dir}/lines"
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    read = R.read_json_lines(spark, path, {"a": "bigint", "b": "string"})
+    good = R.good_lines(read)
+    assert sorted(map(str, good.collect())) == sorted(map(str, spark.createDataFrame(
+        [(1, "x"), (2, None), (None, "5"), (None, None)], "a bigint, b string").collect()))
+    assert sorted(r[0] for r in R.bad_lines(read).collect()) == sorted(['{"a": 3', "[1]", '"s"', "7", "null"])
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") + plan.count("parse_json") == 1

@@ -285,3 +285,40 @@ def test_first_seen_indexes_match_single_key_version(spark):
     for k in ("user", "item"):
         one = {r[0]: r[1] for r in X.first_seen_index(df, k, "pos").collect()}
         assert {r[0]: r[1] for r in many[k].collect()} == one
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashed_join_sorts_neither_side(spark):
+    from revel.operators import prep as P
+
+    left = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), (None, "x", 3), ("b", "y", 4)], "user string, item string, e int")
+    right = spark.createDataFrame([("a", "x", "s"), ("a", "x", "t"), (None, "x", "u"), ("c", "z", "v")], "user string, item string, text string")
+    for how in ("inner", "left"):
+        hashed = P.join_on_keys(left, right, how=how, hashed=True)
+        assert sorted(map(str, hashed.collect())) == sorted(map(str, P.join_on_keys(left, right, how=how).collect()))
+        assert "ShuffledHashJoin" in _plan(hashed) and "Sort " not in _plan(hashed)
+
+
+def test_distinct_rows_compares_only_rows_with_equal_hashes(spark):
+    from revel.operators import prep as P
+
+    rows = [("u", "a", 1.0), ("u", "a", 1.0), ("u", None, 1.0), ("u", None, 1.0), (None, "u", 1.0), ("v", "b", None), ("v", "b", 2.0), (None, None, None)]
+    df = spark.createDataFrame(rows, "user string, text string, rating double")
+    got = P.distinct_rows(df)
+    assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, df.distinct().collect()))
+    assert "LeftAnti" in _plan(got)
+    assert P.distinct_rows(df.limit(0)).count() == 0
+
+
+def test_pairs_of_ids_and_their_text(spark):
+    df = spark.createDataFrame([(1, "a", [2, 7, 3, 0, 0]), (2, "b", [2]), (3, "c", None), (4, "d", [2, 9, 9, 3])], "pos long, attribute string, ids array<long>")
+    pairs = EX.bigram_pairs(df, "pos", "ids", ["attribute"])
+    assert pairs.columns == ["pos", "attribute", "step", "prev", "next"]
+    assert sorted(map(tuple, pairs.collect())) == [(1, "a", 0, 2, 7), (1, "a", 1, 7, 3), (4, "d", 0, 2, 9), (4, "d", 1, 9, 9), (4, "d", 2, 9, 3)]
+    text = df.select("pos", TK.ids_text("ids").alias("t"))
+    assert {r.pos: r.t for r in text.collect()} == {1: "2 7 3 0 0", 2: "2", 3: None, 4: "2 9 9 3"}
+    # a cast of the whole array: no lambda a number
+    assert "lambda" not in _plan(text) and "arrays_zip" not in _plan(pairs)

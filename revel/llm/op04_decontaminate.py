@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from revel.llm import arrays as A
-from revel.llm.jobs import schema
+from revel.llm.jobs import lean, schema
 
 WORD = A.table(bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]))
 BLOCK_BYTES = 8 << 20
@@ -244,7 +244,7 @@ def _search(rows: DataFrame, w: Windows, keep: Sequence[str], first: bool) -> Da
                     out.names)
 
     out = schema({c: rows.schema[c].dataType for c in [*keep, "_scanned"]}, FOUND)
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(lean(run), out)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id",
@@ -294,7 +294,7 @@ def cut(rows: DataFrame, text_col: str = "text", spans_col: str = "_spans") -> D
             yield pa.RecordBatch.from_arrays(
                 [pa.array(texts, pa.string()) if c == text_col else batch.column(place[c]) for c in names], names)
 
-    return rows.mapInArrow(run, StructType([rows.schema[c] for c in names]))
+    return rows.mapInArrow(lean(run), StructType([rows.schema[c] for c in names]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

@@ -25,6 +25,28 @@ def test_first_pairs_of_a_hot_key_stay_linear(spark):
     assert plan.index("Join") < plan.index("Aggregate")  # the join stands above: it sees one row a key
 
 
+def test_first_pairs_pack_texts_and_sort_none_before_the_shuffle(spark):
+    long = "Ünïted 'tëxt' " * 200
+    left = spark.createDataFrame([("u", "i", 3, "c"), ("u", "i", 1, None), ("v", "i", None, "n"), ("w", "i", 5, long), ("w", "i", 5, long),
+                                  (None, "i", 0, "x")], "user string, item string, e_pos int, explanation string")
+    right = spark.createDataFrame([("u", "i", 9, "late", 1.0), ("u", "i", 2, long, 2.0), ("v", "i", 4, None, None), ("v", "i", None, "z", 3.0),
+                                   ("w", "i", 7, "", 4.0), (None, "i", 0, "x", 5.0)], "user string, item string, r_pos int, text string, rating double")
+    out = P.first_pairs(left.repartition(3), right.repartition(3), "e_pos", "r_pos").select("user", "e_pos", "explanation", "r_pos", "text", "rating")
+    assert sorted(map(tuple, out.collect())) == [("u", 1, None, 2, long, 2.0), ("v", None, "n", 4, None, None), ("w", 5, long, 7, "", 4.0)]
+    plan = _plan(P.first_pairs(left, right, "e_pos", "r_pos"))
+    below = plan[plan.rindex("Exchange hashpartitioning"):]
+    assert "Aggregate" not in below and "MapInArrow" in below
+    kept = P.KEPT_KEYS
+    try:
+        P.KEPT_KEYS = 2  # a task that forgets keys passes more rows on, and the result is the same
+        many = spark.range(600, numPartitions=1).selectExpr("id AS e_pos", "cast(id % 7 AS string) AS user", "'i' AS item", "repeat('t', cast(id AS int)) AS a")
+        other = many.withColumnsRenamed({"e_pos": "r_pos", "a": "b"})
+        got = P.first_pairs(many, other, "e_pos", "r_pos").select("user", "e_pos", "r_pos", "a", "b").collect()
+        assert sorted(map(tuple, got)) == [(str(k), k, k, "t" * k, "t" * k) for k in range(7)]
+    finally:
+        P.KEPT_KEYS = kept
+
+
 def test_no_forced_shuffle_in_text_metrics(spark):
     from revel.plans.catalog import QUERIES
 

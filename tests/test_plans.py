@@ -70,3 +70,43 @@ def test_keep_first_reuses_join_partitioning(spark):
     finally:
         for k, v in prev.items():
             spark.conf.set(k, v)
+
+
+def test_heads_keep_first_tokens_and_count_all(spark):
+    from revel.operators import tokens as TK
+
+    df = spark.createDataFrame([(1, "a b c a", None), (2, None, "x"), (3, "b b", "x y")], "k long, text string, other string").coalesce(1)
+    kept = TK.KEPT_TOKENS
+    try:
+        TK.KEPT_TOKENS = 1
+        out = TK.heads(df, {"text": 2, "other": 5}).collect()
+    finally:
+        TK.KEPT_TOKENS = kept
+    assert [(r.k, r.text, r.other) for r in out if r._token is None] == [(1, ["a", "b"], []), (2, [], ["x"]), (3, ["b", "b"], ["x", "y"])]
+    counted = TK.heads(df.repartition(3), {"text": 2, "other": 5})
+    for c in ("text", "other"):
+        want = sorted(map(tuple, TK.build_vocab(df, [c], 10).collect()))
+        assert sorted(map(tuple, TK.build_vocab(counted, [c], 10, counted=True).collect())) == want
+
+
+def test_narrow_ids_come_back_padded(spark):
+    from pyspark.sql import functions as F
+
+    from revel.operators import tokens as TK
+
+    for size in (65536, 70000):
+        df = spark.createDataFrame([([2, size - 1, 3],), ([2, 3],)], "ids array<long>").coalesce(1)
+        out = df.select(TK.narrow_ids("ids", size).alias("n")).select(F.length("n").alias("bytes"), TK.wide_ids("n", size, 4).alias("ids")).collect()
+        each = 2 if size == 65536 else 4
+        assert [tuple(r) for r in out] == [(3 * each, [2, size - 1, 3, 0]), (2 * each, [2, 3, 0, 0])]
+
+
+def test_training_table_writes_no_whole_text(spark, monkeypatch):
+    from revel.plans import q_vectors as Q
+
+    written = {}
+    keep = Q.materialized
+    monkeypatch.setattr(Q, "materialized", lambda df, name, **kw: written.setdefault(name, keep(df, name, **kw)) if name == "first-pairs" else keep(df, name, **kw))
+    Q.training_table(spark, SF_SMALL)
+    longest = written["first-pairs"].selectExpr("max(size(text))").first()[0]
+    assert 0 < longest <= Q.SRC_LEN - 2

@@ -61,14 +61,15 @@ def batch_bytes(spark: SparkSession, most: int = 16 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
-def lean(task):
-    """A ``mapInArrow`` function that gives memory back: what earlier stages left in a reused Python worker (token encoders, tables
-    of powers) goes when a task begins, and freed pages return to the system at its end."""
+def lean(task, keep_encoders: bool = False):
+    """A ``mapInArrow`` function that gives memory back: what earlier stages left in a reused Python worker (token encoders, unless the
+    task itself uses them, and tables of powers) goes when a task begins, and freed pages return to the system at its end."""
 
     def run(batches):
         from revel.llm import arrays, tokens
 
-        tokens.forget()
+        if not keep_encoders:
+            tokens.forget()
         arrays.forget()
         trim()
         yield from task(batches)

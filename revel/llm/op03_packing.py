@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 
 from revel.llm import arrays as A
 from revel.llm import tokens
-from revel.llm.jobs import partitions, schema, written
+from revel.llm.jobs import batch_bytes, lean, partitions, schema, written
 
 BINS, PARTS, ROUNDS = 64, 4, 400
 #: pieces that a bucket of the ranking holds, about
 BUCKET_ROWS = 500_000
+#: bytes of texts that a task encodes at once
+ENCODED_BYTES = 512 << 10
 
 
 def patterns(bins: int, parts: int) -> np.ndarray:
@@ -159,7 +161,7 @@ def pieces(docs: DataFrame, most: int, tokenizer: str | None = None, id_col: str
         enc = tokens.encoder(tokenizer)
         for batch in batches:
             buf, off = A.utf8(batch.column(1))
-            for i, j, b, o in A.chunks(buf, off, tokens.CHUNK_BYTES):
+            for i, j, b, o in A.chunks(buf, off, ENCODED_BYTES):
                 ids, at = enc.encode(b, o, end_id)
                 n = -(-np.diff(at) // most)
                 doc = np.repeat(np.arange(j - i), n)
@@ -177,7 +179,8 @@ def pieces(docs: DataFrame, most: int, tokenizer: str | None = None, id_col: str
 
     out_schema = schema({id_col: docs.schema[id_col].dataType},
                         "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
-    return docs.select(id_col, text_col).mapInArrow(cut, out_schema)
+    batch_bytes(docs.sparkSession)
+    return docs.select(id_col, text_col).mapInArrow(lean(cut, keep_encoders=True), out_schema)
 
 
 def pack(parts: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
@@ -209,7 +212,7 @@ def pack(parts: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
                                                  out_schema.names)
 
     out_schema = schema({c: parts.schema[c].dataType for c in names}, "sequence_id long, offset long")
-    return ranked.mapInArrow(look_up, out_schema)
+    return ranked.mapInArrow(lean(look_up), out_schema)
 
 
 def pack_documents(docs: DataFrame, most: int = 4096, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

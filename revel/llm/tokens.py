@@ -126,10 +126,9 @@ class Encoder:
             at = s[order[new_key][~found]]
             lower = low.tobytes()
             codes[~found] = self._add([lower[a:b] for a, b in zip(at.tolist(), (at + rep[3, ~found].astype(np.int64)).tolist())])
-            both = np.concatenate([self.known, rep[:, ~found]], axis=1)
-            by = np.argsort(both[0], kind="stable")
-            self.known = both[:, by]
-            self.code = np.concatenate([self.code, codes[~found]])[by]
+            by = np.searchsorted(self.known[0], rep[0, ~found])
+            self.known = np.insert(self.known, by, rep[:, ~found], axis=1)
+            self.code = np.insert(self.code, by, codes[~found])
         out[short[order]] = codes[np.cumsum(new_key) - 1]
         rest = np.flatnonzero(long)
         if len(rest):

@@ -119,3 +119,31 @@ def test_plan_is_near_the_bound_and_uses_patterns():
     assert all((p * np.arange(1, 9)).sum() == 8 and p.sum() <= 3 for p in shapes) and len(shapes) == 10
     x = packing.nnls(shapes, (shapes.T @ np.arange(10)).astype(float), 3000)
     assert (x >= 0).all() and np.allclose(shapes.T @ x, shapes.T @ np.arange(10), atol=0.05)
+
+
+def test_packing_encodes_texts_in_small_chunks(monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from revel.llm import op03_packing as packing
+    from revel.llm import tokens
+
+    class Docs:
+        """Takes the task's function out of ``pieces``."""
+        sparkSession = type("S", (), {"conf": {"spark.sql.execution.arrow.maxBytesPerBatch": "1b"}})()
+        schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+        select = lambda self, *c: self
+        mapInArrow = lambda self, task, shape: task
+
+    seen = []
+    encode = tokens.Encoder.encode
+    monkeypatch.setattr(tokens.Encoder, "encode", lambda self, buf, off, end: (seen.append(len(buf)), encode(self, buf, off, end))[1])
+    texts = [f"word{i} other words " * 1000 for i in range(100)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "text": texts})
+    out = pa.Table.from_batches(packing.pieces(Docs(), 4096)(iter([batch])))
+    assert max(seen) <= 512 << 10 and sum(seen) == sum(map(len, texts))
+    enc = tokens.encoder(tokens.default_path())
+    assert (enc.known[0][1:] > enc.known[0][:-1]).all() and len(enc.code) == enc.known.shape[1]
+    whole = [len(enc.tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+    sizes = out.group_by("doc_id").aggregate([("length", "sum")]).sort_by("doc_id")
+    assert sizes.column("length_sum").to_pylist() == whole

@@ -275,7 +275,8 @@ def first_pairs(left: DataFrame, right: DataFrame, left_order: str, right_order:
     That row pairs the first of each side, so both sides are reduced before
     they are joined one to one; a key with n and m rows never gives n x m."""
     (a, a_texts), (b, b_texts) = _packed_first(left, keys, [left_order]), _packed_first(right, keys, [right_order])
-    both = join_on_keys(a, b, keys, how)
+    # both sides lie sorted by key; estimates of packed inputs are far too small, so none of them may pick a broadcast of texts
+    both = join_on_keys(a.hint("merge"), b, keys, how)
     return both.select(*[_unpack(c).alias(c) if c in (*a_texts, *b_texts) else c for c in both.columns])
 
 

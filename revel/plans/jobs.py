@@ -114,7 +114,7 @@ def prepare_restaurants_frames(reviews: DataFrame, explanations: DataFrame, dedu
     ex = ex.select(*([F.col(explanation_order).alias("e_pos")] if dedup else []), "user", "item", "explanation")
     rv = P.rename(reviews, P.RESTAURANT_RENAME)
     rv = rv.select(*([F.col(review_order).alias("r_pos")] if dedup else []), "user", "item", "text", "rating")
-    joined = P.first_pairs(ex, rv, "e_pos", "r_pos") if dedup else P.join_on_keys(ex, rv)
+    joined = P.first_pairs(ex, rv, "e_pos", "r_pos") if dedup else P.join_on_keys(ex, rv, hashed=True)
     return P.select_order(joined, ["user", "item", "explanation", "text", "rating"])
 
 

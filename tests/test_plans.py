@@ -132,3 +132,11 @@ def test_prepare_movies_broadcasts_no_texts(spark, tmp_dir):
     assert "Broadcast" not in _plan(out)
     rows = {r.user: r for r in out.collect()}
     assert len(rows) == 150 and rows["u7"].text.startswith("7a review") and rows["u120"].text is None
+
+
+def test_prepare_restaurants_broadcasts_no_texts(spark, tmp_dir):
+    reviews, expl, jobs = _joined_lines(spark, tmp_dir)
+    out = jobs.prepare_restaurants_frames(reviews(jobs.RESTAURANT_FIELDS), expl)
+    assert "Broadcast" not in _plan(out)
+    rows = sorted((r.user, r.text) for r in out.collect())
+    assert len(rows) == 300 and rows[0] == ("u0", "0 text") and rows[1] == ("u0", "100 text")

@@ -140,3 +140,15 @@ def test_prepare_restaurants_broadcasts_no_texts(spark, tmp_dir):
     assert "Broadcast" not in _plan(out)
     rows = sorted((r.user, r.text) for r in out.collect())
     assert len(rows) == 300 and rows[0] == ("u0", "0 text") and rows[1] == ("u0", "100 text")
+
+
+def test_hashed_join_carries_long_texts_packed(spark):
+    long = "Ünïted 'tëxt' " * 200
+    left = spark.createDataFrame([("u", 1, "e"), ("u", 2, None), ("v", 3, "f"), (None, 4, "g")], "user string, e_pos int, explanation string")
+    right = spark.createDataFrame([("u", 5, long), ("u", 6, None), ("w", 7, "x"), (None, 8, "y"), ("u", 9, "")], "user string, r_pos int, text string")
+    rows = lambda how: sorted(((r.e_pos, r.r_pos, r.explanation, r.text) for r in P.join_on_keys(left, right, ["user"], how, hashed=True).collect()), key=str)
+    inner = [(e, r, x, t) for e, x in ((1, "e"), (2, None)) for r, t in ((5, long), (6, None), (9, ""))]
+    assert rows("inner") == sorted(inner, key=str)
+    assert rows("left") == sorted([*inner, (3, None, "f", None), (4, None, "g", None)], key=str)
+    plan = _plan(P.join_on_keys(left, right, ["user"], hashed=True))
+    assert "ShuffledHashJoin" in plan and "ArrowEvalPython [_packed" in plan[plan.rindex("Exchange hashpartitioning"):]
